@@ -50,9 +50,10 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
 
 
 def in_order(docs: DataFrame, by: list, columns: list[str], parts: int | None = None) -> DataFrame:
-    """Rows range-partitioned and sorted, so that partition number, then place, is the order. Ties in `by` should be broken by it."""
+    """Rows range-partitioned by the first key and sorted by all, so that partition number, then place, is the order. Only the
+    first key is sampled for the bounds; rows equal in it share a partition."""
     n = parts or slots(docs.sparkSession)
-    return docs.select(*columns).repartitionByRange(n, *by).sortWithinPartitions(*by)
+    return docs.select(*columns).repartitionByRange(n, by[0]).sortWithinPartitions(*by)
 
 
 def texts(column: pa.Array) -> Iterator[bytes]:
