@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tidewright.llm.common import texts
-from tidewright.llm.tokens import ChunkEncoder
+from tidewright.llm.tokens import encoder as encoder_of
 
 LENGTH, SEGMENTS = 2048, 256
 #: Tokens a block gathers before it is packed, and sequences open at once.
@@ -140,7 +140,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, length: int = L
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        encoder, sequence = ChunkEncoder(tokenizer), part << 36
+        encoder, sequence = encoder_of(tokenizer), part << 36
         held: list[tuple] = []
         size = 0
 
@@ -182,7 +182,7 @@ def pack_conversations(turns: DataFrame, tokenizer: str, end_id: int, length: in
     ordered = turns.select("conv_id", F.struct("turn", "role", "text").alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, sequence = ChunkEncoder(tokenizer), TaskContext.get().partitionId() << 36
+        encoder, sequence = encoder_of(tokenizer), TaskContext.get().partitionId() << 36
         for batch in batches:
             counts, losses, names = [], [], batch.column(0).to_pylist()
             for said in batch.column(1).to_pylist():

@@ -3,40 +3,73 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 
+#: A chunk of one run of Latin letters and one of ASCII punctuation (no apostrophe): the vocabulary splits it just there.
+_PLAIN = re.compile("([a-zß-öø-ÿÀ-ÖØ-Þ]+)([!-&(-/:-@\\[-`{-~]*)")
+
 
 class ChunkEncoder:
-    """Encodes UTF-8 texts. The vocabulary drops white space and never merges across it, so a text's ids are those of its
-    chunks in turn; each distinct chunk goes through the tokenizer once while it is cached. Two generations of at most
-    `cache` chunks are kept, so memory is bounded however many distinct chunks the corpus has."""
+    """Encodes UTF-8 texts. The vocabulary lowers case, drops white space and never merges across it, so a text's ids are
+    those of its chunks in turn; a chunk of letters and punctuation has the ids of the one, then the other. Each distinct part
+    goes through the tokenizer once while it is cached. Two generations of at most `cache` parts are kept, so memory is bounded
+    however many distinct chunks the corpus has."""
 
-    def __init__(self, path: str, cache: int = 250_000):
+    def __init__(self, path: str, cache: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), cache
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.ends = np.zeros(size, bool)  # ids that end a word
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _learn(self, chunks: Iterable[bytes]) -> None:
-        unseen = []
-        for c in dict.fromkeys(chunks):
-            if c not in self.new:
-                if (known := self.old.get(c)) is None:
-                    unseen.append(c)
+        new, old = self.new, self.old
+        joint, words, whole = [], {}, []
+        for c in set(chunks).difference(new):
+            if c in old:
+                new[c] = old[c]
+                continue
+            if (m := _PLAIN.fullmatch(s := c.decode("utf-8", "replace"))) is None:
+                whole.append((c, s))
+                continue
+            word = m[1].encode()
+            if m[2]:
+                tail = m[2].encode()
+                if tail not in new:
+                    new[tail] = self._ids([m[2]])[0]
+                joint.append((c, word, tail))
+            if word not in new:
+                if word in old:
+                    new[word] = old[word]
                 else:
-                    self.new[c] = known
-        if unseen:
-            found = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in unseen], add_special_tokens=False)
-            self.new.update((c, np.array(e.ids, self.dtype).tobytes()) for c, e in zip(unseen, found, strict=True))
+                    words[word] = m[1]
+        if words:  # one call; each word's ids end at the next id that ends a word
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words.values())], add_special_tokens=False)[0].ids, self.dtype)
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(ends) != len(words):
+                raise ValueError("the vocabulary does not mark the ends of words")
+            raw, size = ids.tobytes(), self.dtype.itemsize
+            new.update((w, raw[a * size : b * size]) for w, a, b in zip(words, [0, *ends], ends, strict=False))
+        new.update((c, new[word] + new[tail]) for c, word, tail in joint)
+        if whole:
+            new.update(zip((c for c, _ in whole), self._ids([s for _, s in whole]), strict=True))
 
     def encode(self, text: bytes) -> np.ndarray:
         """Ids of a text, as unsigned little-endian integers. Empty for an empty text."""
-        chunks = text.split()
+        chunks = (text if b"<|" in text else text.lower()).split()  # the special tokens' names are case-sensitive
         try:
             return np.frombuffer(b"".join(map(self.new.__getitem__, chunks)), self.dtype)
         except KeyError:
@@ -44,3 +77,9 @@ class ChunkEncoder:
                 self.old, self.new = self.new, {}
             self._learn(chunks)
             return np.frombuffer(b"".join(map(self.new.__getitem__, chunks)), self.dtype)
+
+
+@lru_cache(1)
+def encoder(path: str) -> ChunkEncoder:
+    """The worker process's encoder: its cache outlives a task."""
+    return ChunkEncoder(path)
