@@ -1,7 +1,7 @@
 """Token-ID output: Arrow files of equal-length sequences and masks.
 
 A file is an Arrow IPC file (a stream with a footer) whose batches hold `ids`, a fixed-size list of the smallest unsigned
-type the vocabulary fits, and `mask`, a fixed-size list of uint8 that is 1 where an id is real. Nothing is compressed, so a
+type the vocabulary fits, and `mask`, a fixed-size list of booleans (a bitmap) that are true where an id is real. Nothing is compressed, so a
 memory-mapped file gives sequence i as a slice of the mapped bytes, without a copy and without reading another. Only a
 file's last sequence is padded. Beside it lies a document index, `<file>.docs`: doc_id, start within the file, n_tokens.
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import in_order, scratch, texts, written
-from tidewright.llm.tokens import ChunkEncoder
+from tidewright.llm.tokens import encoder as encoder_of
 
 LENGTH = 2048
 #: Sequences a record batch holds.
@@ -43,7 +43,7 @@ class SequenceWriter:
     def __init__(self, sink, dtype: np.dtype, length: int = LENGTH):
         self.length, self.dtype, self.pending, self.held, self.total = length, np.dtype(dtype), [], 0, 0
         kind = pa.from_numpy_dtype(self.dtype)
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))], metadata={"length": str(length)})
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))], metadata={"length": str(length)})
         self.out = pa.ipc.new_file(sink, self.schema)
 
     def add(self, ids: np.ndarray) -> None:
@@ -58,8 +58,7 @@ class SequenceWriter:
             self.pending, self.held = [flat[whole:]], len(flat) - whole
 
     def _batch(self, flat: np.ndarray, real: int) -> None:
-        mask = np.zeros(len(flat), np.uint8)
-        mask[:real] = 1
+        mask = np.arange(len(flat)) < real
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (flat, mask)]
         self.out.write_batch(pa.record_batch(lists, schema=self.schema))
 
@@ -78,19 +77,19 @@ class SequenceFile:
     def __init__(self, source):
         self.reader = pa.ipc.open_file(source)
         self.length = int(self.reader.schema.metadata[b"length"])
-        self.batch: tuple[int, np.ndarray, np.ndarray] | None = None
+        self.batch: tuple[int, np.ndarray, pa.BooleanArray] | None = None
 
-    def _at(self, number: int) -> tuple[np.ndarray, np.ndarray]:
+    def _at(self, number: int) -> tuple[np.ndarray, pa.BooleanArray]:
         if self.batch is None or self.batch[0] != number:
             got = self.reader.get_batch(number)
-            self.batch = (number, *(c.flatten().to_numpy(zero_copy_only=True) for c in got.columns))
+            self.batch = (number, got.column(0).flatten().to_numpy(zero_copy_only=True), got.column(1).flatten())
         return self.batch[1:]
 
     def sequence(self, i: int) -> np.ndarray:
         return self._at(i // ROWS)[0][i % ROWS * self.length : (i % ROWS + 1) * self.length]
 
-    def mask(self, i: int) -> np.ndarray:
-        return self._at(i // ROWS)[1][i % ROWS * self.length : (i % ROWS + 1) * self.length]
+    def mask(self, i: int) -> pa.BooleanArray:
+        return self._at(i // ROWS)[1].slice(i % ROWS * self.length, self.length)
 
     def ids(self, start: int, n: int) -> Iterator[np.ndarray]:
         """n ids from place `start`, by runs within a batch; padding is never among them."""
@@ -98,7 +97,7 @@ class SequenceFile:
         while n > 0:
             flat, mask = self._at(start // per)
             run = flat[start % per : min(start % per + n, len(flat))]
-            if not len(run) or not mask[start % per + len(run) - 1]:
+            if not len(run) or not mask[start % per + len(run) - 1].as_py():
                 raise ValueError("the file ends before these ids")
             yield run
             start, n = start + len(run), n - len(run)
@@ -122,7 +121,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, length: int
             if batch.num_rows and writer is None:
                 fs, at = _filesystem(path)
                 fs.create_dir(at.rpartition("/")[0], recursive=True)
-                encoder = ChunkEncoder(tokenizer)
+                encoder = encoder_of(tokenizer)
                 sink, side = fs.open_output_stream(at), fs.open_output_stream(at + ".docs")
                 writer, docs_out = SequenceWriter(sink, encoder.dtype, length), pa.ipc.new_file(side, _INDEX)
                 end = np.array([end_id], encoder.dtype)
