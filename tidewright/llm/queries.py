@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewright.llm import ann, digest, packing, simhash, tokenfile
-from tidewright.llm.common import table
+from tidewright.llm import ann, digest, langid, packing, quality, simhash, tokenfile
+from tidewright.llm.common import crc_mod, table
 
 
 def _tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -16,6 +17,17 @@ def _tokenizer(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out")
+    filters = langid.train(docs.where(~held_out))
+    return langid.predict(docs, filters, "doc_id", held_out)
+
+
+def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = tokenfile.write_token_files(table(spark, sf_dir, "documents"), _tokenizer(), end_id=2)
     return tokenfile.read_token_files(manifest)
@@ -38,5 +50,5 @@ def op10_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.compare_with_next(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_token_files, op7_simhash, op8_packing, op9_cross_polytope, op10_digest)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op5_importance_resampling, op6_token_files, op7_simhash, op8_packing, op9_cross_polytope, op10_digest)}
 ORACLES: dict[str, str] = {}
