@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import ann, digest, langid, packing, quality, simhash, tokenfile
+from tidewright.llm import ann, digest, langid, packing, quality, simhash, tokenfile, urls
 from tidewright.llm.common import crc_mod, table
 
 
@@ -24,6 +24,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, filters, "doc_id", held_out)
 
 
+RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages"), RULES)
+
+
 def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,5 +57,5 @@ def op10_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.compare_with_next(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op5_importance_resampling, op6_token_files, op7_simhash, op8_packing, op9_cross_polytope, op10_digest)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op4_url_filter, op5_importance_resampling, op6_token_files, op7_simhash, op8_packing, op9_cross_polytope, op10_digest)}
 ORACLES: dict[str, str] = {}
