@@ -1,7 +1,7 @@
 """Quality by importance resampling.
 
-Two generative models of hashed n-grams (four bytes, `BUCKETS` hash buckets) are counted: the target's, from documents labelled
-good, and the raw corpus's, from every document. A document's weight is the ratio of the two likelihoods, taken per n-gram so
+Two generative models of hashed n-grams (four bytes, `BUCKETS` hash buckets) are counted: the target's, from at most `SAMPLE`
+documents labelled good, and the raw corpus's, from every document. A document's weight is the ratio of the two likelihoods, taken per n-gram so
 that long and short documents compare, times `SHARPNESS`. Documents are sampled without replacement by Gumbel top-k: the k
 largest of log weight plus Gumbel noise, the noise being a function of doc_id and seed. k is the number of documents at least as
 target-like as all but `TAIL` of the labelled good documents held out of the target model.
@@ -26,6 +26,8 @@ from tidewright.llm.flat import blocks, grams
 N, BUCKETS, SHARPNESS, TAIL, SEED = 4, 1 << 16, 200.0, 0.005, 11
 #: n-grams of ratio 1 that each document is taken to have besides its own, so that a few do not decide.
 PRIOR = 30
+#: Labelled good documents the target model is counted from, at most; they are drawn by a hash of doc_id.
+SAMPLE = 20_000
 #: The remainder of crc32(doc_id) mod FOLDS that is held out of the target model.
 FOLDS, HELD = 5, 0
 
@@ -108,16 +110,17 @@ def kth_largest(values: DataFrame, column: str, k: int) -> float:
     return lo
 
 
-def resample(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, seed: int = SEED, sample: int = SAMPLE) -> DataFrame:
     """doc_id, log_weight, key, kept for every document. labels: doc_id, quality (1 for good)."""
-    good = labels.where("quality = 1").select(F.col("doc_id").alias("_good")).distinct()
-    marked = docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("_good"), "left")
-    is_good, held = F.col("_good").isNotNull(), F.coalesce(crc_mod("doc_id", FOLDS) == HELD, F.lit(False))
-    ratios = log_ratios(_counts(marked.select("text", (is_good & ~held).alias("target"))))
-    scored = _scored(marked.select("text", "doc_id", is_good.alias("good"), held.alias("held")), ratios)
+    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("held", crc_mod("doc_id", FOLDS) == HELD)
+    target = good.where("not held").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample).select(F.col("doc_id").alias("_good"))
+    marked = docs.select("doc_id", "text").join(F.broadcast(target), F.col("doc_id") == F.col("_good"), "left")  # at most `sample` rows
+    ratios = log_ratios(_counts(marked.select("text", F.col("_good").isNotNull().alias("target"))))
+    scored = _scored(docs.select("text", "doc_id"), ratios)
     scored = written(scored.withColumn("key", F.col("log_weight") + gumbel("doc_id", seed)), "weights")
-    for fold in ("good and held", "good"):
-        if (least := scored.where(fold).agg(F.expr(f"percentile_approx(log_weight, {TAIL}, 100000)")).first()[0]) is not None:
+    known = scored.join(good, "doc_id").select("log_weight", "held")
+    for fold in ("held", "true"):
+        if (least := known.where(fold).agg(F.expr(f"percentile_approx(log_weight, {TAIL}, 100000)")).first()[0]) is not None:
             break
     if least is None:
         return scored.select("doc_id", "log_weight", "key", F.lit(True).alias("kept"))
