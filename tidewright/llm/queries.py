@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import ann, digest, langid, packing, quality, simhash, tokenfile, urls
+from tidewright.llm import ann, digest, langid, mixing, packing, quality, simhash, tokenfile, urls
 from tidewright.llm.common import crc_mod, table
 
 
@@ -24,6 +24,40 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, filters, "doc_id", held_out)
 
 
+def quality_weights(labels: DataFrame) -> DataFrame:
+    """Documents labelled good weigh 2, those labelled bad 0.5; the others 1."""
+    return labels.where("quality is not null").select("doc_id", F.when(F.col("quality") == 1, 2.0).otherwise(0.5).alias("weight"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), quality_weights(table(spark, sf_dir, "labels")))
+
+
+OP3_SQL = """
+WITH sized AS (
+  SELECT d.doc_id, d.source, coalesce(len(regexp_extract_all(d.text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+    -ln(((('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, 'null') || '|mix'), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496.0) / coalesce(w.weight, 1.0) AS key
+  FROM documents d LEFT JOIN (SELECT doc_id, max(CASE WHEN quality = 1 THEN 2.0::DOUBLE ELSE 0.5::DOUBLE END) AS weight FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) w ON d.doc_id = w.doc_id),
+sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+ranked AS (
+  SELECT source, source_size, source_size * 2.0::DOUBLE AS cap,
+    (CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END)::DOUBLE AS weight
+  FROM sources),
+levels AS (
+  SELECT *, cap / weight AS fills_at,
+    (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER w, 0.0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0.0)) AS level
+  FROM ranked WINDOW w AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+aims AS (
+  SELECT source, source_size, least(cap, weight * coalesce((SELECT level FROM levels WHERE level <= fills_at ORDER BY fills_at, level LIMIT 1), 1e300)) AS target FROM levels),
+placed AS (
+  SELECT s.*, a.source_size, a.target,
+    coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place,
+    CASE WHEN a.source_size > 0 THEN floor(a.target / a.source_size) ELSE 0 END AS epochs
+  FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source)
+SELECT doc_id, source, size, source_size, target,
+  (epochs * size + greatest(0, least(size, round(target - epochs * source_size)::BIGINT - place)))::BIGINT AS taken
+FROM placed"""
+
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 
 
@@ -57,5 +91,5 @@ def op10_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.compare_with_next(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op4_url_filter, op5_importance_resampling, op6_token_files, op7_simhash, op8_packing, op9_cross_polytope, op10_digest)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op3_mixing, op4_url_filter, op5_importance_resampling, op6_token_files, op7_simhash, op8_packing, op9_cross_polytope, op10_digest)}
+ORACLES: dict[str, str] = {"op3_mixing": OP3_SQL}
