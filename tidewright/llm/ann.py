@@ -18,6 +18,7 @@ fewer than k candidates gets them all; equal scores go to the smaller vec_id; fu
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,24 +31,38 @@ ROTATIONS, TABLES, PROBES, SEED = 2, 48, 64, 7
 #: Candidates in a block under which a query looks into all of the block's buckets.
 LEAST = 128
 #: Distinct vectors in a block of rows, and of queries.
-BLOCK, QUERY_BLOCK = 4096, 4096
+BLOCK, QUERY_BLOCK = 8192, 8192
+#: Dimensions up to which a pseudo-rotation is cheaper as one matrix product than as its transforms.
+DENSE = 128
+
+
+def _hadamard(y: np.ndarray) -> np.ndarray:
+    d, h = y.shape[1], 1
+    while h < d:
+        v = y.reshape(len(y), d // (2 * h), 2, h)
+        y = np.concatenate([v[:, :, :1] + v[:, :, 1:], v[:, :, :1] - v[:, :, 1:]], 2).reshape(len(y), d)
+        h *= 2
+    return y / np.sqrt(d)
+
+
+def _rounds(y: np.ndarray, seed: int) -> np.ndarray:
+    for s in np.random.default_rng([SEED, seed, y.shape[1]]).choice([-1.0, 1.0], (3, y.shape[1])):
+        y = _hadamard(y * s)
+    return y
+
+
+@lru_cache(512)
+def _matrix(d: int, seed: int) -> np.ndarray:
+    """The pseudo-rotation of a short vector, as the one product that it comes to."""
+    return _rounds(np.eye(d), seed)
 
 
 def turned(x: np.ndarray, seed: int) -> np.ndarray:
     """Rows of x, padded to a power of two, under the pseudo-rotation `seed`."""
     d = 1 << max(0, x.shape[1] - 1).bit_length()
-    y = np.zeros((len(x), d))
-    y[:, : x.shape[1]] = x
-    signs = np.random.default_rng([SEED, seed, d]).choice([-1.0, 1.0], (3, d))
-    for s in signs:
-        y *= s
-        h = 1
-        while h < d:
-            v = y.reshape(len(y), d // (2 * h), 2, h)
-            y = np.concatenate([v[:, :, :1] + v[:, :, 1:], v[:, :, :1] - v[:, :, 1:]], 2).reshape(len(y), d)
-            h *= 2
-        y /= np.sqrt(d)
-    return y
+    if d <= DENSE:
+        return x @ _matrix(d, seed)[: x.shape[1]]
+    return _rounds(np.pad(x, ((0, 0), (0, d - x.shape[1]))), seed)
 
 
 def codes(x: np.ndarray, table: int, rotations: int = ROTATIONS) -> np.ndarray:
@@ -66,17 +81,21 @@ def probes(x: np.ndarray, table: int, rotations: int = ROTATIONS, n: int = PROBE
     for r in range(rotations):
         y = turned(x, table * rotations + r)
         near = np.concatenate([y, -y], 1)
-        best = np.argsort(-near, 1, kind="stable")[:, :n]
+        width = min(n, near.shape[1])
+        best = np.argpartition(-near, width - 1, 1)[:, :width]
+        best = np.take_along_axis(best, np.argsort(-np.take_along_axis(near, best, 1), 1, kind="stable"), 1)
         value = np.take_along_axis(near, best, 1)
-        code = (code[:, :, None] * near.shape[1] + best[:, None, :]).reshape(len(x), -1)
-        loss = (loss[:, :, None] + ((value[:, :1] - value) ** 2)[:, None, :]).reshape(len(x), -1)
+        # the i-th and j-th best can be among the n likeliest only if at most n pairs are as good in both
+        i, j = np.nonzero(np.multiply.outer(np.arange(1, code.shape[1] + 1), np.arange(1, width + 1)) <= n)
+        code = code[:, i] * near.shape[1] + best[:, j]
+        loss = loss[:, i] + ((value[:, :1] - value) ** 2)[:, j]
         keep = np.argsort(loss, 1, kind="stable")[:, :n]
         code, loss = np.take_along_axis(code, keep, 1), np.take_along_axis(loss, keep, 1)
     return code
 
 
-def candidates(rows: np.ndarray, queries: np.ndarray, least: int, rotations: int, tables: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) pairs of unit vectors that share a probed bucket of some table; all rows for a query with fewer than `least`."""
+def candidates(rows: np.ndarray, queries: np.ndarray, least: int, rotations: int, tables: int, n: int) -> np.ndarray:
+    """By query and row of unit vectors, whether they share a probed bucket of some table; all rows for a query with fewer than `least`."""
     met = np.zeros((len(queries), len(rows)), bool)
     for t in range(tables):
         code = codes(rows, t, rotations)
@@ -89,7 +108,7 @@ def candidates(rows: np.ndarray, queries: np.ndarray, least: int, rotations: int
         at = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + lo.ravel()[of]
         met[of // wanted.shape[1], order[at]] = True
     met[met.sum(1) < least] = True
-    return np.nonzero(met)
+    return met
 
 
 def _sound(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
@@ -154,20 +173,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, rotations: int =
             ux, uy = (z / np.linalg.norm(z, axis=1, keepdims=True) for z in (ux, uy))
             for first in range(0, len(qs), 512):
                 part = slice(first, first + 512)
-                q, v = candidates(ux, uy[part], max(LEAST, k + 1), rotations, tables, n_probes)
-                score = np.concatenate([(x[v[i : i + 200_000]] * y[part][q[i : i + 200_000]]).sum(1) for i in range(0, len(q), 200_000)] or [np.zeros(0)])
-                with np.errstate(all="ignore"):
-                    score = score / (nx[v] * ny[part][q])
-                odd = ~np.isfinite(score)  # products beyond the range of doubles: from the scaled vectors
-                score[odd] = (ux[v[odd]] * uy[part][q[odd]]).sum(1)
-                order = np.lexsort((-score, q))
-                q, v, score = q[order], v[order], score[order]
-                starts = np.searchsorted(q, np.arange(len(qs[part]) + 1))
-                for i, at in enumerate(qs[part]):
-                    lo, hi = starts[i], starts[i + 1]
-                    if hi - lo > k:  # all that tie with the (k + 1)th entry
-                        hi = lo + int(np.searchsorted(-score[lo:hi], -score[lo + k], "right"))
-                    mine = [(-s, i2) for s, r in zip(score[lo:hi].tolist(), v[lo:hi].tolist(), strict=True) for i2 in ids[rs[r]] if i2 != qids[at]]
+                met = candidates(ux, uy[part], max(LEAST, k + 1), rotations, tables, n_probes)
+                for i, at in enumerate(qs[part], first):
+                    v = np.flatnonzero(met[i - first])
+                    with np.errstate(all="ignore"):
+                        score = (x[v] @ y[i]) / (nx[v] * ny[i])
+                    odd = ~np.isfinite(score)  # products beyond the range of doubles: from the scaled vectors
+                    score[odd] = ux[v[odd]] @ uy[i]
+                    if len(v) > k + 1:  # all that tie with the (k + 1)th entry
+                        near = score >= np.partition(score, -k - 1)[-k - 1]
+                        v, score = v[near], score[near]
+                    mine = [(-s, i2) for s, r in zip(score.tolist(), v.tolist(), strict=True) for i2 in ids[rs[r]] if i2 != qids[at]]
                     for s, i2 in sorted(mine)[:k]:
                         out[0].append(qids[at])
                         out[1].append(i2)
