@@ -137,7 +137,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, slots: int = SLOTS, hashes: int
 
 def predict(docs: DataFrame, filters: Filters, *columns: str | Column) -> DataFrame:
     """The given columns of docs (doc_id if none), lang_pred and score. The filters are broadcast: their size is fixed."""
-    kept = docs.select("text", *(columns or ("doc_id",)))
+    kept = docs.select(F.col("text").alias("_judged"), *(columns or ("doc_id",)))
     names = kept.columns[1:]
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
@@ -146,4 +146,4 @@ def predict(docs: DataFrame, filters: Filters, *columns: str | Column) -> DataFr
             found, score = shared.value.judge(batch.column(0))
             yield pa.record_batch([*batch.columns[1:], pa.array(found, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
 
-    return kept.mapInArrow(run, kept.drop("text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema)
+    return kept.mapInArrow(run, kept.drop("_judged").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema)

@@ -89,10 +89,10 @@ def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     met = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_doc")))
     pieces = F.transform(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size"))), lambda i: F.least(F.col("size"), F.col("taken") - (i - 1) * F.col("size")))
     rows = met.withColumn("_words", F.explode(pieces))
-    # only a source's edge document is cut: the words before the cut, in one pattern of bounded repetition a step
-    whole, cut = rows.where(F.col("_words") == F.col("size")), rows.where(F.col("_words") < F.col("size"))
+    # only a source's edge document is cut
     heads = F.slice(F.expr(f"regexp_extract_all(text, '{WORD.replace(chr(92), chr(92) * 2)}', 0)"), F.lit(1), F.col("_words").cast("int"))
-    cut = cut.withColumn("text", F.array_join(heads, " "))
+    cut = F.col("_words") < F.col("size")
+    rows = rows.withColumn("text", F.when(cut, F.array_join(heads, " ")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return whole.select(*docs.columns).unionByName(cut.select(*docs.columns))
+        rows = rows.withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)

@@ -70,22 +70,14 @@ def log_ratios(counts: np.ndarray) -> np.ndarray:
     return target - raw
 
 
-def _scored(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
-    kept = [c for c in docs.columns if c != "text"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for _, raw, starts in blocks(batch.column(0)):
-                found = np.append(ratios[buckets(raw)], np.zeros(N - 1))
-                ends = np.maximum(starts[:-1], starts[1:] - N)
-                whole = np.concatenate([[0.0], np.cumsum(found)])
-                out.append((whole[ends] - whole[starts[:-1]]) / (ends - starts[:-1] + PRIOR))
-            weight = np.concatenate(out) * SHARPNESS if out else np.zeros(0)
-            yield pa.record_batch([*batch.columns[1:], pa.array(weight)], names=[*kept, "log_weight"])
-
-    schema = docs.select(*kept).withColumn("log_weight", F.lit(0.0)).schema
-    return docs.select("text", *kept).mapInArrow(run, schema)
+def _weights(column: pa.Array, ratios: np.ndarray) -> np.ndarray:
+    out = [np.zeros(0)]
+    for _, raw, starts in blocks(column):
+        found = np.append(ratios[buckets(raw)], np.zeros(N - 1))
+        ends = np.maximum(starts[:-1], starts[1:] - N)
+        whole = np.concatenate([[0.0], np.cumsum(found)])
+        out.append((whole[ends] - whole[starts[:-1]]) / (ends - starts[:-1] + PRIOR))
+    return np.concatenate(out) * SHARPNESS
 
 
 def gumbel(key: str, seed: int) -> Column:
@@ -110,19 +102,42 @@ def kth_largest(values: DataFrame, column: str, k: int) -> float:
     return lo
 
 
-def resample(docs: DataFrame, labels: DataFrame, seed: int = SEED, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, log_weight, key, kept for every document. labels: doc_id, quality (1 for good)."""
+def fit(docs: DataFrame, labels: DataFrame, seed: int = SEED, sample: int = SAMPLE) -> tuple[np.ndarray, float, DataFrame]:
+    """Log ratios by bucket, the k-th largest key, and every document's doc_id, log_weight and key. labels: doc_id, quality (1 for good)."""
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("held", crc_mod("doc_id", FOLDS) == HELD)
     target = good.where("not held").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample).select(F.col("doc_id").alias("_good"))
     marked = docs.select("doc_id", "text").join(F.broadcast(target), F.col("doc_id") == F.col("_good"), "left")  # at most `sample` rows
     ratios = log_ratios(_counts(marked.select("text", F.col("_good").isNotNull().alias("target"))))
-    scored = _scored(docs.select("text", "doc_id"), ratios)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([batch.column(1), pa.array(_weights(batch.column(0), ratios))], names=["doc_id", "log_weight"])
+
+    scored = docs.select("text", "doc_id").mapInArrow(run, "doc_id long, log_weight double")
     scored = written(scored.withColumn("key", F.col("log_weight") + gumbel("doc_id", seed)), "weights")
     known = scored.join(good, "doc_id").select("log_weight", "held")
     for fold in ("held", "true"):
         if (least := known.where(fold).agg(F.expr(f"percentile_approx(log_weight, {TAIL}, 100000)")).first()[0]) is not None:
             break
     if least is None:
-        return scored.select("doc_id", "log_weight", "key", F.lit(True).alias("kept"))
-    k = scored.where(F.col("log_weight") >= least).count()
-    return scored.select("doc_id", "log_weight", "key", (F.col("key") >= kth_largest(scored, "key", k)).alias("kept"))
+        return ratios, float("-inf"), scored
+    return ratios, kth_largest(scored, "key", scored.where(F.col("log_weight") >= least).count()), scored
+
+
+def resample(docs: DataFrame, labels: DataFrame, seed: int = SEED, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, log_weight, key, kept for every document."""
+    _, least, scored = fit(docs, labels, seed, sample)
+    return scored.withColumn("kept", F.col("key") >= least)
+
+
+def keep(docs: DataFrame, labels: DataFrame, seed: int = SEED, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs that are sampled, with all their columns. Texts are weighed again on the way instead of being shuffled to
+    their decisions."""
+    ratios, least, _ = fit(docs, labels, seed, sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = _weights(batch.column(0), ratios) + batch.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays(batch.columns[2:], schema=pa.schema(list(batch.schema)[2:])).filter(pa.array(key >= least))
+
+    return docs.select(F.col("text").alias("_weighed"), gumbel("doc_id", seed).alias("_noise"), *docs.columns).mapInArrow(run, docs.schema)

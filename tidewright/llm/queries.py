@@ -11,7 +11,7 @@ from tidewright.llm import ann, digest, langid, mixing, packing, quality, simhas
 from tidewright.llm.common import crc_mod, table
 
 
-def _tokenizer(name: str = "word_bpe_49k.json") -> str:
+def tokenizer(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -70,7 +70,7 @@ def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = tokenfile.write_token_files(table(spark, sf_dir, "documents"), _tokenizer(), end_id=2)
+    manifest = tokenfile.write_token_files(table(spark, sf_dir, "documents"), tokenizer(), end_id=2)
     return tokenfile.read_token_files(manifest)
 
 
@@ -79,7 +79,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), _tokenizer(), end_id=1)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer(), end_id=1)
 
 
 def op9_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
