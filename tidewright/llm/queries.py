@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import ann, digest, langid, mixing, packing, quality, simhash, tokenfile, urls
+from tidewright.llm import ann, digest, langid, mixing, packing, pitman_yor, quality, simhash, tokenfile, urls
 from tidewright.llm.common import crc_mod, table
 
 
@@ -24,6 +24,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, filters, "doc_id", held_out)
 
 
+def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(table(spark, sf_dir, "documents"))
+
+
 def quality_weights(labels: DataFrame) -> DataFrame:
     """Documents labelled good weigh 2, those labelled bad 0.5; the others 1."""
     return labels.where("quality is not null").select("doc_id", F.when(F.col("quality") == 1, 2.0).otherwise(0.5).alias("weight"))
@@ -91,5 +95,5 @@ def op10_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.compare_with_next(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op3_mixing, op4_url_filter, op5_importance_resampling, op6_token_files, op7_simhash, op8_packing, op9_cross_polytope, op10_digest)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_pitman_yor, op3_mixing, op4_url_filter, op5_importance_resampling, op6_token_files, op7_simhash, op8_packing, op9_cross_polytope, op10_digest)}
 ORACLES: dict[str, str] = {"op3_mixing": OP3_SQL}
