@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidewright.plans import scalars
+from tidewright.plans import scalars, series_queries
 
-MODULES = (scalars,)
+MODULES = (scalars, series_queries)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
