@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.llm.common import fresh
 from tidewright.llm.flat import BLOCK, LOWER, blocks, grams, sums
 
 N, SLOTS, HASHES, SHARE, SAMPLE = 4, 1 << 20, 2, 0.2, 3000
@@ -81,11 +82,11 @@ class Filters:
             letters = sums(_LETTER[raw], starts) > 0
             for i in np.flatnonzero(~letters).tolist():
                 letters[i] = any(c.isalpha() for c in raw[starts[i] : starts[i + 1]].tobytes().decode("utf-8", "replace"))
-            n, counts = self.counts(raw, starts)
             if not self.languages:
-                names += ["und"] * len(n)
-                scores.append(np.zeros(len(n)))
+                names += ["und"] * len(letters)
+                scores.append(np.zeros(len(letters)))
                 continue
+            n, counts = self.counts(raw, starts)
             best = counts.argmax(1)
             top = counts[np.arange(len(n)), best]
             best[top <= 0] = self.prior
@@ -137,8 +138,9 @@ def train(docs: DataFrame, sample: int = SAMPLE, slots: int = SLOTS, hashes: int
 
 def predict(docs: DataFrame, filters: Filters, *columns: str | Column) -> DataFrame:
     """The given columns of docs (doc_id if none), lang_pred and score. The filters are broadcast: their size is fixed."""
-    kept = docs.select(F.col("text").alias("_judged"), *(columns or ("doc_id",)))
-    names = kept.columns[1:]
+    names = docs.select(*(columns or ("doc_id",))).columns
+    judged = fresh("_judged", names)
+    kept = docs.select(F.col("text").alias(judged), *(columns or ("doc_id",)))
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,4 +148,4 @@ def predict(docs: DataFrame, filters: Filters, *columns: str | Column) -> DataFr
             found, score = shared.value.judge(batch.column(0))
             yield pa.record_batch([*batch.columns[1:], pa.array(found, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
 
-    return kept.mapInArrow(run, kept.drop("_judged").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema)
+    return kept.mapInArrow(run, kept.drop(judged).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema)

@@ -344,7 +344,7 @@ def score(docs: DataFrame) -> DataFrame:
                 at = np.minimum(np.searchsorted(hashes, w), len(hashes) - 1)
                 here = hashes[at] == w
                 at, own = at[here], doc[here]
-                sums = np.stack([np.bincount(own, x, len(ids)) for x in (np.log10(often + 1.0)[at], log_p[at, ctx[here]].astype(float), (often > 0)[at])])
+                sums = np.stack([np.bincount(own, x, len(ids)) for x in (np.log10(often + 1.0)[at], log_p[at, ctx[here]].astype(float), (often > 0)[at])]).astype(float)
                 w, ctx, doc = w[~here], ctx[~here], doc[~here]
             header = pickle.dumps((ids, held, counts, sums))
             found, of, pair_ctx, first, order, cuts = grouped(w, ctx, n_buckets)
@@ -373,7 +373,7 @@ def score(docs: DataFrame) -> DataFrame:
                 p, count = predictor.of(own, word_of, pair_ctx)
                 named, of = np.unique(np.frombuffer(r["docs"], "<u2"), return_inverse=True)
                 values = (np.log10(count + 1.0)[word_of], np.log10(p), (count > 0)[word_of].astype(float))
-                sums = np.stack([np.bincount(of, np.repeat(v, n), len(named)) for v in values])
+                sums = np.stack([np.bincount(of, np.repeat(v, n), len(named)) for v in values]).astype(float)
                 for k, v in zip(out, (r["block"], named.tobytes(), sums.tobytes(), r["header"]), strict=True):
                     k.append(v)
         return pa.table([pa.array(k, t) for k, t in zip(out, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["block", "docs", "sums", "header"])

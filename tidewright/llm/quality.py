@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import crc_mod, slots, written
+from tidewright.llm.common import crc_mod, fresh, slots, written
 from tidewright.llm.flat import blocks, grams
 
 N, BUCKETS, SHARPNESS, TAIL, SEED = 4, 1 << 16, 200.0, 0.005, 11
@@ -45,7 +45,8 @@ def _counts(docs: DataFrame) -> np.ndarray:
             good = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for first, raw, starts in blocks(batch.column(0)):
                 found = buckets(raw)
-                total[0] += np.bincount(found, minlength=BUCKETS)
+                over = np.unique(starts[1:, None] - np.arange(1, N + 1))  # those that would reach past a text's end
+                total[0] += np.bincount(np.delete(found, over[(over >= 0) & (over < len(found))]), minlength=BUCKETS)
                 for i in np.flatnonzero(good[first : first + len(starts) - 1]).tolist():
                     total[1] += np.bincount(found[starts[i] : max(starts[i], starts[i + 1] - N)], minlength=BUCKETS)
         yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["counts"])
@@ -77,7 +78,7 @@ def _weights(column: pa.Array, ratios: np.ndarray) -> np.ndarray:
         ends = np.maximum(starts[:-1], starts[1:] - N)
         whole = np.concatenate([[0.0], np.cumsum(found)])
         out.append((whole[ends] - whole[starts[:-1]]) / (ends - starts[:-1] + PRIOR))
-    return np.concatenate(out) * SHARPNESS
+    return np.round(np.concatenate(out) * SHARPNESS, 6)  # equal texts weigh the same wherever they stand in a block
 
 
 def gumbel(key: str, seed: int) -> Column:
@@ -140,4 +141,5 @@ def keep(docs: DataFrame, labels: DataFrame, seed: int = SEED, sample: int = SAM
             key = _weights(batch.column(0), ratios) + batch.column(1).to_numpy()
             yield pa.RecordBatch.from_arrays(batch.columns[2:], schema=pa.schema(list(batch.schema)[2:])).filter(pa.array(key >= least))
 
-    return docs.select(F.col("text").alias("_weighed"), gumbel("doc_id", seed).alias("_noise"), *docs.columns).mapInArrow(run, docs.schema)
+    text, noise = (fresh(x, docs.columns) for x in ("_text", "_noise"))
+    return docs.select(F.col("text").alias(text), gumbel("doc_id", seed).alias(noise), *docs.columns).mapInArrow(run, docs.schema)

@@ -19,7 +19,7 @@ class ChunkEncoder:
     goes through the tokenizer once while it is cached. Two generations of at most `cache` parts are kept, so memory is bounded
     however many distinct chunks the corpus has."""
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, cache: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
