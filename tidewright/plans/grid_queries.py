@@ -123,11 +123,13 @@ def pressure_extrema(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {GRID}, o AS (SELECT UNNEST(range(-4, 5))::INT AS d), k AS (SELECT d, exp(-0.5 * d * d) / sum(exp(-0.5 * d * d)) OVER () AS w FROM o),
-  a AS (SELECT g."row", g.col, sum(b.v * w) AS v FROM grid g, k, grid b WHERE b."row" = g."row" AND b.col = greatest(0, least({COLS - 1}, g.col + d)) GROUP BY 1, 2)
+  full_grid AS (SELECT rr AS "row", cc AS col, coalesce(v, 0) AS v FROM (SELECT UNNEST(range({ROWS}))::INT AS rr) CROSS JOIN (SELECT UNNEST(range({COLS}))::INT AS cc) LEFT JOIN grid ON grid."row" = rr AND grid.col = cc),
+  a AS (SELECT g."row", g.col, sum(b.v * w) AS v FROM full_grid g, k, full_grid b WHERE b."row" = g."row" AND b.col = greatest(0, least({COLS - 1}, g.col + d)) GROUP BY 1, 2)
   SELECT g."row", g.col, {r('sum(b.v * w)', 3)} AS blurred FROM a g, k, a b WHERE b.col = g.col AND b."row" = greatest(0, least({ROWS - 1}, g."row" + d)) GROUP BY 1, 2""")
 def gaussian_blur(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # at sf0.001 the grid has holes, whose sums are partial in both engines
-    return R.gaussian(price_grid(spark, sf_dir), "v", ROWS, COLS).select("row", "col", rounded("blurred", 3).alias("blurred"))
+    cells = spark.range(ROWS * COLS).select(F.floor(F.col("id") / COLS).cast("int").alias("row"), (F.col("id") % COLS).cast("int").alias("col"))
+    full = cells.join(price_grid(spark, sf_dir), ["row", "col"], "left").fillna(0.0, ["v"])
+    return R.gaussian(full, "v", ROWS, COLS).select("row", "col", rounded("blurred", 3).alias("blurred"))
 
 
 QUAD = f"""{GRID}, q AS (SELECT a."row", a.col, a.v AS a, b.v AS b, c.v AS c, d.v AS d FROM grid a JOIN grid b ON b."row" = a."row" AND b.col = a.col + 1 JOIN grid c ON c."row" = a."row" + 1 AND c.col = a.col + 1 JOIN grid d ON d."row" = a."row" + 1 AND d.col = a.col),
