@@ -41,7 +41,7 @@ SWEEPS, BURN, EXACT, COMMON, SEED = 5, 2, 32, 256, 3
 #: Remainder of crc32(doc_id) mod FOLDS that is not trained on.
 FOLDS, HELD = 7, 2
 #: Tokens, and documents, of a block; text bytes a bucket.
-BLOCK_TOKENS, BLOCK_DOCS, BUCKET_BYTES = 1_500_000, 60_000, 24_000_000
+BLOCK_TOKENS, BLOCK_DOCS, BUCKET_BYTES = 1_000_000, 60_000, 20_000_000
 END, START = np.uint64(0xFFFFFFFFFFFFFFFE), np.uint64(0xD1B54A32D192ED03)
 _BITS = CONTEXTS.bit_length() - 1
 
