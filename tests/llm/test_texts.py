@@ -180,15 +180,21 @@ def test_resampling(spark, odd, none, labels):
 
 
 def test_resampling_weights_by_brute_force(spark):
-    good, bad = "the ship sails on the calm sea", "$$$ buy %%% now &&& win $$$"
+    good, bad = "the ship sails sails on the calm sea", "$$$ buy %%% now now &&& win $$$"
     docs = spark.createDataFrame([(i, good if i % 3 else bad) for i in range(60)], "doc_id long, text string")
     got = {r.doc_id: r for r in quality.resample(docs, spark.createDataFrame([(i, 1) for i in range(60) if i % 3], "doc_id long, quality int")).collect()}
     assert all(got[i].kept == bool(i % 3) for i in range(60))
     target = [i for i in range(60) if i % 3 and zlib.crc32(str(i).encode()) % quality.FOLDS != quality.HELD]
-    count = lambda ids: sum((np.bincount(quality.buckets(np.frombuffer((good if i % 3 else bad).encode(), np.uint8)), minlength=quality.BUCKETS) for i in ids), np.zeros(quality.BUCKETS))
+
+    def found(text):
+        words = text.split()
+        same = [0, *(a == b for a, b in zip(words, words[1:], strict=False))]
+        patterns = [quality.BUCKETS + sum(same[i - k] << k for k in range(quality.N) if i - k >= 0) for i in range(len(words))]
+        return np.concatenate([quality.buckets(np.frombuffer(text.encode(), np.uint8)), patterns]).astype(int)
+
+    count = lambda ids: sum((np.bincount(found(good if i % 3 else bad), minlength=quality.ALL) for i in ids), np.zeros(quality.ALL))
     ratios = quality.log_ratios(np.stack([count(range(60)), count(target)]))
-    b = quality.buckets(np.frombuffer(good.encode(), np.uint8))
-    assert abs(got[1].log_weight - ratios[b].sum() / (len(b) + quality.PRIOR) * quality.SHARPNESS) < 1e-5
+    assert abs(got[1].log_weight - ratios[found(good)].sum() / (len(good) - quality.N + 1 + quality.PRIOR) * quality.SHARPNESS) < 1e-5
 
 
 def test_mixing(spark, odd, none, labels):

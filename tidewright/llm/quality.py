@@ -1,6 +1,7 @@
 """Quality by importance resampling.
 
-Two generative models of hashed n-grams (four bytes, `BUCKETS` hash buckets) are counted: the target's, from at most `SAMPLE`
+Two generative models of hashed n-grams are counted, over runs of four bytes (`BUCKETS` hash buckets) and over runs of four words
+by which of them repeat the word before (16 patterns): the target's, from at most `SAMPLE`
 documents labelled good, and the raw corpus's, from every document. A document's weight is the ratio of the two likelihoods, taken per n-gram so
 that long and short documents compare, times `SHARPNESS`. Documents are sampled without replacement by Gumbel top-k: the k
 largest of log weight plus Gumbel noise, the noise being a function of doc_id and seed. k is the number of documents at least as
@@ -20,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import crc_mod, fresh, slots, written
-from tidewright.llm.flat import blocks, grams
+from tidewright.llm.common import crc_mod, fresh, total, written
+from tidewright.llm.flat import blocks, grams, words
 
 N, BUCKETS, SHARPNESS, TAIL, SEED = 4, 1 << 16, 200.0, 0.005, 11
+#: Byte n-grams and patterns of repeated words.
+ALL = BUCKETS + (1 << N)
 #: n-grams of ratio 1 that each document is taken to have besides its own, so that a few do not decide.
 PRIOR = 30
 #: Labelled good documents the target model is counted from, at most; they are drawn by a hash of doc_id.
@@ -36,38 +39,45 @@ def buckets(raw: np.ndarray) -> np.ndarray:
     return (grams(raw, N) * np.uint32(0x9E3779B1)) >> np.uint32(16)
 
 
+def repeats(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each word's pattern (which of it and the three before repeat the word before them), and where texts start."""
+    hashes, at = words(raw, starts)
+    same = np.zeros(len(hashes), np.int64)
+    same[1:] = hashes[1:] == hashes[:-1]
+    first = np.repeat(at[:-1], np.diff(at))
+    place = np.arange(len(hashes)) - first
+    same[place == 0] = 0
+    out = same.copy()
+    for back in range(1, N):
+        out[back:] += (same[:-back] << back) * (place[back:] >= back)
+    return BUCKETS + out, at
+
+
 def _counts(docs: DataFrame) -> np.ndarray:
-    """n-grams by bucket, of the documents and of those whose `target` is true. Each task adds up its own, then groups of tasks, then one."""
+    """n-grams by bucket, of the documents and of those whose `target` is true."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, BUCKETS), np.int64)
+        sums = np.zeros((2, ALL), np.int64)
         for batch in batches:
             good = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for first, raw, starts in blocks(batch.column(0)):
                 found = buckets(raw)
                 over = np.unique(starts[1:, None] - np.arange(1, N + 1))  # those that would reach past a text's end
-                total[0] += np.bincount(np.delete(found, over[(over >= 0) & (over < len(found))]), minlength=BUCKETS)
+                patterns, at = repeats(raw, starts)
+                sums[0] += np.bincount(np.delete(found, over[(over >= 0) & (over < len(found))]), minlength=ALL) + np.bincount(patterns, minlength=ALL)
                 for i in np.flatnonzero(good[first : first + len(starts) - 1]).tolist():
-                    total[1] += np.bincount(found[starts[i] : max(starts[i], starts[i + 1] - N)], minlength=BUCKETS)
-        yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, BUCKETS), np.int64)
-        for batch in batches:
-            for x in batch.column(0):
-                total += np.frombuffer(x.as_buffer(), np.int64).reshape(total.shape)
-        yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["counts"])
+                    sums[1] += np.bincount(found[starts[i] : max(starts[i], starts[i + 1] - N)], minlength=ALL) + np.bincount(patterns[at[i] : at[i + 1]], minlength=ALL)
+        yield pa.record_batch([pa.array([sums.tobytes()], pa.binary())], names=["counts"])
 
-    parts = docs.mapInArrow(count, "counts binary")
-    some = parts.repartition(max(2, int(slots(docs.sparkSession) ** 0.5))).mapInArrow(add, "counts binary")
-    return sum((np.frombuffer(r[0], np.int64).reshape(2, BUCKETS) for r in some.collect()), np.zeros((2, BUCKETS), np.int64))
+    return total(docs.mapInArrow(count, "counts binary"), "counts", 2 * ALL).reshape(2, ALL)
 
 
 def log_ratios(counts: np.ndarray) -> np.ndarray:
     """Of target to raw, by bucket, add-half smoothed. All zero without a target."""
     if not counts[1].any():
-        return np.zeros(BUCKETS)
-    raw, target = (np.log(c + 0.5) - np.log(c.sum() + 0.5 * BUCKETS) for c in counts)
+        return np.zeros(ALL)
+    parts = [slice(0, BUCKETS), slice(BUCKETS, ALL)]  # a distribution each
+    raw, target = (np.concatenate([np.log(c[p] + 0.5) - np.log((c[p] + 0.5).sum()) for p in parts]) for c in counts)
     return target - raw
 
 
@@ -77,7 +87,9 @@ def _weights(column: pa.Array, ratios: np.ndarray) -> np.ndarray:
         found = np.append(ratios[buckets(raw)], np.zeros(N - 1))
         ends = np.maximum(starts[:-1], starts[1:] - N)
         whole = np.concatenate([[0.0], np.cumsum(found)])
-        out.append((whole[ends] - whole[starts[:-1]]) / (ends - starts[:-1] + PRIOR))
+        patterns, at = repeats(raw, starts)
+        again = np.concatenate([[0.0], np.cumsum(ratios[patterns])])
+        out.append((whole[ends] - whole[starts[:-1]] + again[at[1:]] - again[at[:-1]]) / (ends - starts[:-1] + PRIOR))
     return np.round(np.concatenate(out) * SHARPNESS, 6)  # equal texts weigh the same wherever they stand in a block
 
 
