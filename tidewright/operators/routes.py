@@ -74,10 +74,10 @@ def geojson(points: DataFrame, route: str, order: str, properties: list[str]) ->
 
 def polar_csv(table: DataFrame, polar: str, winds: list[float]) -> DataFrame:
     """Lines of a polar in knots: polar, twa, line."""
-    knots = lambda c: F.format_number(c * 3600 / 1852, "0.00")
+    knots = lambda c: F.format_string("%.2f", c * 3600 / 1852)
     wide = table.groupBy(polar, "twa").pivot("tws", winds).agg(F.first("speed"))
-    cells = [F.coalesce(knots(F.col(f"`{w}`")), F.lit("")) for w in winds]
-    return wide.select(polar, "twa", F.concat_ws(",", F.format_number("twa", "0.#"), *cells).alias("line"))
+    cells = [F.when(F.col(f"`{w}`").isNull(), "").otherwise(knots(F.col(f"`{w}`"))) for w in winds]
+    return wide.select(polar, "twa", F.concat_ws(",", F.format_string("%.1f", "twa"), *cells).alias("line"))
 
 
 def step_ladder(cycles: DataFrame, horizon_h: int) -> DataFrame:
