@@ -207,7 +207,7 @@ def test_mixing(spark, odd, none, labels):
     for (_, size, target), taken in by_source.items():
         assert target <= 2 * size + 1e-9 and abs(sum(taken) - target) <= 1
     assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix(odd, quality_weights(labels)).collect()))
-    mixed = mixing.mix(odd.where("doc_id is not null").dropDuplicates(["doc_id"]))
-    applied = mixing.apply_mix(odd.where("doc_id is not null").dropDuplicates(["doc_id"]), mixed)
+    applied = mixing.apply_mix(odd, mixing.mix(odd))
     assert applied.columns == odd.columns
-    assert applied.agg(F.sum(mixing.words())).first()[0] == mixed.agg(F.sum("taken")).first()[0]
+    assert applied.agg(F.sum(mixing.words())).first()[0] == mixing.mix(odd).agg(F.sum("taken")).first()[0]
+    assert mixing.apply_mix(none, mixing.mix(none)).count() == 0

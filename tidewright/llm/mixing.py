@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import WORD, written
+from tidewright.llm.common import WORD, fresh, written
 
 #: Weights of the sources, repeating; words the mix takes over all words; the most epochs a source gives.
 WEIGHTS, TOTAL, EPOCHS, SEED = (5, 2, 1), 1.5, 2.0, "mix"
@@ -85,13 +85,17 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[float,
 
 def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """docs as the mix takes them: a document once for each whole time, and cut to the words that fit for the rest. mixed: mix(docs)."""
-    times = mixed.where("taken > 0").select(F.col("doc_id").alias("_doc"), "taken", "size")
-    met = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_doc")))
-    pieces = F.transform(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size"))), lambda i: F.least(F.col("size"), F.col("taken") - (i - 1) * F.col("size")))
-    rows = met.withColumn("_words", F.explode(pieces))
+    doc, key, size, taken, piece, n = (fresh(x, docs.columns) for x in ("_doc", "_key", "_size", "_taken", "_words", "_n"))
+    at = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))  # null ids meet each other
+    times = mixed.where("taken > 0").groupBy(at.alias(doc), F.col("size").alias(size)).agg(F.sum("taken").alias(taken))
+    # rows that repeat a document give their words through one of them; texts move once, by document
+    once = docs.withColumn(key, at).repartition(key).dropDuplicates([key, "text"]).withColumn(n, words())
+    met = once.join(times, (F.col(key) == F.col(doc)) & (F.col(n) - F.col(size) == 0))
+    pieces = F.transform(F.sequence(F.lit(1), F.ceil(F.col(taken) / F.col(size))), lambda i: F.least(F.col(size), F.col(taken) - (i - 1) * F.col(size)))
+    rows = met.withColumn(piece, F.explode(pieces))
     # only a source's edge document is cut
-    heads = F.slice(F.expr(f"regexp_extract_all(text, '{WORD.replace(chr(92), chr(92) * 2)}', 0)"), F.lit(1), F.col("_words").cast("int"))
-    cut = F.col("_words") < F.col("size")
+    heads = F.slice(F.expr(f"regexp_extract_all(text, '{WORD.replace(chr(92), chr(92) * 2)}', 0)"), F.lit(1), F.col(piece).cast("int"))
+    cut = F.col(piece) < F.col(size)
     rows = rows.withColumn("text", F.when(cut, F.array_join(heads, " ")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidewright.llm.common import texts
 from tidewright.llm.tokens import encoder as encoder_of
@@ -177,21 +178,25 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, length: int = L
 def pack_conversations(turns: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, segments: int = 16, most_loss: int | None = None) -> DataFrame:
     """Packs instruction data (conv_id, turn, role, text): an example is a conversation with its turns in order; the tokens of
     its closing assistant turn bear loss. One row a piece: conv_id, start, length, sequence_id, offset, loss."""
-    from pyspark.sql import functions as F
 
-    ordered = turns.select("conv_id", F.struct("turn", "role", "text").alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoder_of(tokenizer)
+        for batch in batches:
+            yield pa.record_batch([*batch.columns[:3], pa.array([len(encoder.encode(x)) for x in texts(batch.column(3))], pa.int64())], names=["conv_id", "turn", "role", "n"])
+
+    # only counts meet by conversation: a long one is sums, not a list
+    sized = turns.select("conv_id", "turn", "role", "text").mapInArrow(sizes, "conv_id long, turn long, role string, n long")
+    last = F.max_by(F.struct("role", "n"), F.struct(F.coalesce("turn", F.lit(-1)), "role", "n"))
+    examples = sized.groupBy("conv_id").agg((F.sum("n") + 1).alias("tokens"), last.alias("last"))
+    examples = examples.select("conv_id", "tokens", F.when(F.col("last.role") == "assistant", F.col("last.n") + 1).otherwise(0).alias("loss"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, sequence = encoder_of(tokenizer), TaskContext.get().partitionId() << 36
+        sequence = TaskContext.get().partitionId() << 36
         for batch in batches:
-            counts, losses, names = [], [], batch.column(0).to_pylist()
-            for said in batch.column(1).to_pylist():
-                sizes = [len(encoder.encode((x["text"] or "").encode())) for x in said]
-                counts.append(sum(sizes) + 1)
-                losses.append(sizes[-1] + 1 if said and said[-1]["role"] == "assistant" else 0)
-            found = pack(np.array(counts), np.array(losses), length, segments, most_loss)
-            rows = [(names[e], start, n, sequence + s, offset, max(0, start + n - max(start, counts[e] - losses[e]))) for e, start, n, s, offset in found]
+            names, (counts, losses) = batch.column(0).to_pylist(), (batch.column(i).to_numpy() for i in (1, 2))
+            found = pack(counts, losses, length, segments, most_loss)
+            rows = [(names[e], start, n, sequence + s, offset, max(0, start + n - max(start, int(counts[e] - losses[e])))) for e, start, n, s, offset in found]
             sequence += max((p[3] for p in found), default=-1) + 1
             yield pa.record_batch([pa.array([r[i] for r in rows], pa.int64()) for i in range(6)], names=["conv_id", "start", "length", "sequence_id", "offset", "loss"])
 
-    return ordered.mapInArrow(run, "conv_id long, start long, length long, sequence_id long, offset long, loss long")
+    return examples.mapInArrow(run, "conv_id long, start long, length long, sequence_id long, offset long, loss long")
