@@ -46,6 +46,11 @@ def test_route_around_an_island_and_to_windward():
     assert walled is None
 
 
+def test_stops_in_turn():
+    found = isochrone.multi([(0.0, 50.0), (0.3, 50.2), (0.6, 50.0)], 100.0, POLAR, steady(7, 300), isochrone.Policy(), stages=6, bins=5)
+    assert (np.diff(found["t"]) > 0).all() and found["t"][0] == 100.0 and (0.3, 50.2) in set(zip(found["lon"], found["lat"], strict=True))
+
+
 def test_requests_run_side_by_side(spark):
     rows = [(i, 0.0, 50.0, 0.5, 50.1, float(i), 5.0 + i, 300.0) for i in range(4)]
     df = spark.createDataFrame(rows, "route long, lon0 double, lat0 double, lon1 double, lat1 double, depart double, wind_ms double, wind_from double").repartition(4)

@@ -27,3 +27,13 @@ def test_supercover_as_a_table_function(spark):
     spark.createDataFrame([(1, 0.5, 0.5, 2.5, 0.5)], "id int, x0 double, y0 double, x1 double, y1 double").createOrReplaceTempView("legs_t")
     got = spark.sql("SELECT id, c.col, c.row FROM legs_t, LATERAL supercover(x0, y0, x1, y1) c").collect()
     assert sorted((r.col, r.row) for r in got) == [(0, 0), (1, 0), (2, 0)]
+
+
+def test_contours_close_around_a_hill(spark):
+    from tidewright.operators import grids
+
+    cells = [(r, c, float(10 - np.hypot(r - 6, c - 6))) for r in range(13) for c in range(13)]
+    seg = grids.contour_segments(spark.createDataFrame(cells, "row int, col int, v double"), "v", 6.5).selectExpr("1 as k", "*")
+    (line,) = grids.contour_lines(seg, ["k"]).collect()
+    assert line.xs[0] == line.xs[-1] and line.ys[0] == line.ys[-1] and len(line.xs) == seg.count() + 1
+    assert all(abs(np.hypot(x - 6, y - 6) - 3.5) < 0.25 for x, y in zip(line.xs, line.ys, strict=True))

@@ -47,7 +47,7 @@ def complete(present: DataFrame, keys: list[str], expected: DataFrame) -> DataFr
     """The keys that have every row of `expected`, a small dimension (relational division)."""
     on = expected.columns
     need = expected.distinct()
-    met = present.select(*keys, *on).distinct().join(F.broadcast(need), on, "left_semi").groupBy(*keys).agg(F.count("*").alias("_n"))
+    met = present.select(*keys, *on).distinct().join(need, on, "left_semi").groupBy(*keys).agg(F.count("*").alias("_n"))
     return met.crossJoin(need.agg(F.count("*").alias("_need"))).where("_n = _need").select(*keys)
 
 

@@ -68,8 +68,22 @@ DOODSON = {
 }
 
 
+# Nodal factor f = a + b cos N and correction u = c sin N (degrees), N the longitude of the moon's ascending node.
+NODAL = {"M2": (1.0, -0.037, -2.1), "N2": (1.0, -0.037, -2.1), "K2": (1.024, 0.286, -17.7), "K1": (1.006, 0.115, -8.9), "O1": (1.009, 0.187, 10.8), "Q1": (1.009, 0.187, 10.8), "MF": (1.043, 0.414, -23.7), "MM": (1.0, -0.130, 0.0)}
+
+
+def nodal(name: str, node: Column) -> tuple[Column, Column]:
+    """f and u of a constituent; those without an entry have 1 and 0, overtides the powers of their base."""
+    if name == "M4":
+        f, u = nodal("M2", node)
+        return f * f, 2 * u
+    a, b, c = NODAL.get(name, (1.0, 0.0, 0.0))
+    return a + b * F.cos(F.radians(node)), c * F.sin(F.radians(node))
+
+
 def tidal_arguments(times: DataFrame, mjd: str = "mjd", names: list[str] | None = None) -> DataFrame:
-    """times with `constituent` and `arg`: the equilibrium argument in degrees, [0, 360), without nodal corrections."""
+    """times with `constituent`, `arg` (the equilibrium argument in degrees, [0, 360)), and the nodal `f` and `u`: a height is the sum of
+    f * amplitude * cos(arg + u - phase)."""
     day = F.col(mjd) - 15019.5
     at = {k: F.lit(a) + b * day for k, (a, b) in LONGITUDES.items()}
     tau = 15.0 * 24.0 * F.pmod(F.col(mjd), F.lit(1.0)) - at["s"] + at["h"]
@@ -77,7 +91,7 @@ def tidal_arguments(times: DataFrame, mjd: str = "mjd", names: list[str] | None
     for name in names or list(DOODSON):
         a, b, c, d, e, f, phase = DOODSON[name]
         arg = a * tau + (b * at["s"] + c * at["h"] + d * at["p"] + e * at["n"] + f * at["ps"]) + float(phase)
-        rows.append(F.struct(F.lit(name).alias("constituent"), (F.pmod(arg, F.lit(360.0)) + 0.0).alias("arg")))
+        rows.append(F.struct(F.lit(name).alias("constituent"), (F.pmod(arg, F.lit(360.0)) + 0.0).alias("arg"), *(x.alias(k) for k, x in zip("fu", nodal(name, -at["n"]), strict=True))))
     return times.select("*", F.inline(F.array(*rows)))
 
 
@@ -130,12 +144,12 @@ def stale_area(lon: Column, lat: Column, c_lon: Column, c_lat: Column, half_widt
 
 def in_units(values: DataFrame, units: DataFrame) -> DataFrame:
     """values (quantity, v) in the units a reader has chosen (quantity, unit, factor, shift): a small dimension."""
-    return values.join(F.broadcast(units), "quantity", "left").withColumn("shown", F.col("v") * F.coalesce("factor", F.lit(1.0)) + F.coalesce("shift", F.lit(0.0)))
+    return values.join(units, "quantity", "left").withColumn("shown", F.col("v") * F.coalesce("factor", F.lit(1.0)) + F.coalesce("shift", F.lit(0.0)))
 
 
 def checked_settings(settings: DataFrame, specs: DataFrame) -> DataFrame:
     """key, value and `problem` (null if none), against specs: key, kind, low, high, options."""
-    met = settings.join(F.broadcast(specs), "key", "left")
+    met = settings.join(specs, "key", "left")
     n = F.expr("try_cast(value as double)")
     problem = F.when(F.col("kind").isNull(), "unknown setting").when((F.col("kind") == "number") & n.isNull(), "not a number")
     problem = problem.when((F.col("kind") == "number") & ((n < F.col("low")) | (n > F.col("high"))), "out of range").when((F.col("kind") == "enum") & ~F.coalesce(F.array_contains("options", F.col("value")), F.lit(False)), "not an option")

@@ -97,6 +97,37 @@ def contour_segments(df: DataFrame, value: str, level: float) -> DataFrame:
     return quads.withColumn("code", code).where("code > 0 and code < 15").select("row", "col", "code", F.explode(lines).alias("l")).select("row", "col", "code", F.col("l.p.x").alias("x0"), F.col("l.p.y").alias("y0"), F.col("l.q.x").alias("x1"), F.col("l.q.y").alias("y1"))
 
 
+def contour_lines(segments: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, line, xs, ys: segments (x0, y0, x1, y1) joined end to end; closed lines end where they begin. A group is one level's lines."""
+    import pandas as pd
+
+    kinds = ", ".join(f"{k} {segments.schema[k].dataType.simpleString()}" for k in keys)
+
+    def join(part: pd.DataFrame) -> pd.DataFrame:
+        ends: dict[tuple, list[int]] = {}
+        legs = [((round(a, 9), round(b, 9)), (round(c, 9), round(d, 9))) for a, b, c, d in part[["x0", "y0", "x1", "y1"]].itertuples(index=False)]
+        for i, leg in enumerate(legs):
+            for p in leg:
+                ends.setdefault(p, []).append(i)
+        used, lines = set(), []
+        odd = [i for p, at in ends.items() if len(at) == 1 for i in at]  # open lines first, from an end
+        for first in [*odd, *range(len(legs))]:
+            if first in used:
+                continue
+            a, b = legs[first]
+            line = [b, a] if len(ends[b]) == 1 else [a, b]
+            used.add(first)
+            while (nxt := next((i for i in ends[line[-1]] if i not in used), None)) is not None:
+                used.add(nxt)
+                a, b = legs[nxt]
+                line.append(b if a == line[-1] else a)
+            lines.append(line)
+        head = [part[k].iloc[0] for k in keys]
+        return pd.DataFrame([[*head, n, [p[0] for p in line], [p[1] for p in line]] for n, line in enumerate(lines)], columns=[*keys, "line", "xs", "ys"])
+
+    return segments.groupBy(*keys).applyInPandas(join, f"{kinds}, line int, xs array<double>, ys array<double>")
+
+
 def pressure_extrema(df: DataFrame, value: str, rows: int, cols: int, near: int = 4, far: int = 9, least: float = 1.0) -> DataFrame:
     """Highs and lows: extreme in the (2 near + 1) square, and `least` away from the mean of the (2 far + 1) one; never on a border."""
     close, wide = window_stats(df, value, near), window_stats(df, value, far).select("row", "col", F.col("mean").alias("around"))

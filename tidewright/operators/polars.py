@@ -19,13 +19,13 @@ def _ladder(table: DataFrame, axis: str, keys: list[str]) -> DataFrame:
 def boat_speed(points: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """points (keys, twa, tws) with `speed`: bilinear, linearly extrapolated beyond the table, mirrored in twa, never negative;
     null where a corner that counts is unavailable. The table is a small dimension of a few hundred rows a polar."""
-    cells = F.broadcast(_ladder(table, "twa", keys).join(_ladder(table, "tws", keys), keys))
+    cells = _ladder(table, "twa", keys).join(_ladder(table, "tws", keys), keys)
     p = points.withColumn("_a", fold180("twa")).withColumn("_key", F.monotonically_increasing_id())
     met = p.join(cells, keys).where("_a >= twa_low and _a < twa_high and tws >= tws_low and tws < tws_high")
     for i in (0, 1):
         for j in (0, 1):
             corner = table.select(*keys, F.col("twa").alias(f"twa{i}"), F.col("tws").alias(f"tws{j}"), F.when(F.col("available"), F.col("speed")).alias(f"s{i}{j}"))
-            met = met.join(F.broadcast(corner), [*keys, f"twa{i}", f"tws{j}"], "left")
+            met = met.join(corner, [*keys, f"twa{i}", f"tws{j}"], "left")
     ta, ts = (F.col("_a") - F.col("twa0")) / (F.col("twa1") - F.col("twa0")), (F.col("tws") - F.col("tws0")) / (F.col("tws1") - F.col("tws0"))
     line = lambda a, b, t: F.when(t == 0, a).when(t == 1, b).otherwise(a + t * (b - a))
     speed = line(line(F.col("s00"), F.col("s01"), ts), line(F.col("s10"), F.col("s11"), ts), ta)
@@ -52,7 +52,7 @@ def wave_factor(points: DataFrame, layers: DataFrame) -> DataFrame:
     for n in range(8):
         ends = [n >> i & 1 for i in range(3)]
         corner = layers.select(*(F.col(a).alias(f"{a}{e}") for a, e in zip(axes, ends, strict=True)), F.col("factor").alias(f"f{n}"))
-        p = p.join(F.broadcast(corner), [f"{a}{e}" for a, e in zip(axes, ends, strict=True)], "left")
+        p = p.join(corner, [f"{a}{e}" for a, e in zip(axes, ends, strict=True)], "left")
     values = [F.col(f"f{n}") for n in range(8)]
     for a in axes:
         t = (F.col(a) - F.col(f"{a}0")) / (F.col(f"{a}1") - F.col(f"{a}0"))

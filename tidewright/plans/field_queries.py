@@ -76,12 +76,17 @@ TAU = f"(360.0::DOUBLE * (mjd % 1) - {ARGS['s']} + {ARGS['h']})"
 CASES = " ".join(f"WHEN '{n}' THEN {d[0]} * {TAU} + ({d[1]} * {ARGS['s']} + {d[2]} * {ARGS['h']} + {d[3]} * {ARGS['p']}) + {d[6]}" for n, d in D.DOODSON.items())
 
 
+NODE = f"radians(-{ARGS['n']})"
+FS = " ".join(f"WHEN '{n}' THEN {a!r} + {b!r} * cos({NODE})" for n, (a, b, _) in D.NODAL.items()) + f" WHEN 'M4' THEN pow(1.0 - 0.037 * cos({NODE}), 2)"
+US = " ".join(f"WHEN '{n}' THEN {c!r} * sin({NODE})" for n, (_, _, c) in D.NODAL.items()) + f" WHEN 'M4' THEN -4.2 * sin({NODE})"
+
+
 @query(f"""WITH t AS (SELECT (60000 + event_id % 400 + (event_id % 24) / 24.0::DOUBLE)::DOUBLE AS mjd, event_id FROM events WHERE event_id % 20 = 0), c AS (SELECT *, UNNEST([{', '.join(f"'{n}'" for n in D.DOODSON)}]) AS constituent FROM t)
-  SELECT event_id, constituent, {r(NORM(f'CASE constituent {CASES} END'), 4)} AS arg FROM c""")
+  SELECT event_id, constituent, {r(NORM(f'CASE constituent {CASES} END'), 4)} AS arg, {r(f'CASE constituent {FS} ELSE 1 END', 6)} AS f, {r(f'CASE constituent {US} ELSE 0 END', 6)} AS u FROM c""")
 def tidal_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     t = table(spark, sf_dir, "events").where("event_id % 20 = 0").select("event_id", (60000 + e % 400 + e % 24 / F.lit(24.0)).alias("mjd"))
-    return D.tidal_arguments(t).select("event_id", "constituent", rounded("arg", 4).alias("arg"))
+    return D.tidal_arguments(t).select("event_id", "constituent", rounded("arg", 4).alias("arg"), rounded("f", 6).alias("f"), rounded("u", 6).alias("u"))
 
 
 @query("""WITH x AS (SELECT DISTINCT (((i % 32) + 32) % 32)::INT AS x FROM (SELECT UNNEST(range(30, 35)) AS i)), y AS (SELECT UNNEST(range(11, 17))::INT AS y),

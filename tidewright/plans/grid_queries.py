@@ -255,3 +255,11 @@ def trim_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
     lon, lat = F.col("lon"), F.col("lat")
     inside = (lon >= -90) & (lon < 90) & (lat >= -45) & (lat < 45)
     return observations(spark, sf_dir).where(inside).select("event_id", F.floor((lon + 180) / 45).cast("int").alias("tx"), F.floor((lat + 90) / 45).cast("int").alias("ty"))
+
+
+@query()
+def contour_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Isolines of two levels, joined."""
+    v = price_grid(spark, sf_dir)
+    levels = [R.contour_segments(v, "v", level).withColumn("level", F.lit(level)) for level in (50_000.0, 52_000.0)]
+    return R.contour_lines(levels[0].unionByName(levels[1]), ["level"])

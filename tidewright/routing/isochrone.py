@@ -117,6 +117,19 @@ def route(start: tuple[float, float], goal: tuple[float, float], depart: float,
     return {"lon": line[:, 0].tolist(), "lat": line[:, 1].tolist(), "t": line[:, 2].tolist(), "sailing": [p[3] for p in points], "seconds": arrive - depart, "metres": float(geo.haversine(line[:-1, 0], line[:-1, 1], line[1:, 0], line[1:, 1]).sum())}
 
 
+def multi(stops: list[tuple[float, float]], depart: float, polar: Polar, wind: Wind, policy: Policy, **search) -> dict | None:
+    """Routes from stop to stop, each from when the one before arrives, end to end."""
+    from tidewright.routing.corridor import stitch
+
+    legs = []
+    for a, b in zip(stops, stops[1:], strict=False):
+        found = route(a, b, legs[-1]["t"][-1] if legs else depart, polar, wind, policy, **search)
+        if found is None:
+            return None
+        legs.append(found)
+    return stitch(legs)
+
+
 def _tacked(kept, parents, lon, lat, course, wind, t):
     """Whether a new leg has the wind on the other side than the leg that led to its parent."""
     if len(kept) < 2:

@@ -185,8 +185,13 @@ class ZarrReader(_Reader):
     def __init__(self, options: dict):
         super().__init__(options)
         self.root = os.path.join(options["path"].removeprefix("file://"), options.get("array", ""))
-        with open(os.path.join(self.root, ".zarray")) as f:
-            self.meta = json.load(f)
+        own, whole = os.path.join(self.root, ".zarray"), os.path.join(options["path"].removeprefix("file://"), ".zmetadata")
+        if os.path.exists(own):
+            with open(own) as f:
+                self.meta = json.load(f)
+        else:  # consolidated
+            with open(whole) as f:
+                self.meta = json.load(f)["metadata"][f"{options.get('array', '')}/.zarray"]
 
     def partitions(self) -> list[InputPartition]:
         """Chunks that bear on the option `select`: "lo:hi,lo:hi,…" by axis."""
