@@ -27,11 +27,14 @@ def bracket(left: DataFrame, steps: DataFrame, at: str, step: str, values: list[
         after = Window.partitionBy(*by).orderBy(F.col("_t").desc(), is_row)
         met = both.withColumns({"_p": F.last("_step", True).over(before), "_n": F.last("_step", True).over(after)}).where(is_row)
     else:
-        bounds = steps.agg(F.percentile_approx(F.col(step).cast("double"), [i / 64 for i in range(1, 64)], 10_000)).first()[0] or []
-        cuts = F.array(*(F.lit(float(b)) for b in sorted(set(bounds)))) if bounds else F.array().cast("array<double>")
-        both = both.withColumn("_range", F.size(F.filter(cuts, lambda c: c <= F.col("_t"))))
+        from pyspark.ml.feature import Bucketizer
+
+        n = max(64, 4 * int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        bounds = steps.agg(F.percentile_approx(F.col(step).cast("double"), [i / n for i in range(1, n)], 10_000)).first()[0] or []
+        splits = [float("-inf"), *(sorted(set(map(float, bounds))) or [0.0]), float("inf")]
+        both = Bucketizer(splits=splits, inputCol="_t", outputCol="_range", handleInvalid="keep").transform(both)
         ends = both.where("_step is not null").groupBy("_range").agg(F.min_by("_step", "_t").alias("_first"), F.max_by("_step", "_t").alias("_last"))
-        ranges = ends.sparkSession.range(65).select(F.col("id").cast("int").alias("_range")).join(ends, "_range", "left")  # 65 rows
+        ranges = ends.sparkSession.range(len(splits)).select(F.col("id").cast("double").alias("_range")).join(ends, "_range", "left")  # a row a range
         order = Window.orderBy("_range")
         carried = ranges.select("_range", F.last("_last", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_from"), F.first("_first", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_to"))
         before, after = Window.partitionBy("_range").orderBy(F.col("_t"), is_row), Window.partitionBy("_range").orderBy(F.col("_t").desc(), is_row)
