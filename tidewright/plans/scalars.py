@@ -191,8 +191,8 @@ def sailing_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observations(spark, sf_dir).select("event_id", tacked.alias("tacked"), speed.alias("speed"), sails.alias("sails"), V.tack_charge(sails, F.col("event_id") % 2 == 0, tacked).alias("charge"), A.rounded(M.mjd("ts"), 6).alias("mjd"), V.position_text("lat", "lon").alias("place"))
 
 
-@query("""SELECT p_partkey, trim(regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9]+', '-', 'g'), '-') AS slug, CASE WHEN p_size >= 30 THEN 1.0 ELSE 1.4 - (1.4 - 1) * p_size / 30.0 END AS coast FROM part""")
+@query("""SELECT p_partkey, trim(regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9]+', '-', 'g'), '-') AS slug, floor(CASE WHEN p_size >= 30 THEN 1.0 ELSE 1.4 - (1.4 - 1) * p_size / 30.0 END::DOUBLE * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE AS coast FROM part""")
 def polar_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewright.plans.base import table
 
-    return table(spark, sf_dir, "part").select("p_partkey", V.slug(F.concat_ws(" ", "p_name", "p_type")).alias("slug"), V.coast_factor(F.col("p_size").cast("double"), 30.0).alias("coast"))
+    return table(spark, sf_dir, "part").select("p_partkey", V.slug(F.concat_ws(" ", "p_name", "p_type")).alias("slug"), A.rounded(V.coast_factor(F.col("p_size").cast("double"), 30.0), 6).alias("coast"))
