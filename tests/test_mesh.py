@@ -82,3 +82,20 @@ def test_smoothing():
     one = {"lon": [0, 1], "lat": [0, 1], "t": [0, 5], "sailing": [True, True], "seconds": 5, "metres": 7.0}
     both = corridor.stitch([one, one | {"lon": [1, 2]}])
     assert both["lon"] == [0, 1, 2] and both["seconds"] == 10 and both["junctions"] == [1, 2]
+
+
+def test_leg_through_a_narrow_and_repairs():
+    from tidewright.routing import isochrone, vessel
+
+    water = np.zeros((60, 120), bool)
+    water[10:50, 2:40] = water[10:50, 80:118] = True
+    water[28:32, 40:80] = True
+    polar = vessel.Boat(9.5, 3.2, 1.8, 5200, 62, 110).polar()
+    wind = lambda lon, lat, t: (np.full(np.shape(lon), 7.0), np.full(np.shape(lon), 0.0))
+    got = corridor.run_leg(water, (0.0, 50.0), 0.01, (0.1, 50.15), (1.1, 50.4), 0.0, polar, wind, isochrone.Policy(), narrow_m=6000.0, stages=8, bins=6)
+    assert (np.diff(got["t"]) > 0).all() and True in got["sailing"] and False in got["sailing"] and got["lon"][-1] == 1.1
+    assert corridor.run_leg(water & (np.arange(120) != 60), (0.0, 50.0), 0.01, (0.1, 50.15), (1.1, 50.4), 0.0, polar, wind, isochrone.Policy()) is None
+    shallow = lambda a, b, c, d: min(a, c) < 0.5 < max(a, c) and abs(b + d) < 0.1
+    line = {"lon": [0.0, 1.0], "lat": [0.0, 0.0], "metres": 1.0}
+    fixed, left = corridor.repaired(line, shallow, lambda i, r: [(0.5, 0.3)] if i == 0 else None)
+    assert fixed["lon"] == [0.0, 0.5, 1.0] and left == []
