@@ -163,8 +163,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, length: int = L
             return pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-                ids = encoder.encode(text)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(texts(batch.column(1))), strict=True):
                 held.append((doc_id, ids))
                 size += len(ids) + 1
                 if size >= BLOCK:
@@ -182,7 +181,7 @@ def pack_conversations(turns: DataFrame, tokenizer: str, end_id: int, length: in
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer)
         for batch in batches:
-            yield pa.record_batch([*batch.columns[:3], pa.array([len(encoder.encode(x)) for x in texts(batch.column(3))], pa.int64())], names=["conv_id", "turn", "role", "n"])
+            yield pa.record_batch([*batch.columns[:3], pa.array(map(len, encoder.encode_all(texts(batch.column(3)))), pa.int64())], names=["conv_id", "turn", "role", "n"])
 
     # only counts meet by conversation: a long one is sums, not a list
     sized = turns.select("conv_id", "turn", "role", "text").mapInArrow(sizes, "conv_id long, turn long, role string, n long")

@@ -125,8 +125,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, length: int
                 sink, side = fs.open_output_stream(at), fs.open_output_stream(at + ".docs")
                 writer, docs_out = SequenceWriter(sink, encoder.dtype, length), pa.ipc.new_file(side, _INDEX)
                 end = np.array([end_id], encoder.dtype)
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-                ids = encoder.encode(text)
+            found = encoder.encode_all(texts(batch.column(1))) if batch.num_rows else ()
+            for doc_id, ids in zip(batch.column(0).to_pylist(), found, strict=True):
                 for k, v in (("doc_id", doc_id), ("start", writer.total), ("n_tokens", len(ids) + 1)):
                     index[k].append(v)
                 writer.add(ids)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -35,10 +35,10 @@ class ChunkEncoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: Iterable[bytes]) -> None:
+    def _learn(self, chunks: set[bytes]) -> None:
         new, old = self.new, self.old
         joint, words, whole = [], {}, []
-        for c in set(chunks).difference(new):
+        for c in chunks.difference(new):
             if c in old:
                 new[c] = old[c]
                 continue
@@ -69,14 +69,27 @@ class ChunkEncoder:
 
     def encode(self, text: bytes) -> np.ndarray:
         """Ids of a text, as unsigned little-endian integers. Empty for an empty text."""
-        chunks = (text if b"<|" in text else text.lower()).split()  # the special tokens' names are case-sensitive
-        try:
-            return np.frombuffer(b"".join(map(self.new.__getitem__, chunks)), self.dtype)
-        except KeyError:
-            if len(self.new) > self.most:
-                self.old, self.new = self.new, {}
-            self._learn(chunks)
-            return np.frombuffer(b"".join(map(self.new.__getitem__, chunks)), self.dtype)
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[bytes]) -> Iterator[np.ndarray]:
+        """Ids of each text. What is new in some 256 KB of texts goes through the tokenizer together."""
+        held: list[list[bytes]] = []
+        size = 0
+        for text in texts:
+            held.append((text if b"<|" in text else text.lower()).split())  # the special tokens' names are case-sensitive
+            size += len(text)
+            if size >= 1 << 18:
+                yield from self._looked_up(held)
+                held, size = [], 0
+        yield from self._looked_up(held)
+
+    def _looked_up(self, texts: list[list[bytes]]) -> Iterator[np.ndarray]:
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
+        self._learn(set().union(*texts))
+        found = self.new.__getitem__
+        for chunks in texts:
+            yield np.frombuffer(b"".join(map(found, chunks)), self.dtype)
 
 
 @lru_cache(1)
