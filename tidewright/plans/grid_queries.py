@@ -157,17 +157,36 @@ def grid_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 60 AS a, (o_orderkey // 4) % 60 AS b FROM orders WHERE o_orderkey % 97 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
   t AS (SELECT 0::BIGINT AS id, 0 AS dist UNION SELECT u.b, t.dist + 1 FROM t JOIN u ON t.id = u.a WHERE t.dist < 12) SELECT id, min(dist) AS dist FROM t GROUP BY 1""")
 def bfs_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = table(spark, sf_dir, "orders").where("o_orderkey % 97 = 0").select((F.col("o_custkey") % 60).alias("a"), (F.floor(F.col("o_orderkey") / 4) % 60).alias("b")).distinct()
-    return graphs.hops(spark.range(1), edges, 12)
+    return graphs.hops(spark.range(1), _links(table(spark, sf_dir, "orders").where("o_orderkey % 97 = 0")), 12)
+
+
+@query()
+def bfs_hops_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bfs_hops over the links of all orders, however far. No SQL: without a bound on dist the recursion has no end."""
+    return graphs.hops(spark.range(1), _links(table(spark, sf_dir, "orders")))
+
+
+def _links(orders: DataFrame) -> DataFrame:
+    return orders.select((F.col("o_custkey") % 60).alias("a"), (F.floor(F.col("o_orderkey") / 4) % 60).alias("b")).distinct()
 
 
 @query("""WITH RECURSIVE p AS (SELECT o_orderkey AS id, lag(o_orderkey, 1 + (o_custkey % 3)::INT) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS parent FROM orders), e AS (SELECT o_custkey, max(o_orderkey) AS id FROM orders WHERE o_custkey % 10 = 0 GROUP BY 1),
   t AS (SELECT e.id AS path, 0 AS seq, e.id FROM e UNION ALL SELECT t.path, t.seq + 1, p.parent FROM t JOIN p ON t.id = p.id WHERE p.parent IS NOT NULL) SELECT path, seq, id FROM t""")
 def backtrace_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _backtrace_path(spark, sf_dir, "o_custkey % 10 = 0")
+
+
+@query(ORACLES["backtrace_path"].replace(" WHERE o_custkey % 10 = 0", ""))
+def backtrace_path_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """backtrace_path of all customers."""
+    return _backtrace_path(spark, sf_dir, "true")
+
+
+def _backtrace_path(spark: SparkSession, sf_dir: str, ends: str) -> DataFrame:
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     o = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("id"), *(F.lag("o_orderkey", i + 1).over(w).alias(f"p{i}") for i in range(3)))
     steps = o.select("id", F.element_at(F.array("p0", "p1", "p2"), (F.col("o_custkey") % 3 + 1).cast("int")).alias("parent"))
-    return graphs.back_trace(steps, o.where("o_custkey % 10 = 0").groupBy("o_custkey").agg(F.max("id").alias("id")))
+    return graphs.back_trace(steps, o.where(ends).groupBy("o_custkey").agg(F.max("id").alias("id")))
 
 
 POLAR = "polar AS (SELECT brand AS polar, twa, tws, floor((30 + sum(p_retailprice) % 7 + tws * 3 + least(twa, 180 - twa) * 0.2) * 100 + 0.5) / 100.0 AS speed FROM (SELECT p_brand AS brand, p_retailprice::BIGINT AS p_retailprice FROM part), (SELECT UNNEST([30, 60, 90, 120, 150, 180])::DOUBLE AS twa), (SELECT UNNEST([4, 8, 12, 16])::DOUBLE AS tws) GROUP BY 1, 2, 3)"

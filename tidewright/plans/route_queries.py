@@ -97,7 +97,16 @@ def tidal_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH c AS (SELECT DISTINCT date_trunc('day', o_orderdate) + INTERVAL 6 HOUR * (o_orderkey % 4) AS cycle FROM orders WHERE o_orderkey % 101 = 0)
   SELECT cycle, count(*) AS steps, max(s) AS last FROM (SELECT cycle, UNNEST(CASE WHEN hour(cycle) % 12 = 0 THEN list_concat(range(0, 145, 3), range(150, 241, 6)) ELSE range(0, 145, 3) END) AS s FROM c) GROUP BY 1""")
 def step_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 101 = 0")
+    return _step_ladder(table(spark, sf_dir, "orders").where("o_orderkey % 101 = 0"))
+
+
+@query(ORACLES["step_ladder"].replace(" WHERE o_orderkey % 101 = 0", ""))
+def step_ladder_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """step_ladder of all orders' cycles."""
+    return _step_ladder(table(spark, sf_dir, "orders"))
+
+
+def _step_ladder(o: DataFrame) -> DataFrame:
     cycle = F.timestamp_add("HOUR", (F.col("o_orderkey") % 4 * 6).cast("int"), F.date_trunc("day", F.col("o_orderdate")))
     c = o.select(cycle.cast("timestamp").alias("cycle")).distinct()
     return T.step_ladder(c, 240).groupBy(F.col("cycle").cast("timestamp_ntz").alias("cycle")).agg(F.count("*").alias("steps"), F.max("step_h").alias("last"))

@@ -176,7 +176,17 @@ def apparent_wind(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {OBS}, a AS (SELECT *, wind * cos(radians(wind_from)) AS u, wind * sin(radians(wind_from)) AS v, cur * cos(radians({FOLD('mwd + 180 - cur_to')})) AS along FROM obs)
   SELECT event_id, {r(NORM('270 - degrees(atan2(v, u))'), 5)} AS from_deg, {r(NORM('degrees(atan2(u, v))'), 5)} AS to_deg, CASE WHEN along <= -0.1 THEN 'opposing' WHEN along >= 0.1 THEN 'following' ELSE 'none' END AS relation FROM a WHERE wind_from % 90 <> 0""")
 def wind_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = observations(spark, sf_dir).where("wind_from % 90 <> 0").withColumns({"u": F.col("wind") * F.cos(F.radians("wind_from")), "v": F.col("wind") * F.sin(F.radians("wind_from")), "along": F.col("cur") * F.cos(F.radians(A.angle_between(F.col("mwd") + 180, "cur_to")))})
+    return _wind_components(observations(spark, sf_dir).where("wind_from % 90 <> 0"))
+
+
+@query()
+def wind_components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """wind_components of all directions. No SQL: at 0 and 360 degrees the engines' last bits decide on which side an angle falls."""
+    return _wind_components(observations(spark, sf_dir))
+
+
+def _wind_components(o: DataFrame) -> DataFrame:
+    o = o.withColumns({"u": F.col("wind") * F.cos(F.radians("wind_from")), "v": F.col("wind") * F.sin(F.radians("wind_from")), "along": F.col("cur") * F.cos(F.radians(A.angle_between(F.col("mwd") + 180, "cur_to")))})
     return o.select("event_id", A.rounded(M.wind_from("u", "v"), 5).alias("from_deg"), A.rounded(M.current_to("u", "v"), 5).alias("to_deg"), M.relation("along").alias("relation"))
 
 
