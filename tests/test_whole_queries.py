@@ -58,3 +58,19 @@ def test_hops_over_all_links(spark):
         frontier = {b for a in frontier for b in near.get(a, ())} - set(want)
         want |= dict.fromkeys(frontier, d)
     assert {r.id: r.dist for r in registry.QUERIES["bfs_hops_whole"](spark, SF).collect()} == want
+
+
+def test_components_of_the_whole_grid(spark):
+    from tidewright.plans.base import GRID
+
+    land = {(r, c) for r, c, v in sql(f"WITH {GRID.replace('FROM lineitem', f"FROM '{SF}/lineitem.parquet'")} SELECT * FROM grid") if int(v) % 5 <= 1}
+    want = {}
+    for cell in sorted(land):  # the first cell met of a component has its least id
+        fill = [cell] if cell not in want else []
+        while fill:
+            r, c = at = fill.pop()
+            if at in land and at not in want:
+                want[at] = cell[0] * 1048576 + cell[1]
+                fill += [(r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)]
+    got = {(r.row, r.col): r.component for r in registry.QUERIES["grid_components_whole"](spark, SF).collect()}
+    assert got == want and max(got)[0] >= 16

@@ -150,8 +150,13 @@ def contour_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {WATER}, c AS (SELECT "row" * 1048576 + col AS id FROM w WHERE NOT w AND "row" < 16 AND col < 16), e AS (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON b.id IN (a.id + 1, a.id - 1, a.id + 1048576, a.id - 1048576)),
   t AS (SELECT id, id AS reach FROM c UNION SELECT t.id, e.b FROM t JOIN e ON t.reach = e.a) SELECT (id // 1048576)::INT AS "row", (id % 1048576)::INT AS col, min(reach)::BIGINT AS component FROM t GROUP BY id""")
 def grid_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = _water(spark, sf_dir).where("row < 16 and col < 16").withColumn("land", ~F.col("w"))
-    return R.components(cells, "land")
+    return R.components(_water(spark, sf_dir).where("row < 16 and col < 16").withColumn("land", ~F.col("w")), "land")
+
+
+@query()
+def grid_components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """grid_components of the whole grid. No SQL: the recursion holds every pair of connected cells."""
+    return R.components(_water(spark, sf_dir).withColumn("land", ~F.col("w")), "land")
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 60 AS a, (o_orderkey // 4) % 60 AS b FROM orders WHERE o_orderkey % 97 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
