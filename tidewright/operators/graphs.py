@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,31 +38,32 @@ def connected(nodes: DataFrame, edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def hops(sources: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
-    """id, dist: fewest edges from a source (breadth first). A round joins the frontier alone to the edges."""
+def hops(sources: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, dist: fewest edges from a source (breadth first), until none is new. A round joins the frontier alone to the edges."""
     both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     seen = frontier = checkpointed(sources.select("id").distinct().withColumn("dist", F.lit(0)))
-    for d in range(1, most + 1):
+    for d in count(1):
         reached = frontier.join(both, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti")
         frontier = checkpointed(reached.withColumn("dist", F.lit(d)))
         if frontier.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(frontier)
         if d % 20 == 0:
             seen = checkpointed(seen)
-    return seen
 
 
-def back_trace(steps: DataFrame, ends: DataFrame, most: int = 1000) -> DataFrame:
-    """path, seq, id: parent pointers (id, parent) followed from each end; seq counts from the end. Rounds double the reach."""
+def back_trace(steps: DataFrame, ends: DataFrame) -> DataFrame:
+    """path, seq, id: parent pointers (id, parent) followed from each end to the last; seq counts from the end. Rounds double the
+    reach; pointers that run in a circle have no last one and are an error."""
     known = checkpointed(ends.select(F.col("id").alias("path"), F.lit(0).alias("seq"), "id"))
     jump, reach = checkpointed(steps.select("id", "parent")), 1
-    while reach <= most:
+    n = jump.count()
+    while True:
         further = known.join(jump, "id").where("parent is not null").select("path", (F.col("seq") + reach).alias("seq"), F.col("parent").alias("id"))
         grown = checkpointed(known.unionByName(further))
         jump = checkpointed(jump.alias("x").join(jump.alias("y"), F.col("x.parent") == F.col("y.id"), "left").select(F.col("x.id"), F.col("y.parent")))
         if jump.where("parent is not null").isEmpty():
-            known = grown if reach == 1 else grown
-            break
+            return grown
         known, reach = grown, reach * 2
-    return known
+        if reach > n:
+            raise RuntimeError("parents run in a circle")

@@ -162,7 +162,7 @@ def grid_components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 60 AS a, (o_orderkey // 4) % 60 AS b FROM orders WHERE o_orderkey % 97 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
   t AS (SELECT 0::BIGINT AS id, 0 AS dist UNION SELECT u.b, t.dist + 1 FROM t JOIN u ON t.id = u.a WHERE t.dist < 12) SELECT id, min(dist) AS dist FROM t GROUP BY 1""")
 def bfs_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.hops(spark.range(1), _links(table(spark, sf_dir, "orders").where("o_orderkey % 97 = 0")), 12)
+    return graphs.hops(spark.range(1), _links(table(spark, sf_dir, "orders").where("o_orderkey % 97 = 0")))
 
 
 @query()
