@@ -1,20 +1,22 @@
 """LM scoring by a hierarchical Pitman-Yor model.
 
-Words follow their context, the word before, in restaurants of a Chinese-restaurant process: `CONTEXTS` restaurants (a word's
-hash says which one it opens), all with the same parent, the root restaurant, whose base is even over the known words and keeps
-`UNKNOWN` of its mass for all others together. Customers of a restaurant are the words seen in its context; each of its tables
-is a customer of the root. How many tables serve a word is sampled by Gibbs: the count of a word's tables in a restaurant is
-drawn from its conditional, given all other tables and the root's probability, in closed form (generalised Stirling numbers) up
-to `EXACT` customers; beyond that its customers are seated anew one after another, in jumps from new table to new table.
-Restaurants sweep side by side and see each other's tables as of the sweep before. After `BURN` sweeps every sweep is a sample;
-a word's probability is the mean of its predictive probabilities over the samples. Discounts are the ratio n1 / (n1 + 2 n2).
+Words follow their context, the word before, in restaurants of a Chinese-restaurant process. Every context has its own restaurant,
+keyed by its word's whole hash. Its parent is one of `CLASSES` class restaurants (the hash's first bits say which), whose parent is the
+root restaurant, whose base is even over the known words and keeps `UNKNOWN` of its mass for all others together. Customers of a
+context's restaurant are the words seen there; each table of a restaurant is a customer of its parent. How many tables serve a word is
+sampled by Gibbs: the count of a word's tables in a restaurant is drawn from its conditional, given all other tables and the parent's
+probability, in closed form (generalised Stirling numbers) up to `EXACT` customers; beyond that its customers are seated anew one
+after another, in jumps from new table to new table. Restaurants sweep side by side and see each other's tables as of the sweep before,
+or the parent's. After `BURN` sweeps every sweep is a sample; a word's probability is the mean of its predictive probabilities over
+the samples. Discounts are the ratio n1 / (n1 + 2 n2).
 
 The corpus stays distributed. Words are dealt into buckets by hash; a block of documents sends each bucket its distinct
-(word, context) pairs with their counts, packed; a bucket holds its words' pairs in all contexts, so a word's root customers meet
-in one place, and only table counts by restaurant, a fixed number, are added up between sweeps. A sweep is a function of its seed
-and those counts: any task can be repeated. To score, blocks send their pairs again, with the documents they occur in, and a
-bucket returns sums by document. Words with at least 1 / `COMMON` of all training tokens (so at most `COMMON` words) are
-scored where they are read, from a table of their probabilities by context.
+(word, context) pairs with their training counts, packed; a bucket holds its words' pairs in all contexts, so a word's customers of
+classes and root meet in one place. Between sweeps buckets exchange the table counts of contexts: each is summed where the context's
+hash says, and comes back to the buckets that hold it. Table counts of classes, a fixed number, are added up. A sweep is a function of
+its seed and what it is sent: any task can be repeated. To score, buckets work out their pairs' probabilities; blocks send their pairs
+again, with the documents they occur in, and get sums by document. Pairs of words with at least 1 / `COMMON` of all training tokens
+(so of at most `COMMON` words) are dealt by context there.
 
 Defined results: a null or empty text is the end alone; A-Z is lowered, other letters are not; a row without doc_id is trained
 on; without training documents every token is unknown and probabilities are 1 for the one outcome; rows repeat independently;
@@ -24,34 +26,36 @@ an empty table gives an empty result; further columns are ignored. Scores of equ
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import crc_mod, slots, total, written
+from tidewright.llm.common import crc_mod, scratch, slots, total
 from tidewright.llm.flat import blocks, words
 
-CONTEXTS, STRENGTH, ROOT_STRENGTH, UNKNOWN = 1 << 14, 1.0, 1.0, 0.5
+CLASSES, STRENGTH, ROOT_STRENGTH, UNKNOWN = 1 << 14, 1.0, 1.0, 0.5
 SWEEPS, BURN, EXACT, COMMON, SEED = 5, 2, 32, 256, 3
 #: Remainder of crc32(doc_id) mod FOLDS that is not trained on.
 FOLDS, HELD = 7, 2
 #: Tokens, and documents, of a block; text bytes a bucket.
 BLOCK_TOKENS, BLOCK_DOCS, BUCKET_BYTES = 1_000_000, 60_000, 20_000_000
 END, START = np.uint64(0xFFFFFFFFFFFFFFFE), np.uint64(0xD1B54A32D192ED03)
-_BITS = CONTEXTS.bit_length() - 1
+_BITS = CLASSES.bit_length() - 1
 
 
-def contexts(hashes: np.ndarray) -> np.ndarray:
+def classes(hashes: np.ndarray) -> np.ndarray:
+    """The class of each context; it does not fall with the hash."""
     return (hashes >> np.uint64(64 - _BITS)).astype(np.int64)
 
 
 def read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(block, doc ids, held out, tokens a document, word hash, context, document of each token). Columns: text, doc_id, held."""
+    """(block, doc ids, held out, tokens a document, word hash, hash of the word before, document of each token). Columns: text, doc_id, held."""
     block = TaskContext.get().partitionId() << 32
     ids, held, parts, sizes, n = [], [], [], [], 0
 
@@ -60,7 +64,7 @@ def read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list,
         w = np.concatenate(parts)
         before = np.concatenate([[START], w[:-1]])
         before[np.cumsum(counts) - counts] = START
-        return block, ids, np.concatenate(held), counts, w, contexts(before), np.repeat(np.arange(len(ids), dtype=np.uint16), counts)
+        return block, ids, np.concatenate(held), counts, w, before, np.repeat(np.arange(len(ids), dtype=np.uint16), counts)
 
     for batch in batches:
         own = batch.column(1).to_pylist()
@@ -81,20 +85,26 @@ def read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list,
         yield out()
 
 
-def grouped(w: np.ndarray, ctx: np.ndarray, n_buckets: int):
-    """Distinct words by (bucket, hash), distinct pairs by (word, context): words, the pair's word, the pair's context, first place of
-    each pair in the order, order of tokens, and where each bucket's words start."""
-    found, of = np.unique(w, return_inverse=True)
-    bucket = (found % np.uint64(n_buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    key = rank[of] << _BITS | ctx
+def grouped(w: np.ndarray, ctx: np.ndarray, n_buckets: int, spread: np.ndarray):
+    """Distinct pairs of word and context by (bucket, word, context): words by bucket, how many pairs each has, the pairs' contexts, first
+    place of each pair in the order, order of tokens, and where each bucket's words start. A bucket is the word's hash mod n_buckets; for
+    the words in spread (sorted) the context's."""
+    _, of = np.unique(w, return_inverse=True)
+    before, own = np.unique(ctx, return_inverse=True)
+    key = of * max(len(before), 1) + own
     at = np.argsort(key, kind="stable")
     key = key[at]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    pair = key[first]
-    return found[order], pair >> _BITS, pair & (CONTEXTS - 1), first, at, np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+    ends = np.append(first, len(at))
+    pair_w, pair_ctx = w[at[first]], ctx[at[first]]
+    bucket = (np.where(np.isin(pair_w, spread), pair_ctx, pair_w) % np.uint64(n_buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    sizes = np.diff(ends)[order]
+    starts = np.cumsum(sizes) - sizes
+    at = at[np.repeat(first[order] - starts, sizes) + np.arange(len(at))]
+    bucket, pair_w = bucket[order], pair_w[order]
+    new = np.flatnonzero(np.concatenate([[True], (pair_w[1:] != pair_w[:-1]) | (bucket[1:] != bucket[:-1])])) if len(pair_w) else np.zeros(0, np.int64)
+    return pair_w[new], np.diff(np.append(new, len(pair_w))), pair_ctx[order], starts, at, np.searchsorted(bucket[new], np.arange(n_buckets + 1))
 
 
 def _small(x: np.ndarray) -> bytes:
@@ -156,172 +166,318 @@ def sample_tables(c: np.ndarray, others: np.ndarray, p: np.ndarray, d: float, st
 
 
 class Bucket:
-    """A bucket's words, pairs and, sweep by sweep, tables."""
+    """A bucket's words, their pairs with contexts and with classes, and the tables of both."""
 
-    def __init__(self, number: int, row: dict[str, bytes]):
-        self.number, self.words = number, np.frombuffer(row["words"], "<u8")
-        self.n_pairs, self.ctx, self.c = _large(row["pairs"]), np.frombuffer(row["ctx"], "<u2").astype(np.int64), _large(row["counts"])
+    def __init__(self, number: int, row: dict):
+        self.number, self.data = number, pickle.loads(row["data"])
+        d = self.data
+        self.words, self.contexts = np.frombuffer(d["words"], "<u8"), np.frombuffer(d["contexts"], "<u8")
+        self.n_pairs, self.c, self.at = _large(d["pairs"]), _large(d["counts"]), _large(d["at"])
         self.of = np.repeat(np.arange(len(self.words)), self.n_pairs)
         self.count = np.bincount(self.of, self.c, len(self.words)).astype(np.int64)
+        seen = np.flatnonzero(self.c)
+        key = self.of[seen] << _BITS | classes(self.contexts)[self.at[seen]]  # in order, as pairs are
+        new = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+        self.key = key[new]
+        self.ctx, self.word = self.key & (CLASSES - 1), self.key >> _BITS
+        own = np.zeros(len(self.c), np.int64)
+        own[seen] = np.cumsum(new) - 1
+        self.many = np.flatnonzero(self.c > 1)
+        self.many_own, self.many_at = own[self.many], self.at[self.many]
+        self.ones = np.bincount(own[self.c == 1], minlength=len(self.key))
+        live = np.zeros(len(self.contexts), bool)
+        live[self.many_at] = True
+        self.live = np.flatnonzero(live)
+
+    def start(self) -> dict:
+        """A table for each word in a restaurant."""
+        return {"t": np.ones(len(self.many), np.int64), "class_t": np.ones(len(self.key), np.int64), "root_t": (self.count > 0).astype(np.int64)}
+
+    def customers(self, s: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs with classes, and of words in the root."""
+        return self.ones + np.bincount(self.many_own, s["t"], len(self.key)).astype(np.int64), np.bincount(self.word, s["class_t"], len(self.words)).astype(np.int64)
+
+    def tables(self, t: np.ndarray) -> np.ndarray:
+        """By context, of words with several customers there."""
+        return np.bincount(self.many_at, t, len(self.contexts)).astype(np.int64)
+
+    def sums(self, s: dict) -> np.ndarray:
+        """Tables and customers by class, then root customers and root tables."""
+        c, root_c = self.customers(s)
+        return np.concatenate([np.bincount(self.ctx, s["class_t"], CLASSES), np.bincount(self.ctx, c, CLASSES), [root_c.sum(), s["root_t"].sum()]]).astype("<i8")
 
     def first(self) -> np.ndarray:
-        """Before any sweep, a table a pair: counts by context, tables by context, then words, pairs and words with 1 and 2 of them, tokens."""
-        ones = [np.count_nonzero(x == n) for x in (self.c, self.n_pairs) for n in (1, 2)]
-        return np.concatenate([np.bincount(self.ctx, self.c, CONTEXTS), np.bincount(self.ctx, minlength=CONTEXTS), [len(self.words), len(self.c), *ones, self.c.sum()]]).astype("<i8")
-
-    def sweeps(self, model: Model) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(tables of pairs, root customers of words, root tables of words) after each sweep that the model's history allows."""
-        t, root_c, root_t = np.ones(len(self.c), np.int64), self.n_pairs.copy(), np.ones(len(self.words), np.int64)
-        many = np.flatnonzero(self.c > 1)
-        for i, (by_context, customers, tables) in enumerate(model.history):
-            rng = np.random.default_rng([SEED, self.number, i])
-            p = model.root(root_c, root_t, customers, tables)
-            t = t.copy()
-            t[many] = sample_tables(self.c[many], by_context[self.ctx[many]] - t[many], p[self.of[many]], model.d, STRENGTH, rng)
-            root_c = np.bincount(self.of, t, len(self.words)).astype(np.int64)
-            root_t = sample_tables(root_c, tables - root_t, np.full(len(root_c), (1 - UNKNOWN) / model.v), model.root_d, ROOT_STRENGTH, rng)
-            yield t, root_c, root_t
+        """sums() of the start, then known words, pairs with contexts, with classes and words with 1 and 2 customers, tokens."""
+        c, root_c = self.customers(s := self.start())
+        n = [np.count_nonzero(x == k) for x in (self.c, c, root_c) for k in (1, 2)]
+        return np.concatenate([self.sums(s), [np.count_nonzero(self.count), *n, self.c.sum()]]).astype("<i8")
+
+    def swept(self, s: dict, others: np.ndarray, model: Model) -> dict:
+        """The tables after a sweep. others: the tables of each pair's context, of pairs with several customers."""
+        classes_t, classes_c, customers, tables = model.history[-1]
+        rng = np.random.default_rng([SEED, self.number, len(model.history)])
+        c, root_c = self.customers(s)
+        root = model.root(root_c, s["root_t"], customers, tables)[self.word]
+        p = (c - model.class_d * s["class_t"] + (STRENGTH + model.class_d * classes_t[self.ctx]) * root) / (STRENGTH + classes_c[self.ctx])
+        out = {"t": sample_tables(self.c[self.many], others - s["t"], p[self.many_own], model.d, STRENGTH, rng), "class_t": s["class_t"]}
+        c, _ = self.customers(out)
+        more = np.flatnonzero(c > 1)
+        out["class_t"] = np.ones(len(c), np.int64)
+        out["class_t"][more] = sample_tables(c[more], classes_t[self.ctx[more]] - s["class_t"][more], root[more], model.class_d, STRENGTH, rng)
+        _, root_c = self.customers(out)
+        known = np.flatnonzero(root_c)
+        out["root_t"] = np.zeros(len(root_c), np.int64)
+        out["root_t"][known] = sample_tables(root_c[known], tables - s["root_t"][known], np.full(len(known), (1 - UNKNOWN) / max(model.v, 1)), model.root_d, ROOT_STRENGTH, rng)
+        return out
 
 
 class Model:
-    """What all buckets share. history: tables by context, root customers and root tables before each sweep."""
+    """What all buckets share. history: tables and customers by class, root customers and root tables before each sweep."""
 
     def __init__(self, first: np.ndarray):
-        self.customers = first[:CONTEXTS]
-        self.v, pairs, n1, n2, m1, m2, self.n = (int(x) for x in first[2 * CONTEXTS :])
+        self.v, n1, n2, k1, k2, m1, m2, self.n = (int(x) for x in first[2 * CLASSES + 2 :])
         ratio = lambda a, b: min(0.95, max(0.1, a / (a + 2 * b))) if a + b else 0.5
-        self.d, self.root_d = ratio(n1, n2), ratio(m1, m2)
-        self.history = [(first[CONTEXTS : 2 * CONTEXTS], pairs, self.v)]
+        self.d, self.class_d, self.root_d = ratio(n1, n2), ratio(k1, k2), ratio(m1, m2)
+        self.history = []
+        self.add(first)
+
+    def add(self, sums: np.ndarray) -> None:
+        self.history.append((sums[:CLASSES], sums[CLASSES : 2 * CLASSES], int(sums[2 * CLASSES]), int(sums[2 * CLASSES + 1])))
 
     def root(self, c: np.ndarray, t: np.ndarray, customers: int, tables: int) -> np.ndarray:
         """The root's probability of words with c customers at t tables there."""
         return (c - self.root_d * t + (ROOT_STRENGTH + self.root_d * tables) * (1 - UNKNOWN) / max(self.v, 1)) / (ROOT_STRENGTH + customers)
 
-    def samples(self) -> list[tuple[np.ndarray, int, int]]:
+    def samples(self) -> list[tuple[np.ndarray, np.ndarray, int, int]]:
         return self.history[BURN + 1 :]
 
     def unknown(self) -> np.ndarray:
         """The root's probability of the unknown, in each sample."""
         if not self.v:
             return np.ones(len(self.samples()))
-        return np.array([(ROOT_STRENGTH + self.root_d * tables) * UNKNOWN / (ROOT_STRENGTH + customers) for _, customers, tables in self.samples()])
+        return np.array([(ROOT_STRENGTH + self.root_d * tables) * UNKNOWN / (ROOT_STRENGTH + customers) for _, _, customers, tables in self.samples()])
 
     def back_off(self) -> np.ndarray:
-        """By sample and context, the mass that goes to the root."""
-        return np.stack([(STRENGTH + self.d * by_context) / (STRENGTH + self.customers) for by_context, _, _ in self.samples()])
+        """By sample and class, the mass that goes to the root."""
+        return np.stack([(STRENGTH + self.class_d * t) / (STRENGTH + c) for t, c, _, _ in self.samples()])
 
 
 class Predictor:
-    """Mean predictive probabilities of a bucket's words in given contexts."""
+    """Predictive probabilities of a bucket's words in given classes, and of its pairs."""
+
+    def __init__(self, model: Model, bucket: Bucket):
+        self.model, self.bucket, self.back, self.unknown = model, bucket, model.back_off(), model.unknown()
+        self.kept = [{k: _large(x) for k, x in s.items()} for s in bucket.data["kept"]]
+        self.own, self.root = [], []
+        for s, (_, classes_c, customers, tables) in zip(self.kept, model.samples(), strict=True):
+            c, root_c = bucket.customers(s)
+            self.own.append((c - model.class_d * s["class_t"]) / (STRENGTH + classes_c[bucket.ctx]))
+            self.root.append(np.where(bucket.count > 0, model.root(root_c, s["root_t"], customers, tables), 0.0))
+
+    def by_sample(self, words_: np.ndarray, word_of: np.ndarray, ctx: np.ndarray) -> tuple[Iterator[np.ndarray], np.ndarray]:
+        """In each sample, probabilities of pairs (index into words_, class); and training counts of words_."""
+        b = self.bucket
+        at = np.minimum(np.searchsorted(b.words, words_), max(len(b.words) - 1, 0))
+        has = (b.words[at] == words_) & (b.count[at] > 0)
+        key = at[word_of] << _BITS | ctx
+        place = np.minimum(np.searchsorted(b.key, key), max(len(b.key) - 1, 0))
+        seen = np.flatnonzero(has[word_of] & (b.key[place] == key)) if len(b.key) else np.zeros(0, np.int64)
+
+        def each() -> Iterator[np.ndarray]:
+            for own, root, back, unknown in zip(self.own, self.root, self.back, self.unknown, strict=True):
+                p = back[ctx] * np.where(has, root[at], unknown)[word_of]
+                p[seen] += own[place[seen]]
+                yield p
 
-    def __init__(self, model: Model, bucket: Bucket | None):
-        self.bucket, self.back, self.unknown = bucket, model.back_off(), model.unknown()
-        if bucket is not None:
-            kept = list(bucket.sweeps(model))[BURN:][: len(self.back)]
-            self.key = bucket.of << _BITS | bucket.ctx
-            own = sum(np.maximum(bucket.c - model.d * t, 0) for t, _, _ in kept) / len(kept)
-            self.own = own / (STRENGTH + model.customers[bucket.ctx])
-            self.root = np.stack([model.root(c, t, customers, tables) for (_, c, t), (_, customers, tables) in zip(kept, model.samples(), strict=True)])
+        return each(), np.where(has, b.count[at], 0)
 
     def of(self, words_: np.ndarray, word_of: np.ndarray, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Probabilities of pairs (index into words_, context), and training counts of words_."""
-        count, root = np.zeros(len(words_), np.int64), np.repeat(self.unknown[:, None], len(words_), 1)
-        if self.bucket is None or not len(self.bucket.words):
-            return (self.back[:, ctx] * root[:, word_of]).mean(0), count
-        at = np.minimum(np.searchsorted(self.bucket.words, words_), len(self.bucket.words) - 1)
-        has = self.bucket.words[at] == words_
-        count[has] = self.bucket.count[at[has]]
-        root[:, has] = self.root[:, at[has]]
-        p = (self.back[:, ctx] * root[:, word_of]).mean(0)
-        key = at[word_of] << _BITS | ctx
-        place = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        seen = has[word_of] & (self.key[place] == key)
-        p[seen] += self.own[place[seen]]
-        return p, count
+        """Mean probabilities of pairs (index into words_, class), and training counts of words_."""
+        samples, count = self.by_sample(words_, word_of, ctx)
+        return sum(samples) / len(self.kept), count
+
+    def pairs(self, customers: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+        """Mean probabilities of the bucket's pairs. customers, and by sample tables: of its contexts."""
+        b, d = self.bucket, self.model.d
+        samples, _ = self.by_sample(b.words, b.of, classes(b.contexts)[b.at])
+        out = np.zeros(len(b.c))
+        for s, parent, t in zip(self.kept, samples, tables, strict=True):
+            own = np.where(b.c > 0, b.c - d, 0.0)
+            own[b.many] = b.c[b.many] - d * s["t"]
+            out += (own + (STRENGTH + d * t[b.at]) * parent) / (STRENGTH + customers[b.at])
+        return out / len(self.kept)
 
 
 # --- over the corpus
 
-_MODEL = "bucket int, words binary, pairs binary, ctx binary, counts binary"
+#: home: the bucket that sums up, for exchanged counts; -1 else.
+_STATE = "bucket int, home int, data binary, sums binary"
+_PARTS = "bucket int, words binary, pairs binary, ctx binary, counts binary"
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
     return docs.select("text", "doc_id", F.coalesce(crc_mod("doc_id", FOLDS) == HELD, F.lit(False)).alias("held"))
 
 
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.record_batch([pa.array([r[i] for r in rows], types[t]) for i, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
+
+
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    return pa.Table.from_batches([_rows(rows, schema)])
+
+
+class Kept:
+    """The buckets' table in the shared folder. What is put there next replaces it, and shuffles that made it are given up."""
+
+    def __init__(self, df: DataFrame):
+        self.at = None
+        self.put(df)
+
+    def put(self, df: DataFrame) -> None:
+        spark, old, self.at = df.sparkSession, self.at, scratch(df.sparkSession, "restaurants")
+        df.write.option("compression", "zstd").parquet(self.at)
+        self.df = spark.read.schema(df.schema).parquet(self.at)
+        if old:
+            path = spark._jvm.org.apache.hadoop.fs.Path(old)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        del df
+        spark._jvm.System.gc()  # the cleaner drops shuffles whose plans are gone
+
+    def row(self) -> DataFrame:
+        return self.df.select("bucket", "home", "data", "sums")
+
+
+def _homes(hashes: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of contexts by home, and where each home's start."""
+    home = (hashes % np.uint64(n_buckets)).astype(np.int64)
+    order = np.argsort(home, kind="stable")
+    return order, np.searchsorted(home[order], np.arange(n_buckets + 1))
+
+
+def exchanged(state: DataFrame, n_buckets: int, counts: Callable[[Bucket], tuple[np.ndarray, list[np.ndarray]]]) -> DataFrame:
+    """state with rows that hold, by home, the sums over all buckets of counts(bucket): contexts' hashes and numbers of each."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                hashes, numbers = counts(Bucket(r["bucket"], r))
+                order, cuts = _homes(hashes, n_buckets)
+                at = [order[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield _rows([(r["bucket"], h, pickle.dumps((hashes[i].tobytes(), [_small(x[i]) for x in numbers])), None) for h, i in enumerate(at) if len(i)], _STATE)
+
+    def add(table: pa.Table) -> pa.Table:
+        buckets, home = table.column("bucket").to_pylist(), table.column("home")[0].as_py()
+        parts = [pickle.loads(x) for x in table.column("data").to_pylist()]
+        hashes = [np.frombuffer(h, "<u8") for h, _ in parts]
+        found, of = np.unique(np.concatenate(hashes), return_inverse=True)
+        sums = [np.bincount(of, np.concatenate([_large(x[k]) for _, x in parts]), len(found)).astype(np.int64)[of] for k in range(len(parts[0][1]))]
+        ends = np.cumsum([len(h) for h in hashes])
+        return _table([(b, home, pickle.dumps([_small(x[e - len(h) : e]) for x in sums]), None) for b, h, e in zip(buckets, hashes, ends, strict=True)], _STATE)
+
+    asked = state.mapInArrow(ask, _STATE).groupBy("home").applyInArrow(add, _STATE)
+    return state.unionByName(asked)
+
+
+def _answers(rows: list[dict], hashes: np.ndarray, n_buckets: int, n: int) -> list[np.ndarray]:
+    """What exchanged() brought for the contexts that were asked for."""
+    order, cuts = _homes(hashes, n_buckets)
+    out = [np.zeros(len(hashes), np.int64) for _ in range(n)]
+    for r in rows:
+        if r["home"] >= 0:
+            for o, x in zip(out, pickle.loads(r["data"]), strict=True):
+                o[order[cuts[r["home"]] : cuts[r["home"] + 1]]] = _large(x)
+    return out
+
+
+def _all_counts(b: Bucket) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Tables of every context before any sweep."""
+    return b.contexts, [np.bincount(b.at[b.c > 0], minlength=len(b.contexts)), b.tables(np.ones(len(b.many)))]
+
+
+def _live_counts(b: Bucket) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Tables of the contexts where these can change here, as far as they can change."""
+    return b.contexts[b.live], [b.tables(_large(b.data["now"]["t"]))[b.live]]
+
+
+def _last_counts(b: Bucket) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Customers, and tables in each sample, of every context."""
+    ones = np.bincount(b.at[b.c == 1], minlength=len(b.contexts))
+    return b.contexts, [np.bincount(b.at, b.c, len(b.contexts)).astype(np.int64), *(ones + b.tables(_large(s["t"])) for s in b.data["kept"])]
+
+
 def train(docs: DataFrame) -> tuple[DataFrame, Model, int]:
-    """The buckets' table, what they share, and their number."""
+    """The buckets' table, what they share, and their number. Held-out pairs are there too, with a count of 0."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(int(size // BUCKET_BYTES) + 1, min(slots(docs.sparkSession), 8))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, _, _, w, ctx, _ in read_blocks(batches):
-            found, of, pair_ctx, first, at, cuts = grouped(w, ctx, n_buckets)
-            n = np.diff(np.append(first, len(at)))
-            sizes = np.bincount(of, minlength=len(found))
+        for _, _, held, _, w, ctx, doc in read_blocks(batches):
+            found, sizes, pair_ctx, first, at, cuts = grouped(w, ctx, n_buckets, np.zeros(0, np.uint64))
+            n = np.add.reduceat((~held)[doc[at]].astype(np.int64), first)
             pairs = np.concatenate([[0], np.cumsum(sizes)])
-            rows = [(b, found[x:y].tobytes(), _small(sizes[x:y]), pair_ctx[pairs[x] : pairs[y]].astype("<u2").tobytes(), _small(n[pairs[x] : pairs[y]])) for b, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if y > x]
-            yield pa.record_batch([pa.array([r[i] for r in rows], pa.int32() if not i else pa.binary()) for i in range(5)], names=["bucket", "words", "pairs", "ctx", "counts"])
+            yield _rows([(b, found[x:y].tobytes(), _small(sizes[x:y]), pair_ctx[pairs[x] : pairs[y]].tobytes(), _small(n[pairs[x] : pairs[y]])) for b, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if y > x], _PARTS)
 
     def combine(table: pa.Table) -> pa.Table:
-        parts = [Bucket(0, r) for r in table.select(["words", "pairs", "ctx", "counts"]).to_pylist()]
-        found = np.unique(np.concatenate([p.words for p in parts]))
-        key = np.concatenate([np.searchsorted(found, p.words)[p.of] << _BITS | p.ctx for p in parts])
-        n = np.concatenate([p.c for p in parts])
+        number = table.column("bucket")[0].as_py()
+        rows = table.to_pylist()
+        own = [np.frombuffer(r["words"], "<u8") for r in rows]
+        words_, of = np.unique(np.concatenate(own), return_inverse=True)
+        of = np.repeat(of, np.concatenate([_large(r["pairs"]) for r in rows]))
+        ctxs, ctx = np.unique(np.concatenate([np.frombuffer(r["ctx"], "<u8") for r in rows]), return_inverse=True)
+        n = np.concatenate([_large(r["counts"]) for r in rows])
+        key = of * len(ctxs) + ctx
         order = np.argsort(key)
         key, n = key[order], n[order]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         pair, n = key[first], np.add.reduceat(n, first)
-        values = (found.tobytes(), _small(np.bincount(pair >> _BITS, minlength=len(found))), (pair & (CONTEXTS - 1)).astype("<u2").tobytes(), _small(n))
-        return pa.table([pa.array([table.column("bucket")[0].as_py()], pa.int32()), *(pa.array([v], pa.binary()) for v in values)], names=["bucket", "words", "pairs", "ctx", "counts"])
-
-    prepared = _prepared(docs)
-    buckets = written(prepared.where(~F.col("held")).mapInArrow(count, _MODEL).groupBy("bucket").applyInArrow(combine, _MODEL), "restaurants")
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.record_batch([pa.array([Bucket(r["bucket"], r).first().tobytes() for r in batch.to_pylist()], pa.binary())], names=["sums"])
-
-    model = Model(total(buckets.mapInArrow(first, "sums binary"), "sums", 2 * CONTEXTS + 7))
-    for _ in range(SWEEPS):
-        if not model.v:
-            model.history.append(model.history[0])
-            continue
-
-        def sweep(batches: Iterator[pa.RecordBatch], model: Model = model) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                out = []
-                for r in batch.to_pylist():
-                    bucket = Bucket(r["bucket"], r)
-                    for t, root_c, root_t in bucket.sweeps(model):
-                        pass
-                    out.append(np.concatenate([np.bincount(bucket.ctx, t, CONTEXTS), [root_c.sum(), root_t.sum()]]).astype("<i8").tobytes())
-                yield pa.record_batch([pa.array(out, pa.binary())], names=["sums"])
-
-        sums = total(buckets.mapInArrow(sweep, "sums binary"), "sums", CONTEXTS + 2)
-        model.history.append((sums[:CONTEXTS], int(sums[-2]), int(sums[-1])))
-    return buckets, model, n_buckets
-
-
-def _common(buckets: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words with at least 1 / COMMON of all tokens: hashes, counts, and log10 probabilities by context. At most COMMON rows."""
+        data = {"words": words_.tobytes(), "contexts": ctxs.tobytes(), "pairs": _small(np.bincount(pair // len(ctxs), minlength=len(words_))), "at": _small(pair % len(ctxs)), "counts": _small(n), "kept": []}
+        row = {"data": pickle.dumps(data)}
+        return _table([(number, -1, row["data"], Bucket(number, row).first().tobytes())], _STATE)
+
+    kept = Kept(_prepared(docs).mapInArrow(count, _PARTS).groupBy("bucket").applyInArrow(combine, _STATE))
+    model = Model(total(kept.df, "sums", 2 * CLASSES + 10))
+
+    def sweeper(i: int) -> Callable[[pa.Table], pa.Table]:
+        def sweep(table: pa.Table) -> pa.Table:
+            rows = table.to_pylist()
+            r = next(r for r in rows if r["home"] < 0)
+            b = Bucket(r["bucket"], r)
+            if i:
+                now = {k: _large(x) for k, x in b.data["now"].items()}
+                tables = _large(b.data["ones"]) + _answers(rows, b.contexts[b.live], n_buckets, 1)[0]
+            else:
+                now = b.start()
+                every, many = (x[b.live] for x in _answers(rows, b.contexts, n_buckets, 2))
+                b.data["ones"], tables = _small(every - many), every
+            others = np.zeros(len(b.contexts), np.int64)
+            others[b.live] = tables
+            now = b.swept(now, others[b.many_at], model)
+            b.data["now"] = {k: _small(x) for k, x in now.items()}
+            if i >= BURN:
+                b.data["kept"].append(b.data["now"])
+            return _table([(b.number, -1, pickle.dumps(b.data), b.sums(now).tobytes())], _STATE)
+
+        return sweep
+
+    for i in range(SWEEPS):
+        kept.put(exchanged(kept.row(), n_buckets, _live_counts if i else _all_counts).groupBy("bucket").applyInArrow(sweeper(i), _STATE))
+        model.add(total(kept.df, "sums", 2 * CLASSES + 2))
+    return kept.row(), model, n_buckets
+
+
+def _common(buckets: DataFrame, model: Model) -> np.ndarray:
+    """Words with at least 1 / COMMON of all tokens, in order. At most COMMON rows."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                bucket = Bucket(r["bucket"], r)
-                often = np.flatnonzero(bucket.count * COMMON >= model.n)
-                if not len(often):
-                    continue
-                own, every = bucket.words[often], np.arange(CONTEXTS)
-                p = [Predictor(model, bucket).of(own[i : i + 1], np.zeros(CONTEXTS, np.int64), every)[0] for i in range(len(own))] if len(own) else []
-                yield pa.record_batch([pa.array(own.view(np.int64)), pa.array(bucket.count[often]), pa.array([np.log10(x).astype("<f4").tobytes() for x in p], pa.binary())], names=["word", "n", "log_p"])
+                b = Bucket(r["bucket"], r)
+                yield pa.record_batch([pa.array(b.words[b.count * COMMON >= max(model.n, 1)].view(np.int64))], names=["word"])
 
-    rows = sorted(tuple(r) for r in buckets.mapInArrow(find, "word long, n long, log_p binary").collect())
-    hashes = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    log_p = np.stack([np.frombuffer(r[2], "<f4") for r in rows]) if rows else np.zeros((0, CONTEXTS), np.float32)
-    return hashes[order], np.array([r[1] for r in rows], np.int64)[order], log_p[order]
+    return np.sort(np.array([r[0] for r in buckets.mapInArrow(find, "word long").collect()], np.int64).view(np.uint64))
 
 
 _SENT = "bucket int, block long, words binary, pairs binary, ctx binary, counts binary, docs binary, header binary"
@@ -336,21 +492,31 @@ def score(docs: DataFrame) -> DataFrame:
     common = spark.sparkContext.broadcast(_common(buckets, model))
     shared = spark.sparkContext.broadcast(model)
 
+    def predict(table: pa.Table) -> pa.Table:
+        """Pairs with training counts of their words and log10 probabilities, dealt as blocks deal theirs. block is -1."""
+        rows = table.to_pylist()
+        r = next(r for r in rows if r["home"] < 0)
+        b = Bucket(r["bucket"], r)
+        customers, *tables = _answers(rows, b.contexts, n_buckets, 1 + SWEEPS - BURN)
+        p = np.log10(Predictor(shared.value, b).pairs(customers, tables))
+        w, ctx = b.words[b.of], b.contexts[b.at]
+        bucket = (np.where(np.isin(w, common.value), ctx, w) % np.uint64(n_buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+        out = []
+        for k in range(n_buckets):
+            at = order[cuts[k] : cuts[k + 1]]
+            if len(at):
+                own, sizes = np.unique(b.of[at], return_counts=True)
+                out.append((k, -1, b.words[own].tobytes(), _small(sizes), ctx[at].tobytes(), _small(b.count[own]), p[at].astype("<f8").tobytes(), None))
+        return _table(out, _SENT)
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, often, log_p = common.value
         for block, ids, held, counts, w, ctx, doc in read_blocks(batches):
-            sums = np.zeros((3, len(ids)))
-            if len(hashes):  # at most COMMON words: scored here
-                at = np.minimum(np.searchsorted(hashes, w), len(hashes) - 1)
-                here = hashes[at] == w
-                at, own = at[here], doc[here]
-                sums = np.stack([np.bincount(own, x, len(ids)) for x in (np.log10(often + 1.0)[at], log_p[at, ctx[here]].astype(float), (often > 0)[at])]).astype(float)
-                w, ctx, doc = w[~here], ctx[~here], doc[~here]
-            header = pickle.dumps((ids, held, counts, sums))
-            found, of, pair_ctx, first, order, cuts = grouped(w, ctx, n_buckets)
+            header = pickle.dumps((ids, held, counts))
+            found, sizes, pair_ctx, first, order, cuts = grouped(w, ctx, n_buckets, common.value)
             doc = doc[order].astype("<u2")
             ends = np.append(first, len(order))
-            sizes = np.bincount(of, minlength=len(found))
             pairs = np.concatenate([[0], np.cumsum(sizes)])
             home = block % n_buckets
             rows = []
@@ -358,35 +524,43 @@ def score(docs: DataFrame) -> DataFrame:
                 x, y = cuts[b], cuts[b + 1]
                 if y > x or b == home:
                     i, j = pairs[x], pairs[y]
-                    rows.append((b, block, found[x:y].tobytes(), _small(sizes[x:y]), pair_ctx[i:j].astype("<u2").tobytes(), _small(np.diff(ends[i : j + 1])), doc[ends[i] : ends[j]].tobytes(), header if b == home else None))
-            types = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
-            yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[x.split()[0] for x in _SENT.split(", ")])
-
-    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        bucket = Bucket(left.column("bucket")[0].as_py(), left.to_pylist()[0]) if left.num_rows else None
-        predictor = Predictor(shared.value, bucket)
-        out: list[list] = [[], [], [], []]
-        for batch in right.to_batches(max_chunksize=16):
+                    rows.append((b, block, found[x:y].tobytes(), _small(sizes[x:y]), pair_ctx[i:j].tobytes(), _small(np.diff(ends[i : j + 1])), doc[ends[i] : ends[j]].tobytes(), header if b == home else None))
+            yield _rows(rows, _SENT)
+
+    def answer(table: pa.Table) -> pa.Table:
+        known = table.filter(pa.compute.less(table.column("block"), 0)).to_pylist()
+        cat = lambda parts, t: np.concatenate([np.zeros(0, t), *parts]).astype(t)
+        sizes = [_large(r["pairs"]) for r in known]
+        w = cat([np.repeat(np.frombuffer(r["words"], "<u8"), n) for r, n in zip(known, sizes, strict=True)], np.uint64)
+        count = cat([np.repeat(_large(r["counts"]), n) for r, n in zip(known, sizes, strict=True)], np.int64)
+        ctxs, ctx = np.unique(cat([np.frombuffer(r["ctx"], "<u8") for r in known], np.uint64), return_inverse=True)
+        log_p = cat([np.frombuffer(r["docs"], "<f8") for r in known], np.float64)
+        words_, of = np.unique(w, return_inverse=True)
+        key = of * max(len(ctxs), 1) + ctx
+        order = np.argsort(key)
+        key, count, log_p = key[order], count[order], log_p[order]
+        base = np.log10(count + 1.0)
+        out = []
+        for batch in table.filter(pa.compute.greater_equal(table.column("block"), 0)).to_batches(max_chunksize=16):
             for r in batch.to_pylist():
-                own, sizes, pair_ctx, n = np.frombuffer(r["words"], "<u8"), _large(r["pairs"]), np.frombuffer(r["ctx"], "<u2").astype(np.int64), _large(r["counts"])
-                word_of = np.repeat(np.arange(len(own)), sizes)
-                p, count = predictor.of(own, word_of, pair_ctx)
+                own, n = np.frombuffer(r["words"], "<u8"), _large(r["counts"])
+                word_of = np.repeat(np.searchsorted(words_, own), _large(r["pairs"]))
+                at = np.searchsorted(key, word_of * max(len(ctxs), 1) + np.searchsorted(ctxs, np.frombuffer(r["ctx"], "<u8")))
                 named, of = np.unique(np.frombuffer(r["docs"], "<u2"), return_inverse=True)
-                values = (np.log10(count + 1.0)[word_of], np.log10(p), (count > 0)[word_of].astype(float))
-                sums = np.stack([np.bincount(of, np.repeat(v, n), len(named)) for v in values]).astype(float)
-                for k, v in zip(out, (r["block"], named.tobytes(), sums.tobytes(), r["header"]), strict=True):
-                    k.append(v)
-        return pa.table([pa.array(k, t) for k, t in zip(out, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["block", "docs", "sums", "header"])
+                sums = np.stack([np.bincount(of, np.repeat(v, n), len(named)) for v in (base[at], log_p[at], (count[at] > 0).astype(float))]).astype(float)
+                out.append((r["block"], named.tobytes(), sums.tobytes(), r["header"]))
+        return _table(out, _PARTIAL)
 
     def gather(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        ids, held, counts, sums = pickle.loads(next(r["header"] for r in rows if r["header"] is not None))
+        ids, held, counts = pickle.loads(next(r["header"] for r in rows if r["header"] is not None))
+        sums = np.zeros((3, len(ids)))
         for r in rows:
             sums[:, np.frombuffer(r["docs"], "<u2")] += np.frombuffer(r["sums"], "<f8").reshape(3, -1)
         n, v = shared.value.n, shared.value.v
         cols = [pa.array(ids, pa.int64()), pa.array(held), pa.array(counts), pa.array(np.rint(sums[2]).astype(np.int64)), pa.array(np.full(len(ids), n, np.int64)), pa.array(sums[0] - counts * np.log10(n + v + 1.0)), pa.array(sums[1])]
         return pa.table(cols, names=[x.split()[0] for x in _SCORED.split(", ")])
 
-    sent = _prepared(docs).mapInArrow(send, _SENT)
-    partial = buckets.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(answer, _PARTIAL)
+    known = exchanged(buckets, n_buckets, _last_counts).groupBy("bucket").applyInArrow(predict, _SENT)
+    partial = known.unionByName(_prepared(docs).mapInArrow(send, _SENT)).groupBy("bucket").applyInArrow(answer, _PARTIAL)
     return partial.groupBy("block").applyInArrow(gather, _SCORED)
