@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewright.llm import ann, pitman_yor, simhash, urls
+from tidewright.llm import ann, flat, pitman_yor, simhash, urls
 from tidewright.llm.components import components
 from tidewright.llm.queries import ORACLES, QUERIES, RULES
 
@@ -130,6 +130,33 @@ def test_probabilities_sum_to_one_and_help(spark):
         assert abs(total - 1) < 1e-9
 
 
+def test_contexts_of_one_class_stay_apart(spark):
+    names = [f"c{i}" for i in range(2000)]
+    raw = " ".join(names).encode()
+    hashes, _ = flat.words(np.frombuffer(raw + b" ", np.uint8), np.array([0, len(raw) + 1]))
+    first = {}
+    a, b = next((first[h], w) for w, h in zip(names, (hashes >> np.uint64(50)).tolist(), strict=True) if first.setdefault(h, w) != w)
+    kept, held = ([i for i in range(3000) if (zlib.crc32(str(i).encode()) % 7 == 2) == x] for x in (False, True))
+    asked = [f"{c} {w}" for c in (a, b) for w in ("x", "y", a, b, "unknown")] + [a, b]
+    rows = [(i, f"{a} x" if k % 2 else f"{b} y") for k, i in enumerate(kept[:400])] + list(zip(held, asked, strict=False))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    score = {r.text: r.score for r in pitman_yor.score(df).join(df, "doc_id").collect()}
+    assert score[f"{a} x"] > score[f"{a} y"] + 1 and score[f"{b} y"] > score[f"{b} x"] + 1
+    buckets, model, n = pitman_yor.train(df)
+    found = [pitman_yor.Bucket(r.bucket, r.asDict()) for r in buckets.collect()]
+    sums = collections.defaultdict(int)
+    for k in found:
+        hashed, numbers = pitman_yor._last_counts(k)
+        for i, h in enumerate(hashed.tolist()):
+            sums[h] = sums[h] + np.array([x[i] for x in numbers])
+    total = collections.Counter()
+    for k in found:
+        customers, *tables = np.array([sums[h] for h in k.contexts.tolist()]).T
+        for h, p in zip(k.contexts[k.at].tolist(), pitman_yor.Predictor(model, k).pairs(customers, tables).tolist(), strict=True):
+            total[h] += p
+    assert all(abs(total[int(hashes[names.index(c)])] - 1) < 1e-9 for c in (a, b))
+
+
 def test_table_counts_follow_their_conditional():
     rng = np.random.default_rng(5)
     d, strength, p, others, c = 0.6, 1.0, 0.2, 3, 4
