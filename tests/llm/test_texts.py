@@ -119,6 +119,16 @@ def test_packing_keeps_every_limit(seed):
         assert padding <= 256
 
 
+def test_packing_keeps_what_it_placed(monkeypatch):
+    rng = np.random.default_rng(0)
+    tokens = np.maximum(1, np.exp(rng.normal(np.log(200), 1, 1500))).astype(int)
+    placed, fill = [], packing._without_gaps
+    monkeypatch.setattr(packing, "_without_gaps", lambda pieces, *limits: placed.extend(pieces) or fill(pieces, *limits))
+    found = packing.pack(tokens)
+    assert pieces_hold(tokens, tokens, found, packing.LENGTH, packing.SEGMENTS, packing.LENGTH) == 0
+    assert sum(p[2] for p in set(placed) - set(found)) < 0.1 * tokens.sum()
+
+
 def test_pack_documents_and_conversations(spark, odd, none):
     from tokenizers import Tokenizer
 

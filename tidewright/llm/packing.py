@@ -4,8 +4,8 @@ An example is a run of tokens of which some bear loss. It fills whole sequences
 is placed, largest first, by the dot-product heuristic: of the open sequences it fits, the one whose remaining room, as a
 vector of the three limits, has the largest dot product with the example's demand, both in units of the limits. Where it fits
 none it is cut: the sequence with the most room takes the part that fits and the rest goes on, so sequences fill up exactly.
-Each task packs blocks of its own rows: no shuffle, memory bounded by a block. A block's last, partly filled sequences are cut
-into power-of-two lengths, which take no padding.
+Each task packs blocks of its own rows: no shuffle, memory bounded by a block. Of a block's last, partly filled
+sequences the emptiest fill the others' gaps; what is left of them is cut into power-of-two lengths, which take no padding.
 
 Defined results: a null or empty text is its end id alone; equal rows are packed apart; an empty table gives no row; further
 columns are ignored; a null doc_id is kept.
@@ -107,14 +107,43 @@ def pack(tokens: np.ndarray, loss: np.ndarray | None = None, length: int = LENGT
 
 
 def _without_gaps(pieces: list, length: int, segments: int, most_loss: int, loss: np.ndarray, tokens: np.ndarray) -> list:
-    """Sequences left short are emptied into one another, cut where need be; the last is cut into powers of two."""
+    """Sequences left short are filled from the emptiest of them, cut where need be; what is left of these is cut into powers of two."""
     filled: dict[int, int] = {}
     for _, _, n, s, _ in pieces:
         filled[s] = filled.get(s, 0) + n
-    short = {s for s, n in filled.items() if n & (n - 1)}  # not a power of two: it would be padded
+    short = {s: [] for s, n in sorted(filled.items(), key=lambda x: (x[1], x[0])) if n & (n - 1)}  # not a power of two: it would be padded
     if not short:
         return pieces
-    out, loose = [p for p in pieces if p[3] not in short], sorted(p[:3] for p in pieces if p[3] in short)
+    out = [p for p in pieces if p[3] not in short]
+    for p in pieces:
+        if p[3] in short:
+            short[p[3]].append(p)
+    order, loose = list(short), []
+    lo, hi = 0, len(order) - 1
+    while lo <= hi:  # the fullest first
+        s, gap = order[hi], length - filled[order[hi]]
+        while lo < hi and sum(p[2] for p in loose) < gap:
+            loose += [p[:3] for p in short[order[lo]]]
+            lo += 1
+        rest, added, count = loose.copy(), [], len(short[s])
+        bearing = sum(max(0, x + n - max(x, int(tokens[e] - loss[e]))) for e, x, n, _, _ in short[s])
+        while gap and rest and count < segments:
+            e, start, n = rest.pop()
+            plain = max(0, min(n, int(tokens[e] - loss[e]) - start))
+            take = min(n, gap, plain + most_loss - bearing)
+            if take <= 0:
+                break
+            added.append((e, start, take, s, length - gap))
+            bearing += max(0, take - plain)
+            gap, count = gap - take, count + 1
+            if take < n:
+                rest.append((e, start + take, n - take))
+        if gap:  # too little is left, or another limit is met
+            loose += [p[:3] for p in short[s]]
+        else:
+            out, loose = out + short[s] + added, rest
+        hi -= 1
+    loose.sort()
     sequence = max(filled) + 1
     left = sum(p[2] for p in loose)
     room, count, bearing, offset = 0, 0, 0, 0
