@@ -24,9 +24,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages the filters know: `und` goes."""
+    """Documents in one of the languages the filters know: `und` goes, and so does a text of which no filter has anything (score 0).
+    One too short for an n-gram has nothing to look up, and stays if it has a letter."""
     filters = langid.train(docs)
-    return langid.predict(docs, filters, *COLUMNS).where("lang_pred <> 'und'").select(*COLUMNS)
+    found = langid.predict(docs, filters, *COLUMNS)
+    return found.where((F.col("lang_pred") != "und") & ((F.col("score") > 0) | (F.octet_length("text") < langid.N))).select(*COLUMNS)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

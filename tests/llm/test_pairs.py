@@ -225,5 +225,12 @@ def test_pipeline_stages(spark, odd, tmp_path, labels):
     assert docs.count() == corpus_pipeline.run(spark, folder).count()
 
 
+def test_language_stage_rejects_what_no_filter_knows(spark):
+    rows = [(i, "the ship and the sea are there when they say the weather is fair", "en") for i in range(20)]
+    rows += [(50, "судно идёт в море", None), (51, "qqxz vvkj wwpf", None), (52, "a", None), (54, "...", None), (55, "the sea", None)]
+    docs = spark.createDataFrame([(i, t, g, "s", len(t)) for i, t, g in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.language_stage(spark, docs, "").collect()} == {*range(20), 52, 55}
+
+
 def test_every_operator_has_a_query():
     assert [int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES] == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
