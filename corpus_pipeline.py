@@ -1,7 +1,7 @@
 """Corpus pipeline: quality classifier, language ID, near-duplicates, mixing, packing. Each stage works on all its predecessor kept.
 
 Every stage but the last returns the columns of documents. A row whose doc_id is null passes the filters by its text and is kept
-apart by them: it is no copy of another row to the near-duplicate stage, which drops rows by doc_id alone.
+apart by them: it is no copy of another row to the near-duplicate stage, which drops rows by doc_id and text.
 """
 
 from __future__ import annotations
@@ -33,9 +33,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest doc_id; of rows that repeat it, one."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
-    rest = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(rest, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    marked = docs.select(*COLUMNS, F.xxhash64("text").alias("_text"))
+    found = simhash.near_duplicates(marked, carried=("_text",))
+    rest = found.where("doc_id <> component_id").select("doc_id", "_text").distinct()
+    return marked.join(rest, ["doc_id", "_text"], "left_anti").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

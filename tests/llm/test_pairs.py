@@ -232,5 +232,13 @@ def test_language_stage_rejects_what_no_filter_knows(spark):
     assert {r.doc_id for r in corpus_pipeline.language_stage(spark, docs, "").collect()} == {*range(20), 52, 55}
 
 
+def test_dedup_stage_tells_texts_of_one_id_apart(spark):
+    a, b = "the ship sails to the quiet harbour at noon", "a lighthouse keeper counts the waves at night"
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, b), (None, a), (4, None), (4, "one of a kind among all these texts")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.dedup_stage(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (2, b), (None, a), (4, None), rows[-1]], key=str)
+
+
 def test_every_operator_has_a_query():
     assert [int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES] == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)

@@ -60,15 +60,16 @@ def fingerprint(text: bytes, width: int = SHINGLE, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(set_bits * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id and `fp`, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, width: int = SHINGLE, seed: int = SEED, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, `fp`, the fingerprint as a signed long, and the columns carried."""
+    kept = docs.select("doc_id", "text", *carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint(x, width, seed) for x in texts(batch.column(1))), np.uint64, batch.num_rows)
-            yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *carried])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return kept.mapInArrow(run, kept.select("doc_id", F.lit(0).cast("long").alias("fp"), *carried).schema)
 
 
 def _prefixes(n: int, bits: int) -> list[tuple[list[tuple[int, int]], int]]:
@@ -232,10 +233,10 @@ def links(keys: DataFrame, bits: int = BITS, most: int = CELL) -> DataFrame:
     return dealt.select("trie", "depth", "a", "b", "key", "node").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, bits: int = BITS, width: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits), component_id: the smallest doc_id reachable over links."""
-    found = written(fingerprints(docs, width, seed), "simhash")
+def near_duplicates(docs: DataFrame, bits: int = BITS, width: int = SHINGLE, seed: int = SEED, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits), component_id: the smallest doc_id reachable over links; and the columns carried."""
+    found = written(fingerprints(docs, width, seed, carried), "simhash")
     keys = written(found.groupBy("fp").agg(F.min("doc_id").alias("node")), "keys")
     of_node = components(links(keys.where("node is not null"), bits))
     classes = keys.join(of_node, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return found.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *carried)
