@@ -108,68 +108,127 @@ def test_language_model(spark, odd, none):
     assert all(r.score < 0 for r in got) and pitman_yor.score(none).count() == 0
 
 
-def test_probabilities_sum_to_one_and_help(spark):
+def bigrams(n_docs=60, n_words=12):
     rng = np.random.default_rng(0)
-    follow = {i: rng.permutation(12)[:3] for i in range(12)}
+    follow = {i: rng.permutation(n_words)[:3] for i in range(n_words)}
     docs = []
-    for i in range(140):
-        w = [int(rng.integers(12))]
+    for i in range(n_docs):
+        w = [int(rng.integers(n_words))]
         for _ in range(30):
             w.append(int(follow[w[-1]][rng.integers(3)]))
-        docs.append((i, " ".join(f"w{x}" for x in w)))
+        docs.append((i, " ".join(f"w{x}" for x in w) + (f" once{i}" if i % 5 else "")))
+    return docs
+
+
+def hashed(word: str) -> int:
+    raw = np.frombuffer(word.encode() + b" ", np.uint8)
+    return int(flat.words(raw, np.array([0, len(raw)]))[0][0])
+
+
+def one(f, *numbers):
+    """A function of arrays of 64-bit integers, for one number."""
+    return int(f(*(np.array([x & 0xFFFFFFFFFFFFFFFF], np.uint64) for x in numbers))[0])
+
+
+def brute_draw(c, others, p, d, strength, key, step):
+    """The conditional from Stirling numbers by their recursion, in exact arithmetic's order."""
+    s = [[0.0] * (c + 1) for _ in range(c + 1)]
+    s[0][0] = 1.0
+    for i in range(1, c + 1):
+        for j in range(1, i + 1):
+            s[i][j] = s[i - 1][j - 1] + (i - 1 - d * j) * s[i - 1][j]
+    weight = [s[c][k] * np.prod([(strength + d * (others + i)) * p for i in range(k)]) for k in range(1, c + 1)]
+    u, run = (one(lambda k: pitman_yor.mixed(k + pitman_yor.mixed(np.full(1, step, np.uint64))), key) >> 11) / 2**53 + 2.0**-54, 0.0
+    for k, w in enumerate(weight, 1):
+        run += w
+        if run >= u * sum(weight):
+            return k
+    return c
+
+
+def brute_model(docs):
+    """Scores by dictionaries: restaurants by context, the root, sweeps as the module states them."""
+    texts = {i: [hashed(w) for w in t.split()] + [int(pitman_yor.END)] for i, t in docs}
+    pairs = lambda ws: list(zip([int(pitman_yor.START), *ws[:-1]], ws, strict=True))
+    c = collections.Counter(x for i, ws in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2 for x in pairs(ws))
+    customers = collections.Counter()
+    for (ctx, _), k in c.items():
+        customers[ctx] += k
+    ratio = pitman_yor.Model.ratio
+    d = ratio(sum(k == 1 for k in c.values()), sum(k == 2 for k in c.values()))
+    t = dict.fromkeys(c, 1)
+    samples, root_t, root_tables = [], {}, 0
+    for sweep in range(pitman_yor.SWEEPS + 1):
+        root_c = collections.Counter()
+        for (_, w), k in t.items():
+            root_c[w] += k
+        if not sweep:
+            v, root_d = len(root_c), ratio(sum(k == 1 for k in root_c.values()), sum(k == 2 for k in root_c.values()))
+            root_t = dict.fromkeys(root_c, 1)
+        else:
+            root_t = {w: brute_draw(k, root_tables - root_t[w], 0.5 / v, root_d, 1.0, one(pitman_yor.mixed, w ^ int(pitman_yor._ROOT)), pitman_yor.SEED << 8 | sweep) for w, k in root_c.items()}
+        root_tables, n = sum(root_t.values()), sum(root_c.values())
+        known = {w: (k - root_d * root_t[w] + (1 + root_d * root_tables) * 0.5 / v) / (1 + n) for w, k in root_c.items()}
+        unknown = (1 + root_d * root_tables) * 0.5 / (1 + n)
+        tables = collections.Counter()
+        for (ctx, _), k in t.items():
+            tables[ctx] += k
+        if sweep > pitman_yor.BURN:
+            samples.append((dict(t), tables, known, unknown))
+        if sweep < pitman_yor.SWEEPS:
+            key = lambda ctx, w: one(pitman_yor.mixed, ctx + one(pitman_yor.mixed, w))
+            t = {(ctx, w): k if k < 2 else brute_draw(k, tables[ctx] - t[ctx, w], known[w], d, 1.0, key(ctx, w), pitman_yor.SEED << 8 | sweep) for (ctx, w), k in c.items()}
+
+    def p(ctx, w):
+        return np.mean([(c[ctx, w] - d * t.get((ctx, w), 0) + (1 + d * tables[ctx]) * known.get(w, unknown)) / (1 + customers[ctx]) for t, tables, known, unknown in samples])
+
+    return {i: sum(np.log10(p(*x)) for x in pairs(ws)) for i, ws in texts.items()}, p, {w for _, w in c}
+
+
+def test_scores_by_brute_force(spark):
+    docs = bigrams()
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = pitman_yor.score(df).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
-    assert got[1] > 0.75 * got[0]
-    buckets, model, _ = pitman_yor.train(df)
-    found = [pitman_yor.Bucket(r.bucket, r.asDict()) for r in buckets.collect()]
-    for context in (0, int(found[0].ctx[0])):
-        total = (model.back_off()[:, context] * model.unknown()).mean()
-        for b in found:
-            p, _ = pitman_yor.Predictor(model, b).of(b.words, np.arange(len(b.words)), np.full(len(b.words), context))
-            total += p.sum()
-        assert abs(total - 1) < 1e-9
-
-
-def test_contexts_of_one_class_stay_apart(spark):
-    names = [f"c{i}" for i in range(2000)]
-    raw = " ".join(names).encode()
-    hashes, _ = flat.words(np.frombuffer(raw + b" ", np.uint8), np.array([0, len(raw) + 1]))
-    first = {}
-    a, b = next((first[h], w) for w, h in zip(names, (hashes >> np.uint64(50)).tolist(), strict=True) if first.setdefault(h, w) != w)
+    want, p, known = brute_model(docs)
+    got = {r.doc_id: r for r in pitman_yor.score(df).collect()}
+    assert all(abs(got[i].score - x) < 1e-9 for i, x in want.items()) and set(got) == set(want)
+    assert sum(r.score for r in got.values() if r.held_out) > 0.75 * sum(r.base_score for r in got.values() if r.held_out)
+    for ctx in ("w1", "w2", "never seen"):
+        assert abs(sum(p(hashed(ctx), w) for w in known) + p(hashed(ctx), -1) - 1) < 1e-9
+
+
+def test_scores_do_not_depend_on_the_dealing(spark, monkeypatch):
+    df = spark.createDataFrame(bigrams(), "doc_id long, text string")
+    want = sorted((r.doc_id, round(r.score, 9)) for r in pitman_yor.score(df).collect())
+    monkeypatch.setattr(pitman_yor, "BUCKET_BYTES", 600)
+    monkeypatch.setattr(pitman_yor, "BLOCK_TOKENS", 300)
+    deal = pitman_yor.dealing(df)
+    assert deal.n > 8 and len(deal.split) and deal.parts.max() > 1
+    assert sorted((r.doc_id, round(r.score, 9)) for r in pitman_yor.score(df.repartition(3)).collect()) == want
+
+
+def test_contexts_stay_apart(spark):
     kept, held = ([i for i in range(3000) if (zlib.crc32(str(i).encode()) % 7 == 2) == x] for x in (False, True))
-    asked = [f"{c} {w}" for c in (a, b) for w in ("x", "y", a, b, "unknown")] + [a, b]
-    rows = [(i, f"{a} x" if k % 2 else f"{b} y") for k, i in enumerate(kept[:400])] + list(zip(held, asked, strict=False))
+    asked = [f"{c} {w}" for c in ("a", "b") for w in ("x", "y", "a", "b", "unknown")] + ["a", "b"]
+    rows = [(i, "a x" if k % 2 else "b y") for k, i in enumerate(kept[:400])] + list(zip(held, asked, strict=False))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     score = {r.text: r.score for r in pitman_yor.score(df).join(df, "doc_id").collect()}
-    assert score[f"{a} x"] > score[f"{a} y"] + 1 and score[f"{b} y"] > score[f"{b} x"] + 1
-    buckets, model, n = pitman_yor.train(df)
-    found = [pitman_yor.Bucket(r.bucket, r.asDict()) for r in buckets.collect()]
-    sums = collections.defaultdict(int)
-    for k in found:
-        hashed, numbers = pitman_yor._last_counts(k)
-        for i, h in enumerate(hashed.tolist()):
-            sums[h] = sums[h] + np.array([x[i] for x in numbers])
-    total = collections.Counter()
-    for k in found:
-        customers, *tables = np.array([sums[h] for h in k.contexts.tolist()]).T
-        for h, p in zip(k.contexts[k.at].tolist(), pitman_yor.Predictor(model, k).pairs(customers, tables).tolist(), strict=True):
-            total[h] += p
-    assert all(abs(total[int(hashes[names.index(c)])] - 1) < 1e-9 for c in (a, b))
-
-
-def test_table_counts_follow_their_conditional():
-    rng = np.random.default_rng(5)
-    d, strength, p, others, c = 0.6, 1.0, 0.2, 3, 4
-    t = pitman_yor.sample_tables(np.full(200_000, c), np.full(200_000, others), np.full(200_000, p), d, strength, rng)
-    s = np.zeros((5, 5))
-    s[0, 0] = 1
-    for i in range(1, 5):
-        for j in range(1, i + 1):
-            s[i, j] = s[i - 1, j - 1] + (i - 1 - d * j) * s[i - 1, j]
-    weight = np.array([s[c, k] * np.prod([(strength + d * (others + i)) * p for i in range(k)]) for k in range(1, c + 1)])
-    assert np.allclose(np.bincount(t, minlength=c + 1)[1:] / len(t), weight / weight.sum(), atol=0.005)
-    many = pitman_yor.sample_tables(np.full(500, 5000), np.zeros(500, int), np.full(500, 0.01), d, strength, rng)
-    assert 1 < many.mean() < 400 and many.min() >= 1
+    assert score["a x"] > score["a y"] + 1 and score["b y"] > score["b x"] + 1
+
+
+@pytest.mark.parametrize("c", [2, 4, 33, 1024, 3000])
+def test_table_counts_follow_their_conditional(c):
+    d, strength, p, others, n = 0.6, 1.0, 0.02, 300, 100_000
+    t = pitman_yor.sample_tables(np.full(n, c), np.full(n, others), np.full(n, p), d, strength, pitman_yor.mixed(np.arange(n, dtype=np.uint64)), 1)
+    s = np.full(c + 1, -np.inf)
+    s[0] = 0.0
+    for i in range(1, c + 1):
+        j = np.arange(1, i + 1)
+        with np.errstate(divide="ignore"):
+            s[1 : i + 1] = np.logaddexp(s[:i], s[1 : i + 1] + np.log(np.maximum(i - 1 - d * j, 0)))
+        s[0] = -np.inf
+    weight = s[1:] + np.cumsum(np.log((strength + d * (others + np.arange(c))) * p))
+    weight = np.exp(weight - weight.max())
+    assert np.abs(np.bincount(t, minlength=c + 1)[1:] / n - weight / weight.sum()).sum() < 0.03
 
 
 def brute_url(url):

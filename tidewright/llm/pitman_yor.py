@@ -1,22 +1,20 @@
 """LM scoring by a hierarchical Pitman-Yor model.
 
 Words follow their context, the word before, in restaurants of a Chinese-restaurant process. Every context has its own restaurant,
-keyed by its word's whole hash. Its parent is one of `CLASSES` class restaurants (the hash's first bits say which), whose parent is the
-root restaurant, whose base is even over the known words and keeps `UNKNOWN` of its mass for all others together. Customers of a
-context's restaurant are the words seen there; each table of a restaurant is a customer of its parent. How many tables serve a word is
-sampled by Gibbs: the count of a word's tables in a restaurant is drawn from its conditional, given all other tables and the parent's
-probability, in closed form (generalised Stirling numbers) up to `EXACT` customers; beyond that its customers are seated anew one
-after another, in jumps from new table to new table. Restaurants sweep side by side and see each other's tables as of the sweep before,
-or the parent's. After `BURN` sweeps every sweep is a sample; a word's probability is the mean of its predictive probabilities over
-the samples. Discounts are the ratio n1 / (n1 + 2 n2).
-
-The corpus stays distributed. Words are dealt into buckets by hash; a block of documents sends each bucket its distinct
-(word, context) pairs with their training counts, packed; a bucket holds its words' pairs in all contexts, so a word's customers of
-classes and root meet in one place. Between sweeps buckets exchange the table counts of contexts: each is summed where the context's
-hash says, and comes back to the buckets that hold it. Table counts of classes, a fixed number, are added up. A sweep is a function of
-its seed and what it is sent: any task can be repeated. To score, buckets work out their pairs' probabilities; blocks send their pairs
-again, with the documents they occur in, and get sums by document. Pairs of words with at least 1 / `COMMON` of all training tokens
-(so of at most `COMMON` words) are dealt by context there.
+keyed by its word's whole hash; all of them share one parent, the root restaurant, whose base is even over the known words and keeps
+`UNKNOWN` of its mass for all others together. Customers of a context's restaurant are the words seen there; each of its tables is a
+customer of the root. How many tables serve a word is sampled by Gibbs: the count of a word's tables in a restaurant is drawn from its
+conditional, given all other tables and the root's probability, by generalised Stirling numbers: exact ones up to `EXACT` customers, their
+limit beyond (the README has how near that comes). Restaurants sweep side by side and see each other's tables as of the sweep before. After `BURN` sweeps every sweep is a
+sample; a word's probability is the mean of its predictive probabilities over the samples. Discounts are the ratio n1 / (n1 + 2 n2).
+
+The corpus stays distributed. Pairs of context and word are dealt into buckets by context, so a restaurant lies in one place; a context
+with more than a `SPLIT`-th of a bucket's tokens is dealt to several, by word (which these are is estimated from at most `SAMPLE_BYTES` of
+text). A block of documents sends each bucket its distinct pairs with their training counts, packed. In each sweep a bucket seats its
+restaurants, and sends the tables of each of its words to where that word's hash says; there they are summed, the word's root tables
+are drawn, and both numbers come back. Tables of split contexts are summed in the same way. Draws depend on the pair, the seed and the sweep
+alone: results do not change with how pairs are dealt, and any task can be repeated. To score, blocks send their pairs again, with the
+documents they occur in, and get sums by document.
 
 Defined results: a null or empty text is the end alone; A-Z is lowered, other letters are not; a row without doc_id is trained
 on; without training documents every token is unknown and probabilities are 1 for the one outcome; rows repeat independently;
@@ -27,31 +25,28 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import crc_mod, scratch, slots, total
-from tidewright.llm.flat import blocks, words
+from tidewright.llm.flat import blocks, mixed, words
 
-CLASSES, STRENGTH, ROOT_STRENGTH, UNKNOWN = 1 << 14, 1.0, 1.0, 0.5
-SWEEPS, BURN, EXACT, COMMON, SEED = 5, 2, 32, 256, 3
+STRENGTH, ROOT_STRENGTH, UNKNOWN = 1.0, 1.0, 0.5
+SWEEPS, BURN, EXACT, SEED = 5, 2, 1024, 3
 #: Remainder of crc32(doc_id) mod FOLDS that is not trained on.
 FOLDS, HELD = 7, 2
-#: Tokens, and documents, of a block; text bytes a bucket.
-BLOCK_TOKENS, BLOCK_DOCS, BUCKET_BYTES = 1_000_000, 60_000, 20_000_000
+#: Tokens, and documents, of a block; text bytes a bucket; what share of a bucket's tokens splits a context.
+BLOCK_TOKENS, BLOCK_DOCS, BUCKET_BYTES, SPLIT = 1_000_000, 60_000, 20_000_000, 4
+#: Text from which the shares of contexts are estimated; only how pairs are dealt depends on it.
+SAMPLE_BYTES = 4_000_000
 END, START = np.uint64(0xFFFFFFFFFFFFFFFE), np.uint64(0xD1B54A32D192ED03)
-_BITS = CLASSES.bit_length() - 1
-
-
-def classes(hashes: np.ndarray) -> np.ndarray:
-    """The class of each context; it does not fall with the hash."""
-    return (hashes >> np.uint64(64 - _BITS)).astype(np.int64)
+_ROOT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -66,253 +61,227 @@ def read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list,
         before[np.cumsum(counts) - counts] = START
         return block, ids, np.concatenate(held), counts, w, before, np.repeat(np.arange(len(ids), dtype=np.uint16), counts)
 
-    for batch in batches:
-        own = batch.column(1).to_pylist()
-        out_of = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-        for first, raw, starts in blocks(batch.column(0)):
-            h, at = words(raw, starts)
-            parts.append(np.insert(h, at[1:], END))
-            sizes.append(np.diff(at) + 1)
-            rows = slice(first, first + len(starts) - 1)
-            ids = ids + own[rows]
-            held.append(out_of[rows])
-            n += len(parts[-1])
-            if n >= BLOCK_TOKENS or len(ids) + 10_000 > BLOCK_DOCS:
-                yield out()
-                block += 1
-                ids, held, parts, sizes, n = [], [], [], [], 0
+    for whole in batches:
+        for batch in (whole.slice(i, 5000) for i in range(0, whole.num_rows, 5000)):
+            own = batch.column(1).to_pylist()
+            out_of = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            for first, raw, starts in blocks(batch.column(0)):
+                h, at = words(raw, starts)
+                parts.append(np.insert(h, at[1:], END))
+                sizes.append(np.diff(at) + 1)
+                rows = slice(first, first + len(starts) - 1)
+                ids = ids + own[rows]
+                held.append(out_of[rows])
+                n += len(parts[-1])
+                if n >= BLOCK_TOKENS or len(ids) + 5000 > BLOCK_DOCS:
+                    yield out()
+                    block += 1
+                    ids, held, parts, sizes, n = [], [], [], [], 0
     if ids:
         yield out()
 
 
-def grouped(w: np.ndarray, ctx: np.ndarray, n_buckets: int, spread: np.ndarray):
-    """Distinct pairs of word and context by (bucket, word, context): words by bucket, how many pairs each has, the pairs' contexts, first
-    place of each pair in the order, order of tokens, and where each bucket's words start. A bucket is the word's hash mod n_buckets; for
-    the words in spread (sorted) the context's."""
+@dataclass
+class Dealing:
+    """How pairs go to n buckets: by context, and those of a split context to `parts` consecutive ones by word."""
+
+    n: int
+    split: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    parts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+
+    def bucket(self, ctx: np.ndarray, w: np.ndarray) -> np.ndarray:
+        n, own = np.uint64(self.n), (ctx % np.uint64(self.n))
+        if len(self.split):
+            at = np.minimum(np.searchsorted(self.split, ctx), len(self.split) - 1)
+            own = own + np.where(self.split[at] == ctx, mixed(w) % self.parts[at], np.uint64(0))
+        return (own % n).astype(np.int64)
+
+
+def grouped(w: np.ndarray, ctx: np.ndarray, deal: Dealing):
+    """Distinct pairs by (bucket, context, word), packed: for each bucket that has any, (bucket, contexts, pairs of each, words, first token,
+    last token); and the order of tokens."""
     _, of = np.unique(w, return_inverse=True)
-    before, own = np.unique(ctx, return_inverse=True)
-    key = of * max(len(before), 1) + own
+    _, own = np.unique(ctx, return_inverse=True)
+    key = own * (of.max(initial=0) + 1) + of
     at = np.argsort(key, kind="stable")
     key = key[at]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    ends = np.append(first, len(at))
-    pair_w, pair_ctx = w[at[first]], ctx[at[first]]
-    bucket = (np.where(np.isin(pair_w, spread), pair_ctx, pair_w) % np.uint64(n_buckets)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+    ends = np.append(first[1:], len(at)) if len(at) else first
+    bucket = deal.bucket(ctx[at[first]], w[at[first]])
     order = np.argsort(bucket, kind="stable")
-    sizes = np.diff(ends)[order]
+    sizes = (ends - first)[order]
     starts = np.cumsum(sizes) - sizes
     at = at[np.repeat(first[order] - starts, sizes) + np.arange(len(at))]
-    bucket, pair_w = bucket[order], pair_w[order]
-    new = np.flatnonzero(np.concatenate([[True], (pair_w[1:] != pair_w[:-1]) | (bucket[1:] != bucket[:-1])])) if len(pair_w) else np.zeros(0, np.int64)
-    return pair_w[new], np.diff(np.append(new, len(pair_w))), pair_ctx[order], starts, at, np.searchsorted(bucket[new], np.arange(n_buckets + 1))
+    bucket, pair_w, pair_ctx = bucket[order], w[at[starts]], ctx[at[starts]]
+    cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+    found = []
+    for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        new = np.flatnonzero(np.concatenate([[True], pair_ctx[x + 1 : y] != pair_ctx[x : y - 1]]))
+        found.append((int(bucket[x]), pair_ctx[x:y][new], np.diff(np.append(new, y - x)), pair_w[x:y], starts[x:y], int(starts[y - 1] + sizes[y - 1])))
+    return found, at
 
 
 def _small(x: np.ndarray) -> bytes:
-    """Counts, in the least of 1, 2 or 4 bytes each, which comes first."""
-    width = 1 if not len(x) or x.max() < 1 << 8 else 2 if x.max() < 1 << 16 else 4
-    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+    """Counts, in the least of 1, 2, 4 or 8 bytes each, which comes first."""
+    most = int(x.max(initial=0))
+    width = next(b for b in (1, 2, 4, 8) if most < 1 << 8 * b)
+    return bytes([width]) + np.asarray(x).astype(f"<u{width}").tobytes()
 
 
 def _large(x: bytes) -> np.ndarray:
     return np.frombuffer(x, f"<u{x[0]}", offset=1).astype(np.int64)
 
 
-# --- the model of a bucket
+# --- seating
 
 
-@lru_cache(2)
-def _log_stirling(d: float, most: int) -> np.ndarray:
-    """log of the generalised Stirling numbers: ways, weighed by table sizes, to seat c customers at t tables."""
+@lru_cache(4)
+def _log_tables(d: float, most: int = EXACT) -> np.ndarray:
+    """log of the chance that c customers of a restaurant without strength sit at t tables: generalised Stirling numbers, to scale."""
     s = np.full((most + 1, most + 1), -np.inf)
-    s[0, 0] = 0.0
-    for c in range(1, most + 1):
-        for t in range(1, c + 1):
-            stay = s[c - 1, t] + np.log(c - 1 - d * t) if c - 1 - d * t > 0 else -np.inf
-            s[c, t] = np.logaddexp(s[c - 1, t - 1], stay)
+    s[1, 1:2] = 0.0
+    t = np.arange(1, most + 1)
+    with np.errstate(divide="ignore"):
+        for c in range(1, most):
+            stay = s[c, 1 : c + 2] + np.log(np.maximum(c - d * t[: c + 1], 0) / c)
+            s[c + 1, 1 : c + 2] = np.logaddexp(stay, s[c, : c + 1] + np.log(d * (t[: c + 1] - 1) / c))
     return s
 
 
-def sample_tables(c: np.ndarray, others: np.ndarray, p: np.ndarray, d: float, strength: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of each word in its restaurant, given its customers c, the restaurant's other tables and the parent's probability."""
-    t = np.ones(len(c), np.int64)
-    known = _log_stirling(d, EXACT)
-    for n in range(2, EXACT + 1):
-        at = np.flatnonzero(c == n)
-        if not len(at):
+def log_tables(d: float, c: int, most: int) -> np.ndarray:
+    """The same for t from 1 to most. Beyond `EXACT` customers t / c ** d has its limiting distribution, as at EXACT."""
+    known = _log_tables(d)
+    if c <= EXACT:
+        return known[c, 1 : most + 1]
+    row = known[EXACT, 1:]
+    row = np.concatenate([[2 * row[0] - row[1]], row])
+    at = np.arange(1, most + 1) * (EXACT / c) ** d
+    return np.interp(at, np.arange(len(row)), row) + np.maximum(at - EXACT, 0) * (row[-1] - row[-2])
+
+
+def uniform(key: np.ndarray, step: int) -> np.ndarray:
+    """In (0, 1), a function of key and step."""
+    x = mixed(key + mixed(np.full(1, step, np.uint64)))
+    return ((x >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
+
+
+def sample_tables(c: np.ndarray, others: np.ndarray, p: np.ndarray, d: float, strength: float, key: np.ndarray, sweep: int) -> np.ndarray:
+    """Tables of each word in its restaurant, given its customers c, the restaurant's other tables and the parent's probability. A draw
+    depends on key and sweep. Without regard to c there would be 1 + a negative binomial number of tables, and there are never more:
+    that says how far the chances must be looked at."""
+    t, u = np.ones(len(c), np.int64), uniform(key, sweep)
+    order = np.argsort(c, kind="stable")
+    sizes, cuts = np.unique(c[order], return_index=True)
+    for n, x, y in zip(sizes.tolist(), cuts, np.append(cuts, len(c))[1:], strict=True):
+        if n < 2:
             continue
-        j = np.arange(n)
-        weight = known[n, 1 : n + 1] + np.cumsum(np.log((strength + d * (others[at, None] + j)) * p[at, None]), 1)
-        weight = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), 1)
-        t[at] = 1 + (weight < rng.random(len(at))[:, None] * weight[:, -1:]).sum(1)
-    at = np.flatnonzero(c > EXACT)
-    if len(at):
-        base, more, tables = p[at], others[at], np.ones(len(at), np.int64)
-        for i in range(1, EXACT):
-            a = (strength + d * (more + tables)) * base
-            tables += rng.random(len(at)) * (a + i - d * tables) < a
-        seated, live = np.full(len(at), float(EXACT)), np.arange(len(at))
-        while len(live):
-            a = (strength + d * (more[live] + tables[live])) * base[live]
-            shift = (a - 1) / 2 - d * tables[live]
-            with np.errstate(over="ignore"):
-                new = np.floor((seated[live] + shift) * rng.random(len(live)) ** (-1 / a) - shift)
-            ok = new < c[at[live]]
-            live = live[ok]
-            tables[live] += 1
-            seated[live] = np.maximum(new[ok] + 1, seated[live] + 1)
-            live = live[seated[live] < c[at[live]]]
-        t[at] = tables
+        at = order[x:y]
+        r = strength / d + others[at]
+        mean = (r + 1) * p[at] / (1 - p[at])
+        most = int(min(n, (mean + 12 * np.sqrt(mean / (1 - p[at])) + 30).max()))
+        prior, j = log_tables(d, n, most), np.arange(most)
+        rows = max(1, 2_000_000 // most)
+        for part in (slice(i, i + rows) for i in range(0, len(at), rows)):
+            weight = prior + np.cumsum(np.log((r[part, None] + j) * p[at[part], None] / np.maximum(j, 1)), 1)
+            weight = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), 1)
+            t[at[part]] = 1 + (weight < u[at[part], None] * weight[:, -1:]).sum(1)
     return t
 
 
-class Bucket:
-    """A bucket's words, their pairs with contexts and with classes, and the tables of both."""
+@dataclass
+class Model:
+    """What all buckets share. history: customers and tables of the root before each sweep, and after the last."""
 
-    def __init__(self, number: int, row: dict):
-        self.number, self.data = number, pickle.loads(row["data"])
-        d = self.data
-        self.words, self.contexts = np.frombuffer(d["words"], "<u8"), np.frombuffer(d["contexts"], "<u8")
-        self.n_pairs, self.c, self.at = _large(d["pairs"]), _large(d["counts"]), _large(d["at"])
-        self.of = np.repeat(np.arange(len(self.words)), self.n_pairs)
-        self.count = np.bincount(self.of, self.c, len(self.words)).astype(np.int64)
-        seen = np.flatnonzero(self.c)
-        key = self.of[seen] << _BITS | classes(self.contexts)[self.at[seen]]  # in order, as pairs are
-        new = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
-        self.key = key[new]
-        self.ctx, self.word = self.key & (CLASSES - 1), self.key >> _BITS
-        own = np.zeros(len(self.c), np.int64)
-        own[seen] = np.cumsum(new) - 1
-        self.many = np.flatnonzero(self.c > 1)
-        self.many_own, self.many_at = own[self.many], self.at[self.many]
-        self.ones = np.bincount(own[self.c == 1], minlength=len(self.key))
-        live = np.zeros(len(self.contexts), bool)
-        live[self.many_at] = True
-        self.live = np.flatnonzero(live)
+    d: float
+    n: int
+    v: int = 0
+    root_d: float = 0.5
+    history: list[tuple[int, int]] = field(default_factory=list)
 
-    def start(self) -> dict:
-        """A table for each word in a restaurant."""
-        return {"t": np.ones(len(self.many), np.int64), "class_t": np.ones(len(self.key), np.int64), "root_t": (self.count > 0).astype(np.int64)}
+    @staticmethod
+    def ratio(n1: int, n2: int) -> float:
+        return min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 + n2 else 0.5
 
-    def customers(self, s: dict) -> tuple[np.ndarray, np.ndarray]:
-        """Of pairs with classes, and of words in the root."""
-        return self.ones + np.bincount(self.many_own, s["t"], len(self.key)).astype(np.int64), np.bincount(self.word, s["class_t"], len(self.words)).astype(np.int64)
+    def base(self) -> float:
+        """The root's base probability of a known word."""
+        return (1 - UNKNOWN) / max(self.v, 1)
 
-    def tables(self, t: np.ndarray) -> np.ndarray:
-        """By context, of words with several customers there."""
-        return np.bincount(self.many_at, t, len(self.contexts)).astype(np.int64)
-
-    def sums(self, s: dict) -> np.ndarray:
-        """Tables and customers by class, then root customers and root tables."""
-        c, root_c = self.customers(s)
-        return np.concatenate([np.bincount(self.ctx, s["class_t"], CLASSES), np.bincount(self.ctx, c, CLASSES), [root_c.sum(), s["root_t"].sum()]]).astype("<i8")
-
-    def first(self) -> np.ndarray:
-        """sums() of the start, then known words, pairs with contexts, with classes and words with 1 and 2 customers, tokens."""
-        c, root_c = self.customers(s := self.start())
-        n = [np.count_nonzero(x == k) for x in (self.c, c, root_c) for k in (1, 2)]
-        return np.concatenate([self.sums(s), [np.count_nonzero(self.count), *n, self.c.sum()]]).astype("<i8")
-
-    def swept(self, s: dict, others: np.ndarray, model: Model) -> dict:
-        """The tables after a sweep. others: the tables of each pair's context, of pairs with several customers."""
-        classes_t, classes_c, customers, tables = model.history[-1]
-        rng = np.random.default_rng([SEED, self.number, len(model.history)])
-        c, root_c = self.customers(s)
-        root = model.root(root_c, s["root_t"], customers, tables)[self.word]
-        p = (c - model.class_d * s["class_t"] + (STRENGTH + model.class_d * classes_t[self.ctx]) * root) / (STRENGTH + classes_c[self.ctx])
-        out = {"t": sample_tables(self.c[self.many], others - s["t"], p[self.many_own], model.d, STRENGTH, rng), "class_t": s["class_t"]}
-        c, _ = self.customers(out)
-        more = np.flatnonzero(c > 1)
-        out["class_t"] = np.ones(len(c), np.int64)
-        out["class_t"][more] = sample_tables(c[more], classes_t[self.ctx[more]] - s["class_t"][more], root[more], model.class_d, STRENGTH, rng)
-        _, root_c = self.customers(out)
-        known = np.flatnonzero(root_c)
-        out["root_t"] = np.zeros(len(root_c), np.int64)
-        out["root_t"][known] = sample_tables(root_c[known], tables - s["root_t"][known], np.full(len(known), (1 - UNKNOWN) / max(model.v, 1)), model.root_d, ROOT_STRENGTH, rng)
-        return out
+    def root(self, c: np.ndarray, t: np.ndarray, i: int) -> np.ndarray:
+        """The root's probability of words with c customers at t tables there; without any, of the unknown."""
+        if not self.v:
+            return np.ones(len(c))
+        customers, tables = self.history[i]
+        rest = ROOT_STRENGTH + self.root_d * tables
+        return np.where(c > 0, c - self.root_d * t + rest * self.base(), rest * UNKNOWN) / (ROOT_STRENGTH + customers)
 
 
-class Model:
-    """What all buckets share. history: tables and customers by class, root customers and root tables before each sweep."""
+class Bucket:
+    """A bucket's contexts, their pairs with words, and the tables of pairs. Pairs are in order of context, then word."""
 
-    def __init__(self, first: np.ndarray):
-        self.v, n1, n2, k1, k2, m1, m2, self.n = (int(x) for x in first[2 * CLASSES + 2 :])
-        ratio = lambda a, b: min(0.95, max(0.1, a / (a + 2 * b))) if a + b else 0.5
-        self.d, self.class_d, self.root_d = ratio(n1, n2), ratio(k1, k2), ratio(m1, m2)
-        self.history = []
-        self.add(first)
+    def __init__(self, data: bytes):
+        self.data = d = pickle.loads(data)
+        self.words, self.contexts = np.frombuffer(d["words"], "<u8"), np.frombuffer(d["contexts"], "<u8")
+        self.c, self.at = _large(d["counts"]), _large(d["at"])
+        self.of = np.repeat(np.arange(len(self.contexts)), _large(d["pairs"]))
+        self.split = _large(d["split"])  # contexts that have pairs elsewhere
+        self.many = np.flatnonzero(self.c > 1)
+        self.t = _large(d["t"]) if "t" in d else np.ones(len(self.many), np.int64)
 
-    def add(self, sums: np.ndarray) -> None:
-        self.history.append((sums[:CLASSES], sums[CLASSES : 2 * CLASSES], int(sums[2 * CLASSES]), int(sums[2 * CLASSES + 1])))
+    def tables(self, t: np.ndarray) -> np.ndarray:
+        """Of every pair."""
+        out = (self.c > 0).astype(np.int64)
+        out[self.many] = t
+        return out
 
-    def root(self, c: np.ndarray, t: np.ndarray, customers: int, tables: int) -> np.ndarray:
-        """The root's probability of words with c customers at t tables there."""
-        return (c - self.root_d * t + (ROOT_STRENGTH + self.root_d * tables) * (1 - UNKNOWN) / max(self.v, 1)) / (ROOT_STRENGTH + customers)
+    def sums(self) -> np.ndarray:
+        """Pairs with one and two customers, and tokens."""
+        return np.array([np.count_nonzero(self.c == 1), np.count_nonzero(self.c == 2), self.c.sum()], "<i8")
 
-    def samples(self) -> list[tuple[np.ndarray, np.ndarray, int, int]]:
-        return self.history[BURN + 1 :]
+    def sent(self, first: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """What goes to the homes, by word and by split context: tables here; at first customers here, later a word's root tables so far."""
+        by_word, by_ctx = (lambda x: np.bincount(self.at, x, len(self.words)).astype(np.int64)), (lambda x: np.bincount(self.of, x, len(self.contexts)).astype(np.int64)[self.split])
+        t = self.tables(self.t)
+        return ([by_word(t), by_word(self.c)], [by_ctx(t), by_ctx(self.c)]) if first else ([by_word(t), _large(self.data["root_t"])], [by_ctx(t)])
 
-    def unknown(self) -> np.ndarray:
-        """The root's probability of the unknown, in each sample."""
-        if not self.v:
-            return np.ones(len(self.samples()))
-        return np.array([(ROOT_STRENGTH + self.root_d * tables) * UNKNOWN / (ROOT_STRENGTH + customers) for _, _, customers, tables in self.samples()])
-
-    def back_off(self) -> np.ndarray:
-        """By sample and class, the mass that goes to the root."""
-        return np.stack([(STRENGTH + self.class_d * t) / (STRENGTH + c) for t, c, _, _ in self.samples()])
-
-
-class Predictor:
-    """Predictive probabilities of a bucket's words in given classes, and of its pairs."""
-
-    def __init__(self, model: Model, bucket: Bucket):
-        self.model, self.bucket, self.back, self.unknown = model, bucket, model.back_off(), model.unknown()
-        self.kept = [{k: _large(x) for k, x in s.items()} for s in bucket.data["kept"]]
-        self.own, self.root = [], []
-        for s, (_, classes_c, customers, tables) in zip(self.kept, model.samples(), strict=True):
-            c, root_c = bucket.customers(s)
-            self.own.append((c - model.class_d * s["class_t"]) / (STRENGTH + classes_c[bucket.ctx]))
-            self.root.append(np.where(bucket.count > 0, model.root(root_c, s["root_t"], customers, tables), 0.0))
-
-    def by_sample(self, words_: np.ndarray, word_of: np.ndarray, ctx: np.ndarray) -> tuple[Iterator[np.ndarray], np.ndarray]:
-        """In each sample, probabilities of pairs (index into words_, class); and training counts of words_."""
-        b = self.bucket
-        at = np.minimum(np.searchsorted(b.words, words_), max(len(b.words) - 1, 0))
-        has = (b.words[at] == words_) & (b.count[at] > 0)
-        key = at[word_of] << _BITS | ctx
-        place = np.minimum(np.searchsorted(b.key, key), max(len(b.key) - 1, 0))
-        seen = np.flatnonzero(has[word_of] & (b.key[place] == key)) if len(b.key) else np.zeros(0, np.int64)
-
-        def each() -> Iterator[np.ndarray]:
-            for own, root, back, unknown in zip(self.own, self.root, self.back, self.unknown, strict=True):
-                p = back[ctx] * np.where(has, root[at], unknown)[word_of]
-                p[seen] += own[place[seen]]
-                yield p
-
-        return each(), np.where(has, b.count[at], 0)
-
-    def of(self, words_: np.ndarray, word_of: np.ndarray, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Mean probabilities of pairs (index into words_, class), and training counts of words_."""
-        samples, count = self.by_sample(words_, word_of, ctx)
-        return sum(samples) / len(self.kept), count
-
-    def pairs(self, customers: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
-        """Mean probabilities of the bucket's pairs. customers, and by sample tables: of its contexts."""
-        b, d = self.bucket, self.model.d
-        samples, _ = self.by_sample(b.words, b.of, classes(b.contexts)[b.at])
-        out = np.zeros(len(b.c))
-        for s, parent, t in zip(self.kept, samples, tables, strict=True):
-            own = np.where(b.c > 0, b.c - d, 0.0)
-            own[b.many] = b.c[b.many] - d * s["t"]
-            out += (own + (STRENGTH + d * t[b.at]) * parent) / (STRENGTH + customers[b.at])
-        return out / len(self.kept)
+    def take(self, rows: list[dict], n: int, first: bool, keep: bool) -> None:
+        """The homes' answer: of words, customers and tables in the root (at first, also all its tokens); of split contexts, all tables
+        (and customers)."""
+        (c, t), (tables, customers) = _placed(rows, self.words, n, 2), _placed(rows, self.contexts[self.split], n, 2, 1)
+        d = self.data
+        if first:
+            d["tokens"], d["customers"], t = _small(t), _small(customers), (c > 0).astype(np.int64)
+        d["root_t"], self.root_c, self.root_t = _small(t), c, t
+        self.all_tables = np.bincount(self.of, self.tables(self.t), len(self.contexts)).astype(np.int64)
+        self.all_tables[self.split] = tables
+        if keep:
+            d["kept"].append({"t": _small(self.t), "tables": _small(tables), "root_c": _small(c), "root_t": _small(t)})
+
+    def sweep(self, model: Model, i: int) -> None:
+        """Seats the pairs anew."""
+        p = model.root(self.root_c, self.root_t, i)
+        w, ctx = self.at[self.many], self.of[self.many]
+        key = mixed(self.contexts[ctx] + mixed(self.words[w]))
+        self.t = sample_tables(self.c[self.many], self.all_tables[ctx] - self.t, p[w], model.d, STRENGTH, key, SEED << 8 | i)
+        self.data["t"] = _small(self.t)
+
+    def log_probabilities(self, model: Model) -> np.ndarray:
+        """log10 of each pair's predictive probability, averaged over the samples."""
+        customers = np.bincount(self.of, self.c, len(self.contexts))
+        customers[self.split] = _large(self.data["customers"])
+        total_ = np.zeros(len(self.c))
+        for i, s in enumerate(self.data["kept"], len(model.history) - len(self.data["kept"])):
+            t = self.tables(_large(s["t"]))
+            tables = np.bincount(self.of, t, len(self.contexts))
+            tables[self.split] = _large(s["tables"])
+            root = model.root(_large(s["root_c"]), _large(s["root_t"]), i)
+            total_ += (self.c - model.d * t + (STRENGTH + model.d * tables[self.of]) * root[self.at]) / (STRENGTH + customers[self.of])
+        return np.log10(total_ / len(self.data["kept"]))
 
 
 # --- over the corpus
 
-#: home: the bucket that sums up, for exchanged counts; -1 else.
-_STATE = "bucket int, home int, data binary, sums binary"
-_PARTS = "bucket int, words binary, pairs binary, ctx binary, counts binary"
+_MESSAGE = "bucket int, home int, kind string, data binary, sums binary"
+_PARTS = "bucket int, contexts binary, pairs binary, words binary, counts binary"
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
@@ -320,7 +289,7 @@ def _prepared(docs: DataFrame) -> DataFrame:
 
 
 def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
     fields = [x.split() for x in schema.split(", ")]
     return pa.record_batch([pa.array([r[i] for r in rows], types[t]) for i, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
 
@@ -330,7 +299,7 @@ def _table(rows: list[tuple], schema: str) -> pa.Table:
 
 
 class Kept:
-    """The buckets' table in the shared folder. What is put there next replaces it, and shuffles that made it are given up."""
+    """Messages in the shared folder. What is put there next replaces them, and shuffles that made them are given up."""
 
     def __init__(self, df: DataFrame):
         self.at = None
@@ -338,7 +307,7 @@ class Kept:
 
     def put(self, df: DataFrame) -> None:
         spark, old, self.at = df.sparkSession, self.at, scratch(df.sparkSession, "restaurants")
-        df.write.option("compression", "zstd").parquet(self.at)
+        df.write.option("compression", "zstd").partitionBy("kind").parquet(self.at)
         self.df = spark.read.schema(df.schema).parquet(self.at)
         if old:
             path = spark._jvm.org.apache.hadoop.fs.Path(old)
@@ -346,221 +315,219 @@ class Kept:
         del df
         spark._jvm.System.gc()  # the cleaner drops shuffles whose plans are gone
 
-    def row(self) -> DataFrame:
-        return self.df.select("bucket", "home", "data", "sums")
+    def of(self, kind: str) -> DataFrame:
+        return self.df.where(F.col("kind") == kind).select(*[x.split()[0] for x in _MESSAGE.split(", ")])
 
 
-def _homes(hashes: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of contexts by home, and where each home's start."""
-    home = (hashes % np.uint64(n_buckets)).astype(np.int64)
+def _homes(hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by home, the homes there are, and where each one's start."""
+    home = (mixed(hashes) % np.uint64(n)).astype(np.int64)
     order = np.argsort(home, kind="stable")
-    return order, np.searchsorted(home[order], np.arange(n_buckets + 1))
-
-
-def exchanged(state: DataFrame, n_buckets: int, counts: Callable[[Bucket], tuple[np.ndarray, list[np.ndarray]]]) -> DataFrame:
-    """state with rows that hold, by home, the sums over all buckets of counts(bucket): contexts' hashes and numbers of each."""
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                hashes, numbers = counts(Bucket(r["bucket"], r))
-                order, cuts = _homes(hashes, n_buckets)
-                at = [order[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield _rows([(r["bucket"], h, pickle.dumps((hashes[i].tobytes(), [_small(x[i]) for x in numbers])), None) for h, i in enumerate(at) if len(i)], _STATE)
-
-    def add(table: pa.Table) -> pa.Table:
-        buckets, home = table.column("bucket").to_pylist(), table.column("home")[0].as_py()
-        parts = [pickle.loads(x) for x in table.column("data").to_pylist()]
-        hashes = [np.frombuffer(h, "<u8") for h, _ in parts]
-        found, of = np.unique(np.concatenate(hashes), return_inverse=True)
-        sums = [np.bincount(of, np.concatenate([_large(x[k]) for _, x in parts]), len(found)).astype(np.int64)[of] for k in range(len(parts[0][1]))]
-        ends = np.cumsum([len(h) for h in hashes])
-        return _table([(b, home, pickle.dumps([_small(x[e - len(h) : e]) for x in sums]), None) for b, h, e in zip(buckets, hashes, ends, strict=True)], _STATE)
-
-    asked = state.mapInArrow(ask, _STATE).groupBy("home").applyInArrow(add, _STATE)
-    return state.unionByName(asked)
-
-
-def _answers(rows: list[dict], hashes: np.ndarray, n_buckets: int, n: int) -> list[np.ndarray]:
-    """What exchanged() brought for the contexts that were asked for."""
-    order, cuts = _homes(hashes, n_buckets)
-    out = [np.zeros(len(hashes), np.int64) for _ in range(n)]
+    found, cuts = np.unique(home[order], return_index=True)
+    return order, found, np.append(cuts, len(home))
+
+
+def _addressed(number: int, sides: list[tuple[np.ndarray, list[np.ndarray]]], n: int) -> list[tuple]:
+    """Messages to the homes of hashes, with the numbers of each. sides: words, split contexts."""
+    parts: dict[int, list] = {}
+    for side, (hashes, numbers) in enumerate(sides):
+        order, found, cuts = _homes(hashes, n)
+        for h, x, y in zip(found.tolist(), cuts[:-1], cuts[1:], strict=True):
+            at = order[x:y]
+            parts.setdefault(h, [None, None])[side] = (hashes[at].tobytes(), [_small(v[at]) for v in numbers])
+    return [(number, h, "sent", pickle.dumps(both), None) for h, both in parts.items()]
+
+
+def _placed(rows: list[dict], hashes: np.ndarray, n: int, width: int, side: int = 0) -> list[np.ndarray]:
+    """The homes' numbers for each hash; those that were not sent are 0."""
+    order, found, cuts = _homes(hashes, n)
+    out = [np.zeros(len(hashes), np.int64) for _ in range(width)]
+    where = {h: order[x:y] for h, x, y in zip(found.tolist(), cuts[:-1], cuts[1:], strict=True)}
     for r in rows:
-        if r["home"] >= 0:
-            for o, x in zip(out, pickle.loads(r["data"]), strict=True):
-                o[order[cuts[r["home"]] : cuts[r["home"] + 1]]] = _large(x)
+        if r["home"] in where:
+            for o, x in zip(out, pickle.loads(r["data"])[side], strict=False):
+                o[where[r["home"]]] = _large(x)
     return out
 
 
-def _all_counts(b: Bucket) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Tables of every context before any sweep."""
-    return b.contexts, [np.bincount(b.at[b.c > 0], minlength=len(b.contexts)), b.tables(np.ones(len(b.many)))]
+def _summed(parts: list) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], list[int]]:
+    """Distinct hashes, the sums and the maxima of each number, and the place of each entry."""
+    hashes = [np.frombuffer(x[0], "<u8") for x in parts]
+    found, of = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]), return_inverse=True)
+    numbers = [np.concatenate([_large(x[1][k]) for x in parts]) for k in range(len(parts[0][1]))] if parts else []
+    sums = [np.bincount(of, x, len(found)).astype(np.int64) for x in numbers]
+    most = []
+    for x in numbers:
+        m = np.zeros(len(found), np.int64)
+        np.maximum.at(m, of, x)
+        most.append(m)
+    return found, sums, most, of
 
 
-def _live_counts(b: Bucket) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Tables of the contexts where these can change here, as far as they can change."""
-    return b.contexts[b.live], [b.tables(_large(b.data["now"]["t"]))[b.live]]
+def homes(sent: DataFrame, model: Model) -> DataFrame:
+    """Answers to all buckets: kind "answer". sums: words, words with one and two customers in the root, customers and tables there."""
+    i = len(model.history)
 
+    def answer(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["bucket"])
+        data = [pickle.loads(r["data"]) for r in rows]
+        word_parts, ctx_parts = ([d[side] for d in data if d[side] is not None] for side in (0, 1))
+        found, sums, most, of = _summed(word_parts)
+        t = np.zeros(0, np.int64)
+        if len(found):
+            c, seen = sums[0], np.flatnonzero(sums[0])
+            if i:
+                t = np.zeros(len(found), np.int64)
+                t[seen] = sample_tables(c[seen], model.history[-1][1] - most[1][seen], np.full(len(seen), model.base()), model.root_d, ROOT_STRENGTH, mixed(found[seen] ^ _ROOT), SEED << 8 | i)
+                replies = [c, t]
+            else:
+                t, replies = (c > 0).astype(np.int64), [c, sums[1]]
+            stats = [np.count_nonzero(c), np.count_nonzero(c == 1), np.count_nonzero(c == 2), c.sum(), t.sum()]
+        else:
+            replies, stats = [], [0] * 5
+        _, ctx_sums, _, ctx_of = _summed(ctx_parts)
+        out, at, ctx_at = [], 0, 0
+        for k, (r, (own, ctx)) in enumerate(zip(rows, data, strict=True)):
+            both = []
+            if own is not None:
+                n = len(own[0]) // 8
+                both.append([_small(x[of[at : at + n]]) for x in replies])
+                at += n
+            else:
+                both.append([])
+            if ctx is not None:
+                n = len(ctx[0]) // 8
+                both.append([_small(x[ctx_of[ctx_at : ctx_at + n]]) for x in ctx_sums])
+                ctx_at += n
+            else:
+                both.append([])
+            out.append((r["bucket"], r["home"], "answer", pickle.dumps(both), None if k else np.array(stats, "<i8").tobytes()))
+        return _table(out, _MESSAGE)
 
-def _last_counts(b: Bucket) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Customers, and tables in each sample, of every context."""
-    ones = np.bincount(b.at[b.c == 1], minlength=len(b.contexts))
-    return b.contexts, [np.bincount(b.at, b.c, len(b.contexts)).astype(np.int64), *(ones + b.tables(_large(s["t"])) for s in b.data["kept"])]
+    return sent.groupBy("home").applyInArrow(answer, _MESSAGE)
 
 
-def train(docs: DataFrame) -> tuple[DataFrame, Model, int]:
-    """The buckets' table, what they share, and their number. Held-out pairs are there too, with a count of 0."""
+def dealing(docs: DataFrame) -> Dealing:
+    """Buckets by the size of all texts; contexts to split by a sample."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_buckets = max(int(size // BUCKET_BYTES) + 1, min(slots(docs.sparkSession), 8))
+    n = max(int(size // BUCKET_BYTES) + 1, min(slots(docs.sparkSession), 8))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, _, _, w, ctx, _ in read_blocks(batches):
+            found, sizes = np.unique(ctx, return_counts=True)
+            yield pa.record_batch([pa.array([None, *found.view(np.int64).tolist()], pa.int64()), pa.array([len(ctx), *sizes.tolist()], pa.int64())], names=["ctx", "n"])
+
+    some = _prepared(docs.select("doc_id", "text").sample(min(1.0, SAMPLE_BYTES / max(size, 1)), SEED)).mapInArrow(count, "ctx long, n long")
+    heaviest = some.groupBy("ctx").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), F.col("ctx").asc_nulls_first()).limit(SPLIT * n + 1).collect()  # all tokens, then contexts
+    everything = heaviest[0].n if heaviest else 0
+    found = sorted((r.ctx & 0xFFFFFFFFFFFFFFFF, min(n, -(-r.n * SPLIT * n // everything))) for r in heaviest[1:] if r.n * SPLIT * n > everything)
+    return Dealing(n, np.array([x for x, _ in found], np.uint64), np.array([x for _, x in found], np.uint64))
+
+
+def train(docs: DataFrame) -> tuple[Kept, Kept, Model, Dealing]:
+    """The buckets' tables, the homes' last answers, what they share and how pairs are dealt. Held-out pairs are there too, with a count of 0."""
+    deal = dealing(docs)
+    n = deal.n
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, held, _, w, ctx, doc in read_blocks(batches):
-            found, sizes, pair_ctx, first, at, cuts = grouped(w, ctx, n_buckets, np.zeros(0, np.uint64))
-            n = np.add.reduceat((~held)[doc[at]].astype(np.int64), first)
-            pairs = np.concatenate([[0], np.cumsum(sizes)])
-            yield _rows([(b, found[x:y].tobytes(), _small(sizes[x:y]), pair_ctx[pairs[x] : pairs[y]].tobytes(), _small(n[pairs[x] : pairs[y]])) for b, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if y > x], _PARTS)
+            found, at = grouped(w, ctx, deal)
+            taught = np.concatenate([[0], np.cumsum(~held[doc[at]])])
+            yield _rows([(b, own.tobytes(), _small(pairs), words_.tobytes(), _small(np.diff(taught[np.append(first, last)]))) for b, own, pairs, words_, first, last in found], _PARTS)
 
     def combine(table: pa.Table) -> pa.Table:
-        number = table.column("bucket")[0].as_py()
         rows = table.to_pylist()
-        own = [np.frombuffer(r["words"], "<u8") for r in rows]
-        words_, of = np.unique(np.concatenate(own), return_inverse=True)
+        words_, at = np.unique(np.concatenate([np.frombuffer(r["words"], "<u8") for r in rows]), return_inverse=True)
+        contexts, of = np.unique(np.concatenate([np.frombuffer(r["contexts"], "<u8") for r in rows]), return_inverse=True)
         of = np.repeat(of, np.concatenate([_large(r["pairs"]) for r in rows]))
-        ctxs, ctx = np.unique(np.concatenate([np.frombuffer(r["ctx"], "<u8") for r in rows]), return_inverse=True)
-        n = np.concatenate([_large(r["counts"]) for r in rows])
-        key = of * len(ctxs) + ctx
+        c = np.concatenate([_large(r["counts"]) for r in rows])
+        key = of * len(words_) + at
         order = np.argsort(key)
-        key, n = key[order], n[order]
+        key, c = key[order], c[order]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        pair, n = key[first], np.add.reduceat(n, first)
-        data = {"words": words_.tobytes(), "contexts": ctxs.tobytes(), "pairs": _small(np.bincount(pair // len(ctxs), minlength=len(words_))), "at": _small(pair % len(ctxs)), "counts": _small(n), "kept": []}
-        row = {"data": pickle.dumps(data)}
-        return _table([(number, -1, row["data"], Bucket(number, row).first().tobytes())], _STATE)
+        pair, c = key[first], np.add.reduceat(c, first)
+        data = {"words": words_.tobytes(), "contexts": contexts.tobytes(), "pairs": _small(np.bincount(pair // len(words_), minlength=len(contexts))), "at": _small(pair % len(words_)), "counts": _small(c), "split": _small(np.flatnonzero(np.isin(contexts, deal.split))), "kept": []}
+        return told(Bucket(pickle.dumps(data)), rows[0]["bucket"], True)
 
-    kept = Kept(_prepared(docs).mapInArrow(count, _PARTS).groupBy("bucket").applyInArrow(combine, _STATE))
-    model = Model(total(kept.df, "sums", 2 * CLASSES + 10))
+    def told(b: Bucket, number: int, first: bool) -> pa.Table:
+        by_word, by_ctx = b.sent(first)
+        state = (number, -1, "state", pickle.dumps(b.data), b.sums().tobytes())
+        return _table([state, *_addressed(number, [(b.words, by_word), (b.contexts[b.split], by_ctx)], n)], _MESSAGE)
 
     def sweeper(i: int) -> Callable[[pa.Table], pa.Table]:
         def sweep(table: pa.Table) -> pa.Table:
-            rows = table.to_pylist()
-            r = next(r for r in rows if r["home"] < 0)
-            b = Bucket(r["bucket"], r)
-            if i:
-                now = {k: _large(x) for k, x in b.data["now"].items()}
-                tables = _large(b.data["ones"]) + _answers(rows, b.contexts[b.live], n_buckets, 1)[0]
-            else:
-                now = b.start()
-                every, many = (x[b.live] for x in _answers(rows, b.contexts, n_buckets, 2))
-                b.data["ones"], tables = _small(every - many), every
-            others = np.zeros(len(b.contexts), np.int64)
-            others[b.live] = tables
-            now = b.swept(now, others[b.many_at], model)
-            b.data["now"] = {k: _small(x) for k, x in now.items()}
-            if i >= BURN:
-                b.data["kept"].append(b.data["now"])
-            return _table([(b.number, -1, pickle.dumps(b.data), b.sums(now).tobytes())], _STATE)
+            number, b = received(table.to_pylist(), n, i == 0, i > BURN)
+            b.sweep(model, i)
+            return told(b, number, False)
 
         return sweep
 
-    for i in range(SWEEPS):
-        kept.put(exchanged(kept.row(), n_buckets, _live_counts if i else _all_counts).groupBy("bucket").applyInArrow(sweeper(i), _STATE))
-        model.add(total(kept.df, "sums", 2 * CLASSES + 2))
-    return kept.row(), model, n_buckets
-
-
-def _common(buckets: DataFrame, model: Model) -> np.ndarray:
-    """Words with at least 1 / COMMON of all tokens, in order. At most COMMON rows."""
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                b = Bucket(r["bucket"], r)
-                yield pa.record_batch([pa.array(b.words[b.count * COMMON >= max(model.n, 1)].view(np.int64))], names=["word"])
-
-    return np.sort(np.array([r[0] for r in buckets.mapInArrow(find, "word long").collect()], np.int64).view(np.uint64))
-
-
-_SENT = "bucket int, block long, words binary, pairs binary, ctx binary, counts binary, docs binary, header binary"
-_PARTIAL = "block long, docs binary, sums binary, header binary"
+    state = Kept(_prepared(docs).mapInArrow(count, _PARTS).groupBy("bucket").applyInArrow(combine, _MESSAGE))
+    n1, n2, tokens = (int(x) for x in total(state.of("state"), "sums", 3))
+    model = Model(Model.ratio(n1, n2), tokens)
+    answers = Kept(homes(state.of("sent"), model))
+    for i in range(SWEEPS + 1):
+        known, one, two, customers, tables = (int(x) for x in total(answers.of("answer").where("sums is not null"), "sums", 5))
+        if not i:
+            model.v, model.root_d = known, Model.ratio(one, two)
+        model.history.append((customers, tables))
+        if i < SWEEPS:
+            state.put(state.of("state").unionByName(answers.of("answer")).groupBy("bucket").applyInArrow(sweeper(i), _MESSAGE))
+            answers.put(homes(state.of("sent"), model))
+    return state, answers, model, deal
+
+
+def received(rows: list[dict], n: int, first: bool, keep: bool) -> tuple[int, Bucket]:
+    """A bucket's number, and the bucket with the homes' answers."""
+    r = next(r for r in rows if r["kind"] == "state")
+    b = Bucket(r["data"])
+    b.take([r for r in rows if r["kind"] == "answer"], n, first, keep)
+    return r["bucket"], b
+
+
+_SENT = "block long, contexts binary, pairs binary, words binary, counts binary, docs binary, header binary"
+_PARTIAL = "block long, bucket int, docs binary, sums binary, header binary"
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) of every document."""
-    buckets, model, n_buckets = train(docs)
-    spark = docs.sparkSession
-    common = spark.sparkContext.broadcast(_common(buckets, model))
-    shared = spark.sparkContext.broadcast(model)
-
-    def predict(table: pa.Table) -> pa.Table:
-        """Pairs with training counts of their words and log10 probabilities, dealt as blocks deal theirs. block is -1."""
-        rows = table.to_pylist()
-        r = next(r for r in rows if r["home"] < 0)
-        b = Bucket(r["bucket"], r)
-        customers, *tables = _answers(rows, b.contexts, n_buckets, 1 + SWEEPS - BURN)
-        p = np.log10(Predictor(shared.value, b).pairs(customers, tables))
-        w, ctx = b.words[b.of], b.contexts[b.at]
-        bucket = (np.where(np.isin(w, common.value), ctx, w) % np.uint64(n_buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-        out = []
-        for k in range(n_buckets):
-            at = order[cuts[k] : cuts[k + 1]]
-            if len(at):
-                own, sizes = np.unique(b.of[at], return_counts=True)
-                out.append((k, -1, b.words[own].tobytes(), _small(sizes), ctx[at].tobytes(), _small(b.count[own]), p[at].astype("<f8").tobytes(), None))
-        return _table(out, _SENT)
+    state, answers, model, deal = train(docs)
+    both = f"{_MESSAGE}, {_SENT}"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, ids, held, counts, w, ctx, doc in read_blocks(batches):
+            found, at = grouped(w, ctx, deal)
+            doc = doc[at].astype("<u2")
             header = pickle.dumps((ids, held, counts))
-            found, sizes, pair_ctx, first, order, cuts = grouped(w, ctx, n_buckets, common.value)
-            doc = doc[order].astype("<u2")
-            ends = np.append(first, len(order))
-            pairs = np.concatenate([[0], np.cumsum(sizes)])
-            home = block % n_buckets
-            rows = []
-            for b in range(n_buckets):
-                x, y = cuts[b], cuts[b + 1]
-                if y > x or b == home:
-                    i, j = pairs[x], pairs[y]
-                    rows.append((b, block, found[x:y].tobytes(), _small(sizes[x:y]), pair_ctx[i:j].tobytes(), _small(np.diff(ends[i : j + 1])), doc[ends[i] : ends[j]].tobytes(), header if b == home else None))
-            yield _rows(rows, _SENT)
+            yield _rows([(b, None, "asked", None, None, block, own.tobytes(), _small(pairs), words_.tobytes(), _small(np.diff(np.append(first, last))), doc[first[0] : last].tobytes(), None if k else header) for k, (b, own, pairs, words_, first, last) in enumerate(found)], both)
 
     def answer(table: pa.Table) -> pa.Table:
-        known = table.filter(pa.compute.less(table.column("block"), 0)).to_pylist()
-        cat = lambda parts, t: np.concatenate([np.zeros(0, t), *parts]).astype(t)
-        sizes = [_large(r["pairs"]) for r in known]
-        w = cat([np.repeat(np.frombuffer(r["words"], "<u8"), n) for r, n in zip(known, sizes, strict=True)], np.uint64)
-        count = cat([np.repeat(_large(r["counts"]), n) for r, n in zip(known, sizes, strict=True)], np.int64)
-        ctxs, ctx = np.unique(cat([np.frombuffer(r["ctx"], "<u8") for r in known], np.uint64), return_inverse=True)
-        log_p = cat([np.frombuffer(r["docs"], "<f8") for r in known], np.float64)
-        words_, of = np.unique(w, return_inverse=True)
-        key = of * max(len(ctxs), 1) + ctx
-        order = np.argsort(key)
-        key, count, log_p = key[order], count[order], log_p[order]
-        base = np.log10(count + 1.0)
+        kind = table.column("kind").to_pylist()
+        number, b = received(table.filter(pa.array([k != "asked" for k in kind])).select(["bucket", "home", "kind", "data"]).to_pylist(), deal.n, SWEEPS == 0, True)
+        known = _large(b.data["tokens"])[b.at]
+        key = b.of * len(b.words) + b.at
+        values = [np.log10(known + 1.0), b.log_probabilities(model), (known > 0).astype(float)]
         out = []
-        for batch in table.filter(pa.compute.greater_equal(table.column("block"), 0)).to_batches(max_chunksize=16):
+        for batch in table.filter(pa.array([k == "asked" for k in kind])).to_batches(max_chunksize=16):
             for r in batch.to_pylist():
-                own, n = np.frombuffer(r["words"], "<u8"), _large(r["counts"])
-                word_of = np.repeat(np.searchsorted(words_, own), _large(r["pairs"]))
-                at = np.searchsorted(key, word_of * max(len(ctxs), 1) + np.searchsorted(ctxs, np.frombuffer(r["ctx"], "<u8")))
+                of = np.repeat(np.searchsorted(b.contexts, np.frombuffer(r["contexts"], "<u8")), _large(r["pairs"]))
+                at = np.searchsorted(key, of * len(b.words) + np.searchsorted(b.words, np.frombuffer(r["words"], "<u8")))
                 named, of = np.unique(np.frombuffer(r["docs"], "<u2"), return_inverse=True)
-                sums = np.stack([np.bincount(of, np.repeat(v, n), len(named)) for v in (base[at], log_p[at], (count[at] > 0).astype(float))]).astype(float)
-                out.append((r["block"], named.tobytes(), sums.tobytes(), r["header"]))
+                n = _large(r["counts"])
+                sums = np.stack([np.bincount(of, np.repeat(v[at], n), len(named)) for v in values])
+                out.append((r["block"], number, named.tobytes(), sums.tobytes(), r["header"]))
         return _table(out, _PARTIAL)
 
     def gather(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
+        rows = sorted(table.to_pylist(), key=lambda r: r["bucket"])
         ids, held, counts = pickle.loads(next(r["header"] for r in rows if r["header"] is not None))
         sums = np.zeros((3, len(ids)))
         for r in rows:
             sums[:, np.frombuffer(r["docs"], "<u2")] += np.frombuffer(r["sums"], "<f8").reshape(3, -1)
-        n, v = shared.value.n, shared.value.v
+        n, v = model.n, model.v
         cols = [pa.array(ids, pa.int64()), pa.array(held), pa.array(counts), pa.array(np.rint(sums[2]).astype(np.int64)), pa.array(np.full(len(ids), n, np.int64)), pa.array(sums[0] - counts * np.log10(n + v + 1.0)), pa.array(sums[1])]
         return pa.table(cols, names=[x.split()[0] for x in _SCORED.split(", ")])
 
-    known = exchanged(buckets, n_buckets, _last_counts).groupBy("bucket").applyInArrow(predict, _SENT)
-    partial = known.unionByName(_prepared(docs).mapInArrow(send, _SENT)).groupBy("bucket").applyInArrow(answer, _PARTIAL)
-    return partial.groupBy("block").applyInArrow(gather, _SCORED)
+    told = state.of("state").unionByName(answers.of("answer")).unionByName(_prepared(docs).mapInArrow(send, both), allowMissingColumns=True)
+    return told.groupBy("bucket").applyInArrow(answer, _PARTIAL).groupBy("block").applyInArrow(gather, _SCORED)
