@@ -42,9 +42,10 @@ SWEEPS, BURN, EXACT, SEED = 5, 2, 1024, 3
 #: Remainder of crc32(doc_id) mod FOLDS that is not trained on.
 FOLDS, HELD = 7, 2
 #: Tokens, and documents, of a block; text bytes a bucket; what share of a bucket's tokens splits a context.
-BLOCK_TOKENS, BLOCK_DOCS, BUCKET_BYTES, SPLIT = 1_000_000, 60_000, 20_000_000, 4
-#: Text from which the shares of contexts are estimated; only how pairs are dealt depends on it.
-SAMPLE_BYTES = 4_000_000
+BLOCK_TOKENS, BLOCK_DOCS, BUCKET_BYTES, SPLIT = 1_000_000, 60_000, 16_000_000, 4
+#: Text from which the shares of words are estimated, and how many of the most frequent are sent as numbers of two bytes. Only how pairs are
+#: dealt and written depends on these.
+SAMPLE_BYTES, COMMON = 32_000_000, 65_000
 END, START = np.uint64(0xFFFFFFFFFFFFFFFE), np.uint64(0xD1B54A32D192ED03)
 _ROOT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -83,11 +84,26 @@ def read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list,
 
 @dataclass
 class Dealing:
-    """How pairs go to n buckets: by context, and those of a split context to `parts` consecutive ones by word."""
+    """How pairs go to n buckets: by context, and those of a split context to `parts` consecutive ones by word. common: hashes that are
+    written by their place among them."""
 
     n: int
-    split: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    parts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    split: np.ndarray
+    parts: np.ndarray
+    common: np.ndarray
+
+    def coded(self, hashes: np.ndarray) -> bytes:
+        """How many there are, each one's place among the common ones or 65535, then the others in full."""
+        at = np.minimum(np.searchsorted(self.common, hashes), len(self.common) - 1)
+        known = self.common[at] == hashes
+        return len(hashes).to_bytes(8, "little") + np.where(known, at, 0xFFFF).astype("<u2").tobytes() + hashes[~known].astype("<u8").tobytes()
+
+    def decoded(self, coded: bytes) -> np.ndarray:
+        n = int.from_bytes(coded[:8], "little")
+        at = np.frombuffer(coded, "<u2", n, 8)
+        known, out = at != 0xFFFF, np.empty(n, np.uint64)
+        out[known], out[~known] = self.common[at[known]], np.frombuffer(coded[8 + 2 * n :], "<u8")
+        return out
 
     def bucket(self, ctx: np.ndarray, w: np.ndarray) -> np.ndarray:
         n, own = np.uint64(self.n), (ctx % np.uint64(self.n))
@@ -218,9 +234,9 @@ class Model:
 class Bucket:
     """A bucket's contexts, their pairs with words, and the tables of pairs. Pairs are in order of context, then word."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, deal: Dealing):
         self.data = d = pickle.loads(data)
-        self.words, self.contexts = np.frombuffer(d["words"], "<u8"), np.frombuffer(d["contexts"], "<u8")
+        self.words, self.contexts = deal.decoded(d["words"]), deal.decoded(d["contexts"])
         self.c, self.at = _large(d["counts"]), _large(d["at"])
         self.of = np.repeat(np.arange(len(self.contexts)), _large(d["pairs"]))
         self.split = _large(d["split"])  # contexts that have pairs elsewhere
@@ -327,14 +343,14 @@ def _homes(hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return order, found, np.append(cuts, len(home))
 
 
-def _addressed(number: int, sides: list[tuple[np.ndarray, list[np.ndarray]]], n: int) -> list[tuple]:
+def _addressed(number: int, sides: list[tuple[np.ndarray, list[np.ndarray]]], deal: Dealing) -> list[tuple]:
     """Messages to the homes of hashes, with the numbers of each. sides: words, split contexts."""
     parts: dict[int, list] = {}
     for side, (hashes, numbers) in enumerate(sides):
-        order, found, cuts = _homes(hashes, n)
+        order, found, cuts = _homes(hashes, deal.n)
         for h, x, y in zip(found.tolist(), cuts[:-1], cuts[1:], strict=True):
             at = order[x:y]
-            parts.setdefault(h, [None, None])[side] = (hashes[at].tobytes(), [_small(v[at]) for v in numbers])
+            parts.setdefault(h, [None, None])[side] = (deal.coded(hashes[at]), [_small(v[at]) for v in numbers])
     return [(number, h, "sent", pickle.dumps(both), None) for h, both in parts.items()]
 
 
@@ -350,9 +366,9 @@ def _placed(rows: list[dict], hashes: np.ndarray, n: int, width: int, side: int
     return out
 
 
-def _summed(parts: list) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], list[int]]:
+def _summed(parts: list, deal: Dealing) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray]:
     """Distinct hashes, the sums and the maxima of each number, and the place of each entry."""
-    hashes = [np.frombuffer(x[0], "<u8") for x in parts]
+    hashes = [deal.decoded(x[0]) for x in parts]
     found, of = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]), return_inverse=True)
     numbers = [np.concatenate([_large(x[1][k]) for x in parts]) for k in range(len(parts[0][1]))] if parts else []
     sums = [np.bincount(of, x, len(found)).astype(np.int64) for x in numbers]
@@ -364,7 +380,7 @@ def _summed(parts: list) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]
     return found, sums, most, of
 
 
-def homes(sent: DataFrame, model: Model) -> DataFrame:
+def homes(sent: DataFrame, model: Model, deal: Dealing) -> DataFrame:
     """Answers to all buckets: kind "answer". sums: words, words with one and two customers in the root, customers and tables there."""
     i = len(model.history)
 
@@ -372,7 +388,7 @@ def homes(sent: DataFrame, model: Model) -> DataFrame:
         rows = sorted(table.to_pylist(), key=lambda r: r["bucket"])
         data = [pickle.loads(r["data"]) for r in rows]
         word_parts, ctx_parts = ([d[side] for d in data if d[side] is not None] for side in (0, 1))
-        found, sums, most, of = _summed(word_parts)
+        found, sums, most, of = _summed(word_parts, deal)
         t = np.zeros(0, np.int64)
         if len(found):
             c, seen = sums[0], np.flatnonzero(sums[0])
@@ -385,18 +401,18 @@ def homes(sent: DataFrame, model: Model) -> DataFrame:
             stats = [np.count_nonzero(c), np.count_nonzero(c == 1), np.count_nonzero(c == 2), c.sum(), t.sum()]
         else:
             replies, stats = [], [0] * 5
-        _, ctx_sums, _, ctx_of = _summed(ctx_parts)
+        _, ctx_sums, _, ctx_of = _summed(ctx_parts, deal)
         out, at, ctx_at = [], 0, 0
         for k, (r, (own, ctx)) in enumerate(zip(rows, data, strict=True)):
             both = []
             if own is not None:
-                n = len(own[0]) // 8
+                n = int.from_bytes(own[0][:8], "little")
                 both.append([_small(x[of[at : at + n]]) for x in replies])
                 at += n
             else:
                 both.append([])
             if ctx is not None:
-                n = len(ctx[0]) // 8
+                n = int.from_bytes(ctx[0][:8], "little")
                 both.append([_small(x[ctx_of[ctx_at : ctx_at + n]]) for x in ctx_sums])
                 ctx_at += n
             else:
@@ -418,45 +434,51 @@ def dealing(docs: DataFrame) -> Dealing:
             yield pa.record_batch([pa.array([None, *found.view(np.int64).tolist()], pa.int64()), pa.array([len(ctx), *sizes.tolist()], pa.int64())], names=["ctx", "n"])
 
     some = _prepared(docs.select("doc_id", "text").sample(min(1.0, SAMPLE_BYTES / max(size, 1)), SEED)).mapInArrow(count, "ctx long, n long")
-    heaviest = some.groupBy("ctx").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), F.col("ctx").asc_nulls_first()).limit(SPLIT * n + 1).collect()  # all tokens, then contexts
-    everything = heaviest[0].n if heaviest else 0
-    found = sorted((r.ctx & 0xFFFFFFFFFFFFFFFF, min(n, -(-r.n * SPLIT * n // everything))) for r in heaviest[1:] if r.n * SPLIT * n > everything)
-    return Dealing(n, np.array([x for x, _ in found], np.uint64), np.array([x for _, x in found], np.uint64))
+    heaviest = some.groupBy("ctx").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), F.col("ctx").asc_nulls_first()).limit(max(SPLIT * n, COMMON) + 1).collect()  # all tokens, then contexts
+    everything, hashes, sizes = heaviest[0].n if heaviest else 0, np.array([r.ctx for r in heaviest[1:]], np.int64).view(np.uint64), np.array([r.n for r in heaviest[1:]], np.int64)
+    heavy = np.flatnonzero(sizes * SPLIT * n > everything)
+    heavy = heavy[np.argsort(hashes[heavy])]
+    return Dealing(n, hashes[heavy], np.minimum(n, -(-sizes[heavy] * SPLIT * n // max(everything, 1))).astype(np.uint64), np.unique(np.append(hashes[:COMMON], END)))
 
 
 def train(docs: DataFrame) -> tuple[Kept, Kept, Model, Dealing]:
     """The buckets' tables, the homes' last answers, what they share and how pairs are dealt. Held-out pairs are there too, with a count of 0."""
     deal = dealing(docs)
-    n = deal.n
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, held, _, w, ctx, doc in read_blocks(batches):
             found, at = grouped(w, ctx, deal)
             taught = np.concatenate([[0], np.cumsum(~held[doc[at]])])
-            yield _rows([(b, own.tobytes(), _small(pairs), words_.tobytes(), _small(np.diff(taught[np.append(first, last)]))) for b, own, pairs, words_, first, last in found], _PARTS)
+            yield _rows([(b, deal.coded(own), _small(pairs), deal.coded(words_), _small(np.diff(taught[np.append(first, last)]))) for b, own, pairs, words_, first, last in found], _PARTS)
 
     def combine(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        words_, at = np.unique(np.concatenate([np.frombuffer(r["words"], "<u8") for r in rows]), return_inverse=True)
-        contexts, of = np.unique(np.concatenate([np.frombuffer(r["contexts"], "<u8") for r in rows]), return_inverse=True)
-        of = np.repeat(of, np.concatenate([_large(r["pairs"]) for r in rows]))
-        c = np.concatenate([_large(r["counts"]) for r in rows])
-        key = of * len(words_) + at
+        number = rows[0]["bucket"]
+        words_, at = np.unique(np.concatenate([deal.decoded(r["words"]) for r in rows]), return_inverse=True)
+        contexts, of = np.unique(np.concatenate([deal.decoded(r["contexts"]) for r in rows]), return_inverse=True)
+        key = np.repeat(of, np.concatenate([_large(r["pairs"]) for r in rows]))
+        key *= len(words_)
+        key += at
+        c = np.concatenate([_large(r["counts"]).astype(np.uint32) for r in rows])
+        del rows, of, at
         order = np.argsort(key)
         key, c = key[order], c[order]
+        del order
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        pair, c = key[first], np.add.reduceat(c, first)
-        data = {"words": words_.tobytes(), "contexts": contexts.tobytes(), "pairs": _small(np.bincount(pair // len(words_), minlength=len(contexts))), "at": _small(pair % len(words_)), "counts": _small(c), "split": _small(np.flatnonzero(np.isin(contexts, deal.split))), "kept": []}
-        return told(Bucket(pickle.dumps(data)), rows[0]["bucket"], True)
+        pair, c = key[first], np.add.reduceat(c, first, dtype=np.int64)
+        del key, first
+        data = {"words": deal.coded(words_), "contexts": deal.coded(contexts), "pairs": _small(np.bincount(pair // len(words_), minlength=len(contexts))), "at": _small(pair % len(words_)), "counts": _small(c), "split": _small(np.flatnonzero(np.isin(contexts, deal.split))), "kept": []}
+        del words_, contexts, pair, c
+        return told(Bucket(pickle.dumps(data), deal), number, True)
 
     def told(b: Bucket, number: int, first: bool) -> pa.Table:
         by_word, by_ctx = b.sent(first)
         state = (number, -1, "state", pickle.dumps(b.data), b.sums().tobytes())
-        return _table([state, *_addressed(number, [(b.words, by_word), (b.contexts[b.split], by_ctx)], n)], _MESSAGE)
+        return _table([state, *_addressed(number, [(b.words, by_word), (b.contexts[b.split], by_ctx)], deal)], _MESSAGE)
 
     def sweeper(i: int) -> Callable[[pa.Table], pa.Table]:
         def sweep(table: pa.Table) -> pa.Table:
-            number, b = received(table.to_pylist(), n, i == 0, i > BURN)
+            number, b = received(table.to_pylist(), deal, i == 0, i > BURN)
             b.sweep(model, i)
             return told(b, number, False)
 
@@ -465,7 +487,7 @@ def train(docs: DataFrame) -> tuple[Kept, Kept, Model, Dealing]:
     state = Kept(_prepared(docs).mapInArrow(count, _PARTS).groupBy("bucket").applyInArrow(combine, _MESSAGE))
     n1, n2, tokens = (int(x) for x in total(state.of("state"), "sums", 3))
     model = Model(Model.ratio(n1, n2), tokens)
-    answers = Kept(homes(state.of("sent"), model))
+    answers = Kept(homes(state.of("sent"), model, deal))
     for i in range(SWEEPS + 1):
         known, one, two, customers, tables = (int(x) for x in total(answers.of("answer").where("sums is not null"), "sums", 5))
         if not i:
@@ -473,20 +495,20 @@ def train(docs: DataFrame) -> tuple[Kept, Kept, Model, Dealing]:
         model.history.append((customers, tables))
         if i < SWEEPS:
             state.put(state.of("state").unionByName(answers.of("answer")).groupBy("bucket").applyInArrow(sweeper(i), _MESSAGE))
-            answers.put(homes(state.of("sent"), model))
+            answers.put(homes(state.of("sent"), model, deal))
     return state, answers, model, deal
 
 
-def received(rows: list[dict], n: int, first: bool, keep: bool) -> tuple[int, Bucket]:
+def received(rows: list[dict], deal: Dealing, first: bool, keep: bool) -> tuple[int, Bucket]:
     """A bucket's number, and the bucket with the homes' answers."""
     r = next(r for r in rows if r["kind"] == "state")
-    b = Bucket(r["data"])
-    b.take([r for r in rows if r["kind"] == "answer"], n, first, keep)
+    b = Bucket(r["data"], deal)
+    b.take([r for r in rows if r["kind"] == "answer"], deal.n, first, keep)
     return r["bucket"], b
 
 
 _SENT = "block long, contexts binary, pairs binary, words binary, counts binary, docs binary, header binary"
-_PARTIAL = "block long, bucket int, docs binary, sums binary, header binary"
+_PARTIAL = "block long, bucket int, docs binary, known binary, sums binary, header binary"
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -500,23 +522,24 @@ def score(docs: DataFrame) -> DataFrame:
             found, at = grouped(w, ctx, deal)
             doc = doc[at].astype("<u2")
             header = pickle.dumps((ids, held, counts))
-            yield _rows([(b, None, "asked", None, None, block, own.tobytes(), _small(pairs), words_.tobytes(), _small(np.diff(np.append(first, last))), doc[first[0] : last].tobytes(), None if k else header) for k, (b, own, pairs, words_, first, last) in enumerate(found)], both)
+            yield _rows([(b, None, "asked", None, None, block, deal.coded(own), _small(pairs), deal.coded(words_), _small(np.diff(np.append(first, last))), doc[first[0] : last].tobytes(), None if k else header) for k, (b, own, pairs, words_, first, last) in enumerate(found)], both)
 
     def answer(table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_pylist()
-        number, b = received(table.filter(pa.array([k != "asked" for k in kind])).select(["bucket", "home", "kind", "data"]).to_pylist(), deal.n, SWEEPS == 0, True)
+        number, b = received(table.filter(pa.array([k != "asked" for k in kind])).select(["bucket", "home", "kind", "data"]).to_pylist(), deal, SWEEPS == 0, True)
         known = _large(b.data["tokens"])[b.at]
         key = b.of * len(b.words) + b.at
-        values = [np.log10(known + 1.0), b.log_probabilities(model), (known > 0).astype(float)]
+        values = [np.log10(known + 1.0), b.log_probabilities(model)]
+        known = (known > 0).astype(float)
         out = []
         for batch in table.filter(pa.array([k == "asked" for k in kind])).to_batches(max_chunksize=16):
             for r in batch.to_pylist():
-                of = np.repeat(np.searchsorted(b.contexts, np.frombuffer(r["contexts"], "<u8")), _large(r["pairs"]))
-                at = np.searchsorted(key, of * len(b.words) + np.searchsorted(b.words, np.frombuffer(r["words"], "<u8")))
+                of = np.repeat(np.searchsorted(b.contexts, deal.decoded(r["contexts"])), _large(r["pairs"]))
+                at = np.searchsorted(key, of * len(b.words) + np.searchsorted(b.words, deal.decoded(r["words"])))
                 named, of = np.unique(np.frombuffer(r["docs"], "<u2"), return_inverse=True)
                 n = _large(r["counts"])
                 sums = np.stack([np.bincount(of, np.repeat(v[at], n), len(named)) for v in values])
-                out.append((r["block"], number, named.tobytes(), sums.tobytes(), r["header"]))
+                out.append((r["block"], number, named.tobytes(), _small(np.bincount(of, np.repeat(known[at], n), len(named))), sums.tobytes(), r["header"]))
         return _table(out, _PARTIAL)
 
     def gather(table: pa.Table) -> pa.Table:
@@ -524,7 +547,7 @@ def score(docs: DataFrame) -> DataFrame:
         ids, held, counts = pickle.loads(next(r["header"] for r in rows if r["header"] is not None))
         sums = np.zeros((3, len(ids)))
         for r in rows:
-            sums[:, np.frombuffer(r["docs"], "<u2")] += np.frombuffer(r["sums"], "<f8").reshape(3, -1)
+            sums[:, np.frombuffer(r["docs"], "<u2")] += np.vstack([np.frombuffer(r["sums"], "<f8").reshape(2, -1), _large(r["known"])])
         n, v = model.n, model.v
         cols = [pa.array(ids, pa.int64()), pa.array(held), pa.array(counts), pa.array(np.rint(sums[2]).astype(np.int64)), pa.array(np.full(len(ids), n, np.int64)), pa.array(sums[0] - counts * np.log10(n + v + 1.0)), pa.array(sums[1])]
         return pa.table(cols, names=[x.split()[0] for x in _SCORED.split(", ")])
