@@ -10,7 +10,7 @@ import pyarrow as pa
 from tidewright.llm.common import texts
 
 #: Bytes of text worked on at once; a longer text is a block of its own.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)

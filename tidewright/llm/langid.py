@@ -110,7 +110,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, slots: int = SLOTS, hashes: int
         for batch in batches:
             own = batch.column(1).to_numpy()
             for language in np.unique(own).tolist():
-                for _, raw, starts in blocks(batch.column(0).filter(pa.array(own == language)), 4 * BLOCK):
+                for _, raw, starts in blocks(batch.column(0).filter(pa.array(own == language)), 16 * BLOCK):
                     found = grams(_CLEAN[raw], N)
                     found, n = np.unique(found[found != np.uint32(0x20202020)], return_counts=True)
                     yield pa.record_batch([pa.array(np.full(len(n), language), pa.int32()), pa.array(found.astype(np.int64)), pa.array(n)], names=["language", "gram", "n"])

@@ -42,7 +42,7 @@ SWEEPS, BURN, EXACT, SEED = 5, 2, 1024, 3
 #: Remainder of crc32(doc_id) mod FOLDS that is not trained on.
 FOLDS, HELD = 7, 2
 #: Tokens, and documents, of a block; text bytes a bucket; what share of a bucket's tokens splits a context.
-BLOCK_TOKENS, BLOCK_DOCS, BUCKET_BYTES, SPLIT = 1_000_000, 60_000, 16_000_000, 4
+BLOCK_TOKENS, BLOCK_DOCS, BUCKET_BYTES, SPLIT = 500_000, 60_000, 12_000_000, 4
 #: Text from which the shares of words are estimated, and how many of the most frequent are sent as numbers of two bytes. Only how pairs are
 #: dealt and written depends on these.
 SAMPLE_BYTES, COMMON = 32_000_000, 65_000
