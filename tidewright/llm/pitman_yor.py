@@ -46,6 +46,8 @@ BLOCK_TOKENS, BLOCK_DOCS, BUCKET_BYTES, SPLIT = 500_000, 60_000, 12_000_000, 4
 #: Text from which the shares of words are estimated, and how many of the most frequent are sent as numbers of two bytes. Only how pairs are
 #: dealt and written depends on these.
 SAMPLE_BYTES, COMMON = 32_000_000, 65_000
+#: Files the buckets are written to, at most.
+MOST_FILES = 20_000
 END, START = np.uint64(0xFFFFFFFFFFFFFFFE), np.uint64(0xD1B54A32D192ED03)
 _ROOT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -232,16 +234,17 @@ class Model:
 
 
 class Bucket:
-    """A bucket's contexts, their pairs with words, and the tables of pairs. Pairs are in order of context, then word."""
+    """A bucket's contexts, their pairs with words, and the tables of pairs. Pairs are in order of context, then word. data: what stays;
+    now: what sweeps change."""
 
-    def __init__(self, data: bytes, deal: Dealing):
-        self.data = d = pickle.loads(data)
+    def __init__(self, data: bytes, now: bytes | None, deal: Dealing):
+        d, self.data = pickle.loads(data), pickle.loads(now) if now else {"kept": []}
         self.words, self.contexts = deal.decoded(d["words"]), deal.decoded(d["contexts"])
         self.c, self.at = _large(d["counts"]), _large(d["at"])
         self.of = np.repeat(np.arange(len(self.contexts)), _large(d["pairs"]))
         self.split = _large(d["split"])  # contexts that have pairs elsewhere
         self.many = np.flatnonzero(self.c > 1)
-        self.t = _large(d["t"]) if "t" in d else np.ones(len(self.many), np.int64)
+        self.t = _large(self.data["t"]) if "t" in self.data else np.ones(len(self.many), np.int64)
 
     def tables(self, t: np.ndarray) -> np.ndarray:
         """Of every pair."""
@@ -249,10 +252,6 @@ class Bucket:
         out[self.many] = t
         return out
 
-    def sums(self) -> np.ndarray:
-        """Pairs with one and two customers, and tokens."""
-        return np.array([np.count_nonzero(self.c == 1), np.count_nonzero(self.c == 2), self.c.sum()], "<i8")
-
     def sent(self, first: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """What goes to the homes, by word and by split context: tables here; at first customers here, later a word's root tables so far."""
         by_word, by_ctx = (lambda x: np.bincount(self.at, x, len(self.words)).astype(np.int64)), (lambda x: np.bincount(self.of, x, len(self.contexts)).astype(np.int64)[self.split])
@@ -297,6 +296,7 @@ class Bucket:
 # --- over the corpus
 
 _MESSAGE = "bucket int, home int, kind string, data binary, sums binary"
+_BUCKET = "bucket int, data binary, sums binary"
 _PARTS = "bucket int, contexts binary, pairs binary, words binary, counts binary"
 
 
@@ -441,8 +441,20 @@ def dealing(docs: DataFrame) -> Dealing:
     return Dealing(n, hashes[heavy], np.minimum(n, -(-sizes[heavy] * SPLIT * n // max(everything, 1))).astype(np.uint64), np.unique(np.append(hashes[:COMMON], END)))
 
 
-def train(docs: DataFrame) -> tuple[Kept, Kept, Model, Dealing]:
-    """The buckets' tables, the homes' last answers, what they share and how pairs are dealt. Held-out pairs are there too, with a count of 0."""
+def bucketed(df: DataFrame, deal: Dealing) -> DataFrame:
+    """df as a table in the shared folder that is bucketed by `bucket`: what meets it moves, the table does not."""
+    spark, at = df.sparkSession, scratch(df.sparkSession, "buckets")
+    name = "buckets_" + at.rpartition("-")[2]
+    df.write.format("parquet").option("compression", "zstd").option("path", at).bucketBy(min(deal.n, MOST_FILES), "bucket").saveAsTable(name)
+    table = spark.table(name)
+    table.schema  # analysed: the files are all it needs
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
+def train(docs: DataFrame) -> tuple[DataFrame, DataFrame, Model, Dealing]:
+    """The buckets, their last state and the homes' last answers, what all share and how pairs are dealt. Held-out pairs are there too,
+    with a count of 0."""
     deal = dealing(docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -467,44 +479,54 @@ def train(docs: DataFrame) -> tuple[Kept, Kept, Model, Dealing]:
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         pair, c = key[first], np.add.reduceat(c, first, dtype=np.int64)
         del key, first
-        data = {"words": deal.coded(words_), "contexts": deal.coded(contexts), "pairs": _small(np.bincount(pair // len(words_), minlength=len(contexts))), "at": _small(pair % len(words_)), "counts": _small(c), "split": _small(np.flatnonzero(np.isin(contexts, deal.split))), "kept": []}
-        del words_, contexts, pair, c
-        return told(Bucket(pickle.dumps(data), deal), number, True)
+        data = {"words": deal.coded(words_), "contexts": deal.coded(contexts), "pairs": _small(np.bincount(pair // len(words_), minlength=len(contexts))), "at": _small(pair % len(words_)), "counts": _small(c), "split": _small(np.flatnonzero(np.isin(contexts, deal.split)))}
+        sums = np.array([np.count_nonzero(c == 1), np.count_nonzero(c == 2), c.sum()], "<i8")  # pairs with one and two customers, and tokens
+        return _table([(number, pickle.dumps(data), sums.tobytes())], _BUCKET)
 
-    def told(b: Bucket, number: int, first: bool) -> pa.Table:
+    def told(b: Bucket, number: int, first: bool) -> list[tuple]:
         by_word, by_ctx = b.sent(first)
-        state = (number, -1, "state", pickle.dumps(b.data), b.sums().tobytes())
-        return _table([state, *_addressed(number, [(b.words, by_word), (b.contexts[b.split], by_ctx)], deal)], _MESSAGE)
+        return _addressed(number, [(b.words, by_word), (b.contexts[b.split], by_ctx)], deal)
 
-    def sweeper(i: int) -> Callable[[pa.Table], pa.Table]:
-        def sweep(table: pa.Table) -> pa.Table:
-            number, b = received(table.to_pylist(), deal, i == 0, i > BURN)
+    def begin(table: pa.Table) -> pa.Table:
+        number = table.column("bucket")[0].as_py()
+        return _table(told(Bucket(table.column("data")[0].as_py(), None, deal), number, True), _MESSAGE)
+
+    def sweeper(i: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+        def sweep(own: pa.Table, messages: pa.Table) -> pa.Table:
+            number, b = received(own, messages.to_pylist(), deal, i == 0, i > BURN)
             b.sweep(model, i)
-            return told(b, number, False)
+            return _table([(number, -1, "state", pickle.dumps(b.data), None), *told(b, number, False)], _MESSAGE)
 
         return sweep
 
-    state = Kept(_prepared(docs).mapInArrow(count, _PARTS).groupBy("bucket").applyInArrow(combine, _MESSAGE))
-    n1, n2, tokens = (int(x) for x in total(state.of("state"), "sums", 3))
+    buckets = bucketed(_prepared(docs).mapInArrow(count, _PARTS).groupBy("bucket").applyInArrow(combine, _BUCKET), deal)
+    n1, n2, tokens = (int(x) for x in total(buckets, "sums", 3))
+    buckets = buckets.select("bucket", "data")
     model = Model(Model.ratio(n1, n2), tokens)
-    answers = Kept(homes(state.of("sent"), model, deal))
+    answers = Kept(homes(buckets.groupBy("bucket").applyInArrow(begin, _MESSAGE), model, deal))
+    messages, state = answers.of("answer"), None
     for i in range(SWEEPS + 1):
         known, one, two, customers, tables = (int(x) for x in total(answers.of("answer").where("sums is not null"), "sums", 5))
         if not i:
             model.v, model.root_d = known, Model.ratio(one, two)
         model.history.append((customers, tables))
         if i < SWEEPS:
-            state.put(state.of("state").unionByName(answers.of("answer")).groupBy("bucket").applyInArrow(sweeper(i), _MESSAGE))
+            swept = buckets.groupBy("bucket").cogroup(messages.groupBy("bucket")).applyInArrow(sweeper(i), _MESSAGE)
+            if state is None:
+                state = Kept(swept)
+            else:
+                state.put(swept)
             answers.put(homes(state.of("sent"), model, deal))
-    return state, answers, model, deal
+            messages = state.of("state").unionByName(answers.of("answer"))
+    return buckets, messages, model, deal
 
 
-def received(rows: list[dict], deal: Dealing, first: bool, keep: bool) -> tuple[int, Bucket]:
+def received(own: pa.Table, rows: list[dict], deal: Dealing, first: bool, keep: bool) -> tuple[int, Bucket]:
     """A bucket's number, and the bucket with the homes' answers."""
-    r = next(r for r in rows if r["kind"] == "state")
-    b = Bucket(r["data"], deal)
+    now = next((r["data"] for r in rows if r["kind"] == "state"), None)
+    b = Bucket(own.column("data")[0].as_py(), now, deal)
     b.take([r for r in rows if r["kind"] == "answer"], deal.n, first, keep)
-    return r["bucket"], b
+    return own.column("bucket")[0].as_py(), b
 
 
 _SENT = "block long, contexts binary, pairs binary, words binary, counts binary, docs binary, header binary"
@@ -514,7 +536,7 @@ _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) of every document."""
-    state, answers, model, deal = train(docs)
+    buckets, messages, model, deal = train(docs)
     both = f"{_MESSAGE}, {_SENT}"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -524,9 +546,9 @@ def score(docs: DataFrame) -> DataFrame:
             header = pickle.dumps((ids, held, counts))
             yield _rows([(b, None, "asked", None, None, block, deal.coded(own), _small(pairs), deal.coded(words_), _small(np.diff(np.append(first, last))), doc[first[0] : last].tobytes(), None if k else header) for k, (b, own, pairs, words_, first, last) in enumerate(found)], both)
 
-    def answer(table: pa.Table) -> pa.Table:
+    def answer(own: pa.Table, table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_pylist()
-        number, b = received(table.filter(pa.array([k != "asked" for k in kind])).select(["bucket", "home", "kind", "data"]).to_pylist(), deal, SWEEPS == 0, True)
+        number, b = received(own, table.filter(pa.array([k != "asked" for k in kind])).select(["home", "kind", "data"]).to_pylist(), deal, SWEEPS == 0, True)
         known = _large(b.data["tokens"])[b.at]
         key = b.of * len(b.words) + b.at
         values = [np.log10(known + 1.0), b.log_probabilities(model)]
@@ -552,5 +574,5 @@ def score(docs: DataFrame) -> DataFrame:
         cols = [pa.array(ids, pa.int64()), pa.array(held), pa.array(counts), pa.array(np.rint(sums[2]).astype(np.int64)), pa.array(np.full(len(ids), n, np.int64)), pa.array(sums[0] - counts * np.log10(n + v + 1.0)), pa.array(sums[1])]
         return pa.table(cols, names=[x.split()[0] for x in _SCORED.split(", ")])
 
-    told = state.of("state").unionByName(answers.of("answer")).unionByName(_prepared(docs).mapInArrow(send, both), allowMissingColumns=True)
-    return told.groupBy("bucket").applyInArrow(answer, _PARTIAL).groupBy("block").applyInArrow(gather, _SCORED)
+    told = messages.unionByName(_prepared(docs).mapInArrow(send, both), allowMissingColumns=True)
+    return buckets.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(answer, _PARTIAL).groupBy("block").applyInArrow(gather, _SCORED)
