@@ -1,4 +1,4 @@
-"""Queries over whole tables, beside those whose SQL is bound to a part; the ones with SQL are in test_queries.py too."""
+"""Queries that leave no key of their tables out; the ones with SQL are in test_queries.py too."""
 
 import os
 
@@ -18,11 +18,11 @@ def sql(text):
 @pytest.mark.parametrize(
     "name, key, want",
     [
-        ("tidal_arguments_whole", "event_id", "SELECT event_id FROM '{}/events.parquet'"),
-        ("series_sample_whole", "event_id", "SELECT event_id FROM '{}/events.parquet'"),
-        ("wind_components_whole", "event_id", "SELECT event_id FROM '{}/events.parquet'"),
-        ("backtrace_path_whole", "path", "SELECT max(o_orderkey) FROM '{}/orders.parquet' GROUP BY o_custkey"),
-        ("step_ladder_whole", "cycle", "SELECT DISTINCT date_trunc('day', o_orderdate) + INTERVAL 6 HOUR * (o_orderkey % 4) FROM '{}/orders.parquet'"),
+        ("tidal_arguments", "event_id", "SELECT event_id FROM '{}/events.parquet'"),
+        ("series_sample", "event_id", "SELECT event_id FROM '{}/events.parquet'"),
+        ("wind_components", "event_id", "SELECT event_id FROM '{}/events.parquet'"),
+        ("backtrace_path", "path", "SELECT max(o_orderkey) FROM '{}/orders.parquet' GROUP BY o_custkey"),
+        ("step_ladder", "cycle", "SELECT DISTINCT date_trunc('day', o_orderdate) + INTERVAL 6 HOUR * (o_orderkey % 4) FROM '{}/orders.parquet'"),
     ],
 )
 def test_no_key_is_left_out(spark, name, key, want):
@@ -31,12 +31,12 @@ def test_no_key_is_left_out(spark, name, key, want):
 
 def test_steps_of_all_orders(spark):
     days = {r[0] for r in sql(f"SELECT floor(epoch(o_orderdate) / 86400)::BIGINT FROM '{SF}/orders.parquet'")}
-    got = registry.QUERIES["asof_unkeyed_whole"](spark, SF).collect()
+    got = registry.QUERIES["asof_unkeyed"](spark, SF).collect()
     assert {r.tm for r in got if r.tm in days} == {r.tm for r in got if r.t0 == r.t1 == r.tm} != set()
 
 
 def test_winds_of_all_directions(spark):
-    got = {r.event_id: r for r in registry.QUERIES["wind_components_whole"](spark, SF).collect()}
+    got = {r.event_id: r for r in registry.QUERIES["wind_components"](spark, SF).collect()}
     apart = lambda a, b: abs((a - b + 180) % 360 - 180)
     cardinal = 0
     for e, value in sql(f"SELECT event_id, value FROM '{SF}/events.parquet'"):
@@ -57,7 +57,7 @@ def test_hops_over_all_links(spark):
         d += 1
         frontier = {b for a in frontier for b in near.get(a, ())} - set(want)
         want |= dict.fromkeys(frontier, d)
-    assert {r.id: r.dist for r in registry.QUERIES["bfs_hops_whole"](spark, SF).collect()} == want
+    assert {r.id: r.dist for r in registry.QUERIES["bfs_hops"](spark, SF).collect()} == want
 
 
 def test_components_of_the_whole_grid(spark):
@@ -72,5 +72,5 @@ def test_components_of_the_whole_grid(spark):
             if at in land and at not in want:
                 want[at] = cell[0] * 1048576 + cell[1]
                 fill += [(r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)]
-    got = {(r.row, r.col): r.component for r in registry.QUERIES["grid_components_whole"](spark, SF).collect()}
+    got = {(r.row, r.col): r.component for r in registry.QUERIES["grid_components"](spark, SF).collect()}
     assert got == want and max(got)[0] >= 16

@@ -52,5 +52,22 @@ def twa(heading: Column | str, wind_from: Column | str) -> Column:
     return angle_between(wind_from, heading)
 
 
-def clamp(x: Column | str, low: float, high: float) -> Column:
-    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), col(x)))
+def finite(x: Column | str | float) -> Column:
+    """x, or null for what is not a finite number."""
+    y = col(x).cast("double")
+    return F.when(F.isnan(y) | (F.abs(y) == float("inf")), None).otherwise(y)
+
+
+def at_least(x: Column | str | float, low) -> Column:
+    """The larger of both; null for null, which greatest() would pass over."""
+    return F.when(col(x).isNotNull(), F.greatest(col(x), F.lit(low)))
+
+
+def at_most(x: Column | str | float, high) -> Column:
+    """The smaller of both; null for null."""
+    return F.when(col(x).isNotNull(), F.least(col(x), F.lit(high)))
+
+
+def clamp(x: Column | str | float, low: float, high: float) -> Column:
+    """x cut to the range; null for null."""
+    return F.when(col(x).isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), col(x))))

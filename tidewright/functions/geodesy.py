@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidewright.functions.angles import clamp, col, norm360, wrap_lon
+from tidewright.functions.angles import at_least, at_most, clamp, col, norm360, wrap_lon
 
 RADIUS = 6_371_000.0
 #: Web Mercator's latitude limit.
@@ -17,7 +17,7 @@ MERCATOR = 85.05112878
 def haversine(lon1, lat1, lon2, lat2) -> Column:
     p1, p2 = F.radians(col(lat1)), F.radians(col(lat2))
     a = F.pow(F.sin((p2 - p1) / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(F.radians(col(lon2) - col(lon1)) / 2), 2)
-    return 2 * RADIUS * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    return 2 * RADIUS * F.asin(F.sqrt(at_most(a, 1.0)))
 
 
 def bearing(lon1, lat1, lon2, lat2) -> Column:
@@ -76,12 +76,12 @@ def inverse_mercator_y(y) -> Column:
 
 def tile_x(lon, zoom) -> Column:
     n = F.pow(F.lit(2.0), col(zoom))
-    return F.least(n - 1, F.greatest(F.lit(0.0), F.floor((col(lon) + 180.0) / 360.0 * n))).cast("int")
+    return at_most(at_least(F.floor((col(lon) + 180.0) / 360.0 * n), 0.0), n - 1).cast("int")
 
 
 def tile_y(lat, zoom) -> Column:
     n = F.pow(F.lit(2.0), col(zoom))
-    return F.least(n - 1, F.greatest(F.lit(0.0), F.floor((1 - mercator_y(lat) / math.pi) / 2 * n))).cast("int")
+    return at_most(at_least(F.floor((1 - mercator_y(lat) / math.pi) / 2 * n), 0.0), n - 1).cast("int")
 
 
 def bbox_contains(box: tuple[float, float, float, float], lon, lat) -> Column:

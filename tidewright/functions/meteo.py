@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidewright.functions.angles import angle_between, clamp, col, fold180, norm360, rounded
+from tidewright.functions.angles import angle_between, at_least, at_most, clamp, col, finite, fold180, norm360, rounded
 
 # Bounds of the scales.
 BEAUFORT = [0.3, 1.6, 3.4, 5.5, 8.0, 10.8, 13.9, 17.2, 20.8, 24.5, 28.5, 32.7]
@@ -19,41 +19,45 @@ G = 9.80665
 
 
 def ladder(x, bounds: list[float]) -> Column:
-    """How many bounds are at most x."""
+    """How many bounds are at most x; null for null."""
     return reduce(lambda a, b: a + b, ((col(x) >= bound).cast("int") for bound in bounds))
 
 
 def beaufort(wind_ms) -> Column:
-    return ladder(F.greatest(col(wind_ms), F.lit(0.0)), BEAUFORT)
+    return ladder(wind_ms, BEAUFORT)
 
 
 def douglas(swh_m) -> Column:
-    return ladder(F.greatest(col(swh_m), F.lit(0.0)), DOUGLAS)
+    return ladder(swh_m, DOUGLAS)
 
 
 def band(index) -> Column:
-    out = F.when(col(index) < BANDS[0][0], BANDS[0][1])
+    out = F.when(col(index).isNull(), None).when(col(index) < BANDS[0][0], BANDS[0][1])
     for cut, name in BANDS[1:]:
         out = out.when(col(index) < cut, name)
     return out.otherwise("extreme")
 
 
 def roughness(wind, current, wind_from, current_to, swh, mwp, mwd_from) -> Column:
-    """Wind against current, and swell by its square, damped by period and steepened by an opposing current."""
+    """Wind against current, and swell by its square, damped by period and steepened by an opposing current. Null if any is."""
     w, c, h, t = col(wind), col(current), col(swh), col(mwp)
     theta = F.radians(angle_between(col(wind_from) + 180.0, current_to))
-    relative = (w * w + c * c - 2 * w * c * F.cos(theta)) / F.pow(F.greatest(w, F.lit(0.001)), 2)
-    wind_term = F.least(F.lit(400.0), 50.0 * relative * clamp(w / 2.572222, 0, 1))
+    relative = (w * w + c * c - 2 * w * c * F.cos(theta)) / F.pow(at_least(w, 0.001), 2)
+    wind_term = at_most(50.0 * relative * clamp(w / 2.572222, 0, 1), 400.0)
     phi = F.radians(angle_between(col(mwd_from) + 180.0, current_to))
-    group = G * F.greatest(t, F.lit(2.0)) / (4 * math.pi)
-    steepen = 1.0 / F.greatest(F.lit(0.3), 1 - 2 * F.greatest(-(c * F.cos(phi)), F.lit(0.0)) / group)
-    wave_term = F.when(h > 0, 10.0 * h * h * (5.0 / F.greatest(t, F.lit(5.0))) * steepen).otherwise(0.0)
-    return wind_term + F.coalesce(wave_term, F.lit(0.0))
+    group = G * at_least(t, 2.0) / (4 * math.pi)
+    steepen = 1.0 / at_least(1 - 2 * at_least(-(c * F.cos(phi)), 0.0) / group, 0.3)
+    wave_term = F.when(h > 0, 10.0 * h * h * (5.0 / at_least(t, 5.0)) * steepen).when(h.isNotNull(), 0.0)
+    return wind_term + wave_term
 
 
 def sea_state_index(wind, wind_from, current, current_to, swh, mwp, mwd_from) -> Column:
-    """Rounded to a tenth; null without wind. Without waves they count as none."""
-    return rounded(roughness(wind, F.coalesce(col(current), F.lit(0.0)), wind_from, F.coalesce(col(current_to), F.lit(0.0)), F.coalesce(col(swh), F.lit(0.0)), F.coalesce(col(mwp), F.lit(5.0)), F.coalesce(col(mwd_from), F.lit(0.0))), 1)
+    """Rounded to a tenth; null without wind or its direction. Without current it counts as none; unless height, period and direction
+    of the waves are all known, so do they. What is not finite is not known."""
+    known = lambda x, default: F.coalesce(finite(x), F.lit(default))
+    waves = finite(swh).isNotNull() & finite(mwp).isNotNull() & finite(mwd_from).isNotNull()
+    h, t, d = (F.when(waves, finite(x)).otherwise(default) for x, default in ((swh, 0.0), (mwp, 5.0), (mwd_from, 0.0)))
+    return rounded(roughness(finite(wind), known(current, 0.0), finite(wind_from), known(current_to, 0.0), h, t, d), 1)
 
 
 def encounter(index, course, waves_from) -> Column:
@@ -62,11 +66,11 @@ def encounter(index, course, waves_from) -> Column:
 
 def sector(course, waves_from) -> Column:
     a = angle_between(course, waves_from)
-    return F.when(a < 30, "head").when(a < 60, "bow").when(a <= 120, "beam").when(a <= 150, "quarter").otherwise("following")
+    return F.when(a.isNull(), None).when(a < 30, "head").when(a < 60, "bow").when(a <= 120, "beam").when(a <= 150, "quarter").otherwise("following")
 
 
 def comfort_rate(index, weight) -> Column:
-    return F.when(col(index) > 75, col(weight) * F.least(F.lit(2.0), (col(index) - 75) / 100)).otherwise(0.0)
+    return F.when(col(index) > 75, col(weight) * F.least(F.lit(2.0), (col(index) - 75) / 100)).when(col(index).isNotNull(), 0.0)
 
 
 def relative_humidity(t_k, dew_k) -> Column:
@@ -90,15 +94,17 @@ def heat_index(t_c, rh) -> Column:
 
 
 def feels_like(t_c, wind_ms, rh) -> tuple[Column, Column]:
-    """Value and basis: chill, then heat, then air."""
+    """Value and basis: chill, then heat, then air; both null without a temperature."""
     chill, heat = wind_chill(t_c, wind_ms), heat_index(t_c, rh)
-    return F.coalesce(chill, heat, col(t_c)), F.when(chill.isNotNull(), "wind_chill").when(heat.isNotNull(), "heat_index").otherwise("air")
+    return F.coalesce(chill, heat, col(t_c)), F.when(chill.isNotNull(), "wind_chill").when(heat.isNotNull(), "heat_index").when(col(t_c).isNotNull(), "air")
 
 
 def precipitation(code) -> Column:
-    out = F.when(col(code).isNull(), None)
+    """Of a code, rounded half up; null for null and what is not finite."""
+    whole = rounded(col(code).cast("double"))
+    out = F.when(whole.isNull(), None)
     for k, v in PRECIPITATION.items():
-        out = out.when(col(code) == k, v)
+        out = out.when(whole == k, v)
     return out.otherwise("other")
 
 
@@ -111,7 +117,7 @@ def current_to(u, v) -> Column:
 
 
 def relation(along_ms) -> Column:
-    """Of waves to a current's component along them."""
+    """Of waves to a current's component along them; without a current, none."""
     return F.when(col(along_ms) <= -0.1, "opposing").when(col(along_ms) >= 0.1, "following").otherwise("none")
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.functions.angles import clamp
+
 
 def by_priority(df: DataFrame, keys: list[str], priority: str, name: str, values: list[str], present: Column) -> DataFrame:
     """keys, values and `source`: those of the highest priority among present rows; ties by name. One aggregate, no join."""
@@ -20,9 +22,8 @@ def layered(base: Column, layers: list[tuple[Column, Column]]) -> Column:
 
 
 def edge_weight(cells_from_edge: Column, hours_left: Column, edge: float = 5.0, hours: float = 3.0) -> Column:
-    """A layer's weight: full inside, falling to 0 at its edge and at its end."""
-    clip = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
-    return clip(cells_from_edge / edge) * clip(hours_left / hours)
+    """A layer's weight: full inside, falling to 0 at its edge and at its end; null where either is unknown."""
+    return clamp(cells_from_edge / edge, 0, 1) * clamp(hours_left / hours, 0, 1)
 
 
 def shares(df: DataFrame, name: str) -> DataFrame:

@@ -19,7 +19,7 @@ def conditions(rows: DataFrame, lat: str = "lat") -> DataFrame:
     none = (F.col("cu") == 0) & (F.col("cv") == 0)
     r = rows.withColumns({"wind_ms": wind, "wind_from": M.wind_from("u", "v"), "current_ms": F.when(~none, current), "current_to": F.when(~none, M.current_to("cu", "cv")), "rh": M.relative_humidity("t_k", "dew_k"), "t_c": F.col("t_k") - 273.15})
     feels, basis = M.feels_like("t_c", "wind_ms", "rh")
-    r = r.withColumns({"beaufort": M.beaufort("wind_ms"), "douglas": M.douglas("swh"), "sea_index": M.sea_state_index("wind_ms", "wind_from", "current_ms", "current_to", "swh", "mwp", "mwd"), "partial": F.col("swh").isNull(), "feels_c": rounded(feels, 1), "feels_basis": basis, "hpa": rounded(F.col("msl_pa") / 100, 1)})
+    r = r.withColumns({"beaufort": M.beaufort("wind_ms"), "douglas": M.douglas("swh"), "sea_index": M.sea_state_index("wind_ms", "wind_from", "current_ms", "current_to", "swh", "mwp", "mwd"), "partial": F.col("swh").isNull() | F.col("mwp").isNull() | F.col("mwd").isNull(), "feels_c": rounded(feels, 1), "feels_basis": basis, "hpa": rounded(F.col("msl_pa") / 100, 1)})
     shown = {"wind_ms": 2, "wind_from": 0, "current_ms": 3, "current_to": 0, "rh": 3, "t_c": 1}
     return r.withColumns({k: rounded(k, n) for k, n in shown.items()}).withColumn("band", M.band("sea_index")).drop("u", "v", "cu", "cv")
 
@@ -52,11 +52,10 @@ def tide_series(hours: DataFrame, keys: list[str], t: str = "t") -> DataFrame:
 
 def bilinear_filled(points: DataFrame, field: DataFrame, g: S.Geometry, radius: int = 2) -> DataFrame:
     """Bilinear over a field whose missing cells are filled from near ones; `filled` where that made a difference."""
-    full = S.fill_idw(field, radius)
-    by = points.withColumn("_p", F.monotonically_increasing_id())
-    value = S.bilinear_present(by, full.select("row", "col", "v"), g)
-    used = S.bilinear_present(by, full.select("row", "col", F.col("filled").cast("double").alias("v")), g, out="_f")
-    return value.join(used.select("_p", "_f"), "_p").select(*points.columns, "sample", (F.coalesce("_f", F.lit(0.0)) > 0).alias("filled"))
+    full = S.fill_idw(field, radius, around=g.n_lon if g.wrap else None)
+    value = S.bilinear_present(points, full.select("row", "col", "v"), g)
+    used = S.bilinear_present(value, full.select("row", "col", F.col("filled").cast("double").alias("v")), g, out="_f")
+    return used.select(*points.columns, "sample", (F.coalesce("_f", F.lit(0.0)) > 0).alias("filled"))
 
 
 # Mean longitudes (degrees at 1899-12-31 12:00 UTC, and per day) of moon, sun, lunar perigee, lunar node and solar perigee,

@@ -2,34 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.functions.angles import fold180
+from tidewright.functions.angles import at_least, fold180
 
 
-def _ladder(table: DataFrame, axis: str, keys: list[str]) -> DataFrame:
-    """Neighbouring values of an axis as half-open intervals; the outer ones reach on, for extrapolation."""
-    w = Window.partitionBy(*keys).orderBy(axis)
-    steps = table.select(*keys, axis).distinct().withColumns({"_next": F.lead(axis).over(w), "_first": F.row_number().over(w) == 1, "_last": F.lead(axis, 2).over(w).isNull()})
-    low, high = F.when(F.col("_first"), float("-inf")).otherwise(F.col(axis)), F.when(F.col("_last"), float("inf")).otherwise(F.col("_next"))
-    return steps.where("_next is not null").select(*keys, F.col(axis).alias(f"{axis}0"), F.col("_next").alias(f"{axis}1"), low.alias(f"{axis}_low"), high.alias(f"{axis}_high"))
+def _axes(table: DataFrame, keys: list[str]) -> DataFrame:
+    """A row a polar: keys, its angles and wind speeds in order, and the speeds by angle, then wind speed (null where unavailable)."""
+    axes = table.groupBy(*keys).agg(*(F.array_sort(F.collect_set(a)).alias(f"_{a}s") for a in ("twa", "tws")))
+    cells = axes.select(*keys, F.explode("_twas").alias("twa"), "_twss").select(*keys, "twa", F.explode("_twss").alias("tws"))
+    speeds = table.groupBy(*keys, "twa", "tws").agg(F.max(F.when(F.col("available"), F.col("speed"))).alias("_s"))
+    rows = cells.join(speeds, [*keys, "twa", "tws"], "left").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("twa", "tws", "_s"))).alias("_all"))
+    return axes.join(rows.select(*keys, F.col("_all._s").alias("_speeds")), keys)
 
 
 def boat_speed(points: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
-    """points (keys, twa, tws) with `speed`: bilinear, linearly extrapolated beyond the table, mirrored in twa, never negative;
-    null where a corner that counts is unavailable. The table is a small dimension of a few hundred rows a polar."""
-    cells = _ladder(table, "twa", keys).join(_ladder(table, "tws", keys), keys)
-    p = points.withColumn("_a", fold180("twa")).withColumn("_key", F.monotonically_increasing_id())
-    met = p.join(cells, keys).where("_a >= twa_low and _a < twa_high and tws >= tws_low and tws < tws_high")
-    for i in (0, 1):
-        for j in (0, 1):
-            corner = table.select(*keys, F.col("twa").alias(f"twa{i}"), F.col("tws").alias(f"tws{j}"), F.when(F.col("available"), F.col("speed")).alias(f"s{i}{j}"))
-            met = met.join(corner, [*keys, f"twa{i}", f"tws{j}"], "left")
-    ta, ts = (F.col("_a") - F.col("twa0")) / (F.col("twa1") - F.col("twa0")), (F.col("tws") - F.col("tws0")) / (F.col("tws1") - F.col("tws0"))
+    """points (keys, twa, tws) with `speed`: bilinear, linearly extrapolated beyond the table, mirrored in twa, never negative; null where
+    a corner that counts is unavailable, the angle or wind is null, or the polar is unknown. A polar with one angle or wind speed
+    has the same speed at all. Each polar is one row of some hundred numbers, in which its points look up their cell: one join."""
+    p = points.withColumn("_a", fold180("twa")).join(_axes(table, keys), keys, "left")
+
+    def cell(x: str, axis: str) -> tuple[Column, Column]:
+        at, n = F.size(F.filter(axis, lambda v: v <= F.col(x))), F.size(axis)
+        low = F.greatest(F.lit(0), F.least(at - 1, n - 2))
+        a, b = F.get(axis, low), F.get(axis, F.least(low + 1, n - 1))
+        return low, F.when(b > a, (F.col(x) - a) / (b - a)).when(F.col(x).isNotNull(), 0.0)
+
+    (i, ta), (j, ts) = cell("_a", "_twas"), cell("tws", "_twss")
+    p = p.withColumns({"_i": i, "_j": j, "_ta": ta, "_ts": ts})
+    wide = F.size("_twss")
+    down, along = (F.least(F.col(k) + 1, F.size(axis) - 1) for k, axis in (("_i", "_twas"), ("_j", "_twss")))
+    s = {(a, b): F.get("_speeds", r * wide + c) for a, r in enumerate((F.col("_i"), down)) for b, c in enumerate((F.col("_j"), along))}
     line = lambda a, b, t: F.when(t == 0, a).when(t == 1, b).otherwise(a + t * (b - a))
-    speed = line(line(F.col("s00"), F.col("s01"), ts), line(F.col("s10"), F.col("s11"), ts), ta)
-    return met.select(*points.columns, F.when(speed.isNotNull(), F.greatest(F.lit(0.0), speed)).alias("speed"))
+    speed = line(line(s[0, 0], s[0, 1], F.col("_ts")), line(s[1, 0], s[1, 1], F.col("_ts")), F.col("_ta"))
+    return p.select(*points.columns, at_least(speed, 0.0).alias("speed"))
 
 
 def best_angles(table: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.functions.angles import rounded
 from tidewright.functions.geodesy import bearing, haversine
 
 
@@ -74,7 +75,7 @@ def geojson(points: DataFrame, route: str, order: str, properties: list[str]) ->
 
 def polar_csv(table: DataFrame, polar: str, winds: list[float]) -> DataFrame:
     """Lines of a polar in knots: polar, twa, line."""
-    knots = lambda c: F.format_string("%.2f", c * 3600 / 1852)
+    knots = lambda c: F.format_string("%.2f", rounded(c * 3600 / 1852, 2))
     wide = table.groupBy(polar, "twa").pivot("tws", winds).agg(F.first("speed"))
     cells = [F.when(F.col(f"`{w}`").isNull(), "").otherwise(knots(F.col(f"`{w}`"))) for w in winds]
     return wide.select(polar, "twa", F.concat_ws(",", F.format_string("%.1f", "twa"), *cells).alias("line"))

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.functions.angles import at_least, at_most, clamp
+
 
 @dataclass(frozen=True)
 class Geometry:
@@ -21,8 +23,12 @@ class Geometry:
     wrap: bool = False
 
     def xy(self, lon: Column, lat: Column) -> tuple[Column, Column]:
-        x = F.pmod(lon - self.lon0, F.lit(360.0)) / self.d_lon if self.wrap else (lon - self.lon0) / self.d_lon
-        return x, (lat - self.lat0) / self.d_lat
+        """Fractional column and row. Columns run east from the first, across the date line too; on a grid that does not go around,
+        positions past its end, where west is shorter, lie west of its first column."""
+        east = F.pmod(lon - self.lon0, F.lit(360.0))
+        if not self.wrap:
+            east = F.when(east > max(180.0, (self.n_lon - 1) * self.d_lon), east - 360.0).otherwise(east)
+        return east / self.d_lon, (lat - self.lat0) / self.d_lat
 
     def rows_cols(self, box: tuple[float, float, float, float], margin: int = 1) -> Column:
         """Whether a cell may bear on a box: a filter of literal ranges, which reaches the scan."""
@@ -30,7 +36,7 @@ class Geometry:
         clip = lambda v, top: max(0, min(top - 1, int(v)))
         rows = sorted((clip((s - self.lat0) / self.d_lat - margin, self.n_lat), clip((n - self.lat0) / self.d_lat + 1 + margin, self.n_lat)))
         spans = [(w, e)] if w <= e else [(w, 180.0), (-180.0, e)]
-        at = lambda lon: (lon - self.lon0) % 360.0 / self.d_lon if self.wrap else (lon - self.lon0) / self.d_lon
+        at = lambda lon: (lon - self.lon0) % 360.0 / self.d_lon if self.wrap else ((lon - self.lon0 + 180.0) % 360.0 - 180.0 if (self.n_lon - 1) * self.d_lon <= 180.0 else (lon - self.lon0) % 360.0) / self.d_lon
         cols = F.lit(False)
         for a, b in spans:
             x0, x1 = at(a), at(b)
@@ -41,25 +47,38 @@ class Geometry:
         return F.col("row").between(*rows) & cols
 
 
+def _cut(i: Column, top: int) -> Column:
+    """A whole number cut to 0..top."""
+    return at_least(at_most(i, top), 0)
+
+
 def corners(x: Column, y: Column, g: Geometry) -> dict[str, Column]:
-    """c0, c1, r0, r1 and the shares tx, ty: clamped at the edges, columns modulo where the grid wraps."""
+    """c0, c1, r0, r1 and the shares tx, ty: clamped at the edges, columns modulo where the grid wraps; null for a null position."""
     c = F.floor(x).cast("int")
     if g.wrap:
         c0, c1, tx = F.pmod(c, F.lit(g.n_lon)), F.pmod(c + 1, F.lit(g.n_lon)), x - F.floor(x)
     else:
-        c0 = F.greatest(F.lit(0), F.least(c, F.lit(max(g.n_lon - 2, 0))))
-        c1, tx = F.least(c0 + 1, F.lit(g.n_lon - 1)), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x - c0))
-    r0 = F.greatest(F.lit(0), F.least(F.floor(y).cast("int"), F.lit(max(g.n_lat - 2, 0))))
-    return {"c0": c0, "c1": c1, "r0": r0, "r1": F.least(r0 + 1, F.lit(g.n_lat - 1)), "tx": tx, "ty": F.greatest(F.lit(0.0), F.least(F.lit(1.0), y - r0))}
+        c0 = _cut(c, max(g.n_lon - 2, 0))
+        c1, tx = at_most(c0 + 1, g.n_lon - 1), clamp(x - c0, 0, 1)
+    r0 = _cut(F.floor(y).cast("int"), max(g.n_lat - 2, 0))
+    return {"c0": c0, "c1": c1, "r0": r0, "r1": at_most(r0 + 1, g.n_lat - 1), "tx": tx, "ty": clamp(y - r0, 0, 1)}
+
+
+def _quads(field: DataFrame, g: Geometry, value: str) -> DataFrame:
+    """(row, col, v00, v01, v10, v11): each cell with its neighbours to the right and below, as far as they are present."""
+    steps = [(dr, dc) for dr in ((0, 1) if g.n_lat > 1 else (0,)) for dc in ((0, 1) if g.n_lon > 1 else (0,))]
+    left = lambda dc: F.pmod(F.col("col") - dc, F.lit(g.n_lon)) if g.wrap else F.col("col") - dc
+    anchors = F.array(*(F.struct((F.col("row") - dr).alias("row"), left(dc).alias("col"), F.lit(2 * dr + dc).alias("_k")) for dr, dc in steps))
+    seen = field.select(F.col(value).alias("_v"), F.inline(anchors)).where("row >= 0 and col >= 0")
+    own = lambda dr, dc: F.max(F.when(F.col("_k") == 2 * (dr if g.n_lat > 1 else 0) + (dc if g.n_lon > 1 else 0), F.col("_v")))
+    return seen.groupBy("row", "col").agg(*(own(dr, dc).alias(f"v{dr}{dc}") for dr in (0, 1) for dc in (0, 1)))
 
 
 def _with_corners(points: DataFrame, field: DataFrame, g: Geometry, value: str) -> DataFrame:
-    """points with v00, v01, v10, v11 (row, then column). Points send one row a corner; corners of a point meet again by its key."""
-    placed = points.withColumns({f"_{k}": v for k, v in corners(F.col("x"), F.col("y"), g).items()}).withColumn("_key", F.monotonically_increasing_id())
-    corner = F.array(*(F.struct(F.col(f"_{r}").alias("row"), F.col(f"_{c}").alias("col"), F.lit(k).alias("_corner")) for k, (r, c) in enumerate((("r0", "c0"), ("r0", "c1"), ("r1", "c0"), ("r1", "c1")))))
-    asked = placed.select("_key", *points.columns, "_tx", "_ty", F.inline(corner))
-    met = asked.join(field.select("row", "col", F.col(value).alias("_v")), ["row", "col"], "left")
-    return met.groupBy("_key", *points.columns, "_tx", "_ty").agg(*(F.max(F.when(F.col("_corner") == k, F.col("_v"))).alias(name) for k, name in enumerate(("v00", "v01", "v10", "v11"))))
+    """points with v00, v01, v10, v11 (row, then column). The field's cells meet their neighbours once; a point is one row, joined once."""
+    placed = points.withColumns({f"_{k}": v for k, v in corners(F.col("x"), F.col("y"), g).items() if k in ("c0", "r0", "tx", "ty")})
+    quads = _quads(field, g, value).withColumnsRenamed({"row": "_r0", "col": "_c0"})
+    return placed.join(quads, ["_r0", "_c0"], "left")
 
 
 def bilinear(points: DataFrame, field: DataFrame, g: Geometry, value: str = "v", out: str = "sample") -> DataFrame:
@@ -81,10 +100,10 @@ def bilinear_present(points: DataFrame, field: DataFrame, g: Geometry, value: st
 
 
 def nearest(points: DataFrame, field: DataFrame, g: Geometry, value: str = "v", out: str = "sample") -> DataFrame:
-    """For categories: the cell at the rounded position."""
+    """For categories: the cell at the rounded position; null for a null position."""
     c = F.floor(F.col("x") + 0.5).cast("int")
-    c = F.pmod(c, F.lit(g.n_lon)) if g.wrap else F.greatest(F.lit(0), F.least(c, F.lit(g.n_lon - 1)))
-    r = F.greatest(F.lit(0), F.least(F.floor(F.col("y") + 0.5).cast("int"), F.lit(g.n_lat - 1)))
+    c = F.pmod(c, F.lit(g.n_lon)) if g.wrap else _cut(c, g.n_lon - 1)
+    r = _cut(F.floor(F.col("y") + 0.5).cast("int"), g.n_lat - 1)
     return points.withColumns({"row": r, "col": c}).join(field.select("row", "col", F.col(value).alias(out)), ["row", "col"], "left").select(*points.columns, out)
 
 
@@ -92,24 +111,27 @@ def _offsets(radius: int) -> list[tuple[int, int]]:
     return [(dr, dc) for dr in range(-radius, radius + 1) for dc in range(-radius, radius + 1) if 0 < dr * dr + dc * dc <= radius * radius]
 
 
-def _neighbours(field: DataFrame, radius: int, value: str) -> DataFrame:
+def _neighbours(field: DataFrame, radius: int, value: str, around: int | None) -> DataFrame:
     """(row, col, dr, dc, v): every present cell, as seen from the cells within the radius of it."""
-    steps = F.array(*(F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in _offsets(radius)))
+    steps = F.array(*(F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in _offsets(radius) if around is None or -around < 2 * dc <= around))
     seen = field.where(F.col(value).isNotNull()).select("row", "col", F.col(value).alias("v"), F.inline(steps))
-    return seen.select((F.col("row") - F.col("dr")).alias("row"), (F.col("col") - F.col("dc")).alias("col"), "dr", "dc", "v")
+    col = F.col("col") - F.col("dc")
+    return seen.select((F.col("row") - F.col("dr")).alias("row"), (col if around is None else F.pmod(col, F.lit(around))).alias("col"), "dr", "dc", "v")
 
 
-def fill_idw(field: DataFrame, radius: int = 2, value: str = "v") -> DataFrame:
-    """(row, col, v, filled): missing cells take the mean of present ones within the radius by inverse squared distance."""
-    near = _neighbours(field, radius, value).withColumn("w", 1.0 / (F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")))
+def fill_idw(field: DataFrame, radius: int = 2, value: str = "v", around: int | None = None) -> DataFrame:
+    """(row, col, v, filled): missing cells take the mean of present ones within the radius by inverse squared distance. around: the
+    columns of a grid that goes around the globe, whose last is next to its first."""
+    near = _neighbours(field, radius, value, around).withColumn("w", 1.0 / (F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")))
     fills = near.groupBy("row", "col").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("_fill"))
     return field.select("row", "col", F.col(value).alias("v")).join(fills, ["row", "col"], "left").select("row", "col", F.coalesce("v", "_fill").alias("v"), (F.col("v").isNull() & F.col("_fill").isNotNull()).alias("filled"))
 
 
-def fill_nearest(field: DataFrame, radius: int = 3, value: str = "v") -> DataFrame:
-    """(row, col, v): missing cells take the nearest present one within the radius, faded to 0 with distance; 0 beyond. Ties: first by row, then column."""
+def fill_nearest(field: DataFrame, radius: int = 3, value: str = "v", around: int | None = None) -> DataFrame:
+    """(row, col, v): missing cells take the nearest present one within the radius, faded to 0 with distance; 0 beyond. Ties: first by row,
+    then column. around: as above."""
     d = F.sqrt(F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc"))
-    near = _neighbours(field, radius, value).groupBy("row", "col").agg(F.min(F.struct((F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).alias("d2"), "dr", "dc", (F.col("v") * (1 - d / radius)).alias("fade"))).alias("m"))
+    near = _neighbours(field, radius, value, around).groupBy("row", "col").agg(F.min(F.struct((F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).alias("d2"), "dr", "dc", (F.col("v") * (1 - d / radius)).alias("fade"))).alias("m"))
     return field.select("row", "col", F.col(value).alias("v")).join(near, ["row", "col"], "left").select("row", "col", F.coalesce("v", "m.fade", F.lit(0.0)).alias("v"))
 
 

@@ -79,21 +79,42 @@ def skip_after(df: DataFrame, keys: list[str], order: str, ended: Column) -> Dat
 
 
 def prune_extrema(df: DataFrame, keys: list[str], order: str, value: str, kind: str, least: float) -> DataFrame:
-    """Extrema (as from extrema()) without pairs closer than `least`: the closest adjacent high and low go, and what then meets of
-    one kind merges into the more extreme, again and again. A key's extrema are worked through in one task: one row a turn of tide."""
+    """Extrema (as from extrema()) without pairs closer than `least`: the closest adjacent high and low go (the first of equals), and what
+    then meets of one kind merges into the more extreme, again and again. A key's extrema are worked through in one task, closest pairs
+    first from a heap: one row a turn of tide."""
+    import heapq
+
     import pandas as pd
 
     def prune(part: pd.DataFrame) -> pd.DataFrame:
-        rows = part.sort_values(order).to_dict("records")
-        while len(rows) > 1:
-            gaps = [abs(a[value] - b[value]) for a, b in zip(rows, rows[1:], strict=False)]
-            at = min(range(len(gaps)), key=gaps.__getitem__)
-            if gaps[at] >= least:
-                break
-            del rows[at : at + 2]
-            if 0 < at < len(rows) and rows[at - 1][kind] == rows[at][kind]:
-                a, b = rows[at - 1], rows[at]
-                rows[at - 1 : at + 1] = [(a if a[value] >= b[value] else b) if a[kind] == "high" else (a if a[value] <= b[value] else b)]
-        return pd.DataFrame(rows, columns=part.columns)
+        part = part.sort_values(order, ignore_index=True)
+        v, high, n = part[value].tolist(), (part[kind] == "high").tolist(), len(part)
+        after, before, here = [*range(1, n), None], [None, *range(n - 1)], [True] * n
+        gaps = [(abs(v[i] - v[i + 1]), i, i + 1) for i in range(n - 1)]
+        heapq.heapify(gaps)
+
+        def link(a: int | None, b: int | None) -> None:
+            if a is not None:
+                after[a] = b
+            if b is not None:
+                before[b] = a
+            if a is not None and b is not None:
+                heapq.heappush(gaps, (abs(v[a] - v[b]), a, b))
+
+        while gaps and gaps[0][0] < least:
+            _, i, j = heapq.heappop(gaps)
+            if not (here[i] and here[j] and after[i] == j):
+                continue
+            here[i] = here[j] = False
+            a, b = before[i], after[j]
+            if a is None or b is None or high[a] != high[b]:
+                link(a, b)
+            elif (v[a] >= v[b]) if high[a] else (v[a] <= v[b]):
+                here[b] = False
+                link(a, after[b])
+            else:
+                here[a] = False
+                link(before[a], b)
+        return part[here]
 
     return df.groupBy(*keys).applyInPandas(prune, df.schema)

@@ -30,14 +30,17 @@ def within_circles(points: DataFrame, circles: DataFrame, most_m: float, size: f
     return p.join(c, ["_cx", "_cy"]).where(haversine("lon", "lat", "c_lon", "c_lat") <= F.col("radius_m")).drop("_cx", "_cy")
 
 
-def in_polygons(points: DataFrame, edges: DataFrame, key: str, size: float = 1.0) -> DataFrame:
+def in_polygons(points: DataFrame, edges: DataFrame, key: str, size: float | None = None) -> DataFrame:
     """(key, poly) for points in polygons by even-odd crossings. edges: poly, x0, y0, x1, y1, rings of shells and holes alike.
-    Edges are listed by the bands of latitude they cross; a point meets its band's edges, not all."""
+    Edges are listed by the bands of latitude they cross; a point meets its band's edges, not all. Bands are as high as an edge on the
+    mean (at most 1 degree) unless a size is given: with finer coastlines there are more bands, not more edges in each."""
     low, high = F.least("y0", "y1"), F.greatest("y0", "y1")
+    if size is None:
+        size = min(1.0, max(1e-4, edges.where("y0 <> y1").agg(F.avg(high - low)).first()[0] or 1.0))
     banded = edges.where("y0 <> y1").withColumn("_band", F.explode(F.sequence(_cell(low, size), _cell(high, size))))
     met = points.withColumn("_band", _cell(F.col("lat"), size)).join(banded, "_band")
     crosses = ((F.col("y0") > F.col("lat")) != (F.col("y1") > F.col("lat"))) & (F.col("lon") < (F.col("x1") - F.col("x0")) * (F.col("lat") - F.col("y0")) / (F.col("y1") - F.col("y0")) + F.col("x0"))
-    return met.where(crosses).groupBy(key, "poly").agg((F.count("*") % 2 == 1).alias("_in")).where("_in").select(key, "poly")
+    return met.where(F.col("lon") < F.greatest("x0", "x1")).where(crosses).groupBy(key, "poly").agg((F.count("*") % 2 == 1).alias("_in")).where("_in").select(key, "poly")
 
 
 def legs_touching(legs: DataFrame, edges: DataFrame, key: str, size: float = 1.0) -> DataFrame:

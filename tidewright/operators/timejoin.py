@@ -11,38 +11,33 @@ def bracket(left: DataFrame, steps: DataFrame, at: str, step: str, values: list[
 
     Before the first step and after the last both are that step; beyond `grace` of an end there is no match (null). The two
     tables are laid out together by time and each row takes the last step up to it and the first from it on: one shuffle by
-    the keys, none of it quadratic. `by`: keys both tables share; without any, time is cut into ranges and the steps at each
-    range's edges are carried over."""
+    the keys, none of it quadratic. Time is cut into ranges, so that a key with many rows is many groups, and
+    the steps at each range's edges are carried over. `by`: keys both tables share. Rows and steps with a null time or key meet none."""
+    from pyspark.ml.feature import Bucketizer
+
     by = by or []
     keep = [F.col(c) for c in left.columns]
     extra = [c for c in left.columns if c not in by]
     pack = F.struct(F.col(step).alias("t"), *values)
     empty = F.lit(None).cast(steps.select(pack.alias("x")).schema["x"].dataType)
     rows = left.select(*by, F.col(at).cast("double").alias("_t"), F.struct(*extra).alias("_row"), empty.alias("_step"))
-    marks = steps.select(*by, F.col(step).cast("double").alias("_t"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), pack.alias("_step"))
-    both = rows.unionByName(marks)
-    is_row = F.col("_row").isNotNull()
-    if by:
-        before = Window.partitionBy(*by).orderBy(F.col("_t"), is_row)
-        after = Window.partitionBy(*by).orderBy(F.col("_t").desc(), is_row)
-        met = both.withColumns({"_p": F.last("_step", True).over(before), "_n": F.last("_step", True).over(after)}).where(is_row)
-    else:
-        from pyspark.ml.feature import Bucketizer
-
-        n = max(64, 4 * int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        bounds = steps.agg(F.percentile_approx(F.col(step).cast("double"), [i / n for i in range(1, n)], 10_000)).first()[0] or []
-        splits = [float("-inf"), *(sorted(set(map(float, bounds))) or [0.0]), float("inf")]
-        both = Bucketizer(splits=splits, inputCol="_t", outputCol="_range", handleInvalid="keep").transform(both)
-        ends = both.where("_step is not null").groupBy("_range").agg(F.min_by("_step", "_t").alias("_first"), F.max_by("_step", "_t").alias("_last"))
-        ranges = ends.sparkSession.range(len(splits)).select(F.col("id").cast("double").alias("_range")).join(ends, "_range", "left")  # a row a range
-        order = Window.orderBy("_range")
-        carried = ranges.select("_range", F.last("_last", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_from"), F.first("_first", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_to"))
-        before, after = Window.partitionBy("_range").orderBy(F.col("_t"), is_row), Window.partitionBy("_range").orderBy(F.col("_t").desc(), is_row)
-        met = both.withColumns({"_p": F.last("_step", True).over(before), "_n": F.last("_step", True).over(after)}).where(is_row).join(F.broadcast(carried), "_range")
-        met = met.withColumns({"_p": F.coalesce("_p", "_from"), "_n": F.coalesce("_n", "_to")})
+    marks = steps.select(*by, F.col(step).cast("double").alias("_t"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), pack.alias("_step")).dropna(subset=["_t", *by])
+    n = max(64, 4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bounds = marks.agg(F.percentile_approx("_t", [i / n for i in range(1, n)], 10_000)).first()[0] or []
+    splits = [float("-inf"), *(sorted(set(bounds)) or [0.0]), float("inf")]
+    both = Bucketizer(splits=splits, inputCol="_t", outputCol="_range", handleInvalid="keep").transform(rows.unionByName(marks))
+    is_row, own = F.col("_row").isNotNull(), [*by, "_range"]
+    before, after = Window.partitionBy(*own).orderBy(F.col("_t"), is_row), Window.partitionBy(*own).orderBy(F.col("_t").desc(), is_row)
+    met = both.withColumns({"_p": F.last("_step", True).over(before), "_n": F.last("_step", True).over(after)}).where(is_row)
+    # a row a range of each key, which takes the steps next to it from the ranges around
+    ends = both.groupBy(*own).agg(F.min_by("_step", F.when(~is_row, F.col("_t"))).alias("_first"), F.max_by("_step", F.when(~is_row, F.col("_t"))).alias("_last"))
+    order = Window.partitionBy(*by).orderBy("_range")
+    carried = ends.select(*own, F.last("_last", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_from"), F.first("_first", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_to"))
+    met = met.join(carried, own, "left")
+    met = met.withColumns({"_p": F.coalesce("_p", "_from"), "_n": F.coalesce("_n", "_to")})
     met = met.withColumns({"_a": F.coalesce("_p", "_n"), "_b": F.coalesce("_n", "_p")}).select(*by, "_row.*", "_t", "_a", "_b")
     t0, t1 = F.col("_a.t").cast("double"), F.col("_b.t").cast("double")
-    fits = F.lit(True) if grace is None else (F.col("_t") >= t0 - grace) & (F.col("_t") <= t1 + grace)
+    fits = F.col("_t").isNotNull() if grace is None else (F.col("_t") >= t0 - grace) & (F.col("_t") <= t1 + grace)
     held = lambda c: F.when(fits, c)
     out = {"t0": held(F.col("_a.t")), "t1": held(F.col("_b.t")), "weight": held(F.when(t1 > t0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("_t") - t0) / (t1 - t0)))).otherwise(0.0))}
     out |= {f"{v}_{i}": held(F.col(f"_{s}.{v}")) for v in values for i, s in ((0, "a"), (1, "b"))}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,23 @@ from pyspark.sql import functions as F
 ROWS, COLS = 40, 50
 
 
+def collection() -> tuple[dict, dict, Callable]:
+    """Queries and their SQL by name, and the decorator that adds one."""
+    queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+    oracles: dict[str, str] = {}
+
+    def query(sql: str | None = None):
+        def add(f):
+            queries[f.__name__] = f
+            if sql is not None:
+                oracles[f.__name__] = sql
+            return f
+
+        return add
+
+    return queries, oracles, query
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

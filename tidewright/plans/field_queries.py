@@ -7,20 +7,10 @@ from pyspark.sql import functions as F
 
 from tidewright.functions.angles import rounded
 from tidewright.operators import fields as D
-from tidewright.plans.base import OBS, observations, r, table
+from tidewright.plans.base import OBS, collection, observations, r, table
 from tidewright.plans.scalars import FOLD, LADDER, M, MAGNUS, NORM
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, ORACLES, query = collection()
 
 
 def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,21 +71,11 @@ FS = " ".join(f"WHEN '{n}' THEN {a!r} + {b!r} * cos({NODE})" for n, (a, b, _) in
 US = " ".join(f"WHEN '{n}' THEN {c!r} * sin({NODE})" for n, (_, _, c) in D.NODAL.items()) + f" WHEN 'M4' THEN -4.2 * sin({NODE})"
 
 
-@query(f"""WITH t AS (SELECT (60000 + event_id % 400 + (event_id % 24) / 24.0::DOUBLE)::DOUBLE AS mjd, event_id FROM events WHERE event_id % 20 = 0), c AS (SELECT *, UNNEST([{', '.join(f"'{n}'" for n in D.DOODSON)}]) AS constituent FROM t)
+@query(f"""WITH t AS (SELECT (60000 + event_id % 400 + (event_id % 24) / 24.0::DOUBLE)::DOUBLE AS mjd, event_id FROM events), c AS (SELECT *, UNNEST([{', '.join(f"'{n}'" for n in D.DOODSON)}]) AS constituent FROM t)
   SELECT event_id, constituent, {r(NORM(f'CASE constituent {CASES} END'), 4)} AS arg, {r(f'CASE constituent {FS} ELSE 1 END', 6)} AS f, {r(f'CASE constituent {US} ELSE 0 END', 6)} AS u FROM c""")
 def tidal_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tidal_arguments(table(spark, sf_dir, "events").where("event_id % 20 = 0"))
-
-
-@query(ORACLES["tidal_arguments"].replace(" WHERE event_id % 20 = 0", ""))
-def tidal_arguments_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """tidal_arguments of all events."""
-    return _tidal_arguments(table(spark, sf_dir, "events"))
-
-
-def _tidal_arguments(events: DataFrame) -> DataFrame:
     e = F.col("event_id")
-    t = events.select("event_id", (60000 + e % 400 + e % 24 / F.lit(24.0)).alias("mjd"))
+    t = table(spark, sf_dir, "events").select("event_id", (60000 + e % 400 + e % 24 / F.lit(24.0)).alias("mjd"))
     return D.tidal_arguments(t).select("event_id", "constituent", rounded("arg", 4).alias("arg"), rounded("f", 6).alias("f"), rounded("u", 6).alias("u"))
 
 

@@ -12,19 +12,9 @@ from tidewright.operators import graphs
 from tidewright.operators import grids as R
 from tidewright.operators import polars as P
 from tidewright.operators import spatial as X
-from tidewright.plans.base import COLS, GRID, OBS, ROWS, observations, price_grid, r, table
+from tidewright.plans.base import COLS, GRID, OBS, ROWS, collection, observations, price_grid, r, table
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, ORACLES, query = collection()
 
 
 HOUR = "date_trunc('hour', ts)"
@@ -147,51 +137,27 @@ def contour_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("row", "col", "code", *(rounded(c, 5).alias(c) for c in ("x0", "y0", "x1", "y1")))
 
 
-@query(f"""WITH RECURSIVE {WATER}, c AS (SELECT "row" * 1048576 + col AS id FROM w WHERE NOT w AND "row" < 16 AND col < 16), e AS (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON b.id IN (a.id + 1, a.id - 1, a.id + 1048576, a.id - 1048576)),
+@query(f"""WITH RECURSIVE {WATER}, c AS (SELECT "row" * 1048576 + col AS id FROM w WHERE NOT w), e AS (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON b.id IN (a.id + 1, a.id - 1, a.id + 1048576, a.id - 1048576)),
   t AS (SELECT id, id AS reach FROM c UNION SELECT t.id, e.b FROM t JOIN e ON t.reach = e.a) SELECT (id // 1048576)::INT AS "row", (id % 1048576)::INT AS col, min(reach)::BIGINT AS component FROM t GROUP BY id""")
 def grid_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.components(_water(spark, sf_dir).where("row < 16 and col < 16").withColumn("land", ~F.col("w")), "land")
-
-
-@query()
-def grid_components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """grid_components of the whole grid. No SQL: the recursion holds every pair of connected cells."""
     return R.components(_water(spark, sf_dir).withColumn("land", ~F.col("w")), "land")
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 60 AS a, (o_orderkey // 4) % 60 AS b FROM orders WHERE o_orderkey % 97 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-  t AS (SELECT 0::BIGINT AS id, 0 AS dist UNION SELECT u.b, t.dist + 1 FROM t JOIN u ON t.id = u.a WHERE t.dist < 12) SELECT id, min(dist) AS dist FROM t GROUP BY 1""")
+@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 60 AS a, (o_orderkey // 4) % 60 AS b FROM orders), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+  t AS (SELECT 0::BIGINT AS id, 0 AS dist UNION SELECT u.b, t.dist + 1 FROM t JOIN u ON t.id = u.a WHERE t.dist < 60) SELECT id, min(dist) AS dist FROM t GROUP BY 1""")
 def bfs_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.hops(spark.range(1), _links(table(spark, sf_dir, "orders").where("o_orderkey % 97 = 0")))
+    """Over the links of all orders. The SQL's recursion is bound by the number of nodes, which no shortest path reaches."""
+    links = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 60).alias("a"), (F.floor(F.col("o_orderkey") / 4) % 60).alias("b")).distinct()
+    return graphs.hops(spark.range(1), links)
 
 
-@query()
-def bfs_hops_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """bfs_hops over the links of all orders, however far. No SQL: without a bound on dist the recursion has no end."""
-    return graphs.hops(spark.range(1), _links(table(spark, sf_dir, "orders")))
-
-
-def _links(orders: DataFrame) -> DataFrame:
-    return orders.select((F.col("o_custkey") % 60).alias("a"), (F.floor(F.col("o_orderkey") / 4) % 60).alias("b")).distinct()
-
-
-@query("""WITH RECURSIVE p AS (SELECT o_orderkey AS id, lag(o_orderkey, 1 + (o_custkey % 3)::INT) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS parent FROM orders), e AS (SELECT o_custkey, max(o_orderkey) AS id FROM orders WHERE o_custkey % 10 = 0 GROUP BY 1),
+@query("""WITH RECURSIVE p AS (SELECT o_orderkey AS id, lag(o_orderkey, 1 + (o_custkey % 3)::INT) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS parent FROM orders), e AS (SELECT o_custkey, max(o_orderkey) AS id FROM orders GROUP BY 1),
   t AS (SELECT e.id AS path, 0 AS seq, e.id FROM e UNION ALL SELECT t.path, t.seq + 1, p.parent FROM t JOIN p ON t.id = p.id WHERE p.parent IS NOT NULL) SELECT path, seq, id FROM t""")
 def backtrace_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _backtrace_path(spark, sf_dir, "o_custkey % 10 = 0")
-
-
-@query(ORACLES["backtrace_path"].replace(" WHERE o_custkey % 10 = 0", ""))
-def backtrace_path_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """backtrace_path of all customers."""
-    return _backtrace_path(spark, sf_dir, "true")
-
-
-def _backtrace_path(spark: SparkSession, sf_dir: str, ends: str) -> DataFrame:
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     o = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("id"), *(F.lag("o_orderkey", i + 1).over(w).alias(f"p{i}") for i in range(3)))
     steps = o.select("id", F.element_at(F.array("p0", "p1", "p2"), (F.col("o_custkey") % 3 + 1).cast("int")).alias("parent"))
-    return graphs.back_trace(steps, o.where(ends).groupBy("o_custkey").agg(F.max("id").alias("id")))
+    return graphs.back_trace(steps, o.groupBy("o_custkey").agg(F.max("id").alias("id")))
 
 
 POLAR = "polar AS (SELECT brand AS polar, twa, tws, floor((30 + sum(p_retailprice) % 7 + tws * 3 + least(twa, 180 - twa) * 0.2) * 100 + 0.5) / 100.0 AS speed FROM (SELECT p_brand AS brand, p_retailprice::BIGINT AS p_retailprice FROM part), (SELECT UNNEST([30, 60, 90, 120, 150, 180])::DOUBLE AS twa), (SELECT UNNEST([4, 8, 12, 16])::DOUBLE AS tws) GROUP BY 1, 2, 3)"
@@ -204,11 +170,11 @@ def _polar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("polar", "twa", "tws", (F.floor((30 + F.col("s") + F.col("tws") * 3 + F.least("twa", 180 - F.col("twa")) * 0.2) * 100 + 0.5) / 100.0).alias("speed"), F.lit(True).alias("available"))
 
 
-@query(f"""WITH {OBS}, {POLAR.replace('p_retailprice::BIGINT', 'floor(p_retailprice + 0.5)::BIGINT')}, b AS (SELECT DISTINCT polar FROM polar), q AS (SELECT event_id, 'Brand#' || (event_id % 5 + 1) || (user_id % 5 + 1) AS polar, least((((course - wind_from) % 360) + 360) % 360, 360 - (((course - wind_from) % 360) + 360) % 360) AS a, wind AS tws FROM obs),
-  i AS (SELECT q.*, greatest(1, least(5, floor(a / 30)::INT)) * 30.0 AS a0, greatest(1, least(3, floor(tws / 4)::INT)) * 4.0 AS w0 FROM q JOIN b USING (polar)),
-  v AS (SELECT i.*, (a - a0) / 30.0 AS ta, (i.tws - w0) / 4.0 AS tw, s00.speed AS s00, s01.speed AS s01, s10.speed AS s10, s11.speed AS s11 FROM i JOIN polar s00 ON s00.polar = i.polar AND s00.twa = a0 AND s00.tws = w0 JOIN polar s01 ON s01.polar = i.polar AND s01.twa = a0 AND s01.tws = w0 + 4
-    JOIN polar s10 ON s10.polar = i.polar AND s10.twa = a0 + 30 AND s10.tws = w0 JOIN polar s11 ON s11.polar = i.polar AND s11.twa = a0 + 30 AND s11.tws = w0 + 4)
-  SELECT event_id, {r('greatest(0, (s00 + tw * (s01 - s00)) + ta * ((s10 + tw * (s11 - s10)) - (s00 + tw * (s01 - s00))))', 4)} AS speed FROM v""")
+@query(f"""WITH {OBS}, {POLAR.replace('p_retailprice::BIGINT', 'floor(p_retailprice + 0.5)::BIGINT')}, q AS (SELECT event_id, 'Brand#' || (event_id % 5 + 1) || (user_id % 5 + 1) AS polar, least((((course - wind_from) % 360) + 360) % 360, 360 - (((course - wind_from) % 360) + 360) % 360) AS a, wind AS tws FROM obs),
+  i AS (SELECT q.*, greatest(1, least(5, floor(a / 30)::INT)) * 30.0 AS a0, greatest(1, least(3, floor(tws / 4)::INT)) * 4.0 AS w0 FROM q),
+  v AS (SELECT i.*, (a - a0) / 30.0 AS ta, (i.tws - w0) / 4.0 AS tw, s00.speed AS s00, s01.speed AS s01, s10.speed AS s10, s11.speed AS s11 FROM i LEFT JOIN polar s00 ON s00.polar = i.polar AND s00.twa = a0 AND s00.tws = w0 LEFT JOIN polar s01 ON s01.polar = i.polar AND s01.twa = a0 AND s01.tws = w0 + 4
+    LEFT JOIN polar s10 ON s10.polar = i.polar AND s10.twa = a0 + 30 AND s10.tws = w0 LEFT JOIN polar s11 ON s11.polar = i.polar AND s11.twa = a0 + 30 AND s11.tws = w0 + 4)
+  SELECT event_id, CASE WHEN s00 IS NOT NULL THEN {r('greatest(0, (s00 + tw * (s01 - s00)) + ta * ((s10 + tw * (s11 - s10)) - (s00 + tw * (s01 - s00))))', 4)} END AS speed FROM v""")
 def polar_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     polar = F.concat(F.lit("Brand#"), (F.col("event_id") % 5 + 1).cast("string"), (F.col("user_id") % 5 + 1).cast("string"))
     q = observations(spark, sf_dir).select("event_id", polar.alias("polar"), (F.col("course") - F.col("wind_from")).alias("twa"), F.col("wind").alias("tws"))

@@ -8,20 +8,11 @@ from pyspark.sql import functions as F
 from tidewright.functions.angles import angle_between, rounded
 from tidewright.operators import routes as T
 from tidewright.operators import series as Z
-from tidewright.plans.base import HOURLY, OBS, hourly, observations, r, table
+from tidewright.plans.base import HOURLY, OBS, collection, hourly, observations, r, table
+from tidewright.plans.grid_queries import POLAR, _polar
 from tidewright.plans.scalars import BEAR, FOLD, HAV
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, ORACLES, query = collection()
 
 
 ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
@@ -54,7 +45,7 @@ def beam_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {OBS}, p AS (SELECT *, lag(lon) OVER w AS x, lag(lat) OVER w AS y FROM obs WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
-  l AS (SELECT user_id, event_id, coalesce({HAV('x', 'y', 'lon', 'lat')}, 0) AS m, {BEAR('x', 'y', 'lon', 'lat')} AS c, wind_from FROM p)
+  l AS (SELECT user_id, event_id, CASE WHEN x IS NULL THEN 0 ELSE {HAV('x', 'y', 'lon', 'lat')} END AS m, {BEAR('x', 'y', 'lon', 'lat')} AS c, wind_from FROM p)
   SELECT event_id, {r('m', 2)} AS leg_m, {r('c', 5)} AS course, {r('sum(m) OVER (PARTITION BY user_id ORDER BY event_id)', 1)} AS along_m, {r(FOLD('c - wind_from'), 5)} AS twa FROM l""")
 def route_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = T.with_legs(observations(spark, sf_dir).drop("course"), ["user_id"], "event_id")
@@ -94,21 +85,11 @@ def tidal_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy(F.floor(F.col("h") / 24).alias("day")).agg(rounded(F.avg("range"), 4).alias("mean_range"), rounded(F.max("range"), 4).alias("max_range"))
 
 
-@query("""WITH c AS (SELECT DISTINCT date_trunc('day', o_orderdate) + INTERVAL 6 HOUR * (o_orderkey % 4) AS cycle FROM orders WHERE o_orderkey % 101 = 0)
+@query("""WITH c AS (SELECT DISTINCT date_trunc('day', o_orderdate) + INTERVAL 6 HOUR * (o_orderkey % 4) AS cycle FROM orders)
   SELECT cycle, count(*) AS steps, max(s) AS last FROM (SELECT cycle, UNNEST(CASE WHEN hour(cycle) % 12 = 0 THEN list_concat(range(0, 145, 3), range(150, 241, 6)) ELSE range(0, 145, 3) END) AS s FROM c) GROUP BY 1""")
 def step_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _step_ladder(table(spark, sf_dir, "orders").where("o_orderkey % 101 = 0"))
-
-
-@query(ORACLES["step_ladder"].replace(" WHERE o_orderkey % 101 = 0", ""))
-def step_ladder_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """step_ladder of all orders' cycles."""
-    return _step_ladder(table(spark, sf_dir, "orders"))
-
-
-def _step_ladder(o: DataFrame) -> DataFrame:
     cycle = F.timestamp_add("HOUR", (F.col("o_orderkey") % 4 * 6).cast("int"), F.date_trunc("day", F.col("o_orderdate")))
-    c = o.select(cycle.cast("timestamp").alias("cycle")).distinct()
+    c = table(spark, sf_dir, "orders").select(cycle.cast("timestamp").alias("cycle")).distinct()
     return T.step_ladder(c, 240).groupBy(F.col("cycle").cast("timestamp_ntz").alias("cycle")).agg(F.count("*").alias("steps"), F.max("step_h").alias("last"))
 
 
@@ -174,15 +155,18 @@ def strait_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observations(spark, sf_dir).withColumn("b", best).where("b.m <= 3000000").select("event_id", "b.name")
 
 
-@query()
+PLACE = "'[' || lon || ',' || lat || ']'"
+
+
+@query(f"""WITH {OBS}, o AS (SELECT user_id, event_id, lon, lat, {r('wind', 2)} AS wind, swh FROM obs),
+  j AS (SELECT user_id, string_agg({PLACE}, ',' ORDER BY event_id) AS line, string_agg('{{"type":"Feature","geometry":{{"type":"Point","coordinates":' || {PLACE} || '}},"properties":{{"wind":' || wind || ',"swh":' || swh || '}}}}', ',' ORDER BY event_id) AS points FROM o GROUP BY 1)
+  SELECT user_id, '{{"type":"FeatureCollection","features":[{{"type":"Feature","geometry":{{"type":"LineString","coordinates":[' || line || ']}}}},' || points || ']}}' AS geojson FROM j""")
 def route_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.geojson(observations(spark, sf_dir), "user_id", "event_id", ["wind", "swh"])
+    return T.geojson(observations(spark, sf_dir).withColumn("wind", rounded("wind", 2)), "user_id", "event_id", ["wind", "swh"])
 
 
-@query()
+@query(f"""WITH {POLAR.replace('p_retailprice::BIGINT', 'floor(p_retailprice + 0.5)::BIGINT')} SELECT polar, twa, printf('%.1f', twa) || ',' || string_agg(printf('%.2f', {r('speed * 3600 / 1852', 2)}), ',' ORDER BY tws) AS line FROM polar GROUP BY 1, 2""")
 def polar_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidewright.plans.grid_queries import _polar
-
     return T.polar_csv(_polar(spark, sf_dir), "polar", [4.0, 8.0, 12.0, 16.0])
 
 

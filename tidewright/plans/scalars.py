@@ -9,19 +9,9 @@ from tidewright.functions import angles as A
 from tidewright.functions import geodesy as G
 from tidewright.functions import meteo as M
 from tidewright.functions import vessel as V
-from tidewright.plans.base import OBS, observations, r
+from tidewright.plans.base import OBS, collection, observations, r
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, ORACLES, query = collection()
 
 
 NORM = lambda x: f"(((({x}) % 360) + 360) % 360)"
@@ -74,14 +64,16 @@ def cross_along_track(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {PAIRS}, s AS (SELECT *, UNNEST([0.25, 0.5, 0.75])::DOUBLE AS f, {HAV('lon0','lat0','lon','lat')} / 6371000.0::DOUBLE AS d FROM pairs),
-  k AS (SELECT *, CASE WHEN d < 1e-12 THEN 1 - f ELSE sin((1 - f) * d) / sin(d) END AS a, CASE WHEN d < 1e-12 THEN f ELSE sin(f * d) / sin(d) END AS b FROM s WHERE d < 3.1),
+  k AS (SELECT *, CASE WHEN d < 1e-12 THEN 1 - f ELSE sin((1 - f) * d) / sin(d) END AS a, CASE WHEN d < 1e-12 THEN f ELSE sin(f * d) / sin(d) END AS b FROM s),
   v AS (SELECT *, a * cos(radians(lat0)) * cos(radians(lon0)) + b * cos(radians(lat)) * cos(radians(lon)) AS x, a * cos(radians(lat0)) * sin(radians(lon0)) + b * cos(radians(lat)) * sin(radians(lon)) AS y, a * sin(radians(lat0)) + b * sin(radians(lat)) AS z FROM k)
-  SELECT event_id, f AS share, {r('degrees(atan2(y, x))', 5)} AS s_lon, {r('degrees(atan2(z, sqrt(x * x + y * y)))', 5)} AS s_lat FROM v WHERE abs(z) < 0.9999 AND abs(abs(degrees(atan2(y, x))) - 180) > 1e-6""")
+  SELECT event_id, f AS share, CASE WHEN d < 3.141 AND abs(z) < 0.9999 THEN {WRAP(r('degrees(atan2(y, x))', 5))} END AS s_lon, CASE WHEN d < 3.141 THEN {r('degrees(atan2(z, sqrt(x * x + y * y)))', 5)} END AS s_lat FROM v""")
 def slerp_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _pairs(spark, sf_dir).withColumn("share", F.explode(F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).where(G.haversine("lon0", "lat0", "lon", "lat") / G.RADIUS < 3.1)
+    """Antipodes have no great circle between them, and poles no longitude: null."""
+    p = _pairs(spark, sf_dir).withColumn("share", F.explode(F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
     lon, lat = G.slerp("lon0", "lat0", "lon", "lat", "share")
-    p = p.withColumns({"x": lon, "y": lat}).where((F.sin(F.radians("y")) < 0.9999) & (F.sin(F.radians("y")) > -0.9999) & (F.abs(F.abs("x") - 180) > 1e-6))
-    return p.select("event_id", "share", A.rounded("x", 5).alias("s_lon"), A.rounded("y", 5).alias("s_lat"))
+    p = p.withColumns({"x": lon, "y": lat, "apart": G.haversine("lon0", "lat0", "lon", "lat") / G.RADIUS < 3.141})
+    s_lon = F.when(F.col("apart") & (F.abs(F.sin(F.radians("y"))) < 0.9999), A.wrap_lon(A.rounded("x", 5)))
+    return p.select("event_id", "share", s_lon.alias("s_lon"), F.when(F.col("apart"), A.rounded("y", 5)).alias("s_lat"))
 
 
 MERC = "ln(tan(pi() / 4 + radians(greatest(-85.05112878, least(85.05112878, lat))) / 2))"
@@ -173,21 +165,12 @@ def apparent_wind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("event_id", A.rounded(aws, 5).alias("aws"), A.rounded(awa, 5).alias("awa"))
 
 
-@query(f"""WITH {OBS}, a AS (SELECT *, wind * cos(radians(wind_from)) AS u, wind * sin(radians(wind_from)) AS v, cur * cos(radians({FOLD('mwd + 180 - cur_to')})) AS along FROM obs)
-  SELECT event_id, {r(NORM('270 - degrees(atan2(v, u))'), 5)} AS from_deg, {r(NORM('degrees(atan2(u, v))'), 5)} AS to_deg, CASE WHEN along <= -0.1 THEN 'opposing' WHEN along >= 0.1 THEN 'following' ELSE 'none' END AS relation FROM a WHERE wind_from % 90 <> 0""")
+@query(f"""WITH {OBS}, a AS (SELECT *, wind * cos(radians(wind_from)) AS u, wind * sin(radians(wind_from)) AS v, {r(f"cur * cos(radians({FOLD('mwd + 180 - cur_to')}))", 9)} AS along FROM obs)
+  SELECT event_id, {NORM(r('270 - degrees(atan2(v, u))', 5))} AS from_deg, {NORM(r('degrees(atan2(u, v))', 5))} AS to_deg, CASE WHEN along <= -0.1 THEN 'opposing' WHEN along >= 0.1 THEN 'following' ELSE 'none' END AS relation FROM a""")
 def wind_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _wind_components(observations(spark, sf_dir).where("wind_from % 90 <> 0"))
-
-
-@query()
-def wind_components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """wind_components of all directions. No SQL: at 0 and 360 degrees the engines' last bits decide on which side an angle falls."""
-    return _wind_components(observations(spark, sf_dir))
-
-
-def _wind_components(o: DataFrame) -> DataFrame:
-    o = o.withColumns({"u": F.col("wind") * F.cos(F.radians("wind_from")), "v": F.col("wind") * F.sin(F.radians("wind_from")), "along": F.col("cur") * F.cos(F.radians(A.angle_between(F.col("mwd") + 180, "cur_to")))})
-    return o.select("event_id", A.rounded(M.wind_from("u", "v"), 5).alias("from_deg"), A.rounded(M.current_to("u", "v"), 5).alias("to_deg"), M.relation("along").alias("relation"))
+    """Angles are rounded, then brought into [0, 360): the engines' last bits do not decide whether one is 0 or 360."""
+    o = observations(spark, sf_dir).withColumns({"u": F.col("wind") * F.cos(F.radians("wind_from")), "v": F.col("wind") * F.sin(F.radians("wind_from")), "along": A.rounded(F.col("cur") * F.cos(F.radians(A.angle_between(F.col("mwd") + 180, "cur_to"))), 9)})
+    return o.select("event_id", A.norm360(A.rounded(M.wind_from("u", "v"), 5)).alias("from_deg"), A.norm360(A.rounded(M.current_to("u", "v"), 5)).alias("to_deg"), M.relation("along").alias("relation"))
 
 
 @query(f"""WITH {OBS}, a AS (SELECT event_id, ts, {WRAP('wind_from - course')} AS a, {WRAP('wind_from - cur_to')} AS b, wind, 2.5 AS motor, lat, lon FROM obs)

@@ -9,19 +9,9 @@ from tidewright.functions.angles import rounded
 from tidewright.operators import sampling as S
 from tidewright.operators import series as Z
 from tidewright.operators import timejoin as T
-from tidewright.plans.base import COLS, GRID, HOURLY, OBS, ROWS, hourly, observations, price_grid, r, table
+from tidewright.plans.base import COLS, GRID, HOURLY, OBS, ROWS, collection, hourly, observations, price_grid, r, table
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, ORACLES, query = collection()
 
 
 TIES = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
@@ -69,22 +59,12 @@ def time_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bracketed(spark, sf_dir).select("event_id", rounded(T.blend("v_0", "v_1", "weight"), 4).alias("v"), T.nearer("v_0", "v_1", "weight").alias("near"))
 
 
-@query("""WITH s AS (SELECT DISTINCT floor(epoch(o_orderdate) / 86400)::BIGINT AS t FROM orders WHERE o_orderkey % 7 = 0),
+@query("""WITH s AS (SELECT DISTINCT floor(epoch(o_orderdate) / 86400)::BIGINT AS t FROM orders),
   e AS (SELECT DISTINCT floor(epoch(l_shipdate) / 86400)::BIGINT AS tm FROM lineitem), a AS (SELECT tm, t AS p FROM e ASOF LEFT JOIN s ON e.tm >= s.t), b AS (SELECT a.tm, p, t AS n FROM a ASOF LEFT JOIN s ON a.tm <= s.t)
   SELECT tm, coalesce(p, n) AS t0, coalesce(n, p) AS t1 FROM b""")
 def asof_unkeyed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _asof_unkeyed(spark, sf_dir, table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0"))
-
-
-@query(ORACLES["asof_unkeyed"].replace(" WHERE o_orderkey % 7 = 0", ""))
-def asof_unkeyed_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """asof_unkeyed with all orders' days as steps."""
-    return _asof_unkeyed(spark, sf_dir, table(spark, sf_dir, "orders"))
-
-
-def _asof_unkeyed(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFrame:
     day = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / 86400).cast("long")
-    steps = orders.select(day("o_orderdate").alias("t")).distinct()
+    steps = table(spark, sf_dir, "orders").select(day("o_orderdate").alias("t")).distinct()
     tm = table(spark, sf_dir, "lineitem").select(day("l_shipdate").alias("tm")).distinct()
     return T.bracket(tm, steps, "tm", "t", []).select("tm", "t0", "t1")
 
@@ -215,23 +195,13 @@ def window_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Z.skip_after(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderkey", F.col("o_totalprice") > 300000).select("o_custkey", "o_orderkey", "skipped")
 
 
-@query(f"""WITH {HOURLY}, s AS (SELECT * FROM hourly WHERE h % 5 <> 0), p AS (SELECT event_id, epoch(ts)::DOUBLE / 3600.0 - 473352 AS tm FROM events WHERE event_id % 10 = 0),
+@query(f"""WITH {HOURLY}, s AS (SELECT * FROM hourly WHERE h % 5 <> 0), p AS (SELECT event_id, epoch(ts)::DOUBLE / 3600.0 - 473352 AS tm FROM events),
   a AS (SELECT p.*, s.h AS h0, s.v AS v0 FROM p ASOF LEFT JOIN s ON p.tm >= s.h), b AS (SELECT a.*, s.h AS h1, s.v AS v1 FROM a ASOF LEFT JOIN s ON a.tm <= s.h)
   SELECT event_id, CASE WHEN h1 - h0 <= 1 THEN {r('v0 + (v1 - v0) * CASE WHEN h1 > h0 THEN (tm - h0) / (h1 - h0) ELSE 0 END', 3)} END AS sample FROM b""")
 def series_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _series_sample(spark, sf_dir, table(spark, sf_dir, "events").where("event_id % 10 = 0"))
-
-
-@query(ORACLES["series_sample"].replace(" WHERE event_id % 10 = 0", ""))
-def series_sample_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """series_sample at all events."""
-    return _series_sample(spark, sf_dir, table(spark, sf_dir, "events"))
-
-
-def _series_sample(spark: SparkSession, sf_dir: str, events: DataFrame) -> DataFrame:
     s = hourly(spark, sf_dir).where("h % 5 <> 0").select(F.lit(0).alias("k"), "h", "v")
     tm = F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000.0 / 3600.0 - 473352
-    p = events.select("event_id", F.lit(0).alias("k"), tm.alias("tm"))
+    p = table(spark, sf_dir, "events").select("event_id", F.lit(0).alias("k"), tm.alias("tm"))
     return Z.sample(p, s, ["k"], "h", "v", "tm").select("event_id", rounded("sample", 3).alias("sample"))
 
 

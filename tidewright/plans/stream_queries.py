@@ -9,20 +9,10 @@ from pyspark.sql import functions as F
 
 from tidewright.functions.angles import rounded
 from tidewright.operators.graphs import checkpoint_dir
-from tidewright.plans.base import OBS, observations, r, table
+from tidewright.plans.base import OBS, collection, observations, r, table
 from tidewright.streaming import ingest
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, ORACLES, query = collection()
 
 
 def _ntz(*names: str) -> list:

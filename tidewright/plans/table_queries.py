@@ -5,20 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.functions.angles import rounded
 from tidewright.operators import tables as T
-from tidewright.plans.base import OBS, observations, table
+from tidewright.plans.base import OBS, collection, observations, r, table
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, ORACLES, query = collection()
 
 
 _TRI = "(SELECT n_nationkey AS tri, (n_nationkey * 53 % 300 - 150)::DOUBLE AS x0, (n_nationkey * 31 % 140 - 70)::DOUBLE AS y0, (n_nationkey * 53 % 300 - 150 + 25)::DOUBLE AS x1, (n_nationkey * 31 % 140 - 70 + 4)::DOUBLE AS y1, (n_nationkey * 53 % 300 - 150 + 9)::DOUBLE AS x2, (n_nationkey * 31 % 140 - 70 + 18)::DOUBLE AS y2 FROM nation)"
@@ -42,10 +33,10 @@ def depth_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.depth_check(s, ["user_id"], "depth", "m", 3.0)
 
 
-@query("""WITH p AS (SELECT user_id, event_id AS a, value < 60 AS narrow, value > 30 AS clear FROM events WHERE event_id <= 400), m AS (SELECT *, bool_and(clear) OVER w AS stays, bool_or(narrow) OVER w AS bad FROM p WINDOW w AS (PARTITION BY user_id ORDER BY a ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+@query("""WITH p AS (SELECT user_id, event_id AS a, value < 60 AS narrow, value > 30 AS clear FROM events), m AS (SELECT *, bool_and(clear) OVER w AS stays, bool_or(narrow) OVER w AS bad FROM p WINDOW w AS (PARTITION BY user_id ORDER BY a ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
   SELECT user_id, coalesce(min(CASE WHEN stays AND NOT bad THEN a END), max(a)) AS handover FROM m GROUP BY 1""")
 def handover_point(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.handover(table(spark, sf_dir, "events"), ["user_id"], "event_id", F.col("value") < 60, F.col("value") > 30, 400)
+    return T.handover(table(spark, sf_dir, "events"), ["user_id"], "event_id", F.col("value") < 60, F.col("value") > 30, float("inf"))
 
 
 @query("""WITH o AS (SELECT o_custkey AS k, o_orderkey AS a, o_orderkey % 5 = 0 AS own FROM orders), m AS (SELECT *, max(CASE WHEN own THEN a END) OVER (PARTITION BY k ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p, min(CASE WHEN own THEN a END) OVER (PARTITION BY k ORDER BY a ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS n FROM o)
@@ -87,6 +78,9 @@ def leg_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.leg_cells(legs, "event_id", 1.0)
 
 
-@query()
+@query(f"""WITH {OBS} SELECT event_id, {r('wind', 6)} AS speed, {r('radians(wind_from)', 6)} AS direction, {r('swh', 6)} AS height, {r('mwp', 6)} AS period, {r('radians(mwd)', 6)} AS waves FROM obs""")
 def weather_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.weather_items(observations(spark, sf_dir).withColumnRenamed("wind", "wind_ms"))
+    """The items' numbers, read back from their documents."""
+    items = T.weather_items(observations(spark, sf_dir).withColumnRenamed("wind", "wind_ms"))
+    paths = {"speed": "wind.speedTrue", "direction": "wind.directionTrue", "height": "water.waveSignificantHeight", "period": "water.wavePeriod", "waves": "water.waveDirection"}
+    return items.select("event_id", *(rounded(F.get_json_object("item", f"$.{at}").cast("double"), 6).alias(name) for name, at in paths.items()))

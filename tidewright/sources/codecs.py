@@ -112,16 +112,19 @@ def _signed(x: int, bits: int) -> int:
 
 
 def grib2_messages(buf: bytes) -> Iterator[dict]:
-    at = 0
+    at, present = 0, None
     while (at := buf.find(b"GRIB", at)) >= 0 and at + 16 <= len(buf):
         if buf[at + 7] != 2:
             raise ValueError("only edition 2 of GRIB is read")
         (total,) = struct.unpack_from(">Q", buf, at + 8)
-        yield grib2_message(buf[at : at + total])
+        found = grib2_message(buf[at : at + total], present)
+        present = found.get("present") if found.get("present") is not None else present
+        yield found
         at += total
 
 
-def grib2_message(m: bytes) -> dict:
+def grib2_message(m: bytes, before: np.ndarray | None = None) -> dict:
+    """A message's metadata and `values`; `present` is its bitmap, if any. before: the bitmap of an earlier message, which it may use."""
     out = {"discipline": m[6], "category": None, "parameter": None, "step_h": None, "member": None, "interval_h": None, "n_lon": 0, "n_lat": 0, "lat0": 0.0, "lon0": 0.0, "d_lat": 0.0, "d_lon": 0.0}
     at, packing, present = 16, None, None
     while m[at : at + 4] != b"7777":
@@ -156,7 +159,9 @@ def grib2_message(m: bytes) -> dict:
             if s[5] == 0:
                 present = np.unpackbits(np.frombuffer(s, np.uint8, offset=6))[: out["n_lon"] * out["n_lat"]].astype(bool)
             elif s[5] == 254:
-                raise ValueError("a bitmap defined before is not kept")
+                present = before
+            elif s[5] != 255:
+                raise ValueError(f"predefined bitmap {s[5]} is not supported")
         elif number == 7:
             n, template, reference, e, d, bits, rest = packing
             if bits == 0:
@@ -170,7 +175,7 @@ def grib2_message(m: bytes) -> dict:
                 full = np.full(len(present), np.nan)
                 full[present] = x[: present.sum()]
                 x = full
-            out["values"] = x
+            out |= {"values": x, "present": present}
         at += length
     return out
 
@@ -184,26 +189,43 @@ def unpack_bits(data: bytes, bits: int, n: int) -> np.ndarray:
 
 
 class _Bits:
+    """Reads bits from a place on; what a read costs does not depend on the place."""
+
     def __init__(self, data: bytes):
-        self.value, self.left = int.from_bytes(data, "big"), len(data) * 8
+        self.data, self.at = data, 0
+        self.bits = np.unpackbits(np.frombuffer(data, np.uint8))
+        self.ones = np.flatnonzero(self.bits)
 
     def take(self, n: int) -> int:
-        self.left -= n
-        if self.left < 0:
+        first, self.at = self.at, self.at + n
+        if self.at > len(self.bits):
+            raise ValueError("the coded data end early")
+        last = (self.at + 7) >> 3
+        return int.from_bytes(self.data[first >> 3 : last], "big") >> (last * 8 - self.at) & ((1 << n) - 1)
+
+    def takes(self, count: int, n: int) -> np.ndarray:
+        """count integers of n bits each."""
+        first, self.at = self.at, self.at + count * n
+        if self.at > len(self.bits):
+            raise ValueError("the coded data end early")
+        return self.bits[first : self.at].reshape(count, n) @ (1 << np.arange(n - 1, -1, -1, dtype=np.int64))
+
+    def unaries(self, count: int) -> np.ndarray:
+        """count numbers of zeros, each up to the next one."""
+        first = int(np.searchsorted(self.ones, self.at))
+        ends = self.ones[first : first + count]
+        if len(ends) < count:
             raise ValueError("the coded data end early")
-        return self.value >> self.left & ((1 << n) - 1)
+        before, self.at = self.at - 1, int(ends[-1]) + 1 if count else self.at
+        return np.diff(ends, prepend=before) - 1
 
     def unary(self) -> int:
-        n = 0
-        while not self.take(1):
-            n += 1
-        return n
+        return int(self.unaries(1)[0])
 
 
 def aec_decode(data: bytes, bits: int, flags: int, block: int, interval: int, n: int) -> np.ndarray:
     """CCSDS 121.0-B adaptive entropy coding: blocks of samples coded by splitting, second extension, zero runs or as they are,
-    then mapped prediction residuals. flags: 8 for the preprocessor, 1 for signed samples. Kept for messages that use it: bits
-    are read through one big integer a reference interval's worth at a time."""
+    then mapped prediction residuals. flags: 8 for the preprocessor, 1 for signed samples. A block's codes are read together."""
     signed, predicts = bool(flags & 1), bool(flags & 8)
     id_bits = 3 if bits <= 8 else 4 if bits <= 16 else 5
     if flags & 16 and bits <= 4:  # restricted code set
@@ -218,7 +240,7 @@ def aec_decode(data: bytes, bits: int, flags: int, block: int, interval: int, n:
             has_reference = predicts and not samples
             ident = r.take(id_bits)
             if ident == (1 << id_bits) - 1:  # as they are
-                got = [r.take(bits) for _ in range(block)]
+                got = r.takes(block, bits).tolist()
                 if has_reference:
                     reference = got[0]
             elif ident == 0:
@@ -251,8 +273,8 @@ def aec_decode(data: bytes, bits: int, flags: int, block: int, interval: int, n:
                 if has_reference:
                     reference = r.take(bits)
                 first = 1 if has_reference else 0
-                high = [r.unary() for _ in range(block - first)]
-                got = [0] * first + [(h << k) | (r.take(k) if k else 0) for h in high]
+                high = r.unaries(block - first)
+                got = [0] * first + ((high << k) | r.takes(block - first, k) if k else high).tolist()
             samples += got
         samples = samples[:want]
         if predicts:

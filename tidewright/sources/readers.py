@@ -248,6 +248,7 @@ class GribReader(_Reader):
             with open(partition.path, "rb") as f:
                 for i, m in enumerate(codecs.grib2_messages(f.read())):
                     values = m.pop("values")
+                    m.pop("present")
                     yield (partition.path, i, *m.values(), [None if x != x else float(x) for x in values])
 
 
