@@ -231,15 +231,15 @@ def test_table_counts_follow_their_conditional(c):
     assert np.abs(np.bincount(t, minlength=c + 1)[1:] / n - weight / weight.sum()).sum() < 0.03
 
 
-def brute_url(url):
+def brute_url(url, rules=RULES):
     if url is None or "://" not in url:
         return "", "", None, None
     rest = url[url.index("://") + 3 :]
     host = re.split("[/?#]", rest)[0]
     path = re.split("[?#]", rest[len(host) :])[0]
     host = host.translate(LOWER)
-    fits = [(len(r), r, v) for r, v in RULES for h, p in [(r[: r.index("/")], r[r.index("/") :])] if (host == h or host.endswith("." + h)) and path.startswith(p)]
-    return host, path, *(max(fits)[1:] if fits else (None, None))
+    fits = [(len(r), len(h), r, v) for r, v in rules for h, p in [(r[: r.index("/")], r[r.index("/") :])] if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return host, path, *(max(fits)[2:] if fits else (None, None))
 
 
 def test_urls(spark):
@@ -256,13 +256,87 @@ def test_urls(spark):
     assert {r.verdict for r in urls.filter_urls(pages, []).collect()} == {"allow"}
 
 
+def test_equally_long_rules(spark):
+    rules = [("b.com/ab", "block"), ("com/abcd", "allow"), ("x.org/", "allow"), ("x.org/", "block")]
+    pages = spark.createDataFrame([(0, "http://b.com/abcd"), (1, "http://c.com/abcd"), (2, "http://x.org/")], "page_id long, url string")
+    for more in ([], [(f"other{i}.example/", "block") for i in range(urls.INLINE)]):
+        got = {r.page_id: (r.rule, r.verdict) for r in urls.filter_urls(pages, rules + more).collect()}
+        assert got == {0: ("b.com/ab", "block"), 1: ("com/abcd", "allow"), 2: ("x.org/", "block")}
+
+
+def lexical():
+    rows = [(i, f"http://h{i % 9}.{('org', 'net', 'com')[i % 7 % 3]}/{'9' * (i % 40)}/x-{i % 4}?{'&'.join('a=1' for _ in range(i % 5))}") for i in range(1500)]
+    return rows, [int(len(u) > 45 or i % 5 == 4) for i, u in rows]
+
+
 def test_trees_learn(spark):
-    rows = [(i, f"http://h{i % 9}.org/{'9' * (i % 40)}?{'&'.join('a=1' for _ in range(i % 5))}") for i in range(1500)]
+    rows, y = lexical()
     pages = spark.createDataFrame(rows, "page_id long, url string")
-    labelled = pages.select("url", ((F.length("url") > 40) | (F.col("page_id") % 5 == 4)).cast("int").alias("y"))
+    labelled = spark.createDataFrame([(u, k) for (_, u), k in zip(rows, y, strict=True)], "url string, y int")
     got = urls.filter_urls(pages, [], labelled).collect()
-    right = sum((r.verdict == "block") == (len(dict(rows)[r.page_id]) > 40 or r.page_id % 5 == 4) for r in got)
-    assert right / len(got) > 0.93
+    assert sum((r.verdict == "block") == y[r.page_id] for r in got) / len(got) > 0.93
+
+
+def test_trees_by_brute_force(spark):
+    rows, y = lexical()
+    known = [k if i % 3 else None for i, k in enumerate(y)]
+    df = spark.createDataFrame([(i, u, k) for (i, u), k in zip(rows, known, strict=True)], "page_id long, url string, y int").withColumns({"host": urls.host(), "path": urls.path(), "fold": F.pmod(F.xxhash64("url"), F.lit(urls.FOLDS)).cast("int")})
+    fold = {r.page_id: r.fold for r in df.collect()}
+    mean = np.mean([k for k in known if k is not None])
+    tail = [brute_url(u)[0].rsplit(".", 1)[-1] for _, u in rows]
+    x = []
+    for i, u in rows:
+        host, path, *_ = brute_url(u)
+        others = [k for j, k in enumerate(known) if tail[j] == tail[i] and k is not None and not (known[i] is not None and fold[j] == fold[i])]
+        query = u.partition("?")[2]
+        share = [u.count(c) / len(u) for c in set(u)]
+        x.append([len(u), sum(p != "" for p in path.split("/")), round(sum(c.isdigit() for c in u) / len(u), 3), round(-sum(p * np.log2(p) for p in share), 3), query.count("&") + 1 if query else 0,
+                  u.count("-"), len(host.split(".")), round((sum(others) + urls.PRIOR * mean) / (len(others) + urls.PRIOR), 3), round(np.log2(tail.count(tail[i]) + 1), 2)])
+    x = np.array(x)
+    featured = urls.featured(df.drop("fold"))
+    got = {r.page_id: [r[f"f_{k}"] for k in urls.FEATURES] for r in featured.collect()}
+    assert np.allclose([got[i] for i, _ in rows], x, atol=1e-9)
+    has = np.array([k is not None for k in known])
+    labels, train = np.array([k for k in known if k is not None]), x[has]
+    cuts = [sorted(set(np.percentile(train[:, f], [100 * i / urls.BINS for i in range(1, urls.BINS)]).tolist())) for f in range(x.shape[1])]
+    bins = np.stack([(x[:, f, None] > np.array(cuts[f])).sum(1) for f in range(x.shape[1])], 1)
+    score = np.full(len(x), np.log(mean / (1 - mean)))
+    for tree in range(urls.TREES):
+        p = 1 / (1 + np.exp(-score[has]))
+        g, h = labels - p, p * (1 - p)
+        node = np.ones(len(x), int)
+        for level in range(urls.DEPTH):
+            for at in range(1 << level, 2 << level):
+                here = node[has] == at
+                best, worth = None, lambda a, b: a * a / (b + urls.LAMBDA)
+                for f in sorted({(tree * urls.SHOWN + i) % x.shape[1] for i in range(urls.SHOWN)}):
+                    for cut in sorted(set(bins[has][here, f]))[:-1]:
+                        low = here & (bins[has][:, f] <= cut)
+                        a, b, c, d = g[low].sum(), h[low].sum(), g[here].sum(), h[here].sum()
+                        gain = worth(a, b) + worth(c - a, d - b) - worth(c, d)
+                        if gain > 1e-6 and (best is None or gain > best[0] + 1e-9):
+                            best = (gain, f, cut)
+                if best:
+                    mine = node == at
+                    node[mine] = 2 * at + (bins[mine, best[1]] > best[2])
+        for at in set(node.tolist()):
+            here = node[has] == at
+            score[node == at] += urls.RATE * g[here].sum() / (h[here].sum() + urls.LAMBDA)
+    mine = {r.page_id: r.block_score for r in urls.classify(featured, urls.fit(featured)).collect()}
+    assert np.mean(np.abs(np.array([mine[i] for i, _ in rows]) - score) < 1e-3) > 0.999
+
+
+def test_urls_no_rule_judges(spark):
+    """Urls without a rule are told apart, and labels held out are foretold better than by their mean."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    got = urls.filter_urls(pages, RULES)
+    assert got.where("rule is null").select("block_score").distinct().count() > 10
+    placed = urls.with_rules(pages.select("page_id", "url").withColumns({"host": urls.host(), "path": urls.path()}), RULES)
+    verdict = (F.col("rule_verdict") == "block").cast("int")
+    out = F.pmod(F.xxhash64("url", F.lit(9)), F.lit(4)) == 0
+    rows = urls.featured(placed.withColumns({"truth": verdict, "y": F.when(~out, verdict)}))
+    loss, plain = urls.log_loss(urls.classify(rows.where("y is null and truth is not null").withColumn("y", F.col("truth")), urls.fit(rows)))
+    assert loss < 0.95 * plain
 
 
 def test_pipeline_stages(spark, odd, tmp_path, labels):

@@ -217,7 +217,16 @@ def test_mixing(spark, odd, none, labels):
     for (_, size, target), taken in by_source.items():
         assert target <= 2 * size + 1e-9 and abs(sum(taken) - target) <= 1
     assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix(odd, quality_weights(labels)).collect()))
-    applied = mixing.apply_mix(odd, mixing.mix(odd))
+    applied = mixing.apply_mix(odd)
     assert applied.columns == odd.columns
     assert applied.agg(F.sum(mixing.words())).first()[0] == mixing.mix(odd).agg(F.sum("taken")).first()[0]
-    assert mixing.apply_mix(none, mixing.mix(none)).count() == 0
+    assert mixing.apply_mix(none).count() == 0
+
+
+def test_mixed_rows_without_an_id(spark):
+    rows = [(None, "one two three"), (None, "four five six"), (7, "seven eight nine"), (7, "ten eleven twelve"), (8, "one two three"), (None, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    got = [(r.doc_id, r.text) for r in mixing.apply_mix(docs).collect()]
+    assert sum(len(t.split()) for _, t in got) == 23  # 150 % of 15, rounded half up
+    assert {i for i, t in got if t == "one two three"} == {None, 8} and all(any(t.startswith(x) for _, x in rows if x) or any(x.startswith(t) for _, x in rows if x) for _, t in got)
+    assert max(got.count(x) for x in got) <= 2

@@ -9,10 +9,19 @@ tokenizers = pytest.importorskip("tokenizers")
 PATH = public_tokenizers.path("word_bpe_49k.json")
 WHOLE = tokenizers.Tokenizer.from_file(PATH)
 ENCODER = ChunkEncoder(PATH, cache=5)
+OTHER = ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"), cache=5)
 PARTS = st.sampled_from(["Word", "word,", "don't", "it's.", "Straße", "naïve", "é", "İ", "ΟΔΟΣ", "12ab", "!!", "\x1c", "\x85", "\xa0", " ", "\n", "\t", "<|endoftext|>", "<|ENDOFTEXT|>", "中文", "áb", "ǅ", "'s", "x'll"])
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.one_of(PARTS, st.text(max_size=4)), max_size=12).map("".join))
 def test_same_ids_as_the_whole_text(text):
+    assert ENCODER.by_chunks
     assert ENCODER.encode(text.encode()).tolist() == WHOLE.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(PARTS, st.text(max_size=4)), max_size=12).map("".join))
+def test_other_vocabularies_encode_whole_texts(text):
+    assert not OTHER.by_chunks
+    assert OTHER.encode(text.encode()).tolist() == OTHER.tokenizer.encode(text, add_special_tokens=False).ids

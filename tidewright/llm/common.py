@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a fresh temporary one where none is set (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a fresh temporary one where none is set and all runs on this machine."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tidewright-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -53,10 +55,12 @@ def fresh(name: str, columns: list[str]) -> str:
     return name
 
 
-def in_order(docs: DataFrame, by: list, columns: list[str], parts: int | None = None) -> DataFrame:
-    """Rows range-partitioned by the first key and sorted by all, so that partition number, then place, is the order. Only the
-    first key is sampled for the bounds; rows equal in it share a partition."""
-    n = parts or slots(docs.sparkSession)
+def in_order(docs: DataFrame, by: list, columns: list[str], text: str = "text", most: int = 128 << 20) -> DataFrame:
+    """Rows range-partitioned by the first key and sorted by all, so that partition number, then place, is the order. There are as many
+    partitions as make `most` bytes of text each, and the session's at least. Only the first key is sampled for the bounds; rows
+    equal in it share a partition."""
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    n = max(slots(docs.sparkSession), -(-size // most))
     return docs.select(*columns).repartitionByRange(n, by[0]).sortWithinPartitions(*by)
 
 

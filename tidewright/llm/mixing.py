@@ -56,9 +56,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float
     return rows.withColumn("final", level).select("source", "source_size", F.when(F.col("final").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("final") * F.col("weight"))).alias("target"))
 
 
-def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, most: float = EPOCHS, seed: str = SEED, slices: int = SLICES) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, for every row of docs. quality: doc_id and weight."""
-    sized = docs.select("doc_id", "source", words().alias("size"))
+def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, most: float = EPOCHS, seed: str = SEED, slices: int = SLICES, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, and the columns carried, for every row of docs. quality: doc_id and weight."""
+    sized = docs.select("doc_id", "source", words().alias("size"), *carried)
     if quality is None:
         sized = sized.withColumn("w", F.lit(1.0))
     else:
@@ -75,22 +75,31 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[float,
     runs = runs.join(aims.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "slice_size")
     runs = runs.select(F.col("source").alias("_source"), F.col("slice").alias("_slice"), "before", "source_size", "target")
     met = sized.join(runs, F.col("source").eqNullSafe(F.col("_source")) & (F.col("slice") == F.col("_slice"))).drop("_source", "_slice")
-    within = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "size", *carried).rowsBetween(Window.unboundedPreceding, -1)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")
     place = F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0))
     taken = F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("place")))
-    return met.withColumn("epochs", epochs).withColumns({"rest": rest, "place": place}).select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return met.withColumn("epochs", epochs).withColumns({"rest": rest, "place": place}).select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *carried)
 
 
-def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """docs as the mix takes them: a document once for each whole time, and cut to the words that fit for the rest. mixed: mix(docs)."""
-    doc, key, size, taken, piece, n = (fresh(x, docs.columns) for x in ("_doc", "_key", "_size", "_taken", "_words", "_n"))
-    at = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))  # null ids meet each other
-    times = mixed.where("taken > 0").groupBy(at.alias(doc), F.col("size").alias(size)).agg(F.sum("taken").alias(taken))
-    # rows that repeat a document give their words through one of them; texts move once, by document
-    once = docs.withColumn(key, at).repartition(key).dropDuplicates([key, "text"]).withColumn(n, words())
-    met = once.join(times, (F.col(key) == F.col(doc)) & (F.col(n) - F.col(size) == 0))
+def named(docs: DataFrame, name: str = "_row") -> DataFrame:
+    """docs with a number for each distinct pair of doc_id and text (null for null is one too)."""
+    return docs.withColumn(name, F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit(""))))
+
+
+def apply_mix(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
+    """docs as mix() takes them: a document once for each whole time, and cut to the words that fit for the rest.
+
+    Defined results: rows that repeat a doc_id and text give all their words through one of them; rows without doc_id are told apart by
+    their text; a text without words is never taken; an empty table gives an empty one; columns are those of docs."""
+    row, size, taken, piece = (fresh(x, docs.columns) for x in ("_row", "_size", "_taken", "_words"))
+    rows = named(docs, row)
+    mixed = mix(rows, quality, carried=(row,))
+    times = mixed.where("taken > 0").groupBy(row).agg(F.max("size").alias(size), F.sum("taken").alias(taken))
+    # texts move once, by document
+    once = rows.repartition(row).dropDuplicates([row])
+    met = once.join(times, row)
     pieces = F.transform(F.sequence(F.lit(1), F.ceil(F.col(taken) / F.col(size))), lambda i: F.least(F.col(size), F.col(taken) - (i - 1) * F.col(size)))
     rows = met.withColumn(piece, F.explode(pieces))
     # only a source's edge document is cut

@@ -15,6 +15,7 @@ doc_id comes first; an empty table gives no file and no row; further columns of
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -34,6 +35,7 @@ ROWS = 256
 
 
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    uri = re.sub("^s3[an]://", "s3://", uri)
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
 
 

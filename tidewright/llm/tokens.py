@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterable, Iterator
@@ -9,12 +10,15 @@ from functools import lru_cache
 
 import numpy as np
 
+#: The normalizer and the splits for which a text's ids are those of its chunks. Texts of other vocabularies are encoded whole.
+NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
 #: A chunk of one run of Latin letters and one of ASCII punctuation (no apostrophe): the vocabulary splits it just there.
 _PLAIN = re.compile("([a-zß-öø-ÿÀ-ÖØ-Þ]+)([!-&(-/:-@\\[-`{-~]*)")
 
 
 class ChunkEncoder:
-    """Encodes UTF-8 texts. The vocabulary lowers case, drops white space and never merges across it, so a text's ids are
+    """Encodes UTF-8 texts. Where the vocabulary lowers case, drops white space and never merges across it, a text's ids are
     those of its chunks in turn; a chunk of letters and punctuation has the ids of the one, then the other. Each distinct part
     goes through the tokenizer once while it is cached. Two generations of at most `cache` parts are kept, so memory is bounded
     however many distinct chunks the corpus has."""
@@ -29,6 +33,9 @@ class ChunkEncoder:
         self.ends = np.zeros(size, bool)  # ids that end a word
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
+        spec = json.loads(self.tokenizer.to_str())
+        normal, split, model = spec["normalizer"] or {}, spec["pre_tokenizer"] or {}, spec["model"]
+        self.by_chunks = normal.get("normalizers") == NORMAL and (split.get("pretokenizers") or [None])[0] == SPLIT and model.get("end_of_word_suffix") == "</w>" and not spec["post_processor"]
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -73,6 +80,10 @@ class ChunkEncoder:
 
     def encode_all(self, texts: Iterable[bytes]) -> Iterator[np.ndarray]:
         """Ids of each text. What is new in some 256 KB of texts goes through the tokenizer together."""
+        if not self.by_chunks:
+            for text in texts:
+                yield np.frombuffer(self._ids([text.decode("utf-8", "replace")])[0], self.dtype)
+            return
         held: list[list[bytes]] = []
         size = 0
         for text in texts:

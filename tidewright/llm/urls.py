@@ -1,11 +1,16 @@
 """URL filters: rules first, then gradient-boosted trees on lexical features. DataFrame functions only.
 
 A rule is a host and a path prefix; it fits its host and all subdomains of it if the url's path starts with the prefix, and the
-longest fitting rule decides. Other urls are judged by trees boosted on the logistic loss. Their features are length, path
-depth, digit ratio, entropy of the characters, number of parameters, hyphens, host labels, and the share of blocked urls
-under the host's suffix among the labelled ones (smoothed). Features are cut into at most `BINS` bins at quantiles of the
-labelled urls; equal binned rows are aggregated once, so a round of boosting costs a sum over distinct rows, and only sums by
-node, feature and bin, a fixed number, reach the driver. Sums are of rounded integers: reruns give the same trees.
+longest fitting rule decides (of equally long ones that with the longer host; of equal ones the last given). Other urls are judged by
+trees boosted on the logistic loss, trained from labelled urls; without any the urls the rules judge are the labelled ones. Features are
+length, path depth, digit ratio, entropy of the characters, number of parameters, hyphens, host labels, and two statistics of the
+host's suffix: how many urls have it, and the share of blocked ones among the labelled urls that have it, drawn towards the mean of
+all by `PRIOR` urls. A labelled url's own fold of `FOLDS` is left out of its share, so trees do not learn from an answer they are
+given. Each tree sees `SHOWN` of the features, in turn, so that urls are told apart by more than the strongest one.
+
+Features are rounded, and cut into at most `BINS` bins at exact quantiles of the labelled urls; equal binned rows are aggregated once,
+so a round of boosting costs a sum over distinct rows, and only sums by node, feature and bin, a fixed number, reach the driver. Sums
+are of rounded integers: reruns give the same trees.
 
 Defined results: a null url, and one without `://`, has empty host and path, no rule, and is judged by its other features; a
 table without labelled urls, or with one label only, gives that label's verdict (allow if none); rows repeat independently;
@@ -22,12 +27,12 @@ from pyspark.sql import functions as F
 
 from tidewright.llm.common import written
 
-BINS, TREES, DEPTH, RATE, LAMBDA = 16, 12, 3, 0.3, 1.0
+BINS, TREES, DEPTH, RATE, LAMBDA, SHOWN, FOLDS = 16, 18, 3, 0.3, 1.0, 5, 5
 #: Labelled urls of the mean label that each suffix is taken to have besides its own.
 PRIOR = 20.0
 #: Rules up to which they are tested in one expression; more are joined by host.
 INLINE = 100
-FEATURES = ["length", "depth", "digits", "entropy", "parameters", "hyphens", "labels", "suffix"]
+FEATURES = ["length", "depth", "digits", "entropy", "parameters", "hyphens", "labels", "share", "count"]
 _UPPER, _LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -46,7 +51,7 @@ def _split(rule: str) -> tuple[str, str]:
 
 def with_rules(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """pages (with host and path) and `rule`, `rule_verdict` (null where none fits). rules: (host and path, verdict)."""
-    ordered = sorted(rules, key=lambda r: (-len(r[0]), r[0]))
+    ordered = sorted(dict(rules).items(), key=lambda r: (-len(r[0]), -r[0].index("/")))
     if len(ordered) <= INLINE:
         fits = [(rule, verdict, ((F.col("host") == h) | F.col("host").endswith("." + h)) & F.col("path").startswith(p)) for rule, verdict in ordered for h, p in [_split(rule)]]
         none = F.lit(None).cast("string")
@@ -58,7 +63,7 @@ def with_rules(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     parts = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     met = places.withColumn("rule_host", F.explode(suffixes)).join(known, "rule_host").where(F.expr("startswith(path, rule_path)"))
-    best = met.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "rule_verdict")).alias("m")).select(F.col("host").alias("_host"), F.col("path").alias("_path"), "m.rule", "m.rule_verdict")
+    best = met.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), F.length("rule_host").alias("h"), "rule", "rule_verdict")).alias("m")).select(F.col("host").alias("_host"), F.col("path").alias("_path"), "m.rule", "m.rule_verdict")
     return pages.join(best, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left").drop("_host", "_path")
 
 
@@ -73,8 +78,8 @@ def features(url: str = "url") -> dict[str, Column]:
     return {
         "length": n.cast("double"),
         "depth": F.size(F.filter(F.split(F.col("path"), "/"), lambda x: x != "")).cast("double"),
-        "digits": F.when(n > 0, F.length(F.regexp_replace(text, "[^0-9]", "")) / n).otherwise(0.0),
-        "entropy": F.round(entropy, 6),
+        "digits": F.when(n > 0, F.round(F.length(F.regexp_replace(text, "[^0-9]", "")) / n, 3)).otherwise(0.0),
+        "entropy": F.round(entropy, 3),
         "parameters": F.when(query == "", 0.0).otherwise(F.size(F.split(query, "&")).cast("double")),
         "hyphens": F.length(F.regexp_replace(text, "[^-]", "")).cast("double"),
         "labels": F.when(F.col("host") == "", 0.0).otherwise(F.size(F.split("host", r"\.")).cast("double")),
@@ -88,8 +93,8 @@ def suffix() -> Column:
 class Trees:
     """Boosted trees over columns b0, b1, ... of bin numbers; a tree is a list of (node, feature, bin) splits and {leaf: value}."""
 
-    def __init__(self, cuts: list[list[float]], suffixes: dict[str, float], base: float):
-        self.cuts, self.suffixes, self.base = cuts, suffixes, base
+    def __init__(self, cuts: list[list[float]], base: float):
+        self.cuts, self.base = cuts, base
         self.trees: list[tuple[dict[int, tuple[int, int]], dict[int, float]]] = []
 
     def bins(self) -> list[Column]:
@@ -115,43 +120,48 @@ class Trees:
 
 
 def featured(pages: DataFrame, url: str = "url") -> DataFrame:
-    return pages.withColumns({f"f_{k}": v for k, v in features(url).items()}).withColumn("f_tail", suffix())
-
-
-def _suffixed(pages: DataFrame, blocked: DataFrame, mean: float) -> DataFrame:
-    """With the suffix's share of blocked urls. One row a suffix: joined, broadcast by Spark only where that is small."""
-    return pages.join(blocked, "f_tail", "left").withColumn("f_suffix", F.coalesce("f_share", F.lit(mean)))
-
-
-def fit(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH) -> tuple[Trees, DataFrame, float]:
-    """Trees from labelled urls: featured(), and `y`, 1 for blocked. Also each suffix's share and the mean of all."""
+    """pages (with host, path and `y`: 1 for blocked, 0 for not, null for unlabelled) and their features, f_*."""
+    rows = pages.withColumns({f"f_{k}": v for k, v in features(url).items()}).withColumns({"f_tail": suffix(), "f_fold": F.pmod(F.xxhash64(url), F.lit(FOLDS)).cast("int")})
+    by_fold = rows.groupBy("f_tail", "f_fold").agg(F.count("*").alias("f_urls"), F.count("y").alias("f_n"), F.coalesce(F.sum("y"), F.lit(0)).alias("f_s"))
+    mean = by_fold.agg(F.coalesce(F.try_divide(F.sum("f_s"), F.sum("f_n")), F.lit(0.0)).alias("f_mean"))
+    folds = F.map_from_entries(F.collect_list(F.struct("f_fold", F.struct("f_n", "f_s"))))
+    tails = by_fold.groupBy("f_tail").agg(F.sum("f_urls").alias("f_urls"), F.sum("f_n").alias("f_n"), F.sum("f_s").alias("f_s"), folds.alias("f_folds")).crossJoin(mean)  # one row
+    left = lambda k: F.col(k) - F.when(F.col("y").isNotNull(), F.coalesce(F.element_at("f_folds", F.col("f_fold"))[k], F.lit(0))).otherwise(0)
+    share = F.round((left("f_s") + PRIOR * F.col("f_mean")) / (left("f_n") + PRIOR), 3)
+    # one row a suffix: broadcast by Spark only where that is small
+    met = rows.join(tails, "f_tail").withColumns({"f_share": share, "f_count": F.round(F.log2(F.col("f_urls") + 1.0), 2)})
+    return met.drop("f_urls", "f_n", "f_s", "f_folds", "f_mean", "f_tail", "f_fold")
+
+
+def fit(rows: DataFrame, trees: int = TREES, depth: int = DEPTH) -> Trees:
+    """Trees from featured() rows whose `y` is known."""
+    labelled = rows.where("y is not null")
     n, mean = labelled.agg(F.count("*"), F.avg("y")).first()
     mean = float(mean or 0.0)
-    blocked = labelled.groupBy("f_tail").agg(((F.sum("y") + PRIOR * mean) / (F.count("*") + PRIOR)).alias("f_share"))
     base = math.log(max(mean, 1e-6) / max(1 - mean, 1e-6))
     if not n or mean in (0.0, 1.0):
-        return Trees([[] for _ in FEATURES], {}, base), blocked, mean
-    rows = _suffixed(labelled, blocked, mean)
-    quantiles = rows.agg(*(F.percentile_approx(f"f_{x}", [i / BINS for i in range(1, BINS)], 10_000) for x in FEATURES)).first()
-    model = Trees([sorted(set(q)) for q in quantiles], {}, base)
+        return Trees([[] for _ in FEATURES], base)
+    quantiles = labelled.agg(*(F.percentile(f"f_{x}", F.array(*(F.lit(i / BINS) for i in range(1, BINS)))) for x in FEATURES)).first()
+    model = Trees([sorted(set(q)) for q in quantiles], base)
     names = [f"b{i}" for i in range(len(FEATURES))]
-    binned = rows.select("y", *(b.alias(x) for b, x in zip(model.bins(), names, strict=True)))
+    binned = labelled.select("y", *(b.alias(x) for b, x in zip(model.bins(), names, strict=True)))
     binned = written(binned.groupBy("y", *names).count(), "urls")
-    for _ in range(trees):
+    for tree in range(trees):
+        shown = {(tree * SHOWN + i) % len(FEATURES) for i in range(SHOWN)}
         p = 1 / (1 + F.exp(-model.score()))
         scored = binned.withColumn("p", p).withColumns({"g": F.round((F.col("y") - F.col("p")) * F.col("count") * 1e6).cast("long"), "h": F.round(F.col("p") * (1 - F.col("p")) * F.col("count") * 1e6).cast("long")})
         splits: dict[int, tuple[int, int]] = {}
         leaves: dict[int, float] = {}
         for level in range(depth):
             cells = scored.withColumn("node", Trees.node(splits)).where(F.col("node") >= 1 << level)
-            cells = cells.select("node", "g", "h", F.posexplode(F.array(*names)).alias("feature", "bin")).groupBy("node", "feature", "bin").agg(F.sum("g"), F.sum("h")).collect()
+            cells = cells.select("node", "g", "h", F.posexplode(F.array(*names)).alias("feature", "bin")).where(F.col("feature").isin(sorted(shown))).groupBy("node", "feature", "bin").agg(F.sum("g"), F.sum("h")).collect()
             sums: dict[int, dict[int, dict[int, tuple[float, float]]]] = {}
             for node, feature, bin_, g, h in cells:
                 sums.setdefault(node, {}).setdefault(feature, {})[bin_] = (g / 1e6, h / 1e6)
             if not sums:
                 break
             for node, by_feature in sums.items():
-                whole = [sum(v[i] for v in by_feature[0].values()) for i in (0, 1)]
+                whole = [sum(v[i] for v in next(iter(by_feature.values())).values()) for i in (0, 1)]
                 worth = lambda g, h: g * g / (h + LAMBDA)
                 found = []
                 for feature, by_bin in sorted(by_feature.items()):
@@ -165,28 +175,32 @@ def fit(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH) -> tuple[Tr
                     splits[node] = (-feature, -bin_)
                     leaves[2 * node] = RATE * g / (h + LAMBDA)
                     leaves[2 * node + 1] = RATE * (whole[0] - g) / (whole[1] - h + LAMBDA)
-        if not splits:
-            break
-        model.trees.append((splits, leaves))
-    return model, blocked, mean
+        if splits:
+            model.trees.append((splits, leaves))
+    return model
+
+
+def classify(rows: DataFrame, model: Trees) -> DataFrame:
+    """featured() rows with `block_score`, the trees' log-odds that the url is to be blocked."""
+    return rows.withColumns({f"b{i}": b for i, b in enumerate(model.bins())}).withColumn("block_score", model.score())
 
 
-def classify(pages: DataFrame, model: Trees, blocked: DataFrame, mean: float) -> DataFrame:
-    """featured() pages with `block_score`, the trees' log-odds that the url is to be blocked."""
-    rows = _suffixed(pages, blocked, mean)
-    rows = rows.withColumns({f"b{i}": b for i, b in enumerate(model.bins())})
-    return rows.withColumn("block_score", model.score())
+def log_loss(scored: DataFrame) -> tuple[float, float]:
+    """Of classify() rows with a label: the mean loss, and that of the labels' mean."""
+    p = 1 / (1 + F.exp(-F.col("block_score")))
+    loss, mean = scored.where("y is not null").agg(F.avg(-F.log(F.when(F.col("y") == 1, p).otherwise(1 - p))), F.avg("y")).first()
+    return loss, -sum(x * math.log(x) for x in (mean, 1 - mean) if x)
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, block_score. labelled: url and y (1 for blocked); by default the urls the rules judge."""
     placed = pages.select("page_id", "url").withColumns({"host": host(), "path": path()})
-    ruled = with_rules(placed, rules)
+    ruled = with_rules(placed, rules).withColumn("own", F.lit(True))
     if labelled is None:
-        labelled = ruled.where("rule_verdict is not null").withColumn("y", (F.col("rule_verdict") == "block").cast("int"))
+        rows = ruled.withColumn("y", F.when(F.col("rule_verdict").isNotNull(), (F.col("rule_verdict") == "block").cast("int")))
     else:
-        labelled = labelled.select("url", "y").withColumns({"host": host(), "path": path()})
-    model, blocked, mean = fit(featured(labelled))
-    judged = classify(featured(ruled), model, blocked, mean)
+        known = labelled.select("url", F.col("y").cast("int").alias("y")).withColumns({"host": host(), "path": path()})
+        rows = ruled.withColumn("y", F.lit(None).cast("int")).unionByName(known, allowMissingColumns=True)
+    rows = written(featured(rows).drop("url"), "featured")
     verdict = F.coalesce("rule_verdict", F.when(F.col("block_score") > 0, "block").otherwise("allow"))
-    return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "block_score")
+    return classify(rows.where("own"), fit(rows)).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "block_score")
