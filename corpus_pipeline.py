@@ -41,8 +41,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often, and as far, as the mix takes them."""
-    mixed = mixing.mix(docs, quality_weights(table(spark, sf_dir, "labels")))
-    return mixing.apply_mix(docs.select(*COLUMNS), mixed)
+    return mixing.apply_mix(docs.select(*COLUMNS), quality_weights(table(spark, sf_dir, "labels")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
