@@ -204,7 +204,26 @@ def test_resampling_weights_by_brute_force(spark):
 
     count = lambda ids: sum((np.bincount(found(good if i % 3 else bad), minlength=quality.ALL) for i in ids), np.zeros(quality.ALL))
     ratios = quality.log_ratios(np.stack([count(range(60)), count(target)]))
-    assert abs(got[1].log_weight - ratios[found(good)].sum() / (len(good) - quality.N + 1 + quality.PRIOR) * quality.SHARPNESS) < 1e-5
+    for i, text in ((0, bad), (1, good)):
+        assert abs(got[i].log_weight - ratios[found(text)].sum()) < 1e-5 and abs(got[i].key - got[i].log_weight) < 40
+    labels = spark.createDataFrame([(i, 1) for i in range(60) if i % 3], "doc_id long, quality int")
+    mean = {r.doc_id: r.log_weight for r in quality.resample(docs, labels, temperature=0.01, mean=True).collect()}
+    assert all(abs(mean[i] - ratios[found(t)].sum() / (len(t) - quality.N + 1 + quality.PRIOR) * 100) < 1e-4 for i, t in ((0, bad), (1, good)))
+
+
+def test_the_sample_nears_the_target(spark):
+    """n-grams of what is kept are nearer to those of good documents held out than the raw corpus's are; with a high temperature, less so."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    held = labels.where("quality = 1").select("doc_id").distinct().where(quality.crc_mod("doc_id", quality.FOLDS) == quality.HELD)
+
+    def shares(some):
+        c = quality._counts(some.select("text", F.lit(False).alias("target")))[0] + 0.5
+        return c[: quality.BUCKETS] / c[: quality.BUCKETS].sum()
+
+    target, raw = shares(docs.join(held, "doc_id", "left_semi")), shares(docs)
+    apart = lambda p: float((target * np.log(target / p)).sum())
+    kept = [apart(shares(quality.keep(docs, labels, temperature=t))) for t in (1.0, 1e6)]
+    assert kept[0] < 0.97 * apart(raw) and kept[0] < kept[1]
 
 
 def test_mixing(spark, odd, none, labels):

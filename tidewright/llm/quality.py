@@ -2,10 +2,11 @@
 
 Two generative models of hashed n-grams are counted, over runs of four bytes (`BUCKETS` hash buckets) and over runs of four words
 by which of them repeat the word before (16 patterns): the target's, from at most `SAMPLE`
-documents labelled good, and the raw corpus's, from every document. A document's weight is the ratio of the two likelihoods, taken per n-gram so
-that long and short documents compare, times `SHARPNESS`. Documents are sampled without replacement by Gumbel top-k: the k
-largest of log weight plus Gumbel noise, the noise being a function of doc_id and seed. k is the number of documents at least as
-target-like as all but `TAIL` of the labelled good documents held out of the target model.
+documents labelled good, and the raw corpus's, from every document. A document's importance weight is the ratio of the two likelihoods of
+all its n-grams, at a temperature (1: as it is). Documents are sampled without replacement by Gumbel top-k: the k largest of log
+weight plus Gumbel noise, the noise being a function of doc_id and seed. k is the number of documents at least as target-like as all but
+`TAIL` of the labelled good documents held out of the target model. The ratio of a long document is far from 1 either way; for a filter
+that treats short and long documents alike there is the mean log ratio an n-gram (`mean`), in which case the temperature is over n-grams.
 
 Defined results: a null text counts as empty; texts under four bytes have log weight 0; without a good label every document is
 kept; labels repeat harmlessly; equal keys at the k-th place are all kept, so k may be exceeded by repeated rows; a null doc_id
@@ -24,10 +25,10 @@ from pyspark.sql import functions as F
 from tidewright.llm.common import crc_mod, fresh, total, written
 from tidewright.llm.flat import blocks, grams, words
 
-N, BUCKETS, SHARPNESS, TAIL, SEED = 4, 1 << 16, 200.0, 0.005, 11
+N, BUCKETS, TEMPERATURE, TAIL, SEED = 4, 1 << 16, 1.0, 0.005, 11
 #: Byte n-grams and patterns of repeated words.
 ALL = BUCKETS + (1 << N)
-#: n-grams of ratio 1 that each document is taken to have besides its own, so that a few do not decide.
+#: n-grams of ratio 1 that each document is taken to have besides its own in its mean, so that a few do not decide.
 PRIOR = 30
 #: Labelled good documents the target model is counted from, at most; they are drawn by a hash of doc_id.
 SAMPLE = 20_000
@@ -81,7 +82,8 @@ def log_ratios(counts: np.ndarray) -> np.ndarray:
     return target - raw
 
 
-def _weights(column: pa.Array, ratios: np.ndarray) -> np.ndarray:
+def _weights(column: pa.Array, ratios: np.ndarray, temperature: float, mean: bool) -> np.ndarray:
+    """Log weights of texts."""
     out = [np.zeros(0)]
     for _, raw, starts in blocks(column):
         found = np.append(ratios[buckets(raw)], np.zeros(N - 1))
@@ -89,8 +91,9 @@ def _weights(column: pa.Array, ratios: np.ndarray) -> np.ndarray:
         whole = np.concatenate([[0.0], np.cumsum(found)])
         patterns, at = repeats(raw, starts)
         again = np.concatenate([[0.0], np.cumsum(ratios[patterns])])
-        out.append((whole[ends] - whole[starts[:-1]] + again[at[1:]] - again[at[:-1]]) / (ends - starts[:-1] + PRIOR))
-    return np.round(np.concatenate(out) * SHARPNESS, 6)  # equal texts weigh the same wherever they stand in a block
+        ratio = whole[ends] - whole[starts[:-1]] + again[at[1:]] - again[at[:-1]]
+        out.append(ratio / (ends - starts[:-1] + PRIOR) if mean else ratio)
+    return np.round(np.concatenate(out) / temperature, 6)  # equal texts weigh the same wherever they stand in a block
 
 
 def gumbel(key: str, seed: int) -> Column:
@@ -115,7 +118,7 @@ def kth_largest(values: DataFrame, column: str, k: int) -> float:
     return lo
 
 
-def fit(docs: DataFrame, labels: DataFrame, seed: int = SEED, sample: int = SAMPLE) -> tuple[np.ndarray, float, DataFrame]:
+def fit(docs: DataFrame, labels: DataFrame, seed: int = SEED, sample: int = SAMPLE, temperature: float = TEMPERATURE, mean: bool = False) -> tuple[np.ndarray, float, DataFrame]:
     """Log ratios by bucket, the k-th largest key, and every document's doc_id, log_weight and key. labels: doc_id, quality (1 for good)."""
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("held", crc_mod("doc_id", FOLDS) == HELD)
     target = good.where("not held").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample).select(F.col("doc_id").alias("_good"))
@@ -124,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = SEED, sample: int = SAMP
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([batch.column(1), pa.array(_weights(batch.column(0), ratios))], names=["doc_id", "log_weight"])
+            yield pa.record_batch([batch.column(1), pa.array(_weights(batch.column(0), ratios, temperature, mean))], names=["doc_id", "log_weight"])
 
     scored = docs.select("text", "doc_id").mapInArrow(run, "doc_id long, log_weight double")
     scored = written(scored.withColumn("key", F.col("log_weight") + gumbel("doc_id", seed)), "weights")
@@ -137,20 +140,20 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = SEED, sample: int = SAMP
     return ratios, kth_largest(scored, "key", scored.where(F.col("log_weight") >= least).count()), scored
 
 
-def resample(docs: DataFrame, labels: DataFrame, seed: int = SEED, sample: int = SAMPLE) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, seed: int = SEED, sample: int = SAMPLE, temperature: float = TEMPERATURE, mean: bool = False) -> DataFrame:
     """doc_id, log_weight, key, kept for every document."""
-    _, least, scored = fit(docs, labels, seed, sample)
+    _, least, scored = fit(docs, labels, seed, sample, temperature, mean)
     return scored.withColumn("kept", F.col("key") >= least)
 
 
-def keep(docs: DataFrame, labels: DataFrame, seed: int = SEED, sample: int = SAMPLE) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, seed: int = SEED, sample: int = SAMPLE, temperature: float = TEMPERATURE, mean: bool = False) -> DataFrame:
     """The rows of docs that are sampled, with all their columns. Texts are weighed again on the way instead of being shuffled to
     their decisions."""
-    ratios, least, _ = fit(docs, labels, seed, sample)
+    ratios, least, _ = fit(docs, labels, seed, sample, temperature, mean)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = _weights(batch.column(0), ratios) + batch.column(1).to_numpy()
+            key = _weights(batch.column(0), ratios, temperature, mean) + batch.column(1).to_numpy()
             yield pa.RecordBatch.from_arrays(batch.columns[2:], schema=pa.schema(list(batch.schema)[2:])).filter(pa.array(key >= least))
 
     text, noise = (fresh(x, docs.columns) for x in ("_text", "_noise"))
