@@ -19,8 +19,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling keeps, with the labels as target."""
-    return quality.keep(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
+    """Documents that importance resampling keeps, with the labels as target: weighed by their mean n-gram, so that length does not decide."""
+    return quality.keep(docs.select(*COLUMNS), table(spark, sf_dir, "labels"), temperature=0.005, mean=True)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
