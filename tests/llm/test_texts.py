@@ -249,3 +249,72 @@ def test_mixed_rows_without_an_id(spark):
     assert sum(len(t.split()) for _, t in got) == 23  # 150 % of 15, rounded half up
     assert {i for i, t in got if t == "one two three"} == {None, 8} and all(any(t.startswith(x) for _, x in rows if x) or any(x.startswith(t) for _, x in rows if x) for _, t in got)
     assert max(got.count(x) for x in got) <= 2
+
+
+def test_packing_query_by_brute_force(spark):
+    """op8 over the documents against whole texts: every id once, in gapless sequences that are full or a power of two."""
+    from tokenizers import Tokenizer
+
+    from tidewright.llm.queries import QUERIES
+
+    whole = Tokenizer.from_file(TOKENIZER)
+    ids = {r.doc_id: np.array([*whole.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    by_doc, by_sequence = {}, {}
+    for r in QUERIES["op8_packing"](spark, "/root/testdata/sf0.001").collect():
+        own = ids[r.doc_id]
+        assert r.length > 0 and r.doc_tokens == len(own) and r.ids_crc32 == zlib.crc32(own[r.start : r.start + r.length].tobytes())
+        by_doc.setdefault(r.doc_id, []).append((r.start, r.length))
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert set(by_doc) == set(ids)
+
+    def gapless(parts):
+        at = 0
+        for start, n in sorted(parts):
+            assert start == at
+            at += n
+        return at
+
+    assert all(gapless(parts) == len(ids[i]) for i, parts in by_doc.items())
+    filled = [gapless(parts) for parts in by_sequence.values()]
+    assert max(filled) <= 2048 and sum(2048 - n for n in filled if n & (n - 1)) < 0.001 * sum(filled)
+
+
+def test_conversations_by_brute_force(spark, none):
+    """Instruction data under three limits, of which each closes some sequence: counted from the texts, turn by turn."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(TOKENIZER)
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").where("conv_id < 4000")
+    odd_turns = spark.createDataFrame([(-1, 0, None, None), (-1, None, "assistant", "x y"), (-2, 1, "assistant", None), (-2, 1, "assistant", None), (None, 0, "user", "no id"), (-3, 0, "user", "")], "conv_id long, turn long, role string, text string")
+    turns = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(odd_turns)
+    rows = {}
+    for r in turns.collect():
+        rows.setdefault(r.conv_id, []).append((-1 if r.turn is None else r.turn, r.role or "", len(whole.encode(r.text or "", add_special_tokens=False).ids)))
+    tokens = {i: sum(n for *_, n in own) + 1 for i, own in rows.items()}
+    last = {i: max(own) for i, own in rows.items()}
+    loss = {i: n + 1 if role == "assistant" else 0 for i, (_, role, n) in last.items()}
+    length, segments, most_loss = 512, 3, 128
+    found = packing.pack_conversations(turns, TOKENIZER, 1, length, segments, most_loss).collect()
+    got, sequences = {}, {}
+    for r in found:
+        assert r.loss == max(0, r.start + r.length - max(r.start, tokens[r.conv_id] - loss[r.conv_id]))
+        got.setdefault(r.conv_id, []).append((r.start, r.length))
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length, r.loss))
+    assert set(got) == set(tokens)
+    for i, parts in got.items():
+        at = 0
+        for start, n in sorted(parts):
+            assert start == at
+            at += n
+        assert at == tokens[i]
+    closed = [0, 0, 0]
+    for parts in sequences.values():
+        at = 0
+        for offset, n, _ in sorted(parts):
+            assert offset == at
+            at += n
+        sums = (at, len(parts), sum(p[2] for p in parts))
+        assert all(s <= most for s, most in zip(sums, (length, segments, most_loss), strict=True))
+        closed = [c + (s == most) for c, s, most in zip(closed, sums, (length, segments, most_loss), strict=True)]
+    assert min(closed) > 0
+    assert packing.pack_conversations(odd_turns.where("false"), TOKENIZER, 1).count() == 0

@@ -205,7 +205,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, length: int = L
 
 def pack_conversations(turns: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, segments: int = 16, most_loss: int | None = None) -> DataFrame:
     """Packs instruction data (conv_id, turn, role, text): an example is a conversation with its turns in order; the tokens of
-    its closing assistant turn bear loss. One row a piece: conv_id, start, length, sequence_id, offset, loss."""
+    its closing assistant turn bear loss, and so does the end. One row a piece: conv_id, start, length, sequence_id, offset, loss.
+
+    Defined results: a null text counts as empty, a null turn as the first, a null role as none; rows without conv_id are one
+    conversation; a turn that is repeated counts as often as it is there; an empty table gives no row."""
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer)
