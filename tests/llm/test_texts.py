@@ -318,3 +318,69 @@ def test_conversations_by_brute_force(spark, none):
         closed = [c + (s == most) for c, s, most in zip(closed, sums, (length, segments, most_loss), strict=True)]
     assert min(closed) > 0
     assert packing.pack_conversations(odd_turns.where("false"), TOKENIZER, 1).count() == 0
+
+
+def brute_languages(docs, asked, slots, hashes):
+    """Filters as sets of slots, n-grams one by one."""
+
+    def grams(text):
+        clean = bytes(c | 0x20 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 0x20 for c in (text or "").encode()) + b" "
+        return [g for g in (clean[i : i + langid.N] for i in range(len(clean) - langid.N + 1)) if g.strip(b" ")]
+
+    def where(gram):
+        return [int(p[0]) for p in langid.positions(np.array([int.from_bytes(gram, "little")], np.uint32), slots, hashes)]
+
+    seen, sizes = {}, {}
+    for text, lang in docs:
+        sizes[lang] = sizes.get(lang, 0) + 1
+        for g in grams(text):
+            seen.setdefault(lang, {}).setdefault(g, 0)
+            seen[lang][g] += 1
+    names = sorted(sizes)
+    rate = {lang: {g: n / sum(own.values()) for g, n in own.items()} for lang, own in seen.items()}
+    top = {}
+    for own in rate.values():
+        for g, r in own.items():
+            top[g] = max(top.get(g, 0.0), r)
+    filters = {lang: {p for g, r in rate.get(lang, {}).items() if r >= langid.RARE and r >= langid.SHARE * top[g] for p in where(g)} for lang in names}
+    false = {lang: min((len(f) / slots) ** hashes, 0.999) for lang, f in filters.items()}
+    out = []
+    for text in asked:
+        found = grams(text)
+        counts = [max(0.0, (sum(all(p in filters[lang] for p in where(g)) for g in found) - len(found) * false[lang]) / (1 - false[lang])) for lang in names]
+        best = int(np.argmax(counts))
+        if not any(c.isalpha() for c in text or ""):
+            out.append(("und", 0.0))
+        else:
+            out.append((names[best] if counts[best] > 0 else max(names, key=lambda x: (sizes[x], -names.index(x))), min(1.0, counts[best] / max(len(found), 1))))
+    return out
+
+
+def test_languages_by_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang is not null").orderBy("doc_id").limit(60).collect()
+    asked = [*(r.text[:400] if r.text else r.text for r in docs[:40]), None, "", "12 ...", "日本語の文", "xq", "Der Hafen, die See und THE ship"]
+    known = spark.createDataFrame([(r.doc_id, r.text, r.lang) for r in docs], "doc_id long, text string, lang string")
+    filters = langid.train(known.repartition(3), slots=1 << 12)
+    rows = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(rows, filters).collect()}
+    want = brute_languages([(r.text, r.lang) for r in docs], asked, 1 << 12, langid.HASHES)
+    for i, (lang, score) in enumerate(want):
+        assert got[i][0] == lang and abs(got[i][1] - score) < 1e-9
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_digest_by_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    a, b = (bytes(rng.integers(97, 97 + 5 * (seed + 2), 900 + 700 * k, dtype=np.uint8)) for k in (0, 1))
+
+    def parts(text):
+        counts = brute_counts(text)
+        ordered = sorted(counts.tolist())
+        q = [ordered[63], ordered[127], ordered[191]]
+        return min(255, round(float(np.log1p(len(text))) * 12)), [min(255, 64 * x // max(q[2], 1)) for x in q[:2]], [sum(c > x for x in q) for c in counts.tolist()]
+
+    (n, ratios, codes), (m, other, theirs) = parts(a), parts(b)
+    coded = bytes([n, *ratios, *(codes[i] | codes[i + 1] << 2 | codes[i + 2] << 4 | codes[i + 3] << 6 for i in range(0, 256, 4))])
+    assert digest.digest(a) == coded
+    apart = sum((0, 1, 2, 4)[abs(x - y)] for x, y in zip(codes, theirs, strict=True)) + max(0, abs(n - m) - 1) + sum(abs(x - y) for x, y in zip(ratios, other, strict=True)) // 8
+    assert digest.difference(a := digest.digest(a), b := digest.digest(b)) == apart and digest.likeness(a, b) == max(0.0, 1 - apart / digest.MOST)

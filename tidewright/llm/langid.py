@@ -112,7 +112,10 @@ def train(docs: DataFrame, sample: int = SAMPLE, slots: int = SLOTS, hashes: int
             for language in np.unique(own).tolist():
                 for _, raw, starts in blocks(batch.column(0).filter(pa.array(own == language)), 16 * BLOCK):
                     found = grams(_CLEAN[raw], N)
-                    found, n = np.unique(found[found != np.uint32(0x20202020)], return_counts=True)
+                    real = found != np.uint32(0x20202020)
+                    over = (starts[1:, None] - np.arange(1, N)).ravel()  # those over the edge of a text
+                    real[over[(over >= 0) & (over < len(found))]] = False
+                    found, n = np.unique(found[real], return_counts=True)
                     yield pa.record_batch([pa.array(np.full(len(n), language), pa.int32()), pa.array(found.astype(np.int64)), pa.array(n)], names=["language", "gram", "n"])
 
     seen = known.where(drawn).select("text", number[F.col("lang")].alias("language")).mapInArrow(count, "language int, gram long, n long").groupBy("language", "gram").agg(F.sum("n").alias("n")).cache()
