@@ -1,3 +1,5 @@
+import struct
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -38,7 +40,7 @@ def test_path_and_string_around_a_block():
     wall[[index[3, 5, 0], index[3, 5, 1]]] = True
     assert m.path((0.5, 0.4), (5.5, 0.4), wall) is None and m.path((9, 9), (1, 1), wall) is None
     grown = m.grown(blocked, 0.6)
-    assert grown[index[2, 2, 0]] and not grown[index[1, 2, 1]] | (not blocked[index[3, 2, 0]])
+    assert grown[index[2, 2, 0]] and grown[index[4, 2, 1]] and not grown[index[1, 2, 0]]
     assert m.locate(2.7, 2.2) == index[2, 2, 0]
 
 
@@ -46,13 +48,65 @@ def test_tiles_are_tables(spark, tmp_path):
     corners, near, index = grid(3)
     depth = np.full(18, 5.0, "f4")
     depth[[index[1, y, k] for y in range(3) for k in (0, 1)]] = -999.0
-    base = {"corners": corners.reshape(18, 6), "neighbours": near, "mult": np.ones(18), "clear": np.full(18, 40.0), "hazard": np.full(18, -999.0), "flags": np.zeros(18)}
-    (tmp_path / "a.tri").write_bytes(mesh.write_tile(depth=depth, **base))
-    (tmp_path / "b.tri").write_bytes(mesh.write_tile(depth=np.full(18, -999.0), **base))
-    tri = mesh.triangles(spark.read.format("binaryFile").load(str(tmp_path / "*.tri")))
-    assert tri.count() == 36 and [r.tile for r in mesh.empty_tiles(tri).collect()] == ["b.tri"]
+    def tile(near, depth):
+        """A tile file, written field by field."""
+        out = b"WRPMESH1" + struct.pack("<Idd", 18, -5.0, 48.0) + bytes(4)
+        out += struct.pack("<108d", *corners.ravel()) + struct.pack("<54i", *near.ravel().tolist()) + struct.pack("<18f", *[1.0] * 18)
+        out += struct.pack("<18f", *depth) + struct.pack("<18f", *[40.0] * 18) + struct.pack("<18f", *[1e9] * 16, -1e9, 3.5)
+        return out + struct.pack("<54b", *[0] * 54) + struct.pack("<18B", *range(111, 129))
+
+    (tmp_path / "a.tri").write_bytes(tile(near, depth))
+    (tmp_path / "b.tri").write_bytes(tile(np.where(near < 0, near, near + 18), np.full(18, -999.0)))
+    files = spark.read.format("binaryFile").load(str(tmp_path / "*.tri"))
+    tri = mesh.triangles(files, spark.createDataFrame([("a.tri", 0), ("b.tri", 18)], "tile string, first long")).cache()
+    assert sorted(r.id for r in tri.collect()) == list(range(36)) and [r.tile for r in mesh.empty_tiles(tri).collect()] == ["b.tri"]
+    last = {r.id: r for r in tri.where("tile = 'b.tri'").collect()}
+    assert last[33].hazard is None and last[34].hazard == float("-inf") and last[35].hazard == 3.5 and last[35].flags == 128 and last[35].clearance == 40.0 and last[35].depth is None
+    assert np.allclose(last[18].corners, corners[0].ravel()) and last[18].neighbours == np.where(near[0] < 0, near[0], near[0] + 18).tolist()
     found = mesh.pieces(tri, F.col("depth").isNotNull())
     assert found.groupBy("tile", "piece").count().count() == 2 and found.count() == 12
+    assert mesh.triangles(files).where("tile = 'b.tri'").agg(F.min("id"), F.max("id")).first()[:] == (0, 17)
+
+
+def test_string_is_the_shortest_line():
+    """Against Dijkstra over all corners of the channel, two of which see each other if the line between stays in the channel."""
+    rng = np.random.default_rng(1)
+    corners, near, index = grid(5)
+    m = mesh.Mesh(corners, near)
+    for seed in range(6):
+        blocked = np.zeros(len(corners), bool)
+        blocked[rng.choice(len(corners), 14, replace=False)] = True
+        start, goal = (0.3, 0.1), (4.7, 4.9)
+        blocked[[m.locate(*start), m.locate(*goal)]] = False
+        if (path := m.path(start, goal, blocked)) is None:
+            continue
+        places = [start, *sorted({tuple(p) for t in path for p in corners[t]}), goal]
+        inside = lambda p: any(m._holds(t, p) for t in path)
+        sees = lambda a, b: all(inside(np.add(a, np.multiply(np.subtract(b, a), x))) for x in np.linspace(0, 1, 203))
+        d = {p: np.inf for p in places} | {start: 0.0}
+        todo = set(places)
+        while todo:
+            p = min(todo, key=d.get)
+            todo.discard(p)
+            for q in todo:
+                if d[p] + np.hypot(*np.subtract(q, p)) < d[q] and sees(p, q):
+                    d[q] = d[p] + np.hypot(*np.subtract(q, p))
+        line = m.string(start, goal, path)
+        assert line[0] == start and line[-1] == goal
+        assert abs(sum(np.hypot(*np.subtract(b, a)) for a, b in zip(line, line[1:], strict=False)) - d[goal]) < 1e-9
+
+
+def test_buffer_by_brute_force():
+    corners, near, index = grid(6)
+    m = mesh.Mesh(corners, near)
+    blocked = np.zeros(len(corners), bool)
+    blocked[[index[3, 3, 0], index[3, 3, 1]]] = True
+    dense = lambda t: np.array([(1 - a) * ((1 - b) * corners[t, 0] + b * corners[t, 1]) + a * corners[t, 2] for a in np.linspace(0, 1, 21) for b in np.linspace(0, 1, 21)])
+    square = np.array([(x, y) for x in np.linspace(3, 4, 41) for y in np.linspace(3, 4, 41)])
+    apart = [np.hypot(*(dense(t)[:, None] - square[None]).transpose(2, 0, 1)).min() for t in range(len(corners))]
+    for buffer in (0.5, 1.2, 1.9):
+        assert (m.grown(blocked, buffer) == (np.array(apart) <= buffer)).all()
+    assert not m.grown(np.zeros(len(corners), bool), 5.0).any()  # the mesh's own edge bounds nothing
 
 
 def test_trim_at_circle():

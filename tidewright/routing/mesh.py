@@ -12,44 +12,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAGIC = b"TRI1"
-_PARTS = [("corners", "<f8", 6), ("neighbours", "<i4", 3), ("mult", "<f4", 1), ("depth", "<f4", 1), ("clear", "<f4", 1), ("hazard", "<f4", 1), ("flags", "u1", 1)]
-#: Depths at or below this are unknown.
-UNKNOWN = -999.0
-
-
-def write_tile(**parts) -> bytes:
-    """A tile's bytes: a magic word, the number of triangles, then each array."""
-    n = len(parts["corners"])
-    return MAGIC + struct.pack("<I", n) + b"".join(np.asarray(parts[k], t).reshape(n, w).tobytes() for k, t, w in _PARTS)
-
-
-def read_tile(raw: bytes) -> dict[str, np.ndarray]:
-    if raw[:4] != MAGIC:
-        raise ValueError("not a mesh tile")
-    (n,), at, out = struct.unpack_from("<I", raw, 4), 8, {}
-    for k, t, w in _PARTS:
-        size = n * w * np.dtype(t).itemsize
-        out[k] = np.frombuffer(raw, t, n * w, at).reshape((n, w) if w > 1 else n)
-        at += size
-    return out
-
-
-TRIANGLES = "tile string, id int, corners array<double>, neighbours array<int>, mult float, depth float, clear float, hazard float, flags int"
-
-
-def triangles(files: DataFrame) -> DataFrame:
-    """A row a triangle from spark.read.format("binaryFile") rows: one tile a file; unknown depths are null."""
+# The tile file, little-endian. A header of 32 bytes (magic, number of triangles, longitude and latitude of the origin, padding),
+# then one array after another: name, type, numbers a triangle. x of a corner is its longitude times the mesh's scale, y its latitude;
+# neighbours are ids in the whole mesh, -1 for none; reverse is the shared edge's number on the neighbour's side.
+HEADER = "<8sI2d4x"
+MAGIC = b"WRPMESH1"
+ARRAYS = [
+    ("corners", "<f8", 6),
+    ("neighbours", "<i4", 3),
+    ("cost", "<f4", 1),
+    ("depth", "<f4", 1),
+    ("clearance", "<f4", 1),
+    ("hazard", "<f4", 1),
+    ("reverse", "i1", 3),
+    ("flags", "u1", 1),
+]
+# No depth or clearance; no hazard; a hazard of unknown depth.
+NO_VALUE, NO_HAZARD, UNKNOWN_HAZARD = -999.0, 1e9, -1e9
+
+TRIANGLES = "tile string, id long, corners array<double>, neighbours array<int>, cost float, depth float, clearance float, hazard float, flags int"
+
+
+def triangles(files: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """A row a triangle from spark.read.format("binaryFile") rows, one tile a file. Depths, clearances and hazards that are not there are
+    null; a hazard of unknown depth is minus infinity, which no draught clears. index: tile (file name) and first, the id of its
+    first triangle; ids count from 0 in each tile without."""
+    named = files.select(F.element_at(F.split("path", "/"), -1).alias("tile"), "content")
+    firsts = named.withColumn("first", F.lit(0).cast("long")) if index is None else named.join(index.select("tile", F.col("first").cast("long")), "tile")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                t = read_tile(raw)
-                n = len(t["flags"])
-                known = lambda k, t=t: pa.array(t[k], mask=t[k] <= UNKNOWN)
-                yield pa.record_batch([pa.array([path.rsplit("/", 1)[-1]] * n), pa.array(np.arange(n, dtype="i4")), pa.array(t["corners"].tolist()), pa.array(t["neighbours"].tolist(), pa.list_(pa.int32())), pa.array(t["mult"]), known("depth"), known("clear"), known("hazard"), pa.array(t["flags"].astype("i4"))], names=[x.split()[0] for x in TRIANGLES.split(", ")])
-
-    return files.select("path", "content").mapInArrow(run, TRIANGLES)
+            for tile, raw, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                magic, n, _, _ = struct.unpack_from(HEADER, raw)
+                if magic != MAGIC:
+                    raise ValueError(f"{tile} is not a mesh tile")
+                at, t = struct.calcsize(HEADER), {}
+                for name, kind, width in ARRAYS:
+                    flat = np.frombuffer(raw, kind, n * width, at)
+                    at, t[name] = at + flat.nbytes, flat.reshape(n, width) if width > 1 else flat
+                less = {k: pa.array(t[k], mask=t[k] == NO_VALUE) for k in ("depth", "clearance")}
+                hazard = pa.array(np.where(t["hazard"] == np.float32(UNKNOWN_HAZARD), -np.inf, t["hazard"]).astype("f4"), mask=t["hazard"] == np.float32(NO_HAZARD))
+                rows = [pa.array([tile] * n), pa.array(np.arange(n) + first), pa.array(t["corners"].tolist(), pa.list_(pa.float64())), pa.array(t["neighbours"].tolist(), pa.list_(pa.int32())), pa.array(t["cost"]), less["depth"], less["clearance"], hazard, pa.array(t["flags"].astype("i4"))]
+                yield pa.record_batch(rows, names=[x.split()[0] for x in TRIANGLES.split(", ")])
+
+    return firsts.select("tile", "content", "first").mapInArrow(run, TRIANGLES)
 
 
 def empty_tiles(tri: DataFrame) -> DataFrame:
@@ -58,14 +64,13 @@ def empty_tiles(tri: DataFrame) -> DataFrame:
 
 
 def pieces(tri: DataFrame, usable) -> DataFrame:
-    """tile, id, piece: connected usable triangles of a tile, named by the least id."""
+    """tile, id, piece: connected usable triangles, over the edges of tiles too, named by the least id. Ids are those of the whole mesh."""
     from tidewright.operators.graphs import connected
 
-    ok = tri.where(usable).select((F.xxhash64("tile").bitwiseAND(0x7FFFFFFF) * (1 << 31) + F.col("id")).alias("id"), "tile", F.col("id").alias("own"), "neighbours")
-    edges = ok.select("id", "own", F.explode("neighbours").alias("n")).where("n >= 0").select(F.col("id").alias("a"), (F.col("id") - F.col("own") + F.col("n")).alias("b"))
+    ok = tri.where(usable).select("tile", "id", "neighbours")
+    edges = ok.select(F.col("id").alias("a"), F.explode(F.col("neighbours").cast("array<long>")).alias("b")).where("b >= 0")
     edges = edges.join(ok.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
-    found = connected(ok.select("id"), edges)
-    return found.join(ok.select("id", "tile", "own"), "id").select("tile", F.col("own").alias("id"), F.col("component").bitwiseAND((1 << 31) - 1).cast("int").alias("piece"))
+    return connected(ok.select("id"), edges).join(ok.select("id", "tile"), "id").select("tile", "id", F.col("component").alias("piece"))
 
 
 class Mesh:
@@ -76,11 +81,19 @@ class Mesh:
         self.centre = self.corners.mean(1)
         self.cost = np.ones(len(self.corners)) if cost is None else cost
 
+    def _sides(self, triangles_: np.ndarray | slice, x: float, y: float) -> np.ndarray:
+        """Of each triangle's edges, which side the point is on: a row an edge."""
+        own = self.corners[triangles_]
+        edges, to = np.roll(own, -1, 1) - own, np.array([x, y]) - own
+        return (edges[..., 0] * to[..., 1] - edges[..., 1] * to[..., 0]).T
+
+    def _holds(self, t: int, p) -> bool:
+        s = self._sides(np.array([t]), *p)
+        return bool((s >= -1e-9).all() or (s <= 1e-9).all())
+
     def locate(self, x: float, y: float) -> int:
         """A triangle that holds the point, −1 if none does."""
-        a, b, c = (self.corners[:, k] for k in range(3))
-        side = lambda p, q: (q[:, 0] - p[:, 0]) * (y - p[:, 1]) - (q[:, 1] - p[:, 1]) * (x - p[:, 0])
-        s = np.stack([side(a, b), side(b, c), side(c, a)])
+        s = self._sides(slice(None), x, y)
         inside = np.flatnonzero((s >= -1e-12).all(0) | (s <= 1e-12).all(0))
         return int(inside[0]) if len(inside) else -1
 
@@ -113,65 +126,75 @@ class Mesh:
                     heapq.heappush(heap, (d + np.hypot(*(end - mid)), next(count), n))
         return None
 
-    def string(self, start: tuple[float, float], goal: tuple[float, float], path: list[int]) -> list[tuple[float, float]]:
-        """The shortest line through a path's portals (the funnel)."""
-        portals = []
+    def doors(self, path: list[int]) -> list[np.ndarray]:
+        """The edges a path goes through, each with its right end first, as seen on the way."""
+        out = []
         for t, n in zip(path, path[1:], strict=False):
-            k = self.neighbours[t].tolist().index(n)
-            p, q = self.corners[t, k], self.corners[t, (k + 1) % 3]
-            c = self.centre[t]
-            left_first = (p[0] - c[0]) * (q[1] - c[1]) - (p[1] - c[1]) * (q[0] - c[0]) < 0
-            portals.append((tuple(p), tuple(q)) if left_first else (tuple(q), tuple(p)))
-        portals.append((tuple(goal), tuple(goal)))
-        area = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
-        line, apex, left, right, li, ri, i = [tuple(start)], tuple(start), portals[0][0], portals[0][1], 0, 0, 1
-        while i < len(portals):
-            new_left, new_right = portals[i]
-            if area(apex, right, new_right) >= 0:
-                if apex == right or area(apex, left, new_right) < 0:
-                    right, ri = new_right, i
-                else:
-                    line.append(left)
-                    apex, i = left, li + 1
-                    left = right = apex
-                    ri = li
-                    continue
-            if area(apex, left, new_left) <= 0:
-                if apex == left or area(apex, right, new_left) > 0:
-                    left, li = new_left, i
+            k = int(np.flatnonzero(self.neighbours[t] == n)[0])
+            ends = self.corners[t, [k, (k + 1) % 3]]
+            (ax, ay), (bx, by) = ends - self.centre[t]
+            out.append(ends if ax * by - ay * bx > 0 else ends[::-1])
+        return out
+
+    def string(self, start: tuple[float, float], goal: tuple[float, float], path: list[int]) -> list[tuple[float, float]]:
+        """The shortest line through a path's triangles. It bends at ends of doors only, so these are the places; a place sees those
+        of later doors that lie in the wedge the doors between leave open, and distances are summed up in order of doors."""
+        doors = [*self.doors(path), np.array([goal, goal], float)]
+        places = [(-1, np.array(start, float))] + [(i, p) for i, d in enumerate(doors) for p in d]
+        cost, came = np.full(len(places), np.inf), [-1] * len(places)
+        cost[0] = 0.0
+        turn = lambda u, v: u[0] * v[1] - u[1] * v[0]
+        for at, (own, p) in enumerate(places):
+            right = left = None  # the wedge's sides
+            for i in range(own + 1, len(doors)):
+                ways = doors[i] - p
+                for side, way in enumerate(ways):
+                    to, slack = 1 + 2 * i + side, 1e-12 * np.hypot(*way)
+                    seen = right is None or (turn(right, way) >= -slack and turn(way, left) >= -slack)
+                    if seen and cost[at] + np.hypot(*way) < cost[to] - 1e-12:
+                        cost[to], came[to] = cost[at] + np.hypot(*way), at
+                if not ways.any(1).all():
+                    continue  # the place is an end of this door
+                if right is None:
+                    right, left = ways
                 else:
-                    line.append(right)
-                    apex, i = right, ri + 1
-                    left = right = apex
-                    li = ri
-                    continue
-            i += 1
-        if line[-1] != tuple(goal):
-            line.append(tuple(goal))
-        return line
+                    right = ways[0] if turn(right, ways[0]) > 0 else right
+                    left = ways[1] if turn(ways[1], left) > 0 else left
+                if turn(right, left) < 0:
+                    break
+        line, at = [], len(places) - 1
+        while at >= 0:
+            if not line or line[-1] != tuple(map(float, places[at][1])):
+                line.append(tuple(map(float, places[at][1])))
+            at = came[at]
+        return line[::-1]
 
     def grown(self, blocked: np.ndarray, buffer: float) -> np.ndarray:
-        """blocked, and triangles whose middle is within `buffer` of a blocked one's edge, by a flood from the edges: what the flood
-        reaches over triangles, not over land."""
-        out, heap, seen = blocked.copy(), [], {}
-        for t in np.flatnonzero(~blocked).tolist():
-            for k, n in enumerate(self.neighbours[t].tolist()):
-                if n < 0 or blocked[n]:
-                    mid = (self.corners[t, k] + self.corners[t, (k + 1) % 3]) / 2
-                    heapq.heappush(heap, (float(np.hypot(*(self.centre[t] - mid))), t))
-        while heap:
-            d, t = heapq.heappop(heap)
-            if d > buffer:
-                break
-            if t in seen:
-                continue
-            seen[t] = d
-            out[t] = True
-            for n in self.neighbours[t].tolist():
-                if n >= 0 and not blocked[n] and n not in seen:
-                    heapq.heappush(heap, (d + float(np.hypot(*(self.centre[n] - self.centre[t]))), n))
+        """blocked, and triangles any part of which is within `buffer` of an edge they share with a blocked one, as far as they are
+        reached over such triangles: from each of these edges, a walk over triangles near it. The mesh's own edge bounds nothing."""
+        out = blocked.copy()
+        for t, k in np.argwhere(~blocked[:, None] & (self.neighbours >= 0) & blocked[np.maximum(self.neighbours, 0)]).tolist():
+            edge = self.corners[t, [k, (k + 1) % 3]]
+            todo, met = [t], {t}
+            while todo:
+                here = todo.pop()
+                out[here] = True
+                for n in self.neighbours[here].tolist():
+                    if n >= 0 and not blocked[n] and n not in met and self._apart(n, edge) <= buffer:
+                        met.add(n)
+                        todo.append(n)
         return out
 
+    def _apart(self, t: int, edge: np.ndarray) -> float:
+        """Distance of a triangle from an edge that does not cross it."""
+        own = self.corners[t]
+
+        def nearest(points: np.ndarray, a: np.ndarray, b: np.ndarray) -> float:
+            share = np.clip((points - a) @ (b - a) / max((b - a) @ (b - a), 1e-300), 0, 1)
+            return float(np.hypot(*(points - a - share[:, None] * (b - a)).T).min())
+
+        return min(nearest(own, *edge), *(nearest(edge, own[k], own[(k + 1) % 3]) for k in range(3)))
+
 
 def trim_at_circle(line: list[tuple[float, float]], centre: tuple[float, float], radius: float) -> list[tuple[float, float]]:
     """A line up to where it first enters a circle."""
