@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import written
+from tidewright.llm.common import slots, written
 
 TABLES, SPACE, PROBES, KEPT, SEED = 8, 2.5, 8.6, 4, 7
 #: Vectors in a cell, and queries that meet them at once.
@@ -261,7 +261,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = TA
     salted = rows.join(crowds, _CELL, "left").withColumn("part", F.pmod("hash", F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     best, more = None, 1
     while True:
-        asks = _sent(asked.select("vec", "query_id", "qhash"), shapes, tables, more)
+        asks = written(_sent(asked.select("vec", "query_id", "qhash").repartition(slots(vectors.sparkSession)), shapes, tables, more), "asks")
         crowd = asks.groupBy(*_CELL).count().select(*_CELL, F.ceil(F.col("count") / QUERIES).cast("int").alias("turns")).where("turns > 1")
         crowd = written(crowd, "turns")
         dealt = asks.join(crowd, _CELL, "left").join(crowds, _CELL, "left").withColumns({"turn": F.pmod("query_id", F.coalesce("turns", F.lit(1))).cast("int"), "part": F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))}).drop("turns", "parts")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tidewright.llm.common import written
 
-BINS, TREES, DEPTH, RATE, LAMBDA, SHOWN, FOLDS = 16, 18, 3, 0.3, 1.0, 5, 5
+BINS, TREES, DEPTH, RATE, LAMBDA, SHOWN, FOLDS = 16, 12, 3, 0.3, 1.0, 5, 5
 #: Labelled urls of the mean label that each suffix is taken to have besides its own.
 PRIOR = 20.0
 #: Rules up to which they are tested in one expression; more are joined by host.
@@ -123,14 +123,14 @@ def featured(pages: DataFrame, url: str = "url") -> DataFrame:
     """pages (with host, path and `y`: 1 for blocked, 0 for not, null for unlabelled) and their features, f_*."""
     rows = pages.withColumns({f"f_{k}": v for k, v in features(url).items()}).withColumns({"f_tail": suffix(), "f_fold": F.pmod(F.xxhash64(url), F.lit(FOLDS)).cast("int")})
     by_fold = rows.groupBy("f_tail", "f_fold").agg(F.count("*").alias("f_urls"), F.count("y").alias("f_n"), F.coalesce(F.sum("y"), F.lit(0)).alias("f_s"))
-    mean = by_fold.agg(F.coalesce(F.try_divide(F.sum("f_s"), F.sum("f_n")), F.lit(0.0)).alias("f_mean"))
+    mean = by_fold.agg(F.try_divide(F.sum("f_s"), F.sum("f_n"))).first()[0] or 0.0
     folds = F.map_from_entries(F.collect_list(F.struct("f_fold", F.struct("f_n", "f_s"))))
-    tails = by_fold.groupBy("f_tail").agg(F.sum("f_urls").alias("f_urls"), F.sum("f_n").alias("f_n"), F.sum("f_s").alias("f_s"), folds.alias("f_folds")).crossJoin(mean)  # one row
+    tails = by_fold.groupBy("f_tail").agg(F.sum("f_urls").alias("f_urls"), F.sum("f_n").alias("f_n"), F.sum("f_s").alias("f_s"), folds.alias("f_folds"))
     left = lambda k: F.col(k) - F.when(F.col("y").isNotNull(), F.coalesce(F.element_at("f_folds", F.col("f_fold"))[k], F.lit(0))).otherwise(0)
-    share = F.round((left("f_s") + PRIOR * F.col("f_mean")) / (left("f_n") + PRIOR), 3)
+    share = F.round((left("f_s") + PRIOR * mean) / (left("f_n") + PRIOR), 3)
     # one row a suffix: broadcast by Spark only where that is small
     met = rows.join(tails, "f_tail").withColumns({"f_share": share, "f_count": F.round(F.log2(F.col("f_urls") + 1.0), 2)})
-    return met.drop("f_urls", "f_n", "f_s", "f_folds", "f_mean", "f_tail", "f_fold")
+    return met.drop("f_urls", "f_n", "f_s", "f_folds", "f_tail", "f_fold")
 
 
 def fit(rows: DataFrame, trees: int = TREES, depth: int = DEPTH) -> Trees:
