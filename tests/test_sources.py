@@ -93,6 +93,9 @@ def test_zarr(sources, tmp_path):
             (root / f"{i}.{j}").write_bytes(blosc(chunk.tobytes(), 4, 1))
     got = {r.idx: r.v for r in sources.read.format("zarr").option("array", "u").load(str(tmp_path / "z")).collect()}
     assert got == {i: (None if i == 7 else float(i)) for i in range(30)}
+    (root / "1.1").unlink()
+    gone = {r.idx: r.v for r in sources.read.format("zarr").option("array", "u").load(f"file://{tmp_path}/z").collect()}
+    assert gone == {i: (None if i in (7, 22, 23, 28, 29) else float(i)) for i in range(30)}  # a chunk that is not there is all null
     some = sources.read.format("zarr").option("array", "u").option("select", "0:2,4:6").load(str(tmp_path / "z"))
     assert {r.chunk for r in some.collect()} == {"0.1"}
 

@@ -18,8 +18,7 @@ def at(s):
 
 def drained(spark, df, tmp_path, mode="append"):
     name = f"q{uuid.uuid4().hex}"
-    ingest.run_available(df, name, str(tmp_path / name), mode)
-    return spark.table(name).collect()
+    return ingest.run_available(df, str(tmp_path / f"{name}-out"), str(tmp_path / name), mode).collect()
 
 
 def test_windows_equal_a_batch(spark, tmp_path):

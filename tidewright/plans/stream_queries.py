@@ -54,11 +54,10 @@ def job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_type, count(*) AS n, sum(floor(value)::BIGINT)::BIGINT AS total FROM events GROUP BY 1""")
 def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as a stream of files, worked through to its end into a memory table."""
+    """events as a stream of files, worked through to its end."""
     source = f"{sf_dir}/events.parquet"
     name = f"totals_{uuid.uuid4().hex}"
     schema = spark.read.parquet(source).schema
     stream = ingest.read_events(spark, f"{sf_dir}/events.parque[t]", schema)
     totals = stream.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.floor("value").cast("long")).alias("total"))
-    ingest.run_available(totals, name, f"{checkpoint_dir(spark)}/{name}", "complete")
-    return spark.table(name)
+    return ingest.run_available(totals, f"{checkpoint_dir(spark)}/{name}-out", f"{checkpoint_dir(spark)}/{name}")

@@ -1,12 +1,12 @@
 """Python data sources for the binary and text formats of gridded forecasts and boats: register(spark), then
 spark.read.format("npz" | "grib2" | "zarr" | "shapefile" | "polar").load(path).
 
-Each has one partition a file (a chunk, for Zarr), reads with the driver-side listing of a local or mounted path, and yields
-Arrow batches or rows of plain columns. Files must be reachable under the same path on every executor."""
+Each has one partition a file (a chunk, for Zarr), listed on the driver and read by the tasks, and yields Arrow batches or rows of plain
+columns. Paths may be local, mounted on every executor, or URIs of an object store."""
 
 from __future__ import annotations
 
-import glob
+import io
 import json
 import os
 import re
@@ -17,12 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tidewright.sources import codecs
-
-
-def _files(options: dict, pattern: str) -> list[str]:
-    path = options["path"].removeprefix("file://")
-    return sorted(glob.glob(os.path.join(path, pattern))) if os.path.isdir(path) else sorted(glob.glob(path))
+from tidewright.sources import codecs, files
 
 
 class FilePartition(InputPartition):
@@ -37,7 +32,7 @@ class _Reader(DataSourceReader):
         self.options = dict(options)
 
     def partitions(self) -> list[InputPartition]:
-        return [FilePartition(f) for f in _files(self.options, self.pattern)] or [FilePartition("")]
+        return [FilePartition(f) for f in files.listed(self.options["path"], self.pattern)] or [FilePartition("")]
 
 
 class NpzSource(DataSource):
@@ -60,7 +55,7 @@ class NpzReader(_Reader):
     def read(self, partition: FilePartition) -> Iterator[tuple]:
         if not partition.path:
             return
-        with np.load(partition.path, allow_pickle=False) as found:
+        with np.load(io.BytesIO(files.read(partition.path)), allow_pickle=False) as found:
             for name in found.files:
                 a = found[name]
                 if a.dtype.kind in "US":
@@ -117,9 +112,8 @@ class PolarReader(_Reader):
     def read(self, partition: FilePartition) -> Iterator[tuple]:
         if partition.path:
             name = os.path.splitext(os.path.basename(partition.path))[0]
-            with open(partition.path, encoding="utf-8-sig") as f:
-                for row in parse_polar(f.read(), "," if partition.path.endswith(".csv") else "\t", name):
-                    yield (name, *row)
+            for row in parse_polar(files.read(partition.path).decode("utf-8-sig"), "," if partition.path.endswith(".csv") else "\t", name):
+                yield (name, *row)
 
 
 class ShapefileSource(DataSource):
@@ -143,7 +137,7 @@ class ShapefileReader(_Reader):
         if not partition.path:
             return
         box = [float(x) for x in self.options["bbox"].split(",")] if self.options.get("bbox") else None
-        with open(partition.path, "rb") as f:
+        with files.opened(partition.path) as f:
             head = f.read(100)
             if len(head) < 100 or struct.unpack(">i", head[:4])[0] != 9994:
                 raise ValueError(f"{partition.path} is not a shapefile")
@@ -184,14 +178,12 @@ class ZarrSource(DataSource):
 class ZarrReader(_Reader):
     def __init__(self, options: dict):
         super().__init__(options)
-        self.root = os.path.join(options["path"].removeprefix("file://"), options.get("array", ""))
-        own, whole = os.path.join(self.root, ".zarray"), os.path.join(options["path"].removeprefix("file://"), ".zmetadata")
-        if os.path.exists(own):
-            with open(own) as f:
-                self.meta = json.load(f)
+        self.root = os.path.join(options["path"], options.get("array", ""))
+        own, whole = os.path.join(self.root, ".zarray"), os.path.join(options["path"], ".zmetadata")
+        if files.exists(own):
+            self.meta = json.loads(files.read(own))
         else:  # consolidated
-            with open(whole) as f:
-                self.meta = json.load(f)["metadata"][f"{options.get('array', '')}/.zarray"]
+            self.meta = json.loads(files.read(whole))["metadata"][f"{options.get('array', '')}/.zarray"]
 
     def partitions(self) -> list[InputPartition]:
         """Chunks that bear on the option `select`: "lo:hi,lo:hi,…" by axis."""
@@ -205,16 +197,16 @@ class ZarrReader(_Reader):
 
     def read(self, partition: FilePartition) -> Iterator[pa.RecordBatch]:
         shape, chunks, fill = self.meta["shape"], self.meta["chunks"], self.meta.get("fill_value")
-        if not os.path.exists(partition.path):
-            return  # a missing chunk is all fill
-        with open(partition.path, "rb") as f:
-            raw = f.read()
-        compressor = self.meta.get("compressor")
-        if compressor:
-            if compressor["id"] != "blosc":
-                raise ValueError(f"compressor {compressor['id']} is not supported")
-            raw = codecs.blosc_decompress(raw)
-        a = np.frombuffer(raw, self.meta["dtype"]).reshape(chunks).astype("f8")
+        if files.exists(partition.path):
+            raw = files.read(partition.path)
+            compressor = self.meta.get("compressor")
+            if compressor:
+                if compressor["id"] != "blosc":
+                    raise ValueError(f"compressor {compressor['id']} is not supported")
+                raw = codecs.blosc_decompress(raw)
+            a = np.frombuffer(raw, self.meta["dtype"]).reshape(chunks).astype("f8")
+        else:  # a chunk that was not written is all fill
+            a = np.full(chunks, np.nan)
         origin = [k * c for k, c in zip(partition.extra, chunks, strict=True)]
         index = np.ravel_multi_index(np.meshgrid(*(np.minimum(o + np.arange(c), n - 1) for o, c, n in zip(origin, chunks, shape, strict=True)), indexing="ij"), shape)
         inside = np.ones(chunks, bool)
@@ -245,11 +237,10 @@ class GribReader(_Reader):
 
     def read(self, partition: FilePartition) -> Iterator[tuple]:
         if partition.path:
-            with open(partition.path, "rb") as f:
-                for i, m in enumerate(codecs.grib2_messages(f.read())):
-                    values = m.pop("values")
-                    m.pop("present")
-                    yield (partition.path, i, *m.values(), [None if x != x else float(x) for x in values])
+            for i, m in enumerate(codecs.grib2_messages(files.read(partition.path))):
+                values = m.pop("values")
+                m.pop("present")
+                yield (partition.path, i, *m.values(), [None if x != x else float(x) for x in values])
 
 
 def register(spark) -> None:

@@ -37,9 +37,18 @@ def latest_status(log: DataFrame, job: str, seq: str, status: str) -> DataFrame:
     return log.groupBy(job).agg(F.max_by(status, seq).alias(status), F.max(seq).alias(seq))
 
 
-def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> None:
-    """Works through all that is there, into a memory table, and stops."""
-    df.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """Works through all that is there and stops. Returns a table in the shared folder `path`: with mode "complete" the whole result as of
+    the last batch, which each batch writes beside the others' (a batch that is repeated writes its own again); with "append" all rows."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    out = df.sparkSession.read.schema(T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    if mode == "complete":
+        out = out.where(F.col("batch") == (out.agg(F.max("batch")).first()[0] or 0))
+    return out.drop("batch")
 
 
 def append_to(df: DataFrame, path: str, checkpoint: str, partition_by: list[str] | None = None):
