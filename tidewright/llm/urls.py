@@ -72,7 +72,7 @@ def features(url: str = "url") -> dict[str, Column]:
     text = F.coalesce(F.col(url), F.lit(""))
     n = F.length(text)
     chars = F.split(text, "")
-    share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / n
+    share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / F.greatest(n, F.lit(1))
     entropy = F.aggregate(F.transform(F.array_distinct(chars), share), F.lit(0.0), lambda s, p: s - F.when(p > 0, p * F.log2(p)).otherwise(0.0))
     query = F.regexp_extract(text, r"(?s)\?([^#]*)", 1)
     return {
