@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.functions import meteo as M
-from tidewright.functions.angles import angle_between, rounded
-from tidewright.functions.geodesy import haversine
+from tidewright.functions.angles import angle_between, rounded, wrap_lon
+from tidewright.functions.geodesy import RADIUS, haversine, segment_within
 from tidewright.operators import sampling as S
 
 
@@ -123,12 +123,25 @@ def join_tiles(tiles: DataFrame, box: tuple[float, float, float, float], res: fl
     return inside.groupBy("i", "j").agg(F.min(F.struct("z", "x", "y", "v")).alias("m")).select((F.col("i") * res).alias("lon"), (F.col("j") * res).alias("lat"), "m.v")
 
 
-def shore_within(points: DataFrame, shore: DataFrame, key: str, metres: float, size: float = 1.0) -> DataFrame:
-    """Keys of points within so many metres of a shore vertex (lon, lat); edges are to be cut to lengths well under it."""
-    from tidewright.operators.spatial import within_circles
-
-    circles = shore.select(F.col("lon").alias("c_lon"), F.col("lat").alias("c_lat"), F.lit(float(metres)).alias("radius_m"))
-    return within_circles(points, circles, metres, size).select(key).distinct()
+def shore_within(points: DataFrame, edges: DataFrame, key: str, metres: float, size: float = 1.0) -> DataFrame:
+    """Keys of points (lon, lat) within so many metres of a shore's edges (x0, y0, x1, y1: great circles of a few degrees at most, over the
+    date line the shorter way). Edges are listed in the cells they may be near; a point meets those of its cell."""
+    reach = math.degrees(metres / RADIUS)
+    width = wrap_lon(F.col("x1") - F.col("x0"))
+    bulge = F.degrees(F.pow(F.radians(width), F.lit(2.0)) * 0.75)  # a great circle's way off its end's latitudes
+    near = reach + bulge
+    south, north = F.least("y0", "y1") - near, F.greatest("y0", "y1") + near
+    far = F.greatest(F.abs(south), F.abs(north))
+    around = F.when(far >= 89.0, 180.0).otherwise(reach / F.cos(F.radians(F.least(far, F.lit(89.0)))) + 1e-6)
+    n = round(360 / size)
+    west = F.col("x0") + F.least(F.lit(0.0), width) - around
+    columns = F.least(F.ceil((F.abs(width) + 2 * around) / size) + 1, F.lit(n))
+    placed = edges.withColumns({"_west": F.floor((west + 180.0) / size), "_n": columns, "_cy": F.sequence(F.floor(south / size), F.floor(north / size))})
+    placed = placed.withColumn("_cy", F.explode("_cy")).withColumn("_cx", F.explode(F.sequence(F.col("_west"), F.col("_west") + F.col("_n") - 1)))
+    placed = placed.withColumn("_cx", F.pmod("_cx", F.lit(n).cast("long")))
+    cells = points.select(key, "lon", "lat", F.floor(F.col("lat") / size).alias("_cy"), F.floor((wrap_lon("lon") + 180.0) / size).alias("_cx"))
+    met = cells.join(placed.select("_cx", "_cy", "x0", "y0", "x1", "y1").distinct(), ["_cx", "_cy"])
+    return met.where(segment_within("x0", "y0", "x1", "y1", "lon", "lat", metres)).select(key).distinct()
 
 
 def limit_seconds(samples: DataFrame, keys: list[str], over: Column, seconds: str) -> DataFrame:

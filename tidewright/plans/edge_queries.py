@@ -9,12 +9,13 @@ from tidewright.functions import meteo as M
 from tidewright.functions.angles import rounded
 from tidewright.functions.geodesy import haversine
 from tidewright.operators import coalescing as C
+from tidewright.operators import fields as D
 from tidewright.operators import polars as P
 from tidewright.operators import sampling as S
 from tidewright.operators import timejoin as T
 from tidewright.plans.base import COLS, GRID, OBS, ROWS, collection, observations, price_grid, r, table
 from tidewright.plans.grid_queries import POLAR, _polar
-from tidewright.plans.scalars import BAND, FOLD, HAV, MAGNUS, ROUGH
+from tidewright.plans.scalars import BAND, BEAR, FOLD, HAV, MAGNUS, ROUGH
 from tidewright.plans.series_queries import HOLES, _holed
 
 QUERIES, ORACLES, query = collection()
@@ -135,3 +136,18 @@ def asof_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events.select("event_id", F.when(_e() % 4 != 0, F.col("event_type")).alias("k"), F.when(_e() % 5 != 0, seconds).alias("tm"))
     steps = events.where("event_type <> 'view'").select(F.col("event_type").alias("k"), (F.floor(seconds / 43200) * 43200).alias("t")).distinct()
     return T.bracket(e, steps, "tm", "t", [], ["k"]).select("event_id", "t0", "t1")
+
+
+SHORE = "shore AS (SELECT (n_nationkey * 37 % 360 - 180)::DOUBLE AS x0, (n_nationkey * 7 % 130 - 65)::DOUBLE AS y0, (n_nationkey * 37 % 360 - 180 + (n_nationkey % 5 - 2) * 1.5)::DOUBLE AS x1, (n_nationkey * 7 % 130 - 65 + n_nationkey % 3)::DOUBLE AS y1 FROM nation)"
+
+
+@query(f"""WITH {OBS}, {SHORE}, a AS (SELECT event_id, {HAV('x0', 'y0', 'lon', 'lat')} / 6371000.0::DOUBLE AS d, radians({BEAR('x0', 'y0', 'lon', 'lat')} - {BEAR('x0', 'y0', 'x1', 'y1')}) AS turn,
+   {HAV('x0', 'y0', 'lon', 'lat')} AS d0, {HAV('x1', 'y1', 'lon', 'lat')} AS d1, {HAV('x0', 'y0', 'x1', 'y1')} AS whole FROM obs, shore),
+  b AS (SELECT *, asin(greatest(-1, least(1, sin(d) * sin(turn)))) * 6371000.0::DOUBLE AS xt, atan2(cos(turn) * sin(d), cos(d)) * 6371000.0::DOUBLE AS al FROM a)
+  SELECT DISTINCT event_id FROM b WHERE least(d0, d1) <= 300500 OR (abs(xt) <= 300500 AND al >= 0 AND al <= whole)""")
+def shore_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions within 300.5 km of a shore's edges, over the date line too."""
+    n = F.col("n_nationkey")
+    x0, y0 = (n * 37 % 360 - 180).cast("double"), (n * 7 % 130 - 65).cast("double")
+    shore = table(spark, sf_dir, "nation").select(x0.alias("x0"), y0.alias("y0"), (x0 + (n % 5 - 2) * 1.5).alias("x1"), (y0 + n % 3).alias("y1"))
+    return D.shore_within(observations(spark, sf_dir), shore, "event_id", 300_500.0)
