@@ -117,10 +117,11 @@ class Dealing:
 
 def grouped(w: np.ndarray, ctx: np.ndarray, deal: Dealing):
     """Distinct pairs by (bucket, context, word), packed: for each bucket that has any, (bucket, contexts, pairs of each, words, first token,
-    last token); and the order of tokens."""
-    _, of = np.unique(w, return_inverse=True)
-    _, own = np.unique(ctx, return_inverse=True)
-    key = own * (of.max(initial=0) + 1) + of
+    last token); and the order of tokens. The context of a token is the word before, or START."""
+    found, of = np.unique(w, return_inverse=True)
+    own = np.concatenate([np.zeros(1, np.int64), of[:-1]])
+    own[ctx == START] = len(found)
+    key = own * (len(found) + 1) + of
     at = np.argsort(key, kind="stable")
     key = key[at]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
@@ -132,11 +133,11 @@ def grouped(w: np.ndarray, ctx: np.ndarray, deal: Dealing):
     at = at[np.repeat(first[order] - starts, sizes) + np.arange(len(at))]
     bucket, pair_w, pair_ctx = bucket[order], w[at[starts]], ctx[at[starts]]
     cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
-    found = []
+    rows = []
     for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         new = np.flatnonzero(np.concatenate([[True], pair_ctx[x + 1 : y] != pair_ctx[x : y - 1]]))
-        found.append((int(bucket[x]), pair_ctx[x:y][new], np.diff(np.append(new, y - x)), pair_w[x:y], starts[x:y], int(starts[y - 1] + sizes[y - 1])))
-    return found, at
+        rows.append((int(bucket[x]), pair_ctx[x:y][new], np.diff(np.append(new, y - x)), pair_w[x:y], starts[x:y], int(starts[y - 1] + sizes[y - 1])))
+    return rows, at
 
 
 def _small(x: np.ndarray) -> bytes:
