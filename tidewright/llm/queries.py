@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import ann, digest, langid, mixing, packing, pitman_yor, quality, simhash, tokenfile, urls
+from tidewright.llm import ann, digest, langid, mixing, packing, pieces, pitman_yor, quality, simhash, tokenfile, urls
 from tidewright.llm.common import crc_mod, table
 
 
@@ -95,5 +95,9 @@ def op10_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.compare_with_next(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_pitman_yor, op3_mixing, op4_url_filter, op5_importance_resampling, op6_token_files, op7_simhash, op8_packing, op9_cross_polytope, op10_digest)}
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_pitman_yor, op3_mixing, op4_url_filter, op5_importance_resampling, op6_token_files, op7_simhash, op8_packing, op9_cross_polytope, op10_digest, op13_pieces)}
 ORACLES: dict[str, str] = {"op3_mixing": OP3_SQL}
