@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import ann, digest, langid, mixing, packing, pieces, pitman_yor, quality, simhash, tokenfile, urls
+from tidewright.llm import ann, digest, langid, mixing, packing, periodic, phrases, pieces, pitman_yor, quality, simhash, tokenfile, urls
 from tidewright.llm.common import crc_mod, table
 
 
@@ -95,9 +95,42 @@ def op10_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = """
+WITH lowered AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM lowered),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang),
+sizes AS (SELECT unnest([1, 2, 3, 4, 5]) AS m),
+starts AS (SELECT lang, m, w, unnest(range(1, len(w) - m + 2)) AS i FROM worded, sizes WHERE len(w) >= m),
+counted AS (SELECT lang, m, w[i:i + m - 1] AS ws, count(*)::BIGINT AS f FROM starts GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (SELECT lang, m, ws, f, unnest(range(1, m)) AS k FROM counted WHERE m > 1),
+scored AS (
+  SELECT c.lang, c.ws, c.f AS a, c.k, x.f AS l, y.f AS r, t.n, ((1000::HUGEINT * c.f * t.n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts c JOIN counted x ON x.lang = c.lang AND x.ws = c.ws[1:c.k] JOIN counted y ON y.lang = c.lang AND y.ws = c.ws[c.k + 1:c.m] JOIN totals t ON t.lang = c.lang),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) = 1),
+inner_parts AS (
+  SELECT lang, f, m, ws, unnest(range(1, m + 1)) AS i FROM counted WHERE m > 2),
+covers AS (
+  SELECT lang, ws[i:i + s - 1] AS part, max(f) AS cover FROM inner_parts, (SELECT unnest([2, 3, 4]) AS s) WHERE s < m AND i + s - 1 <= m GROUP BY ALL),
+free AS (
+  SELECT w.* FROM worst w LEFT JOIN covers v ON v.lang = w.lang AND v.part = w.ws WHERE v.cover IS NULL OR 100 * v.cover < 100 * w.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(ws, ' ')) AS rank, array_to_string(ws, ' ') AS phrase, a, l, r, n, score FROM free)
+WHERE rank <= 2000"""
+
+
 def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_pitman_yor, op3_mixing, op4_url_filter, op5_importance_resampling, op6_token_files, op7_simhash, op8_packing, op9_cross_polytope, op10_digest, op13_pieces)}
-ORACLES: dict[str, str] = {"op3_mixing": OP3_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_pitman_yor, op3_mixing, op4_url_filter, op5_importance_resampling, op6_token_files, op7_simhash, op8_packing, op9_cross_polytope, op10_digest, op11_periodic_runs, op12_phrases, op13_pieces)}
+ORACLES: dict[str, str] = {"op3_mixing": OP3_SQL, "op12_phrases": OP12_SQL}
