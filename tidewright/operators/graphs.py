@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder. Unlike a checkpoint it is worked out once, and carries no constraints on, which grow from round to
+    round in long loops."""
+    at = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def connected(nodes: DataFrame, edges: DataFrame, most: int = 60) -> DataFrame:
     """id, component: the least id reachable. Every round a node takes the least label next to it, then its label's label."""
     both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
