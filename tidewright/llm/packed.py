@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from tidewright.llm.common import texts
 
 #: Bytes of text after which a block is closed. A longer text is a block of its own.
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 
 
 def pack(values) -> bytes:

@@ -81,18 +81,20 @@ def spelled(ids: list[list[int]], model: str) -> list[bytes]:
     return [t[skip:].encode() for t in sp.decode([before + x for x in ids])]
 
 
-def _coded(held: list[bytes], parts: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words by falling frequency, each one's part, the texts' words as numbers of these, and the words of each text."""
-    lists = [marked_words(t) for t in held]
-    counts = np.fromiter(map(len, lists), np.int64, len(lists))
-    words = sorted(set().union(*lists))  # the same order in both scans
-    place = dict(zip(words, range(len(words)), strict=True)).__getitem__
-    codes = np.concatenate([np.fromiter(map(place, x), np.int64, len(x)) for x in lists]) if words else np.zeros(0, np.int64)
-    parts_of = np.fromiter((zlib.crc32(w) % parts for w in words), np.int64, len(words))
-    order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
-    rank = np.empty(len(words), np.int64)
-    rank[order] = np.arange(len(words))
-    return [words[i] for i in order.tolist()], parts_of[order], rank[codes], counts
+def _coded(held: list[bytes], parts: int, positions: bool) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words in order of their first place, each one's part, the texts' words as numbers of these, and the words of each text; the
+    last two only if asked. One text's words are held at a time."""
+    place: dict[bytes, int] = {}
+    codes, counts = [], np.zeros(len(held), np.int64)
+    for i, text in enumerate(held):
+        words = marked_words(text)
+        new = [w for w in dict.fromkeys(words) if w not in place]
+        place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
+        if positions:
+            counts[i] = len(words)
+            codes.append(np.fromiter(map(place.__getitem__, words), np.int32, len(words)))
+    parts_of = np.fromiter((zlib.crc32(w) % parts for w in place), np.int64, len(place))
+    return list(place), parts_of, np.concatenate(codes) if codes else np.zeros(0, np.int32), counts
 
 
 def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
@@ -104,7 +106,7 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
 
     def words_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, _, held in blocks(batches, block):
-            words, parts_of, _, _ = _coded(held, parts)
+            words, parts_of, _, _ = _coded(held, parts, False)
             order = np.argsort(parts_of, kind="stable")
             cuts = np.searchsorted(parts_of[order], np.arange(parts + 1))
             sent = [(p, at, pack_bytes([words[i] for i in order[cuts[p] : cuts[p + 1]]])) for p in range(parts) if cuts[p] < cuts[p + 1]]
@@ -126,7 +128,7 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, ids, held in blocks(batches, block):
-            _, parts_of, codes, counts = _coded(held, parts)
+            _, parts_of, codes, counts = _coded(held, parts, True)
             yield pa.record_batch([pa.array([at], pa.binary()), pa.array([ids], pa.list_(batch_type)), pa.array([pack(counts)]), pa.array([pack(codes)]), pa.array([pack(parts_of)])], names=["block", "keys", "counts", "codes", "parts_of"])
 
     def laid_out(left: pa.Table, right: pa.Table) -> pa.Table:
