@@ -125,17 +125,15 @@ def _read(docs: DataFrame, lang: str, text: str, block: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq = 0
-        opened: dict[str, list[bytes]] = {}
+        opened: dict[str, tuple[dict[bytes, int], list[np.ndarray]]] = {}
         sizes: dict[str, int] = {}
 
         def close(of: str) -> pa.RecordBatch:
             nonlocal seq
-            lists = [[*tokens(t), b"."] for t in opened.pop(of)]
+            place, parts = opened.pop(of)
             sizes.pop(of)
-            names = list(set().union(*lists) - {b"."})
-            place = dict(zip(names, range(1, len(names) + 1), strict=True)) | {b".": 0}
-            codes = np.concatenate([np.fromiter(map(place.__getitem__, x), np.int64, len(x)) for x in lists])
-            counts = np.bincount(codes, minlength=len(names) + 1)
+            names, codes = list(place), np.concatenate(parts)
+            counts = np.bincount(codes, minlength=len(names))
             order = np.concatenate([[0], 1 + np.argsort(-counts[1:], kind="stable")])
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
@@ -144,13 +142,17 @@ def _read(docs: DataFrame, lang: str, text: str, block: int) -> DataFrame:
             number, seq = TaskContext.get().partitionId() << 12 | seq, seq + 1
             if seq > 1 << 12 or len(order) >= 1 << PLACE_BITS:
                 raise ValueError("a partition has too many blocks, or a block too many words, to be numbered")
-            row = [[number], [of], [[names[i - 1].decode("utf-8", "replace") for i in order[1:].tolist()]], [counts[order[1:]]], [pack(codes)]]
+            row = [[number], [of], [[names[i].decode("utf-8", "replace") for i in order[1:].tolist()]], [counts[order[1:]]], [pack(codes)]]
             kinds = (pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary())
             return pa.record_batch([pa.array(c, t) for c, t in zip(row, kinds, strict=True)], names=["block", "lang", "words", "counts", "codes"])
 
         for batch in batches:
             for of, raw in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-                opened.setdefault(of, []).append(raw)
+                place, parts = opened.setdefault(of, ({b".": 0}, []))
+                words = [*tokens(raw), b"."]
+                new = [w for w in dict.fromkeys(words) if w not in place]
+                place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
+                parts.append(np.fromiter(map(place.__getitem__, words), np.int32, len(words)))
                 sizes[of] = sizes.get(of, 0) + len(raw) + 1
                 if sizes[of] >= block:
                     yield close(of)
