@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewright.functions.angles import rounded
 from tidewright.operators.graphs import checkpoint_dir
 from tidewright.plans.base import OBS, collection, observations, r, table
-from tidewright.streaming import ingest
+from tidewright.streaming import ingest, stateful
 
 QUERIES, ORACLES, query = collection()
 
@@ -61,3 +61,21 @@ def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = ingest.read_events(spark, f"{sf_dir}/events.parque[t]", schema)
     totals = stream.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.floor("value").cast("long")).alias("total"))
     return ingest.run_available(totals, f"{checkpoint_dir(spark)}/{name}-out", f"{checkpoint_dir(spark)}/{name}")
+
+
+@query()
+def refresh_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as refreshes asked for, each taking an hour: when one starts, and what it absorbed. Tests hold the machine against hand-made runs,
+    and its stream against its table."""
+    e = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 50).alias("source"), (F.col("user_id") % 5 == 0).alias("force"), (F.col("event_id") % 7 == 0).alias("owner"))
+    return stateful.over_table(e, ["source"], stateful.RefreshQueue(3_600_000)).select("source", *_ntz("start"), "force", "owner", "asked")
+
+
+@query()
+def map_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as requests for map tiles: bursts that a gap of two hours ends and a deeper zoom starts anew."""
+    e, z = F.col("event_id"), (F.col("event_id") % 4 + 3).cast("int")
+    side = F.shiftleft(F.lit(1), 3)
+    tiles = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", z.alias("z"), (e * 37 % side).cast("int").alias("x"), (e * 17 % side).cast("int").alias("y"))
+    got = stateful.over_table(tiles, ["user_id"], stateful.Views(7_200_000, 3))
+    return got.select("user_id", *_ntz("until"), "z", "tiles", rounded("lon", 4).alias("lon"), rounded("lat", 4).alias("lat"))
