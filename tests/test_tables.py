@@ -2,6 +2,8 @@ import json
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from tidewright.operators import tables
 
 
@@ -37,3 +39,15 @@ def test_contours_close_around_a_hill(spark):
     (line,) = grids.contour_lines(seg, ["k"]).collect()
     assert line.xs[0] == line.xs[-1] and line.ys[0] == line.ys[-1] and len(line.xs) == seg.count() + 1
     assert all(abs(np.hypot(x - 6, y - 6) - 3.5) < 0.25 for x, y in zip(line.xs, line.ys, strict=True))
+
+
+def test_unknown_ends_and_equal_times(spark):
+    from tidewright.functions.geodesy import segment_within
+    from tidewright.operators.series import differences
+
+    legs = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 0.0), (2, 0.0, 0.0, None, 0.0), (3, 50.0, 0.0, None, None)], "id int, a double, b double, c double, d double")
+    got = {r.id: r.near for r in legs.select("id", segment_within("a", "b", "c", "d", F.lit(0.0), F.lit(0.0), 1000.0).alias("near")).collect()}
+    assert got == {1: True, 2: None, 3: None}
+    steps = spark.createDataFrame([("k", 1, 1.0), ("k", 1, 3.0), ("k", 2, 2.0), ("k", 4, 8.0)], "key string, t int, v double")
+    rates = [r["diff"] for r in differences(steps, ["key"], "t", "v", rate=True, ties=["v"]).orderBy("t", "v").collect()]
+    assert rates == [None, 0.0, 3.0]

@@ -14,7 +14,7 @@ def rounded(x: Column | str, digits: int = 0) -> Column:
     """Half up, null for what is not finite: the same bits in any engine that has floor."""
     x, scale = col(x), float(10**digits)
     y = F.floor(x * scale + 0.5) / scale
-    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(y)
+    return F.when(F.abs(x) < float("inf"), y)  # NaN is above infinity
 
 
 def norm360(x: Column | str) -> Column:
@@ -55,7 +55,7 @@ def twa(heading: Column | str, wind_from: Column | str) -> Column:
 def finite(x: Column | str | float) -> Column:
     """x, or null for what is not a finite number."""
     y = col(x).cast("double")
-    return F.when(F.isnan(y) | (F.abs(y) == float("inf")), None).otherwise(y)
+    return F.when(F.abs(y) < float("inf"), y)
 
 
 def at_least(x: Column | str | float, low) -> Column:

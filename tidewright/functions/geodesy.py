@@ -46,11 +46,12 @@ def along_track(s_lon, s_lat, e_lon, e_lat, lon, lat) -> Column:
 
 
 def segment_within(s_lon, s_lat, e_lon, e_lat, lon, lat, metres) -> Column:
-    """Whether the leg from s to e passes within metres of a point."""
-    ends = F.least(haversine(s_lon, s_lat, lon, lat), haversine(e_lon, e_lat, lon, lat)) <= col(metres)
+    """Whether the leg from s to e passes within metres of a point; null if an end is unknown."""
+    first, last = haversine(s_lon, s_lat, lon, lat), haversine(e_lon, e_lat, lon, lat)
+    ends = F.when(first.isNotNull() & last.isNotNull(), F.least(first, last) <= col(metres))
     along = along_track(s_lon, s_lat, e_lon, e_lat, lon, lat)
     beside = (F.abs(cross_track(s_lon, s_lat, e_lon, e_lat, lon, lat)) <= col(metres)) & (along >= 0) & (along <= haversine(s_lon, s_lat, e_lon, e_lat))
-    return ends | beside
+    return F.when(ends.isNotNull(), ends | beside)
 
 
 def slerp(lon1, lat1, lon2, lat2, share) -> tuple[Column, Column]:

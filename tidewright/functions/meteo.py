@@ -38,26 +38,37 @@ def band(index) -> Column:
     return out.otherwise("extreme")
 
 
-def roughness(wind, current, wind_from, current_to, swh, mwp, mwd_from) -> Column:
-    """Wind against current, and swell by its square, damped by period and steepened by an opposing current. Null if any is."""
-    w, c, h, t = col(wind), col(current), col(swh), col(mwp)
+def _wind_part(w: Column, c: Column, wind_from, current_to) -> Column:
+    """For values that are known: the guards stand around it, once."""
     theta = F.radians(angle_between(col(wind_from) + 180.0, current_to))
-    relative = (w * w + c * c - 2 * w * c * F.cos(theta)) / F.pow(at_least(w, 0.001), 2)
-    wind_term = at_most(50.0 * relative * clamp(w / 2.572222, 0, 1), 400.0)
+    relative = (w * w + c * c - 2 * w * c * F.cos(theta)) / F.pow(F.greatest(w, F.lit(0.001)), 2)
+    return F.least(50.0 * relative * F.greatest(F.lit(0.0), F.least(F.lit(1.0), w / 2.572222)), F.lit(400.0))
+
+
+def _wave_part(c: Column, current_to, h: Column, t: Column, mwd_from) -> Column:
     phi = F.radians(angle_between(col(mwd_from) + 180.0, current_to))
-    group = G * at_least(t, 2.0) / (4 * math.pi)
-    steepen = 1.0 / at_least(1 - 2 * at_least(-(c * F.cos(phi)), 0.0) / group, 0.3)
-    wave_term = F.when(h > 0, 10.0 * h * h * (5.0 / at_least(t, 5.0)) * steepen).when(h.isNotNull(), 0.0)
-    return wind_term + wave_term
+    group = G * F.greatest(t, F.lit(2.0)) / (4 * math.pi)
+    steepen = 1.0 / F.greatest(1 - 2 * F.greatest(-(c * F.cos(phi)), F.lit(0.0)) / group, F.lit(0.3))
+    return F.when(h > 0, 10.0 * h * h * (5.0 / F.greatest(t, F.lit(5.0))) * steepen).otherwise(0.0)
+
+
+def _all_known(*values) -> Column:
+    return reduce(lambda a, b: a & b, (col(v).isNotNull() for v in values))
+
+
+def roughness(wind, current, wind_from, current_to, swh, mwp, mwd_from) -> Column:
+    """Wind against current, and swell by its square, damped by period and steepened by an opposing current. Null if any is."""
+    parts = _wind_part(col(wind), col(current), wind_from, current_to) + _wave_part(col(current), current_to, col(swh), col(mwp), mwd_from)
+    return F.when(_all_known(wind, current, wind_from, current_to, swh, mwp, mwd_from), parts)
 
 
 def sea_state_index(wind, wind_from, current, current_to, swh, mwp, mwd_from) -> Column:
     """Rounded to a tenth; null without wind or its direction. Without current it counts as none; unless height, period and direction
     of the waves are all known, so do they. What is not finite is not known."""
-    known = lambda x, default: F.coalesce(finite(x), F.lit(default))
-    waves = finite(swh).isNotNull() & finite(mwp).isNotNull() & finite(mwd_from).isNotNull()
-    h, t, d = (F.when(waves, finite(x)).otherwise(default) for x, default in ((swh, 0.0), (mwp, 5.0), (mwd_from, 0.0)))
-    return rounded(roughness(finite(wind), known(current, 0.0), finite(wind_from), known(current_to, 0.0), h, t, d), 1)
+    w, w_from, h, t, d = map(finite, (wind, wind_from, swh, mwp, mwd_from))
+    c, to = (F.coalesce(finite(x), F.lit(0.0)) for x in (current, current_to))
+    waves = F.when(_all_known(h, t, d), _wave_part(c, to, h, t, d)).otherwise(0.0)
+    return rounded(F.when(_all_known(w, w_from), _wind_part(w, c, w_from, to) + waves), 1)
 
 
 def encounter(index, course, waves_from) -> Column:

@@ -13,7 +13,7 @@ def differences(df: DataFrame, keys: list[str], order: str, value: str, rate: bo
     diff = F.col(value) - F.col("_before")
     diff = diff / F.nullif(F.col(order) - F.col("_at"), F.lit(0)) if rate else diff
     rows = df.where(F.col(value).isNotNull()).withColumns({"_before": before, "_at": at}).where(F.col("_at").isNotNull())
-    return rows.withColumn("diff", F.greatest(diff, F.lit(0.0)) if clamp else diff).drop("_before", "_at")
+    return rows.withColumn("diff", F.when(diff.isNotNull(), F.greatest(diff, F.lit(0.0))) if clamp else diff).drop("_before", "_at")
 
 
 def extrema(df: DataFrame, keys: list[str], order: str, value: str, step: float = 1.0) -> DataFrame:
@@ -29,7 +29,7 @@ def extrema(df: DataFrame, keys: list[str], order: str, value: str, step: float
 
 
 def parabola(before: Column, here: Column, after: Column) -> tuple[Column, Column]:
-    """Offset (within half a step) and height of the vertex through three samples."""
+    """Offset (within half a step; 0 where a sample is unknown) and height of the vertex through three samples."""
     bend = before - 2 * here + after
     dt = F.when(F.abs(bend) > 1e-12, F.greatest(F.lit(-0.5), F.least(F.lit(0.5), (before - after) / (2 * bend)))).otherwise(0.0)
     return dt, here - (before - after) * dt / 4
