@@ -384,3 +384,14 @@ def test_digest_by_brute_force(seed):
     assert digest.digest(a) == coded
     apart = sum((0, 1, 2, 4)[abs(x - y)] for x, y in zip(codes, theirs, strict=True)) + max(0, abs(n - m) - 1) + sum(abs(x - y) for x, y in zip(ratios, other, strict=True)) // 8
     assert digest.difference(a := digest.digest(a), b := digest.digest(b)) == apart and digest.likeness(a, b) == max(0.0, 1 - apart / digest.MOST)
+
+
+def test_resampling_keeps_the_good_at_any_size(spark):
+    """Of labelled documents at two sizes: under a tenth of the bad are kept, of which none is learned from, and nearly all of the good."""
+    from tidewright.llm.common import table
+    from tidewright.llm.queries import QUERIES
+
+    for sf in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
+        known = table(spark, sf, "labels").where("quality is not null").select("doc_id", "quality").distinct()
+        kept = {r.quality: (r.n, r.k) for r in QUERIES["op5_importance_resampling"](spark, sf).join(known, "doc_id").groupBy("quality").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("k")).collect()}
+        assert kept[0][1] <= 0.1 * kept[0][0] and kept[1][1] >= 0.95 * kept[1][0]

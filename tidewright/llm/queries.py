@@ -70,7 +70,8 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    # by the mean n-gram, as in the pipeline: a document's length does not decide, and the noise does where the ratio is near its limit
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), temperature=0.005, mean=True)
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
