@@ -57,7 +57,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing_stage),
 ]
 
-#: The models have no SQL form; tests hold run() against the stages' brute-force versions.
+#: The models have no SQL form; tests hold each stage's operator against a brute-force version.
 ORACLE_SQL = None
 
 
