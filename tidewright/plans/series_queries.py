@@ -109,6 +109,19 @@ def bilinear_present(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.bilinear_present(_points(spark, sf_dir), _holed(spark, sf_dir), G).select("event_id", rounded("sample", 4).alias("sample"))
 
 
+@query(f"""WITH {OBS}, {GRID}, {HOLES.replace("g AS", "h AS", 1)}, o AS (SELECT dr, dc FROM (SELECT UNNEST(range(-2, 3))::INT AS dr), (SELECT UNNEST(range(-2, 3))::INT AS dc) WHERE dr * dr + dc * dc BETWEEN 1 AND 4),
+  f AS (SELECT a."row", a.col, sum(b.v * (1.0::DOUBLE / (dr * dr + dc * dc))) / sum(1.0::DOUBLE / (dr * dr + dc * dc)) AS fill FROM h a, o, h b WHERE b."row" = a."row" + dr AND b.col = (a.col + dc + {COLS}) % {COLS} AND b.v IS NOT NULL GROUP BY 1, 2),
+  g AS (SELECT h."row", h.col, coalesce(h.v, fill) AS v, (h.v IS NULL AND fill IS NOT NULL)::INT AS filled FROM h LEFT JOIN f ON h."row" = f."row" AND h.col = f.col), {CORNERS},
+  marks AS (SELECT p.event_id, coalesce(a.filled, 0) * (1 - tx) * (1 - ty) + coalesce(b.filled, 0) * tx * (1 - ty) + coalesce(c.filled, 0) * (1 - tx) * ty + coalesce(d.filled, 0) * tx * ty > 0 AS filled FROM (SELECT *, greatest(0.0, least(1.0, y - r0)) AS ty FROM cor) p
+    LEFT JOIN g a ON a."row" = r0 AND a.col = c0 LEFT JOIN g b ON b."row" = r0 AND b.col = c1 LEFT JOIN g c ON c."row" = r0 + 1 AND c.col = c0 LEFT JOIN g d ON d."row" = r0 + 1 AND d.col = c1)
+  SELECT event_id, {r(f'{SUM} / CASE WHEN {W} > 1e-12 THEN {W} END', 4)} AS sample, filled FROM vals JOIN marks USING (event_id)""")
+def bilinear_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Between cells of a field with holes that near cells fill, over its seam too, and whether a filled one counts."""
+    from tidewright.operators.fields import bilinear_filled as filled
+
+    return filled(_points(spark, sf_dir), _holed(spark, sf_dir), G).select("event_id", rounded("sample", 4).alias("sample"), "filled")
+
+
 @query(f"WITH {OBS}, {GRID}, g AS (SELECT * FROM grid), {CORNERS} SELECT event_id, g.v AS sample FROM pts LEFT JOIN g ON g.\"row\" = greatest(0, least(floor(y + 0.5)::INT, {ROWS - 1})) AND g.col = floor(x + 0.5)::INT % {COLS}")
 def nearest_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.nearest(_points(spark, sf_dir), price_grid(spark, sf_dir), G).select("event_id", "sample")
