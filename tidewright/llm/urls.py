@@ -3,10 +3,12 @@
 A rule is a host and a path prefix; it fits its host and all subdomains of it if the url's path starts with the prefix, and the
 longest fitting rule decides (of equally long ones that with the longer host; of equal ones the last given). Other urls are judged by
 trees boosted on the logistic loss, trained from labelled urls; without any the urls the rules judge are the labelled ones. Features are
-length, path depth, digit ratio, entropy of the characters, number of parameters, hyphens, host labels, and two statistics of the
-host's suffix: how many urls have it, and the share of blocked ones among the labelled urls that have it, drawn towards the mean of
-all by `PRIOR` urls. A labelled url's own fold of `FOLDS` is left out of its share, so trees do not learn from an answer they are
-given. Each tree sees `SHOWN` of the features, in turn, so that urls are told apart by more than the strongest one.
+length, path depth, digit ratio, entropy of the characters, number of parameters, hyphens, host labels, and two statistics each of the
+host's suffix and of the path's first directory: how many urls have it, and the share of blocked ones among the labelled urls that have
+it, drawn towards the mean of all by `PRIOR` urls; both are `UNLABELLED` where no labelled url has it. A labelled url's own fold of `FOLDS` is
+left out of its share, so trees do not learn from an answer they are given; and one fold is shown to them as if its suffixes had no
+labels, another as if its directories had none, so that they learn to judge such urls by the rest. Each tree sees `SHOWN` of the
+features, in turn, so that urls are told apart by more than the strongest one.
 
 Features are rounded, and cut into at most `BINS` bins at exact quantiles of the labelled urls; equal binned rows are aggregated once,
 so a round of boosting costs a sum over distinct rows, and only sums by node, feature and bin, a fixed number, reach the driver. Sums
@@ -22,7 +24,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import written
@@ -30,9 +32,11 @@ from tidewright.llm.common import written
 BINS, TREES, DEPTH, RATE, LAMBDA, SHOWN, FOLDS = 16, 12, 3, 0.3, 1.0, 5, 5
 #: Labelled urls of the mean label that each suffix is taken to have besides its own.
 PRIOR = 20.0
+#: The statistics of a suffix or directory that no labelled url has, and the fold that is shown each of the two so.
+UNLABELLED, HIDDEN = -1.0, {"tail": 0, "top": 1}
 #: Rules up to which they are tested in one expression; more are joined by host.
 INLINE = 100
-FEATURES = ["length", "depth", "digits", "entropy", "parameters", "hyphens", "labels", "share", "count"]
+FEATURES = ["length", "depth", "digits", "entropy", "parameters", "hyphens", "labels", "tail_share", "tail_count", "top_share", "top_count"]
 _UPPER, _LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -90,6 +94,11 @@ def suffix() -> Column:
     return F.regexp_extract("host", r"([^.]*)$", 1)
 
 
+def directory() -> Column:
+    """The path's first directory; empty if the path has none."""
+    return F.regexp_extract("path", r"(?s)^/([^/]*)/", 1)
+
+
 class Trees:
     """Boosted trees over columns b0, b1, ... of bin numbers; a tree is a list of (node, feature, bin) splits and {leaf: value}."""
 
@@ -119,18 +128,26 @@ class Trees:
         return reduce(lambda a, b: a + b, (self._value(*t) for t in self.trees), F.lit(self.base))
 
 
+def _with_shares(rows: DataFrame, kind: str, mean: float) -> DataFrame:
+    """rows (with f_{kind}, f_fold and y) and f_{kind}_share and f_{kind}_count. Sums are a row for each key and fold; rows meet them by
+    both, so that a key a third of all urls share is FOLDS groups, which Spark splits further where they are large."""
+    key = f"f_{kind}"
+    every = Window.partitionBy(key)  # at most FOLDS rows
+    sums = rows.groupBy(key, "f_fold").agg(F.count("*").alias("f_urls"), F.count("y").alias("f_n"), F.coalesce(F.sum("y"), F.lit(0)).alias("f_s"))
+    sums = sums.select(key, "f_fold", F.sum("f_urls").over(every).alias("f_urls"), "f_n", "f_s", F.sum("f_n").over(every).alias("f_all_n"), F.sum("f_s").over(every).alias("f_all_s"))
+    labelled = F.col("y").isNotNull()
+    n, s = (F.col(f"f_all_{x}") - F.when(labelled, F.col(f"f_{x}")).otherwise(0) for x in "ns")
+    hidden = (n == 0) | (labelled & (F.col("f_fold") == HIDDEN[kind]))
+    known = {"share": F.round((s + PRIOR * mean) / (n + PRIOR), 3), "count": F.round(F.log2(F.col("f_urls") + 1.0), 2)}
+    met = rows.join(sums, [key, "f_fold"]).withColumns({f"{key}_{name}": F.when(hidden, UNLABELLED).otherwise(c) for name, c in known.items()})
+    return met.drop("f_urls", "f_n", "f_s", "f_all_n", "f_all_s", key)
+
+
 def featured(pages: DataFrame, url: str = "url") -> DataFrame:
     """pages (with host, path and `y`: 1 for blocked, 0 for not, null for unlabelled) and their features, f_*."""
-    rows = pages.withColumns({f"f_{k}": v for k, v in features(url).items()}).withColumns({"f_tail": suffix(), "f_fold": F.pmod(F.xxhash64(url), F.lit(FOLDS)).cast("int")})
-    by_fold = rows.groupBy("f_tail", "f_fold").agg(F.count("*").alias("f_urls"), F.count("y").alias("f_n"), F.coalesce(F.sum("y"), F.lit(0)).alias("f_s"))
-    mean = by_fold.agg(F.try_divide(F.sum("f_s"), F.sum("f_n"))).first()[0] or 0.0
-    folds = F.map_from_entries(F.collect_list(F.struct("f_fold", F.struct("f_n", "f_s"))))
-    tails = by_fold.groupBy("f_tail").agg(F.sum("f_urls").alias("f_urls"), F.sum("f_n").alias("f_n"), F.sum("f_s").alias("f_s"), folds.alias("f_folds"))
-    left = lambda k: F.col(k) - F.when(F.col("y").isNotNull(), F.coalesce(F.element_at("f_folds", F.col("f_fold"))[k], F.lit(0))).otherwise(0)
-    share = F.round((left("f_s") + PRIOR * mean) / (left("f_n") + PRIOR), 3)
-    # one row a suffix: broadcast by Spark only where that is small
-    met = rows.join(tails, "f_tail").withColumns({"f_share": share, "f_count": F.round(F.log2(F.col("f_urls") + 1.0), 2)})
-    return met.drop("f_urls", "f_n", "f_s", "f_folds", "f_tail", "f_fold")
+    rows = pages.withColumns({f"f_{k}": v for k, v in features(url).items()}).withColumns({"f_tail": suffix(), "f_top": directory(), "f_fold": F.coalesce(F.pmod(F.xxhash64(url), F.lit(FOLDS)), F.lit(0)).cast("int")})
+    mean = pages.agg(F.avg("y")).first()[0] or 0.0
+    return _with_shares(_with_shares(rows, "tail", mean), "top", mean).drop("f_fold")
 
 
 def fit(rows: DataFrame, trees: int = TREES, depth: int = DEPTH) -> Trees:
