@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -111,6 +111,41 @@ def _signed(x: int, bits: int) -> int:
     return -(x & (top - 1)) if x & top else x
 
 
+def grib2_scan(f, size: int, wanted: Callable[[int, dict], bool]) -> Iterator[tuple[int, dict]]:
+    """(number, metadata and values) of the messages in a file that seeks whose number and metadata `wanted` accepts. Of the others neither the
+    bytes of their values are read nor these unpacked; their bitmaps are, for later messages may use them."""
+    at, number, present = 0, 0, None
+    while at + 16 <= size:
+        f.seek(at)
+        head = f.read(16)
+        if head[:4] != b"GRIB":
+            f.seek(at)
+            place = (f.read(1 << 16)).find(b"GRIB")
+            at += place if place >= 0 else (1 << 16) - 3
+            continue
+        if head[7] != 2:
+            raise ValueError("only edition 2 of GRIB is read")
+        (total,) = struct.unpack_from(">Q", head, 8)
+        parts, here = [head], at + 16
+        while here < at + total - 4:
+            f.seek(here)
+            length, section = struct.unpack(">IB", f.read(5))
+            if section == 7:
+                break
+            f.seek(here)
+            parts.append(f.read(length))
+            here += length
+        before = b"".join(parts)
+        found = grib2_message(before + b"7777", present)
+        if wanted(number, found):
+            f.seek(here)
+            found = grib2_message(before + f.read(at + total - here), present)
+        present = found["present"] if found["present"] is not None else present
+        if "values" in found:
+            yield number, found
+        at, number = at + total, number + 1
+
+
 def grib2_messages(buf: bytes) -> Iterator[dict]:
     at, present = 0, None
     while (at := buf.find(b"GRIB", at)) >= 0 and at + 16 <= len(buf):
@@ -175,8 +210,9 @@ def grib2_message(m: bytes, before: np.ndarray | None = None) -> dict:
                 full = np.full(len(present), np.nan)
                 full[present] = x[: present.sum()]
                 x = full
-            out |= {"values": x, "present": present}
+            out["values"] = x
         at += length
+    out["present"] = present
     return out
 
 

@@ -1,4 +1,4 @@
-"""Listing and reading of files by path or URI: local and mounted paths, hdfs://, s3://, gs://, abfs:// as Arrow's file systems reach them."""
+"""Listing, reading and writing of files by path or URI: local and mounted paths, hdfs://, s3://, gs://, abfs:// as Arrow's file systems reach them."""
 
 from __future__ import annotations
 
@@ -50,3 +50,32 @@ def opened(path: str):
 def read(path: str) -> bytes:
     with opened(path) as f:
         return f.read()
+
+
+def opened_at(path: str):
+    """A file that seeks: only what is read of it is fetched."""
+    system, inner, _ = _at(path)
+    return system.open_input_file(inner)
+
+
+def size(path: str) -> int:
+    system, inner, _ = _at(path)
+    return system.get_file_info(inner).size
+
+
+def created(path: str):
+    """A stream into a new file, and the folders above it."""
+    system, inner, _ = _at(path)
+    system.create_dir(posixpath.dirname(inner), recursive=True)
+    return system.open_output_stream(inner, compression=None)
+
+
+def deleted(path: str) -> None:
+    system, inner, _ = _at(path)
+    if exists(path):
+        system.delete_file(inner)
+
+
+def moved(path: str, to: str) -> None:
+    system, inner, _ = _at(path)
+    system.move(inner, _at(to)[1])

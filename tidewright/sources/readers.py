@@ -2,7 +2,9 @@
 spark.read.format("npz" | "grib2" | "zarr" | "shapefile" | "polar").load(path).
 
 Each has one partition a file (a chunk, for Zarr), listed on the driver and read by the tasks, and yields Arrow batches or rows of plain
-columns. Paths may be local, mounted on every executor, or URIs of an object store."""
+columns. Paths may be local, mounted on every executor, or URIs of an object store. The option `where` (see pushdown) is known to `grib2`, on path,
+message and the message's metadata: values of other messages are neither read nor unpacked; to `zarr`, on chunk and idx: other chunks are
+no partitions; and to `tiles`."""
 
 from __future__ import annotations
 
@@ -18,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tidewright.sources import codecs, files
+from tidewright.sources.pushdown import Conditions
+from tidewright.sources.tiles import TilesSource
 
 
 class FilePartition(InputPartition):
@@ -178,6 +182,7 @@ class ZarrSource(DataSource):
 class ZarrReader(_Reader):
     def __init__(self, options: dict):
         super().__init__(options)
+        self.where = Conditions(self.options, ["chunk", "idx"])
         self.root = os.path.join(options["path"], options.get("array", ""))
         own, whole = os.path.join(self.root, ".zarray"), os.path.join(options["path"], ".zmetadata")
         if files.exists(own):
@@ -185,18 +190,26 @@ class ZarrReader(_Reader):
         else:  # consolidated
             self.meta = json.loads(files.read(whole))["metadata"][f"{options.get('array', '')}/.zarray"]
 
+    def _may_hold(self, key: tuple[int, ...]) -> bool:
+        shape, chunks = self.meta["shape"], self.meta["chunks"]
+        ends = [([k * c for k, c in zip(key, chunks, strict=True)]), [min((k + 1) * c, n) - 1 for k, c, n in zip(key, chunks, shape, strict=True)]]
+        low, high = (int(np.ravel_multi_index(e, shape)) for e in ends)
+        return self.where.accept(chunk=".".join(map(str, key))) and self.where.may_meet("idx", low, high)
+
     def partitions(self) -> list[InputPartition]:
-        """Chunks that bear on the option `select`: "lo:hi,lo:hi,…" by axis."""
+        """Chunks that bear on the option `select`, "lo:hi,lo:hi,…" by axis, and on the option `where`."""
         shape, chunks = self.meta["shape"], self.meta["chunks"]
         asked = [tuple(int(x) for x in s.split(":")) if ":" in s else (0, n) for s, n in zip((self.options.get("select") or ",".join("*" for _ in shape)).split(","), shape, strict=True)]
         counts = [range(lo // c, -(-min(hi, n) // c)) for (lo, hi), c, n in zip(asked, chunks, shape, strict=True)]
         keys = [()]
         for r in counts:
             keys = [(*k, i) for k in keys for i in r]
-        return [FilePartition(os.path.join(self.root, ".".join(map(str, k))), k) for k in keys]
+        return [FilePartition(os.path.join(self.root, ".".join(map(str, k))), k) for k in keys if self._may_hold(k)] or [FilePartition("")]
 
     def read(self, partition: FilePartition) -> Iterator[pa.RecordBatch]:
         shape, chunks, fill = self.meta["shape"], self.meta["chunks"], self.meta.get("fill_value")
+        if not partition.path:
+            return
         if files.exists(partition.path):
             raw = files.read(partition.path)
             compressor = self.meta.get("compressor")
@@ -214,7 +227,10 @@ class ZarrReader(_Reader):
             inside &= (o + np.arange(c) < n).reshape([-1 if i == axis else 1 for i in range(len(shape))])
         v = a[inside]
         missing = ~np.isfinite(v) | (v == np.float64(np.dtype(self.meta["dtype"]).type(fill)) if fill is not None and fill != "NaN" else False)
-        yield pa.record_batch([pa.array([os.path.basename(partition.path)] * len(v)), pa.array(index[inside].astype("i8")), pa.array(v, mask=missing)], names=["chunk", "idx", "v"])
+        batch = pa.record_batch([pa.array([os.path.basename(partition.path)] * len(v)), pa.array(index[inside].astype("i8")), pa.array(v, mask=missing)], names=["chunk", "idx", "v"])
+        if any(c[0] == "idx" for c in self.where.all):
+            batch = batch.filter(pa.array([self.where.accept(idx=i) for i in batch["idx"].to_pylist()], pa.bool_()))
+        yield batch
 
 
 class GribSource(DataSource):
@@ -234,17 +250,27 @@ class GribSource(DataSource):
 
 class GribReader(_Reader):
     pattern = "*.gri*b*"
+    described = ("discipline", "category", "parameter", "step_h", "member", "interval_h")
+
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.where = Conditions(self.options, ["path", "message", *self.described])
+
+    def partitions(self) -> list[InputPartition]:
+        return [p for p in super().partitions() if p.path and self.where.accept(path=p.path)] or [FilePartition("")]
 
     def read(self, partition: FilePartition) -> Iterator[tuple]:
         if partition.path:
-            for i, m in enumerate(codecs.grib2_messages(files.read(partition.path))):
-                values = m.pop("values")
-                m.pop("present")
-                yield (partition.path, i, *m.values(), [None if x != x else float(x) for x in values])
+            wanted = lambda i, m: self.where.accept(message=i, **{k: m[k] for k in self.described})
+            with files.opened_at(partition.path) as f:
+                for i, m in codecs.grib2_scan(f, files.size(partition.path), wanted):
+                    values = m.pop("values")
+                    m.pop("present")
+                    yield (partition.path, i, *m.values(), [None if x != x else float(x) for x in values])
 
 
 def register(spark) -> None:
-    for source in (NpzSource, PolarSource, ShapefileSource, ZarrSource, GribSource):
+    for source in (NpzSource, PolarSource, ShapefileSource, ZarrSource, GribSource, TilesSource):
         spark.dataSource.register(source)
 
 
