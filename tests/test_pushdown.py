@@ -92,13 +92,19 @@ def test_tile_sink(sources, tmp_path, monkeypatch):  # noqa: F811
     assert sources.read.format("tiles").load(root).count() == 0
     rows = [(f"wind/{i % 2}", 3 + i % 3, i % 7, i // 7, 490_000 + i % 2, None if i == 9 else json.dumps({"v": i, "s": "é" * (i % 50)})) for i in range(210)]
     df = sources.createDataFrame(rows, "layer string, z int, x int, y int, hour long, body string").withColumn("more", F.lit(1))
-    tiles.write_tiles(df, root, parts=2)
+    tiles.write_tiles(df, root)
     whole = sources.read.format("tiles").load(root)
     key = lambda r: tuple(map(str, r))
     assert sorted((tuple(r)[:6] for r in whole.collect()), key=key) == sorted(rows, key=key)
     some = sources.read.format("tiles").option("where", where(("layer", "=", "wind/1"), ("z", "=", 4), ("x", ">=", 3))).load(root)
     assert sorted((tuple(r)[:6] for r in some.collect()), key=key) == sorted((r for r in rows if r[0] == "wind/1" and r[1] == 4 and r[2] >= 3), key=key)
-    assert some.rdd.getNumPartitions() <= 2 < whole.rdd.getNumPartitions()
+    reader = lambda *c: tiles.TilesReader({"path": root, "where": where(*c)}).partitions()
+    paths = lambda *c: [f[0] for p in reader(*c) for f in p.files]
+    assert len(reader()) == 1 and len(paths()) >= 6 and all("layer=wind%2F1/z=4/" in f for f in paths(("layer", "=", "wind/1"), ("z", "=", 4)))
+    assert not paths(("hour", ">", 490_001)) and 0 < len(paths(("hour", "=", 490_000))) <= len(paths())
+    for c, left in ((("hour", "=", 490_001), lambda r: r[4] == 490_001), (("y", "<", 3), lambda r: r[3] < 3)):
+        got = sources.read.format("tiles").option("where", where(c)).load(root).collect()
+        assert sorted((tuple(r)[:6] for r in got), key=key) == sorted(filter(left, rows), key=key)
     # a second job's tiles are newer; one that fails leaves what was there
     tiles.write_tiles(df.where("x = 1").withColumn("body", F.lit("{}")), root)
     last = tiles.newest(sources.read.format("tiles").load(root))
@@ -106,7 +112,7 @@ def test_tile_sink(sources, tmp_path, monkeypatch):  # noqa: F811
     with pytest.raises(Exception, match="a tile's z is null"):
         tiles.write_tiles(df.withColumn("z", F.when(F.col("x") != 5, F.col("z"))), root)
     assert tiles.newest(sources.read.format("tiles").load(root)).count() == len(rows)
-    (tmp_path / "tiles" / "layer=wind%2F1" / "z=4" / "hour=490001" / "lost-0.tiles").write_bytes(b"left by a lost task")
+    (tmp_path / "tiles" / "layer=wind%2F1" / "z=4" / "lost-0.tiles").write_bytes(b"left by a lost task")
     assert tiles.newest(sources.read.format("tiles").load(root)).count() == len(rows)
     tiles.write_tiles(df.where("x = 2"), root, overwrite=True)
     assert sources.read.format("tiles").load(root).count() == 30
@@ -121,9 +127,10 @@ def test_sink_rolls_and_takes_rows_in_any_order(tmp_path, monkeypatch):
     writer = tiles.TilesWriter(str(tmp_path), False)
     batch = pa.record_batch({"layer": ["a", "b", "a", "a", "a"], "z": [1] * 5, "x": [0, 1, 2, 3, 4], "y": [0] * 5, "hour": [7] * 5, "body": ["{}"] * 5})
     message = writer.write(iter([batch, batch.slice(0, 0)]))
-    assert len(message.names) == 4 == len(set(message.names))
+    names = [f[0] for f in message.files]
+    assert len(names) == 4 == len(set(names))
     writer.commit([message, None])
     reader = tiles.TilesReader({"path": str(tmp_path)})
     assert sorted(r[:4] for p in reader.partitions() for r in reader.read(p)) == [("a", 1, x, 0) for x in (0, 2, 3, 4)] + [("b", 1, 1, 0)]
     writer.abort([message])
-    assert not any(files.exists(f"{tmp_path}/{n}") for n in message.names) and readers.TilesSource is tiles.TilesSource
+    assert not any(files.exists(f"{tmp_path}/{n}") for n in names) and readers.TilesSource is tiles.TilesSource
