@@ -1,7 +1,7 @@
 """Conditions that a source applies as it reads: spark.read.format(…).option("where", where(("parameter", "=", 77), …)).
 
 They are options of a load, not filters that Spark pushes: Spark 4.1 keeps what a Python source was pushed with the loaded table, so that
-two scans of one DataFrame under different filters read the same partitions, and rows go missing. An option belongs to its load alone.
+a later scan of the same DataFrame, with other filters or none, reads those partitions, and rows go missing. An option belongs to its load alone.
 A condition is a column, =, <>, <, <=, >, >= or in, and a literal, or a column and `is null` or `is not null`; all must hold, and what a
 null meets is false, as in SQL. A column that the source cannot test, or an unknown operator, is an error."""
 
