@@ -1,6 +1,7 @@
 """Near-duplicates, neighbours, the language model, urls and the pipeline, by brute force."""
 
 import collections
+import pathlib
 import re
 import zlib
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidewright.llm import ann, flat, pitman_yor, simhash, urls
+from tidewright.llm.common import shared_dir
 from tidewright.llm.components import components
 from tidewright.llm.queries import ORACLES, QUERIES, RULES
 
@@ -206,6 +208,25 @@ def test_scores_do_not_depend_on_the_dealing(spark, monkeypatch):
     assert sorted((r.doc_id, round(r.score, 9)) for r in pitman_yor.score(df.repartition(3)).collect()) == want
 
 
+def test_no_message_outlives_its_answer(spark):
+    """What a sweep sent to the homes is not on disk beside what the last stage shuffles."""
+    df = spark.createDataFrame(bigrams(), "doc_id long, text string")
+    seen = lambda: {p for p in pathlib.Path(shared_dir(spark).removeprefix("file:")).rglob("kind=*")}
+    before = seen()
+    _, messages, _, _ = pitman_yor.train(df)
+    assert {p.name for p in seen() - before} == {"kind=state", "kind=answer"}
+    assert {r.kind for r in messages.select("kind").distinct().collect()} == {"state", "answer"}
+
+
+def test_messages_are_read_as_written():
+    for numbers in ([0], [7], [65535], [3, 4, 60000], list(range(0, 900, 2)), list(range(0, 65536, 40))):
+        assert pitman_yor._members(pitman_yor._set(np.array(numbers))).tolist() == numbers
+        assert len(pitman_yor._set(np.array(numbers))) <= 1 + min(2 * len(numbers), 1 + numbers[-1] // 8) + 1
+    for x in (b"", (b"", b"\0" * 100_000), {"kept": [{"t": b"\1\2"}]}):
+        assert pitman_yor._loaded(pitman_yor._dumped(x)) == x
+    assert len(pitman_yor._dumped(b"\0" * 100_000)) < 1000
+
+
 def test_contexts_stay_apart(spark):
     kept, held = ([i for i in range(3000) if (zlib.crc32(str(i).encode()) % 7 == 2) == x] for x in (False, True))
     asked = [f"{c} {w}" for c in ("a", "b") for w in ("x", "y", "a", "b", "unknown")] + ["a", "b"]

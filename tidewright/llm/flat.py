@@ -11,10 +11,11 @@ from tidewright.llm.common import texts
 
 #: Bytes of text worked on at once; a longer text is a block of its own.
 BLOCK = 1 << 18
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_SOLID = np.ones(256, bool)
+_SOLID[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+_LETTER = LOWER.astype(np.uint64) + np.uint64(1)
 _POWERS = np.random.default_rng(20_240_229).integers(1 << 63, size=1 << 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -51,17 +52,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def words(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each white-space-delimited word, and where each text's words start. Equal words have equal hashes; A-Z is lowered."""
-    solid = ~_SPACE[raw]
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], solid]).astype(np.int8)))  # begins and ends in turn; a space comes last
+    solid = _SOLID[raw]
+    edge = np.flatnonzero(np.diff(solid, prepend=False))  # begins and ends in turn; a space comes last
     begins, ends = edge[::2], edge[1::2]
     if not len(begins):
         return np.zeros(0, np.uint64), np.zeros(len(starts), np.int64)
-    place = np.arange(len(raw)) - np.repeat(begins, np.diff(np.append(begins, len(raw)))) if begins[0] == 0 else None
-    if place is None:
-        place = np.arange(len(raw)) - np.repeat(np.concatenate([[0], begins]), np.diff(np.concatenate([[0], begins, [len(raw)]])))
-    value = (LOWER[raw].astype(np.uint64) + np.uint64(1)) * (_POWERS[place & 0xFFFF] + ((place >> 16) << 1).astype(np.uint64))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
-    return mixed(total[ends] - total[begins]), np.searchsorted(begins, starts)
+    runs = begins if begins[0] == 0 else np.concatenate([[0], begins])
+    sizes = np.diff(runs, append=len(raw))
+    place = np.arange(len(raw))
+    place -= np.repeat(runs, sizes)
+    if sizes.max() <= len(_POWERS):
+        value = _POWERS[place]
+    else:
+        value = _POWERS[place & 0xFFFF] + ((place >> 16) << 1).astype(np.uint64)
+    value *= _LETTER[raw]
+    np.cumsum(value, out=value)
+    return mixed(value[ends - 1] - np.where(begins, value[begins - 1], np.uint64(0))), np.searchsorted(begins, starts)
 
 
 def grams(raw: np.ndarray, n: int = 4) -> np.ndarray:

@@ -122,12 +122,18 @@ def grouped(w: np.ndarray, ctx: np.ndarray, deal: Dealing):
     own = np.concatenate([np.zeros(1, np.int64), of[:-1]])
     own[ctx == START] = len(found)
     key = own * (len(found) + 1) + of
-    at = np.argsort(key, kind="stable")
-    key = key[at]
+    bits = max(1, len(key) - 1).bit_length()
+    if bits + int(key.max(initial=0)).bit_length() < 64:  # sorted with the places behind, which is faster
+        key = np.sort(key << bits | np.arange(len(key)))
+        at = key & ((1 << bits) - 1)
+        key >>= bits
+    else:
+        at = np.argsort(key, kind="stable")
+        key = key[at]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
     ends = np.append(first[1:], len(at)) if len(at) else first
     bucket = deal.bucket(ctx[at[first]], w[at[first]])
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(bucket.astype(np.uint16) if deal.n <= 1 << 16 else bucket, kind="stable")
     sizes = (ends - first)[order]
     starts = np.cumsum(sizes) - sizes
     at = at[np.repeat(first[order] - starts, sizes) + np.arange(len(at))]
@@ -151,6 +157,29 @@ def _large(x: bytes) -> np.ndarray:
     return np.frombuffer(x, f"<u{x[0]}", offset=1).astype(np.int64)
 
 
+def _dumped(x) -> bytes:
+    """Pickled and compressed: what moves lies on disk at both ends of a shuffle."""
+    raw = pickle.dumps(x)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _loaded(x: bytes):
+    return pickle.loads(pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True))
+
+
+def _set(numbers: np.ndarray) -> bytes:
+    """Distinct numbers below 65536, ascending: as two bytes each or as bits, whichever is shorter. The first byte says which."""
+    if 8 * 2 * len(numbers) <= int(numbers.max(initial=0)):
+        return b"\0" + numbers.astype("<u2").tobytes()
+    bits = np.zeros(int(numbers.max(initial=0)) + 1, bool)
+    bits[numbers] = True
+    return b"\1" + np.packbits(bits).tobytes()
+
+
+def _members(x: bytes) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(np.frombuffer(x, np.uint8, offset=1))) if x[0] else np.frombuffer(x, "<u2", offset=1)
+
+
 # --- seating
 
 
@@ -239,7 +268,7 @@ class Bucket:
     now: what sweeps change."""
 
     def __init__(self, data: bytes, now: bytes | None, deal: Dealing):
-        d, self.data = pickle.loads(data), pickle.loads(now) if now else {"kept": []}
+        d, self.data = pickle.loads(data), _loaded(now) if now else {"kept": []}
         self.words, self.contexts = deal.decoded(d["words"]), deal.decoded(d["contexts"])
         self.c, self.at = _large(d["counts"]), _large(d["at"])
         self.of = np.repeat(np.arange(len(self.contexts)), _large(d["pairs"]))
@@ -327,11 +356,18 @@ class Kept:
         df.write.option("compression", "zstd").partitionBy("kind").parquet(self.at)
         self.df = spark.read.schema(df.schema).parquet(self.at)
         if old:
-            path = spark._jvm.org.apache.hadoop.fs.Path(old)
-            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            self.delete(old)
         del df
         spark._jvm.System.gc()  # the cleaner drops shuffles whose plans are gone
 
+    def delete(self, at: str) -> None:
+        path = self.df.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(self.df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+    def drop(self, kind: str) -> None:
+        """Gives up the messages of a kind; those of others stay."""
+        self.delete(f"{self.at}/kind={kind}")
+
     def of(self, kind: str) -> DataFrame:
         return self.df.where(F.col("kind") == kind).select(*[x.split()[0] for x in _MESSAGE.split(", ")])
 
@@ -496,7 +532,7 @@ def train(docs: DataFrame) -> tuple[DataFrame, DataFrame, Model, Dealing]:
         def sweep(own: pa.Table, messages: pa.Table) -> pa.Table:
             number, b = received(own, messages.to_pylist(), deal, i == 0, i > BURN)
             b.sweep(model, i)
-            return _table([(number, -1, "state", pickle.dumps(b.data), None), *told(b, number, False)], _MESSAGE)
+            return _table([(number, -1, "state", _dumped(b.data), None), *told(b, number, False)], _MESSAGE)
 
         return sweep
 
@@ -518,6 +554,7 @@ def train(docs: DataFrame) -> tuple[DataFrame, DataFrame, Model, Dealing]:
             else:
                 state.put(swept)
             answers.put(homes(state.of("sent"), model, deal))
+            state.drop("sent")
             messages = state.of("state").unionByName(answers.of("answer"))
     return buckets, messages, model, deal
 
@@ -530,8 +567,8 @@ def received(own: pa.Table, rows: list[dict], deal: Dealing, first: bool, keep:
     return own.column("bucket")[0].as_py(), b
 
 
-_SENT = "block long, contexts binary, pairs binary, words binary, counts binary, docs binary, header binary"
-_PARTIAL = "block long, bucket int, docs binary, known binary, sums binary, header binary"
+_SENT = "block long, contexts binary, words binary, rest binary, header binary"
+_PARTIAL = "block long, bucket int, docs binary, unknown binary, sums binary, header binary"
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -545,7 +582,7 @@ def score(docs: DataFrame) -> DataFrame:
             found, at = grouped(w, ctx, deal)
             doc = doc[at].astype("<u2")
             header = pickle.dumps((ids, held, counts))
-            yield _rows([(b, None, "asked", None, None, block, deal.coded(own), _small(pairs), deal.coded(words_), _small(np.diff(np.append(first, last))), doc[first[0] : last].tobytes(), None if k else header) for k, (b, own, pairs, words_, first, last) in enumerate(found)], both)
+            yield _rows([(b, None, "asked", None, None, block, deal.coded(own), deal.coded(words_), _dumped((_small(pairs), _small(np.diff(np.append(first, last))), doc[first[0] : last].tobytes())), None if k else header) for k, (b, own, pairs, words_, first, last) in enumerate(found)], both)
 
     def answer(own: pa.Table, table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_pylist()
@@ -553,16 +590,22 @@ def score(docs: DataFrame) -> DataFrame:
         known = _large(b.data["tokens"])[b.at]
         key = b.of * len(b.words) + b.at
         values = [np.log10(known + 1.0), b.log_probabilities(model)]
-        known = (known > 0).astype(float)
+        unknown = (known == 0).astype(float)
         out = []
         for batch in table.filter(pa.array([k == "asked" for k in kind])).to_batches(max_chunksize=16):
             for r in batch.to_pylist():
-                of = np.repeat(np.searchsorted(b.contexts, deal.decoded(r["contexts"])), _large(r["pairs"]))
+                pairs, n, docs_ = _loaded(r["rest"])
+                n, docs_ = _large(n), np.frombuffer(docs_, "<u2")
+                of = np.repeat(np.searchsorted(b.contexts, deal.decoded(r["contexts"])), _large(pairs))
                 at = np.searchsorted(key, of * len(b.words) + np.searchsorted(b.words, deal.decoded(r["words"])))
-                named, of = np.unique(np.frombuffer(r["docs"], "<u2"), return_inverse=True)
-                n = _large(r["counts"])
-                sums = np.stack([np.bincount(of, np.repeat(v[at], n), len(named)) for v in values])
-                out.append((r["block"], number, named.tobytes(), _small(np.bincount(of, np.repeat(known[at], n), len(named))), sums.tobytes(), r["header"]))
+                if int(docs_.max()) < 8 * len(docs_):
+                    named, of = np.flatnonzero(np.bincount(docs_)), docs_
+                    place = named
+                else:
+                    named, of = np.unique(docs_, return_inverse=True)
+                    place = slice(None)
+                sums = np.stack([np.bincount(of, np.repeat(v[at], n))[place] for v in values])
+                out.append((r["block"], number, _set(named), _small(np.bincount(of, np.repeat(unknown[at], n))[place]), sums.tobytes(), r["header"]))
         return _table(out, _PARTIAL)
 
     def gather(table: pa.Table) -> pa.Table:
@@ -570,9 +613,9 @@ def score(docs: DataFrame) -> DataFrame:
         ids, held, counts = pickle.loads(next(r["header"] for r in rows if r["header"] is not None))
         sums = np.zeros((3, len(ids)))
         for r in rows:
-            sums[:, np.frombuffer(r["docs"], "<u2")] += np.vstack([np.frombuffer(r["sums"], "<f8").reshape(2, -1), _large(r["known"])])
+            sums[:, _members(r["docs"])] += np.vstack([np.frombuffer(r["sums"], "<f8").reshape(2, -1), _large(r["unknown"])])
         n, v = model.n, model.v
-        cols = [pa.array(ids, pa.int64()), pa.array(held), pa.array(counts), pa.array(np.rint(sums[2]).astype(np.int64)), pa.array(np.full(len(ids), n, np.int64)), pa.array(sums[0] - counts * np.log10(n + v + 1.0)), pa.array(sums[1])]
+        cols = [pa.array(ids, pa.int64()), pa.array(held), pa.array(counts), pa.array(counts - np.rint(sums[2]).astype(np.int64)), pa.array(np.full(len(ids), n, np.int64)), pa.array(sums[0] - counts * np.log10(n + v + 1.0)), pa.array(sums[1])]
         return pa.table(cols, names=[x.split()[0] for x in _SCORED.split(", ")])
 
     told = messages.unionByName(_prepared(docs).mapInArrow(send, both), allowMissingColumns=True)
