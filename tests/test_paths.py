@@ -199,3 +199,53 @@ def test_chokepoints(spark):
 def test_no_water_no_chokepoints(spark):
     cells = spark.createDataFrame([], "id long, clear double")
     assert paths.chokepoints(cells, spark.createDataFrame([], "a long, b long"), 1.0, 1.0, 0.0, 0.0).count() == 0
+
+
+def test_a_chart_takes_one_round_whatever_its_ways_steps(spark):
+    n = 60
+    edges = [(k, k + 1, "a", 1 + k % 2) for k in range(n)] + [(n, n + 1, "b", 5)]
+    usable = [(k, "a") for k in range(n + 1)] + [(n, "b"), (n + 1, "b")]
+    context = spark.sparkContext
+    context.setJobGroup("charts", "charts")
+    found, _ = paths.fewest_changes(spark.createDataFrame([(1, 0)], "search long, place long"), spark.createDataFrame(edges, "a long, b long, chart string, cost long"), spark.createDataFrame(usable, "place long, chart string"))
+    jobs = len(context.statusTracker().getJobIdsForGroup("charts"))
+    context.setJobGroup("others", "others")
+    at = [sum(1 + i % 2 for i in range(k)) for k in range(n + 1)]
+    assert {r.place: (r.changes, r.cost) for r in found.collect()} == {k: (0, c) for k, c in enumerate(at)} | {n + 1: (1, at[n] + 5)}
+    assert jobs < 2 * n
+
+
+@pytest.mark.parametrize("to_goals", [False, True])
+def test_charts_in_several_groups(spark, monkeypatch, to_goals):
+    monkeypatch.setattr(paths, "EDGES", 40)
+    monkeypatch.setattr(paths, "SEARCHES", 1)
+    rng = random.Random(5)
+    places, charts = range(30), "abc"
+    usable = {(p, c) for p in places for c in charts if rng.random() < 0.6}
+    edges = [(rng.choice(places), rng.choice(places), "a" if rng.random() < 0.6 else rng.choice(charts), rng.randint(1, 9)) for _ in range(150)]
+    sources = [(1, 0), (2, 3), (2, 4), (7, 9), (8, 99)]
+    goals = spark.createDataFrame([(1, 5), (2, 6), (7, 7)], "search long, place long") if to_goals else None
+    found, labels = paths.fewest_changes(spark.createDataFrame(sources, "search long, place long"), spark.createDataFrame(edges, "a long, b long, chart string, cost long"), spark.createDataFrame(sorted(usable), "place long, chart string"), goals)
+    want = {}
+    for search in (1, 2, 7, 8):
+        heap = [((0, 0), p, c) for s, p in sources if s == search for c in charts if (p, c) in usable]
+        done = {}
+        while heap:
+            cost, p, c = heapq.heappop(heap)
+            if (p, c) in done:
+                continue
+            done[p, c] = cost
+            for d in charts:
+                if d != c and (p, d) in usable:
+                    heapq.heappush(heap, ((cost[0] + 1, cost[1]), p, d))
+            for a, b, d, w in edges:
+                if a == p and d == c and a != b and (a, c) in usable and (b, c) in usable:
+                    heapq.heappush(heap, ((cost[0], cost[1] + w), b, c))
+        for (p, _), cost in done.items():
+            want[search, p] = min(cost, want.get((search, p), cost))
+        want |= {(s, p): (0, 0) for s, p in sources if s == search}
+    got = {(r.search, r.place): (r.changes, r.cost) for r in found.collect()}
+    assert got.items() <= want.items() and max(want.values())[0] > 0
+    assert set(got) >= ({k for k in want if k in {(1, 5), (2, 6), (7, 7)}} if to_goals else set(want))
+    heads = {(r.search, r.id.place) for r in labels.where("size(id.charts) = 0 and parent is null").collect()}
+    assert heads == set(sources)

@@ -4,8 +4,11 @@ comes to the driver."""
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ from tidewright.operators.graphs import back_trace, checkpointed, stored
 DEGREE_M = 6_371_000.0 * math.pi / 180
 #: Cells within which a coast makes a way dearer, and by how much beside it.
 COAST, DEARER = 4, 0.4
+#: Edges of a chart up to which one group has them all, and searches that are dealt together.
+EDGES, SEARCHES = 2_000_000, 8
 
 
 def cheapest_paths(sources: DataFrame, edges: DataFrame, goals: DataFrame | None = None) -> DataFrame:
@@ -67,7 +72,12 @@ def cheapest_paths(sources: DataFrame, edges: DataFrame, goals: DataFrame | None
             left = left.join(wanted.select("search").distinct(), "search", "left_semi")
         open_ = stored(left)
     settled = settled.unionByName(recent)
-    settled = stored(settled)
+    return _with_parents(stored(settled), begun, moves)
+
+
+def _with_parents(settled: DataFrame, begun: DataFrame, moves: DataFrame) -> DataFrame:
+    """settled (search, id, cost: the least) with `parent`, as cheapest_paths() has it."""
+    kind = settled.schema["cost"].dataType
     reached = settled.withColumnsRenamed({"id": "a", "cost": "_so_far"}).join(moves.select("a", "b", "cost"), "a")
     reached = reached.select("search", F.col("b").alias("id"), (F.col("_so_far") + F.col("cost")).cast(kind).alias("cost"), "a")
     parents = reached.join(settled, ["search", "id", "cost"]).groupBy("search", "id").agg(F.min("a").alias("parent"))
@@ -88,6 +98,91 @@ def traced(labels: DataFrame, goals: DataFrame) -> DataFrame:
     return found.join(labels.select("search", "id", "cost"), ["search", "id"]).select("search", "goal", "seq", "id", "cost")
 
 
+def _spreading(out: pa.Schema) -> Callable:
+    """For a group of edges of one chart and labels of its places: the labels that get better by these edges and those that are open."""
+
+    def spread(legs: pa.Table, labels: pa.Table) -> pa.Table:
+        is_open = labels["open"].to_numpy()
+        if not is_open.any():
+            return out.empty_table()
+        m, kind = legs.num_rows, labels.schema.field("place").type
+        places = pa.chunked_array([*legs["a"].chunks, *legs["b"].chunks, *labels["place"].chunks], kind).combine_chunks().dictionary_encode()
+        code, names = places.indices.to_numpy(), places.dictionary
+        order = np.argsort(code[:m], kind="stable")
+        begin = np.searchsorted(code[:m][order], np.arange(len(names) + 1))
+        b, w, at = code[m : 2 * m][order], legs["cost"].to_numpy()[order], code[2 * m :]
+        searches = labels["search"].combine_chunks().dictionary_encode()
+        own, cost = searches.indices.to_numpy(), labels["cost"].to_numpy()
+        by_search = np.argsort(own, kind="stable")
+        found = []
+        for rows in np.split(by_search, np.flatnonzero(np.diff(own[by_search])) + 1):
+            best = np.full(len(names), np.iinfo(np.int64).max)
+            had, new = rows[~is_open[rows]], rows[is_open[rows]]
+            np.minimum.at(best, at[had], cost[had])
+            before, to, so_far = best.copy(), at[new], cost[new]
+            while (better := so_far < best[to]).any():
+                to, so_far = to[better], so_far[better]
+                np.minimum.at(best, to, so_far)
+                front = np.unique(to)
+                n = begin[front + 1] - begin[front]
+                edge = np.repeat(begin[front] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                to, so_far = b[edge], np.repeat(best[front], n) + w[edge]
+            got = np.flatnonzero(best < before)
+            found.append((np.full(len(got), own[rows[0]]), got, best[got]))
+        search, got, best = (np.concatenate(x) for x in zip(*found, strict=True))
+        first = pa.array(np.zeros(len(got), "int64"))
+        same = {k: labels[k].take(first) for k in ("chart", "_n", "_at")}
+        return pa.table({"search": searches.dictionary.take(pa.array(search)), "place": names.take(pa.array(got)), "cost": best} | same).select(out.names).cast(out)
+
+    return spread
+
+
+def _charted(sources: DataFrame, legs: DataFrame, able: DataFrame, goals: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Places (search, place, changes, cost) and stays on a chart (search, place, chart, changes, cost), each with its fewest changes and the
+    least cost with these.
+
+    First all that is reached without a change, then with one, and so on: a chart is searched by itself, from all places where it
+    is newly used. A chart is a group, so that its ways take one round whatever their steps; one with more than EDGES edges is dealt into
+    several by place, which tell each other what crosses until nothing does."""
+    block = lambda place: F.pmod(F.xxhash64(place), F.col("_n")).cast("int")
+    slices = max(1, math.ceil(sources.select("search").distinct().count() / SEARCHES))
+    sizes = stored(legs.groupBy("chart").agg(F.ceil(F.count("*") / EDGES).cast("int").alias("_n")))
+    split = not sizes.where("_n > 1").isEmpty()
+    laid = stored(legs.join(sizes, "chart").withColumn("_at", block("a")).withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))))
+    able = stored(able.join(sizes, "chart", "left").withColumn("_n", F.coalesce("_n", F.lit(1))))
+    group, label = ["chart", "_at", "_slice"], ["search", "place", "chart", "_n"]
+    told = lambda df, is_open: df.select(*label, "cost", block("place").alias("_at"), F.pmod(F.xxhash64("search"), F.lit(slices)).cast("int").alias("_slice"), F.lit(is_open).alias("open"))
+    newest = places = stored(sources.select("search", "place").distinct().withColumns({"changes": F.lit(0).cast("long"), "cost": F.lit(0).cast("long")}))
+    stays = newest.join(able, "place").select(*label, "changes", "cost").where("false")
+    for k in count():
+        open_ = stored(newest.join(able, "place").select(*label, "cost").join(stays.select("search", "place", "chart"), ["search", "place", "chart"], "left_anti"))
+        if open_.isEmpty():
+            return places, stays.drop("_n")
+        like = open_.withColumn("_at", F.lit(0)).limit(0)
+        spread = _spreading(like.toArrow().schema)
+        level = None
+        while True:
+            # what was reached with fewer changes is not to be reached again
+            had = told(stays.withColumn("cost", F.lit(-1).cast("long")), False)
+            had = had if level is None else had.unionByName(told(level, False))
+            fed = told(open_, True).unionByName(had)
+            out = stored(laid.groupBy(*group).cogroup(fed.groupBy(*group)).applyInArrow(spread, like.schema))
+            here = out.where(F.col("_at") == block("place")).select(*label, "cost")
+            level = here if level is None else stored(level.unionByName(here).groupBy(*label).agg(F.min("cost").alias("cost")))
+            if not split:
+                break
+            open_ = stored(out.where(F.col("_at") != block("place")).groupBy(*label).agg(F.min("cost").alias("cost")))
+            if open_.isEmpty():
+                break
+        stays = stays.unionByName(level.withColumn("changes", F.lit(k).cast("long")))
+        reached = level.groupBy("search", "place").agg(F.min("cost").alias("cost")).withColumn("changes", F.lit(k).cast("long"))
+        newest = stored(reached.join(places.select("search", "place"), ["search", "place"], "left_anti").select("search", "place", "changes", "cost"))
+        places = places.unionByName(newest)
+        if goals is not None:
+            wanted = goals.select("search", "place").join(places, ["search", "place"], "left_anti").select("search").distinct()
+            newest = newest.join(wanted, "search", "left_semi")
+
+
 def fewest_changes(sources: DataFrame, edges: DataFrame, usable: DataFrame, goals: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The ways with fewest changes of chart, and of these the cheapest; of ties, the one whose node before is least (place, then chart).
 
@@ -96,26 +191,32 @@ def fewest_changes(sources: DataFrame, edges: DataFrame, usable: DataFrame, goal
     Gives (search, place, changes, cost) and the labels of the search in the product of places and charts, for traced(): an id is a
     struct of place and charts, of one chart, or none where it is being changed.
 
-    Charts meet at a node of the place that has none, so a place with n charts has 2n changes, not n squared. A change costs more than all
-    edges together, so one number orders the ways."""
+    Charts meet at a node of the place that has none, so a place with n charts has 2n changes, not n squared. In the labels a change costs
+    more than all edges together, so one number orders the ways."""
     whole = "decimal(38,0)"
     able = usable.where("place is not null and chart is not null").select("place", "chart").distinct()
     at = lambda place, *charts: F.struct(col(place).alias("place"), (F.array(*charts) if charts else F.filter(F.array("chart"), lambda _: F.lit(False))).alias("charts"))
     legs = edges.where("a <> b and cost is not null")
     for end in ("a", "b"):
         legs = legs.join(able.withColumnRenamed("place", end), [end, "chart"], "left_semi")
-    legs = stored(legs.select("a", "b", "chart", F.col("cost").cast(whole).alias("cost")))
-    change = (legs.agg(F.sum("cost")).first()[0] or 0) + 1
-    arcs = legs.select(at("a", "chart").alias("a"), at("b", "chart").alias("b"), "cost")
-    off = able.select(at("place", "chart").alias("a"), at("place").alias("b"), F.lit(change).cast(whole).alias("cost"))
-    on = able.select(at("place").alias("a"), at("place", "chart").alias("b"), F.lit(1).cast(whole).alias("cost"))
+    kind = usable.schema["place"].dataType
+    legs = stored(legs.select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"), "chart", F.col("cost").cast("long").alias("cost")))
+    total, least = legs.agg(F.sum(F.col("cost").cast(whole)), F.min("cost")).first()
+    if least is not None and least <= 0:
+        raise ValueError("an edge has a cost that is not positive")
+    change = (total or 0) + 1
+    places, stays = _charted(sources.select("search", F.col("place").cast(kind).alias("place")), legs, able, goals)
+    # each stay on a chart costs 1 to begin and `change` to end; a place where a search begins is left out of charts from the start
+    ends = F.lit(change + 1).cast(whole)
     chart = F.lit(None).cast(usable.schema["chart"].dataType)
-    bare = lambda df: df.withColumn("chart", chart).select("search", at("place").alias("id"))
-    labels = stored(cheapest_paths(bare(sources).withColumn("cost", F.lit(0).cast(whole)), arcs.unionByName(off).unionByName(on), None if goals is None else bare(goals)))
-    # each stay on a chart costs 1 to begin and `change` to end, so k changes cost (k + 1) (change + 1)
-    here = labels.where(F.size("id.charts") == 0).select("search", F.col("id.place").alias("place"), F.col("cost").alias("_c"), F.lit(change + 1).cast(whole).alias("_n"))
-    split = here.withColumn("_k", F.expr("_c div _n"))
-    return split.select("search", "place", F.greatest(F.col("_k") - 1, F.lit(0)).cast("long").alias("changes"), (F.col("_c") - F.col("_k") * F.col("_n")).cast("long").alias("cost")), labels
+    bare = lambda df: df.withColumn("chart", chart).select("search", at("place").alias("id"), "cost")
+    begun = bare(sources.select("search", F.col("place").cast(kind).alias("place")).distinct().withColumn("cost", F.lit(0).cast(whole)))
+    on = stays.select("search", at("place", "chart").alias("id"), (F.col("changes") * ends + F.col("cost") + 1).cast(whole).alias("cost"))
+    off = bare(places.withColumn("cost", ((F.col("changes") + 1) * ends + F.col("cost")).cast(whole))).join(begun.select("search", "id"), ["search", "id"], "left_anti")
+    arcs = legs.select(at("a", "chart").alias("a"), at("b", "chart").alias("b"), F.col("cost").cast(whole).alias("cost"))
+    leave = able.select(at("place", "chart").alias("a"), at("place").alias("b"), F.lit(change).cast(whole).alias("cost"))
+    enter = able.select(at("place").alias("a"), at("place", "chart").alias("b"), F.lit(1).cast(whole).alias("cost"))
+    return places, _with_parents(on.unionByName(off).unionByName(begun), begun, arcs.unionByName(leave).unionByName(enter))
 
 
 def cell_id(row: str = "row", column: str = "col") -> Column:
