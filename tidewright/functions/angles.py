@@ -18,8 +18,9 @@ def rounded(x: Column | str, digits: int = 0) -> Column:
 
 
 def norm360(x: Column | str) -> Column:
-    """In [0, 360)."""
-    return F.pmod(col(x), F.lit(360.0)) + 0.0
+    """In [0, 360), by the steps that SQL takes: adding 360 rounds off last bits, and pmod() would keep them for positive angles."""
+    turn = F.lit(360.0)
+    return (col(x) % turn + turn) % turn
 
 
 def wrap_lon(x: Column | str) -> Column:

@@ -38,17 +38,17 @@ def band(index) -> Column:
     return out.otherwise("extreme")
 
 
-def _wind_part(w: Column, c: Column, wind_from, current_to) -> Column:
+def _wind_part(w: Column, c: Column, wind_from, current_to, cos=F.cos) -> Column:
     """For values that are known: the guards stand around it, once."""
     theta = F.radians(angle_between(col(wind_from) + 180.0, current_to))
-    relative = (w * w + c * c - 2 * w * c * F.cos(theta)) / F.pow(F.greatest(w, F.lit(0.001)), 2)
+    relative = (w * w + c * c - 2 * w * c * cos(theta)) / F.pow(F.greatest(w, F.lit(0.001)), 2)
     return F.least(50.0 * relative * F.greatest(F.lit(0.0), F.least(F.lit(1.0), w / 2.572222)), F.lit(400.0))
 
 
-def _wave_part(c: Column, current_to, h: Column, t: Column, mwd_from) -> Column:
+def _wave_part(c: Column, current_to, h: Column, t: Column, mwd_from, cos=F.cos) -> Column:
     phi = F.radians(angle_between(col(mwd_from) + 180.0, current_to))
     group = G * F.greatest(t, F.lit(2.0)) / (4 * math.pi)
-    steepen = 1.0 / F.greatest(1 - 2 * F.greatest(-(c * F.cos(phi)), F.lit(0.0)) / group, F.lit(0.3))
+    steepen = 1.0 / F.greatest(1 - 2 * F.greatest(-(c * cos(phi)), F.lit(0.0)) / group, F.lit(0.3))
     return F.when(h > 0, 10.0 * h * h * (5.0 / F.greatest(t, F.lit(5.0))) * steepen).otherwise(0.0)
 
 
@@ -62,13 +62,13 @@ def roughness(wind, current, wind_from, current_to, swh, mwp, mwd_from) -> Colum
     return F.when(_all_known(wind, current, wind_from, current_to, swh, mwp, mwd_from), parts)
 
 
-def sea_state_index(wind, wind_from, current, current_to, swh, mwp, mwd_from) -> Column:
+def sea_state_index(wind, wind_from, current, current_to, swh, mwp, mwd_from, cos=F.cos) -> Column:
     """Rounded to a tenth; null without wind or its direction. Without current it counts as none; unless height, period and direction
-    of the waves are all known, so do they. What is not finite is not known."""
+    of the waves are all known, so do they. What is not finite is not known. cos: libm's, where sums can lie on the edge of a tenth."""
     w, w_from, h, t, d = map(finite, (wind, wind_from, swh, mwp, mwd_from))
     c, to = (F.coalesce(finite(x), F.lit(0.0)) for x in (current, current_to))
-    waves = F.when(_all_known(h, t, d), _wave_part(c, to, h, t, d)).otherwise(0.0)
-    return rounded(F.when(_all_known(w, w_from), _wind_part(w, c, w_from, to) + waves), 1)
+    waves = F.when(_all_known(h, t, d), _wave_part(c, to, h, t, d, cos)).otherwise(0.0)
+    return rounded(F.when(_all_known(w, w_from), _wind_part(w, c, w_from, to, cos) + waves), 1)
 
 
 def encounter(index, course, waves_from) -> Column:
@@ -119,12 +119,12 @@ def precipitation(code) -> Column:
     return out.otherwise("other")
 
 
-def wind_from(u, v) -> Column:
-    return norm360(270.0 - F.degrees(F.atan2(col(v), col(u))))
+def wind_from(u, v, atan2=F.atan2) -> Column:
+    return norm360(270.0 - F.degrees(atan2(col(v), col(u))))
 
 
-def current_to(u, v) -> Column:
-    return norm360(F.degrees(F.atan2(col(u), col(v))))
+def current_to(u, v, atan2=F.atan2) -> Column:
+    return norm360(F.degrees(atan2(col(u), col(v))))
 
 
 def relation(along_ms) -> Column:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.functions import libm
 from tidewright.functions import meteo as M
 from tidewright.functions.angles import angle_between, rounded, wrap_lon
 from tidewright.functions.geodesy import RADIUS, haversine, segment_within
@@ -37,10 +38,11 @@ def current_points(rows: DataFrame, least: float = 0.005) -> DataFrame:
 
 def sea_points(rows: DataFrame) -> DataFrame:
     """lon, lat, index, band, and how the current meets the waves."""
-    w = F.hypot("u", "v")
-    index = M.sea_state_index(w, M.wind_from("u", "v"), F.hypot("cu", "cv"), M.current_to("cu", "cv"), "swh", "mwp", "mwd")
-    along = F.hypot("cu", "cv") * F.cos(F.radians(angle_between(F.col("mwd") + 180.0, M.current_to("cu", "cv"))))
-    return rows.where("u is not null and not land").withColumn("index", index).select("lon", "lat", "index", M.band("index").alias("band"), M.relation(along).alias("relation"))
+    speed = lambda a, b: F.sqrt(F.col(a) * F.col(a) + F.col(b) * F.col(b))
+    r = rows.where("u is not null and not land").withColumns({"_wind": speed("u", "v"), "_from": M.wind_from("u", "v", libm.atan2), "_cur": speed("cu", "cv"), "_to": M.current_to("cu", "cv", libm.atan2)})
+    along = F.col("_cur") * libm.cos(F.radians(angle_between(F.col("mwd") + 180.0, "_to")))
+    r = r.withColumns({"index": M.sea_state_index("_wind", "_from", "_cur", "_to", "swh", "mwp", "mwd", libm.cos), "_along": along})
+    return r.select("lon", "lat", "index", M.band("index").alias("band"), M.relation("_along").alias("relation"))
 
 
 def tide_series(hours: DataFrame, keys: list[str], t: str = "t") -> DataFrame:
