@@ -28,3 +28,7 @@ EDGES = [115231, 154015, 343359, 380051, 503335, 536299]
 
 def test_sea_points_on_the_edge_of_a_tenth(spark, tmp_path):
     assert not differing(spark, tmp_path, "sea_points", [(e, e % 1500, 50.0) for e in EDGES])
+
+
+def test_conditions_on_the_edge_of_a_tenth(spark, tmp_path):
+    assert not differing(spark, tmp_path, "conditions_series", [(e, e % 1500, 50.0) for e in EDGES])

@@ -18,9 +18,9 @@ def conditions(rows: DataFrame, lat: str = "lat") -> DataFrame:
     """rows with u, v (wind), cu, cv (current, 0,0 for none), swh, mwp, mwd, t_k, dew_k, msl_pa as the columns a reader is shown."""
     wind, current = F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v")), F.sqrt(F.col("cu") * F.col("cu") + F.col("cv") * F.col("cv"))
     none = (F.col("cu") == 0) & (F.col("cv") == 0)
-    r = rows.withColumns({"wind_ms": wind, "wind_from": M.wind_from("u", "v"), "current_ms": F.when(~none, current), "current_to": F.when(~none, M.current_to("cu", "cv")), "rh": M.relative_humidity("t_k", "dew_k"), "t_c": F.col("t_k") - 273.15})
+    r = rows.withColumns({"wind_ms": wind, "wind_from": M.wind_from("u", "v", libm.atan2), "current_ms": F.when(~none, current), "current_to": F.when(~none, M.current_to("cu", "cv", libm.atan2)), "rh": M.relative_humidity("t_k", "dew_k"), "t_c": F.col("t_k") - 273.15})
     feels, basis = M.feels_like("t_c", "wind_ms", "rh")
-    r = r.withColumns({"beaufort": M.beaufort("wind_ms"), "douglas": M.douglas("swh"), "sea_index": M.sea_state_index("wind_ms", "wind_from", "current_ms", "current_to", "swh", "mwp", "mwd"), "partial": F.col("swh").isNull() | F.col("mwp").isNull() | F.col("mwd").isNull(), "feels_c": rounded(feels, 1), "feels_basis": basis, "hpa": rounded(F.col("msl_pa") / 100, 1)})
+    r = r.withColumns({"beaufort": M.beaufort("wind_ms"), "douglas": M.douglas("swh"), "sea_index": M.sea_state_index("wind_ms", "wind_from", "current_ms", "current_to", "swh", "mwp", "mwd", libm.cos), "partial": F.col("swh").isNull() | F.col("mwp").isNull() | F.col("mwd").isNull(), "feels_c": rounded(feels, 1), "feels_basis": basis, "hpa": rounded(F.col("msl_pa") / 100, 1)})
     shown = {"wind_ms": 2, "wind_from": 0, "current_ms": 3, "current_to": 0, "rh": 3, "t_c": 1}
     return r.withColumns({k: rounded(k, n) for k, n in shown.items()}).withColumn("band", M.band("sea_index")).drop("u", "v", "cu", "cv")
 
