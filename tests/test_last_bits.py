@@ -32,3 +32,7 @@ def test_sea_points_on_the_edge_of_a_tenth(spark, tmp_path):
 
 def test_conditions_on_the_edge_of_a_tenth(spark, tmp_path):
     assert not differing(spark, tmp_path, "conditions_series", [(e, e % 1500, 50.0) for e in EDGES])
+
+
+def test_directions_of_calms(spark, tmp_path):
+    assert not differing(spark, tmp_path, "wind_components", [(e, e % 1500, v) for v in (0.0, 50.0) for e in range(360 * (v > 0), 360 + 360 * (v > 0))])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,13 @@ def rounded(x: Column | str, digits: int = 0) -> Column:
     return F.when(F.abs(x) < float("inf"), y)  # NaN is above infinity
 
 
+def atan2(y: Column | str, x: Column | str) -> Column:
+    """With IEEE's signs of zero: half a turn where both are zero and x is -0.0, which Spark's own takes for 0.0. The half turn is pi whatever
+    the sign of y: -pi is the same angle."""
+    y, x = col(y), col(x)
+    return F.when((y == 0) & (x == 0) & (F.pow(x, F.lit(-1.0)) < 0), math.pi).otherwise(F.atan2(y, x))
+
+
 def norm360(x: Column | str) -> Column:
     """In [0, 360), by the steps that SQL takes: adding 360 rounds off last bits, and pmod() would keep them for positive angles."""
     turn = F.lit(360.0)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidewright.functions.angles import angle_between, at_least, at_most, clamp, col, finite, fold180, norm360, rounded
+from tidewright.functions.angles import angle_between, at_least, at_most, atan2, clamp, col, finite, fold180, norm360, rounded
 
 # Bounds of the scales.
 BEAUFORT = [0.3, 1.6, 3.4, 5.5, 8.0, 10.8, 13.9, 17.2, 20.8, 24.5, 28.5, 32.7]
@@ -119,11 +119,11 @@ def precipitation(code) -> Column:
     return out.otherwise("other")
 
 
-def wind_from(u, v, atan2=F.atan2) -> Column:
+def wind_from(u, v, atan2=atan2) -> Column:
     return norm360(270.0 - F.degrees(atan2(col(v), col(u))))
 
 
-def current_to(u, v, atan2=F.atan2) -> Column:
+def current_to(u, v, atan2=atan2) -> Column:
     return norm360(F.degrees(atan2(col(u), col(v))))
 
 
